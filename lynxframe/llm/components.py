@@ -1,0 +1,35 @@
+"""Connected components of a table of links, by alternating star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lynxframe.llm.common import Scratch
+
+
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a``, ``b`` (longs) -> ``node``, ``root``: the smallest node that each linked node reaches.
+
+    Each round hangs every node's larger neighbours, then its smaller ones, on the smallest node of its neighbourhood,
+    until nothing changes; the number of rounds grows with the logarithm of the longest path. Only minima are grouped,
+    so a node with very many links never gathers them in one task. Links of a node with itself are left out.
+    """
+    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Large star: a node's larger neighbours go to its least.
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.save(large)
+        # Small star: a node and its smaller neighbours go to its least.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.withColumnRenamed("m", "v")).distinct()
+        small = scratch.save(small)
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        scratch.drop(edges, large)
+        edges = small
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = now
