@@ -14,7 +14,7 @@ from lynxframe.llm import words as W
 from lynxframe.llm.common import NO_ID, Scratch, digest, text_or_empty
 
 SEEDS = "text_key long, seed long"
-WINDOWS = "oid long, dig binary, at int, h1 long, h2 long"
+WINDOWS = "oid long, text_key long, h1 long, h2 long, at array<int>"
 RESULT = "dig binary, whole boolean, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
             flat, bounds = W.split(batch.column("text"))
             all_words = W.hashes(flat)
             second = W.hashes(flat, 1)
-            oids, digs, marked = batch.column("oid").to_pylist(), batch.column("dig").to_pylist(), batch.column("seeds")
+            oids, keys, marked = batch.column("oid").to_pylist(), batch.column("text_key").to_pylist(), batch.column("seeds")
             for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 short = W.windows(all_words[a:b], half)
                 views = np.lib.stride_tricks.sliding_window_view(short, span)
@@ -93,16 +93,23 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
                 at = np.flatnonzero(np.isin(least, marked[k].values.to_numpy().view(np.uint64)))
                 if len(at):
                     one, two = W.windows(all_words[a:b], window)[at], W.windows(second[a:b], window, W.BASES[1])[at]
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, oids[k]), pa.int64()), pa.array([digs[k]] * n, pa.binary()), pa.array(at.astype(np.int32)), _signed(one), _signed(two)], ["oid", "dig", "at", "h1", "h2"])
+                    # A window that the text has several times is one row.
+                    order = np.lexsort((at, two, one))
+                    at, one, two = at[order].astype(np.int32), one[order], two[order]
+                    new = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+                    places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(at))
+                    n = len(new)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, oids[k]), pa.int64()), pa.array(np.full(n, keys[k]), pa.int64()), _signed(one[new]), _signed(two[new]), places], ["oid", "text_key", "h1", "h2", "at"])
 
     # Level 2: the full windows around them, each with the smallest document that it starts in.
-    joined = texts.join(marks.hint("merge"), "text_key").select("oid", "dig", "text", "seeds")
+    joined = texts.join(marks.hint("merge"), "text_key").select("oid", "text_key", "text", "seeds")
     long = scratch.save(joined.mapInArrow(extended, WINDOWS))
+    scratch.drop(marks)
     first = long.groupBy("h1", "h2").agg(F.min("oid").alias("first_oid"), F.max("oid").alias("last_oid")).where("first_oid < last_oid")
-    hits = long.join(first.hint("merge"), ["h1", "h2"]).where("oid > first_oid").select("dig", "at")
-    hits = scratch.save(hits.groupBy("dig").agg(F.array_sort(F.collect_set("at")).alias("hits")))
-    scratch.drop(long)
+    first = scratch.save(first.select("h1", "h2", "first_oid"))
+    hits = long.join(first.hint("merge"), ["h1", "h2"]).where("oid > first_oid").select("oid", "text_key", "at")
+    hits = scratch.save(hits.groupBy("oid", "text_key").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("hits")))
+    scratch.drop(long, first)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +129,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
                     rows.append((dig, True, *rows[-1][2:]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["dig", "whole", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    judged = texts.join(hits.hint("merge"), "dig", "left").select("dig", "text", "hits").mapInArrow(kept, RESULT)
+    judged = texts.join(hits.hint("merge"), ["oid", "text_key"], "left").select("dig", "text", "hits").mapInArrow(kept, RESULT)
     firsts = texts.select("dig", F.col("oid").alias("first_oid"))
     rows = base.select("doc_id", "oid", "dig").join(firsts.hint("merge"), "dig").select("doc_id", "dig", (F.col("oid") > F.col("first_oid")).alias("whole"))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
