@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynxframe.llm.common import Scratch
+from lynxframe.llm.common import Scratch, lean
 from lynxframe.llm.tokens import load_ranks, tokenizer_path
 
 #: Control strings of the template and their ids, after the 50,256 ranks.
@@ -87,7 +87,7 @@ def prefix_tree(conversations: DataFrame, tokenizer_ranks: str, nodes_per_task:
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in TURN.split(", ")])
 
-    placed = scratch.save(whole.mapInArrow(walk, TURN))
+    placed = scratch.save(whole.mapInArrow(lean(walk), TURN))
     leaves = placed.groupBy("conv_id").agg(F.max(F.struct("depth", "path")).alias("m")).select("conv_id", "m.path")
     unique = scratch.save(placed.groupBy("path").agg(*[F.first(c).alias(c) for c in ("depth", "ids", "position", "n_tokens", "loss_from", "loss_to")]))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-unique.count() // nodes_per_task))
@@ -134,4 +134,4 @@ def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer_ranks: str) -> Data
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in READ.split(", ")])
 
-    return whole.mapInArrow(parse, READ)
+    return whole.mapInArrow(lean(parse), READ)

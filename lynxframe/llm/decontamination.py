@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynxframe.llm import words as W
+from lynxframe.llm.common import lean
 
 MATCHES = "doc_id long, item_id long, start long, n_words long, similarity double, hamming int"
 NOTHING = np.uint64(xxhash.xxh64_intdigest(""))
@@ -214,7 +215,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
 
     found = spark.createDataFrame([], MATCHES)
     for block in item_blocks(benchmark, block_items, block_chars):
-        found = found.unionByName(rows.mapInArrow(scan(spark.sparkContext.broadcast(block)), MATCHES))
+        found = found.unionByName(rows.mapInArrow(lean(scan(spark.sparkContext.broadcast(block))), MATCHES))
     return found
 
 

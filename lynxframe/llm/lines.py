@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynxframe.llm.common import NO_ID, Scratch, text_or_empty
+from lynxframe.llm.common import NO_ID, Scratch, lean, text_or_empty
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -95,7 +95,7 @@ def removed_lines(base: DataFrame, scratch: Scratch, rare: int, least_words: int
         return F.struct(F.col(f"{prefix}oid"), F.col(f"{prefix}tie"))
 
     # Equal rows are one document; equal texts under several ids are several.
-    docs = scratch.save(base.select("oid", "tie", "text").mapInArrow(lines, LINES).groupBy("oid", "tie").agg(F.first("lines").alias("lines"), F.first("words").alias("words")))
+    docs = scratch.save(base.select("oid", "tie", "text").mapInArrow(lean(lines), LINES).groupBy("oid", "tie").agg(F.first("lines").alias("lines"), F.first("words").alias("words")))
     # Lines with words, each once a document.
     zipped = docs.select("oid", "tie", F.explode(F.array_distinct(F.expr("transform(filter(arrays_zip(lines, words), x -> x.words > 0), x -> x.lines)"))).alias("line"))
     marks = scratch.save(zipped)
@@ -120,7 +120,7 @@ def removed_lines(base: DataFrame, scratch: Scratch, rare: int, least_words: int
     left = docs.select(F.col("oid").alias("aoid"), F.col("tie").alias("atie"), F.col("lines").alias("alines"))
     right = docs.select(F.col("oid").alias("boid"), F.col("tie").alias("btie"), F.col("lines").alias("blines"), F.col("words").alias("bwords"))
     both = pairs.join(left.hint("merge"), ["aoid", "atie"]).join(right.hint("merge"), ["boid", "btie"]).select("boid", "btie", "alines", "blines", "bwords")
-    cut = scratch.save(both.mapInArrow(align, "oid long, tie long, gone array<int>").where("size(gone) > 0"))
+    cut = scratch.save(both.mapInArrow(lean(align), "oid long, tie long, gone array<int>").where("size(gone) > 0"))
     gone = cut.select("oid", "tie", F.explode("gone").alias("g")).distinct().groupBy("oid", "tie").agg(F.array_sort(F.collect_list("g")).alias("gone"))
     return scratch.save(gone)
 

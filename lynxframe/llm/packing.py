@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynxframe.llm.common import Scratch, text_or_empty
+from lynxframe.llm.common import Scratch, lean, text_or_empty
 from lynxframe.llm.tokens import load_ranks, tokenizer_path
 
 #: What byte_bpe_50k.json treats as special wherever a text holds it.
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, tokenizer_ranks: str, capacity: int = 1024, end_id: in
         yield from _bins(fills, members, capacity)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bins = scratch.save(texts.mapInArrow(encode_and_fit, BIN_DDL))
+    bins = scratch.save(texts.mapInArrow(lean(encode_and_fit), BIN_DDL))
     done = bins.where(F.col("fill") >= capacity - slack)
     left = bins.where(F.col("fill") < capacity - slack)
     count = left.count()
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer_ranks: str, capacity: int = 1024, end_id: in
     while count > 1:
         # Round-robin by content, so that a lost task deals its rows out again as before.
         deal = F.hash(F.col("members").getItem(0), F.lit(parts))
-        merged = scratch.save(left.repartition(parts, deal).mapInArrow(fit_again, BIN_DDL))
+        merged = scratch.save(left.repartition(parts, deal).mapInArrow(lean(fit_again), BIN_DDL))
         done = done.unionByName(merged.where(F.col("fill") >= capacity - slack))
         left = merged.where(F.col("fill") < capacity - slack)
         after, last, before = left.count(), parts == 1, count

@@ -7,10 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lynxframe.llm.common import lean
+
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
@@ -90,7 +93,10 @@ def quality(docs: DataFrame, bands: Bands = Bands(), keep: tuple[str, ...] = ("d
     and kept. Null and empty texts have zeros, null ratios and are not kept; repeated rows are judged each on its own;
     input columns called like a signal are not read unless in ``keep``; an empty table gives no rows. One pass, no shuffle.
     """
-    inner = docs.select(F.struct(*keep).alias("kept_columns"), F.col("text").cast("string").alias("text"))
+    # A text that is kept anyhow goes to the workers once.
+    also = [F.col("text").cast("string").alias("text")] if "text" not in keep else []
+    alone = bool(also)
+    inner = docs.select(F.struct(*keep).alias("kept_columns"), *also)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
@@ -99,9 +105,10 @@ def quality(docs: DataFrame, bands: Bands = Bands(), keep: tuple[str, ...] = ("d
         names = [*SIGNALS, "base_failed", "ratio", "min_chunk_ratio", "max_chunk_ratio", "kept"]
         for batch in batches:
             if batch.num_rows:
-                rows = [judge(x, bands, pack) for x in batch.column("text").to_pylist()]
+                texts = batch.column("text") if alone else pc.struct_field(batch.column("kept_columns"), "text")
+                rows = [judge(x, bands, pack) for x in texts.to_pylist()]
                 verdict = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 yield pa.RecordBatch.from_arrays([batch.column("kept_columns"), verdict], ["kept_columns", "verdict"])
 
-    out = inner.mapInArrow(compute, f"kept_columns {inner.schema['kept_columns'].dataType.simpleString()}, verdict struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>")
+    out = inner.mapInArrow(lean(compute), f"kept_columns {inner.schema['kept_columns'].dataType.simpleString()}, verdict struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>")
     return out.select("kept_columns.*", "verdict.*")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynxframe.llm.common import NO_ID, Scratch
+from lynxframe.llm.common import NO_ID, Scratch, lean
 from lynxframe.llm.components import connected_components
 
 #: Fixed values of the perfect binary Golay code: word length, check bits, covering radius, generator polynomial.
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             fps = np.fromiter((fingerprint(x, shingle, seed) for x in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(compute), "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
@@ -118,8 +118,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
                 at, anchor = near_anchors(run.view(np.uint64), distance)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(run[at])], ["anchor", "b"])
 
-    owners = distinct.select("fp").mapInArrow(place, "anchor long, a long")
-    others = distinct.select("fp").mapInArrow(replicate, "anchor long, b long")
+    owners = distinct.select("fp").mapInArrow(lean(place), "anchor long, a long")
+    others = distinct.select("fp").mapInArrow(lean(replicate), "anchor long, b long")
     near = F.expr(f"a < b and bit_count(a ^ b) <= {distance}")
     return owners.hint("merge").join(others, (owners.anchor == others.anchor) & near).select("a", "b")
 

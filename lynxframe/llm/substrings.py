@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynxframe.llm import words as W
-from lynxframe.llm.common import NO_ID, Scratch, digest, text_or_empty
+from lynxframe.llm.common import NO_ID, Scratch, digest, lean, text_or_empty
 
 SEEDS = "text_key long, seed long"
 WINDOWS = "oid long, text_key long, h1 long, h2 long, at array<int>"
@@ -72,7 +72,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
     texts = scratch.save(base.groupBy("dig").agg(F.min("oid").alias("oid"), F.first("text").alias("text"))).withColumn("text_key", F.xxhash64("dig"))
 
     # Level 1: short windows that occur in two different texts; a text has each of its seeds once.
-    seeds_in = texts.select("text_key", "text").mapInArrow(seeds, SEEDS)
+    seeds_in = texts.select("text_key", "text").mapInArrow(lean(seeds), SEEDS)
     repeated = scratch.save(seeds_in.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
     marks = seeds_in.join(repeated.hint("merge"), "seed", "left_semi")
     marks = scratch.save(marks.groupBy("text_key").agg(F.collect_list("seed").alias("seeds")))
@@ -103,7 +103,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
 
     # Level 2: the full windows around them, each with the smallest document that it starts in.
     joined = texts.join(marks.hint("merge"), "text_key").select("oid", "text_key", "text", "seeds")
-    long = scratch.save(joined.mapInArrow(extended, WINDOWS))
+    long = scratch.save(joined.mapInArrow(lean(extended), WINDOWS))
     scratch.drop(marks)
     first = long.groupBy("h1", "h2").agg(F.min("oid").alias("first_oid"), F.max("oid").alias("last_oid")).where("first_oid < last_oid")
     first = scratch.save(first.select("h1", "h2", "first_oid"))
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
                     rows.append((dig, True, *rows[-1][2:]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["dig", "whole", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    judged = texts.join(hits.hint("merge"), ["oid", "text_key"], "left").select("dig", "text", "hits").mapInArrow(kept, RESULT)
+    judged = texts.join(hits.hint("merge"), ["oid", "text_key"], "left").select("dig", "text", "hits").mapInArrow(lean(kept), RESULT)
     firsts = texts.select("dig", F.col("oid").alias("first_oid"))
     rows = base.select("doc_id", "oid", "dig").join(firsts.hint("merge"), "dig").select("doc_id", "dig", (F.col("oid") > F.col("first_oid")).alias("whole"))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynxframe.llm.common import Scratch, digest, text_or_empty
+from lynxframe.llm.common import Scratch, digest, lean, text_or_empty
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
@@ -92,7 +92,7 @@ def count_texts(texts: DataFrame, tokenizer: str) -> DataFrame:
                 ["content", "tokenizer", "n_tokens"],
             )
 
-    return texts.select("content", "text").mapInArrow(encode, CACHE_SCHEMA)
+    return texts.select("content", "text").mapInArrow(lean(encode), CACHE_SCHEMA)
 
 
 def read_cache(spark: SparkSession, cache: str | None) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lynxframe.llm.common import lean
+
 RECORD = "record_type string, record_id string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, block binary"
 RESPONSES = f"page_id long, {RECORD}"
 DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, block binary"
@@ -111,7 +113,7 @@ def response_records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Da
                 out.append(serialize(fields, block))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, pa.binary())], ["page_id", "record"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(build, "page_id long, record binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(lean(build), "page_id long, record binary")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +129,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     kept = [(k, v) for k, v in fields.items() if k != "content-length"]
                     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([serialize(kept, block)], pa.binary())], ["page_id", "record"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page_id long, record binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lean(run), "page_id long, record binary")
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in DERIVED.split(", ")])
 
-    return records.select("page_id", "record").mapInArrow(derive, DERIVED)
+    return records.select("page_id", "record").mapInArrow(lean(derive), DERIVED)
 
 
 def to_warc(derived: DataFrame) -> DataFrame:
@@ -174,4 +176,4 @@ def to_warc(derived: DataFrame) -> DataFrame:
                 out.append(serialize(fields, r["block"] or b""))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("record_type"), pa.array(out, pa.binary())], ["page_id", "record_type", "record"])
 
-    return derived.mapInArrow(run, "page_id long, record_type string, record binary")
+    return derived.mapInArrow(lean(run), "page_id long, record_type string, record binary")
