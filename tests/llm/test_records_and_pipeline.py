@@ -7,10 +7,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lynxframe.llm import chat, lines, queries, warc
+from lynxframe.llm import chat, lines, queries, tokens, warc
 
 SAID = "<|im_end|><|im_start|>assistant ok"
 
@@ -45,19 +46,32 @@ def test_chat_reads_back(spark):
         assert x.turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in own).encode()).hexdigest()
         assert (x.loss_chars, x.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     # The stream has each shared turn once, without gaps, parents before children and subtrees together.
+    encoding = tokens.load_ranks(tokens.tokenizer_path(queries.RANKS))
+    formatted = {c: [chat.format_turn(encoding, *t[2:])[0] for t in sorted(own)] for c, own in by.items()}
+    prefixes = {tuple(t[2:] for t in own[: k + 1]): formatted[c][k] for c, own in by.items() for k in range(len(own))}
     stream = sorted(nodes.collect(), key=lambda x: x.start)
     assert [bytes(x.path) for x in stream] == sorted(bytes(x.path) for x in stream)
-    at, where = 0, {}
+    emitted, paths, at = [], [], {}
     for x in stream:
-        assert x.start == at
-        at += x.n_tokens
-        path = bytes(x.path)
-        where[path] = (x.start, x.start + x.n_tokens)
-        above = [path[: k * chat.KEY] for k in range(1, x.depth + 1)]
-        assert [tuple(a) for a in x.ancestors] == [where[a] for a in above]
-        assert x.position == sum(b - a for a, b in (where[p] for p in above))
-    prefixes = {tuple(t[2:] for t in own[: k + 1]) for own in by.values() for k in range(len(own))}
-    assert len(stream) == len(prefixes)
+        assert x.start == len(emitted)
+        emitted += np.frombuffer(bytes(x.ids), "<u2").tolist()
+        assert len(emitted) == x.start + x.n_tokens and x.position == sum(b - a for a, b in x.ancestors)
+        own = bytes(x.path)
+        above = [own[:k] for k in range(12, len(own), 12)]
+        # A subtree is one run: the paths still open are those above this one, each begun once.
+        while paths and paths[-1] not in above:
+            paths.pop()
+        assert paths == above and own not in at and [a for a, _ in x.ancestors] == [at[p] for p in above]
+        paths.append(own)
+        at[own] = x.start
+        # What the chain attends to, and the chain, are the turns of its conversation in order.
+        seen = [i for a, b in x.ancestors for i in emitted[a:b]] + emitted[x.start :]
+        conv = None if x.conv_id == chat.NO_ID else x.conv_id
+        assert seen == [i for ids in formatted[conv] for i in ids]
+    assert len(emitted) == sum(map(len, prefixes.values()))
+    for x in leaves.collect():
+        conv = None if x.conv_id == chat.NO_ID else x.conv_id
+        assert [i for s in x.spans for i in emitted[s["from"] : s["to"]]] == [i for ids in formatted[conv] for i in ids]
     empty = convs.limit(0)
     assert chat.read_back(*chat.prefix_tree(empty, queries.RANKS), queries.RANKS).count() == 0
 
