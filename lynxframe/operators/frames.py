@@ -38,3 +38,19 @@ def match(left: DataFrame, right: DataFrame, frame: str, least_iou: float) -> Da
     rows = pairs.groupBy(frame).agg(F.array_sort(F.collect_list(edge)).alias("all"))
     taken = F.aggregate("all", F.slice("all", 1, 0), lambda m, e: F.when(F.exists(m, lambda k: (k.det_id == e.det_id) | (k.gt_id == e.gt_id)), m).otherwise(F.concat(m, F.array(e))))
     return rows.select(frame, F.explode(taken).alias("k")).select(frame, "k.det_id", "k.gt_id", "k.iou")
+
+
+def associate(left: DataFrame, right: DataFrame, frame: str, least_iou: float) -> DataFrame:
+    """``match`` with the rows of either side that found no partner: frame, det_id, gt_id, iou, side."""
+    both = match(left, right, frame, least_iou)
+    a = left.select(frame, "det_id").join(both, [frame, "det_id"], "left")
+    b = right.select(frame, "gt_id").join(both.select(frame, "gt_id"), [frame, "gt_id"], "left_anti")
+    side = F.when(F.col("gt_id").isNull(), "left").otherwise("both")
+    return a.withColumn("side", side).unionByName(b.withColumn("side", F.lit("right")), allowMissingColumns=True)
+
+
+def uncovered(boxes: DataFrame, others: DataFrame, frame: str, test) -> DataFrame:
+    """Boxes for which no box of ``others`` in their frame passes ``test(box, other)``."""
+    b = others.select(F.col(frame).alias("_frame"), F.struct("x0", "y0", "x1", "y1").alias("_other"))
+    hit = (F.col(frame) == F.col("_frame")) & test(F.struct("x0", "y0", "x1", "y1"), F.col("_other"))
+    return boxes.join(b, hit, "left_anti")

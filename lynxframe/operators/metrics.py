@@ -56,3 +56,21 @@ def nearest_rank(rows: DataFrame, key: str, value: str, share: float) -> DataFra
     up = Window.partitionBy(key).orderBy(value)
     ranked = by.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
     return ranked.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(key).agg(F.min(value).alias("value"))
+
+
+def choose_threshold(rows: DataFrame, key: str, steps: int, near: float) -> DataFrame:
+    """Per key, the threshold k / ``steps`` with the fewest false positives a hundred rows among those whose hit rate is
+    within ``near`` of the best; of equal ones the highest. Keys without a positive give no row.
+
+    Rows are counted once per score band; thresholds are running sums over a key's bands.
+    """
+    at = F.when(F.col("t") < steps, F.col("t")).otherwise(steps - 1)
+    bands = rows.groupBy(key, F.floor(F.col("score") * steps).alias("t")).agg(F.sum("label").alias("pos"), F.count("*").alias("n")).withColumn("t", at)
+    every = bands.groupBy(key).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n")).where("all_pos > 0").withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
+    down = Window.partitionBy(key).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = every.join(bands.groupBy(key, "t").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")), [key, "t"], "left").na.fill(0, ["pos", "n"])
+    hit, n = F.sum("pos").over(down), F.sum("n").over(down)
+    scored = sums.select(key, "t", (hit / F.col("all_pos")).alias("rate"), (100.0 * (n - hit) / F.col("all_n")).alias("fp"))
+    close = scored.withColumn("best", F.max("rate").over(Window.partitionBy(key))).where(F.col("best") - F.col("rate") <= near)
+    first = F.row_number().over(Window.partitionBy(key).orderBy("fp", F.desc("t")))
+    return close.withColumn("k", first).where("k = 1").select(key, (F.col("t") / steps).alias("threshold"), F.round("rate", 6).alias("hit_rate"), F.round("fp", 6).alias("fp_per_100"))

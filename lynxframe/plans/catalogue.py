@@ -108,12 +108,6 @@ def frame_nms_classwise(spark, sf_dir):
     return frames.suppress(load(spark, sf_dir, "detections"), "frame_id", 0.3, same_class=True).select("frame_id", "det_id")
 
 
-@query()
-def frame_match_truth(spark, sf_dir):
-    out = frames.match(load(spark, sf_dir, "detections"), load(spark, sf_dir, "truth_boxes"), "frame_id", 0.3)
-    return out.select("frame_id", "det_id", "gt_id", F.round("iou", 6).alias("iou"))
-
-
 @query("""AS_ f AS (SELECT start_s, end_s, camera, max(end_s) OVER (PARTITION BY camera ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM recordings)
 SELECT camera, round(sum(greatest(0, end_s - greatest(start_s, coalesce(upto, start_s)))), 6) AS covered_s, max(end_s) - min(start_s) AS extent_s, count(*) FILTER (WHERE start_s > upto) AS gaps, max(greatest(start_s - coalesce(upto, start_s), 0)) AS max_gap_s FROM f GROUP BY camera""", "recordings")
 def interval_coverage_gaps(spark, sf_dir):

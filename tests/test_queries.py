@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lynxframe.plans import catalogue
+from lynxframe.plans import boxes, catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +45,6 @@ def test_runs(spark, name):
 
 
 def test_matches_are_one_to_one(spark):
-    out = catalogue.frame_match_truth(spark, SF)
+    out = boxes.frame_match_truth(spark, SF)
     n = out.count()
     assert n == out.select("frame_id", "det_id").distinct().count() == out.select("frame_id", "gt_id").distinct().count()
