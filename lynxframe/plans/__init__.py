@@ -1,3 +1,3 @@
 """The catalogue of queries; importing this package registers all of them."""
 
-from lynxframe.plans import boxes, catalogue, evidence, tables  # noqa: F401
+from lynxframe.plans import boxes, catalogue, evidence, reviews, tables  # noqa: F401

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import metrics, tracking
+from lynxframe.operators import graph, metrics, tracking
 from lynxframe.sources import logs, versions
 
 BOXES = "stream_id string, ts_s double, frame_no long, x0 double, y0 double, x1 double, y1 double"
@@ -108,3 +108,14 @@ def test_threshold_ties(spark):
     rows = [("a", 0.95, 1), ("a", 1.0, 1), ("a", 0.2, 0), ("b", 0.5, 0), ("c", 0.5, 1), ("c", 0.5, 0)]
     out = metrics.choose_threshold(spark.createDataFrame(rows, "g string, score double, label long"), "g", 10, 0.02).collect()
     assert sorted(map(tuple, out)) == [("a", 0.9, 1.0, 0.0), ("c", 0.5, 1.0, 50.0)]
+
+
+def test_components(spark):
+    r = random.Random(2)
+    path = list(range(100, 160))
+    r.shuffle(path)
+    links = [*zip(path, path[1:], strict=False), (1, 1), (2, 3), (3, 2), (9, 4)]
+    nodes = spark.createDataFrame([(n,) for n in [*path, 1, 2, 3, 4, 9, 50]], "id long")
+    out = dict(map(tuple, graph.components(nodes, spark.createDataFrame(links, "a long, b long")).collect()))
+    assert out == {**dict.fromkeys(path, 100), 1: 1, 2: 2, 3: 2, 4: 4, 9: 4, 50: 50}
+    assert graph.components(nodes.limit(0), spark.createDataFrame([], "a long, b long")).count() == 0
