@@ -215,6 +215,32 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def five_word_sets(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies(spark, docs, rows, empty):
+    """Groups by similarity against all pairs; a large group of near copies is one."""
+    sets = {r[0]: five_word_sets(r[1]) for r in rows if r[0] is not None}
+
+    def like(least):
+        return components_by_hand(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    loose, close = like(0.8), like(0.85)
+    # Nothing beyond the true groups; all of what is not right at the limit, where candidates are found by chance.
+    assert all(loose[k] == loose[c] for k, c in found.items())
+    assert all(found.get(k, k) == found.get(c, c) for k, c in close.items())
+    assert sum(found.get(k, k) == c for k, c in loose.items()) >= 0.98 * len(loose)
+    assert simhash.near_copies(empty).count() == 0
+    r = random.Random(3)
+    base = [f"w{r.randrange(900)}" for _ in range(150)]
+    family = [(k, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :]), None) for k, at in enumerate(r.choices(range(150), k=200), 7)]
+    found = simhash.near_copies(spark.createDataFrame([*family, (1, "some other text", None)], "doc_id long, text string, prints string")).collect()
+    assert {x.doc_id: x.component_id for x in found} == {k: 7 for k, _, _ in family}
+
+
 def test_anchors_lose_no_link(spark):
     r = random.Random(5)
     values = {r.getrandbits(64) for _ in range(40)}
