@@ -183,17 +183,43 @@ def _similar(pairs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int,
     return scratch.save(both.where((all_ == 0) | (common / F.greatest(all_ - common, F.lit(1)) >= least)).select("a", "b").distinct())
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 12, beyond: int = 1, most_bits: int = 10) -> DataFrame:
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key per band from ``rows`` minima of the set's hashes each: two sets share a band's key with the chance J ** rows."""
+    least = np.full(bands * rows, np.iinfo(np.uint64).max if len(shingles) else 0, np.uint64)
+    with np.errstate(over="ignore"):
+        factors = W.mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * W.BASES[0]) | np.uint64(1)
+        mixed = W.mixed(shingles * W.BASES[1])
+        for k in range(0, len(mixed), 1024):
+            least = np.minimum(least, (factors[:, None] * mixed[k : k + 1024]).min(axis=1))
+        keys = np.arange(1, bands + 1, dtype=np.uint64)
+        for column in least.reshape(bands, rows).T:
+            keys = W.mixed((keys ^ column) * W.BASES[1])
+    return keys
+
+
+def across(members: DataFrame) -> DataFrame:
+    """``key``, ``id``, ``root`` -> ``a`` < ``b``: the pairs at one key whose roots differ.
+
+    A key's largest component is never paired with itself, only with the others there.
+    """
+    counts = members.groupBy("key", "root").count()
+    mains = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    placed = members.join(mains.hint("merge"), "key").select("key", "id", "root", (F.col("root") == F.col("main")).alias("inside"))
+    others = placed.where("not inside").select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("root").alias("other_root"))
+    pairs = placed.hint("merge").join(others, F.expr("key = k and root <> other_root and (inside or id < other)"))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 12, most_bits: int = 10, bands: int = 32, rows: int = 5) -> DataFrame:
     """Groups of documents that are like one another: ``shingle``-word sets, lower-cased in A-Z, of similarity ``least``.
 
-    At that similarity the fingerprints of word shingles differ in about ten bits of 64, too many to cover. So candidates
-    come from the fingerprints of the texts' words, which differ in about three, under ``views`` independent hashes: a
-    pair is a candidate if under one of them the anchors of one text within the covering radius plus ``beyond`` hold the
-    other's own anchor and at most ``most_bits`` bits differ. The exact similarity decides. First each text is compared
-    with the smallest document at each of its own anchors, which folds large groups with a pair a text; then what has
-    no smaller partner yet is compared at all anchors in reach. Copies of a text are its first document's. No pair below
-    ``least`` is linked. Candidates are found by chance: nearly all when words here and there were changed, about half of
-    the pairs right at 0.8 that differ by one long added run; more ``views`` find more.
+    Candidates share a key; the exact similarity decides. A text's keys are its own anchors under ``views`` SimHashes of
+    its words (there at most ``most_bits`` bits differ) and ``bands`` keys of ``rows`` minima of its shingles' hashes. First
+    each text is compared with the smallest document at each of its keys, which folds large groups with few pairs a
+    text. Then every two texts of one band key that are not in one group yet are compared, folded ones too, so that
+    groups linked by any of their members become one. A pair of similarity s shares no band with the chance
+    (1 - s ** rows) ** bands, whatever the kind of edit: 3e-6 at 0.8. Copies of a text are its first document's. No pair
+    below ``least`` is linked.
 
     Returns doc_id, component_id (the smallest doc_id reachable by links, itself included) of the documents that have a
     link. Rows of one doc_id are one document; rows without a doc_id have no links; null, empty and blank texts are like
@@ -206,39 +232,34 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: in
         for batch in batches:
             flat, bounds = W.split(batch.column("text"))
             found = W.hashes(flat, make=lowered)
-            fps = [bag_prints(found[a:b], views).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dig"), pa.array(fps, pa.list_(pa.int64()))], ["id", "dig", "prints"])
-
-    def by_view(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values = batch.column("prints").flatten().to_numpy()
-        return np.repeat(batch.column("id").to_numpy(), views), values, np.tile(np.arange(views, dtype=np.int64) << 2 * BITS, batch.num_rows)
+            own = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            fps = [bag_prints(x, views).view(np.int64) for x in own]
+            keys = [band_keys(np.unique(W.windows(x, min(shingle, len(x)))) if len(x) else x, bands, rows).view(np.int64) for x in own]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (fps, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dig"), *lists], ["id", "dig", "prints", "keys"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values, view = by_view(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(own_anchor(values.view(np.uint64)) | view), pa.array(ids), pa.array(values)], ["anchor", "id", "fp"])
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, values, view = by_view(batch)
-            at, anchor = near_anchors(values.view(np.uint64), beyond)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor | view[at]), pa.array(ids[at]), pa.array(values[at])], ["anchor", "other", "other_fp"])
-
-    placed = "anchor long, id long, fp long"
-    printed = scratch.save(texts.withColumn("dig", digest(F.col("text"))).mapInArrow(lean(compute), "id long, dig binary, prints array<long>"))
-    firsts = scratch.save(printed.groupBy("dig").agg(F.min("id").alias("first"), F.first("prints").alias("prints")))
-    copies = printed.join(firsts.select("dig", "first").hint("merge"), "dig").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+            values = batch.column("prints").flatten().to_numpy()
+            view = np.tile(np.arange(views, dtype=np.int64) << 2 * BITS, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(own_anchor(values.view(np.uint64)) | view), pa.array(np.repeat(batch.column("id").to_numpy(), views)), pa.array(values)], ["anchor", "id", "fp"])
+
+    printed = scratch.save(texts.withColumn("dig", digest(F.col("text"))).mapInArrow(lean(compute), "id long, dig binary, prints array<long>, keys array<long>"))
+    firsts = scratch.save(printed.groupBy("dig").agg(F.min("id").alias("first"), F.first("prints").alias("prints"), F.first("keys").alias("keys")))
+    copies = scratch.save(printed.join(firsts.select("dig", "first").hint("merge"), "dig").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    scratch.drop(printed)
     firsts = firsts.withColumnRenamed("first", "id")
 
-    owners = scratch.save(firsts.select("id", "prints").mapInArrow(lean(place), placed))
+    owners = scratch.save(firsts.select("id", "prints").mapInArrow(lean(place), "anchor long, id long, fp long"))
     heads = owners.groupBy("anchor").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    near = owners.join(heads.hint("merge"), "anchor").where(f"head.id < id and bit_count(head.fp ^ fp) <= {most_bits}")
-    stars = _similar(near.select(F.col("head.id").alias("a"), F.col("id").alias("b")), texts, scratch, shingle, least)
-
-    gone = stars.select(F.col("b").alias("id")).distinct()
-    rest = scratch.save(firsts.select("id", "prints").join(gone.hint("merge"), "id", "left_anti"))
-    visits = rest.mapInArrow(lean(replicate, 500), "anchor long, other long, other_fp long")
-    met = rest.mapInArrow(lean(place), placed).hint("merge").join(visits, "anchor").where(f"id <> other and bit_count(fp ^ other_fp) <= {most_bits}")
-    more = _similar(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), texts, scratch, shingle, least)
+    near = owners.join(heads.hint("merge"), "anchor").where(f"head.id < id and bit_count(head.fp ^ fp) <= {most_bits}").select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+    keyed = firsts.select("id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    shared = scratch.save(keyed.join(shared.hint("merge"), "key"))
+    stars = _similar(near.unionByName(shared.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))), texts, scratch, shingle, least)
+
+    roots = connected_components(stars, scratch).withColumnRenamed("node", "id")
+    members = scratch.save(shared.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    more = _similar(across(members), texts, scratch, shingle, least)
     roots = connected_components(copies.unionByName(stars).unionByName(more), scratch)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

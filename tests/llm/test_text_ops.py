@@ -241,6 +241,24 @@ def test_near_copies(spark, docs, rows, empty):
     assert {x.doc_id: x.component_id for x in found} == {k: 7 for k, _, _ in family}
 
 
+def test_near_copies_hang_together_through_folded_texts(spark):
+    """Copies edited step by step: neighbours are like each other, the ends are not, and any of them may be folded first."""
+    r = random.Random(8)
+    rows = []
+    for family in range(12):
+        words = [f"f{family}w{r.randrange(5000)}" for _ in range(200)]
+        ids = r.sample(range(100 * family, 100 * family + 100), 9)
+        for k, doc_id in enumerate(ids):
+            rows.append((doc_id, " ".join(words)))
+            at = 22 * k
+            words[at : at + 12] = [f"f{family}x{k}y{j}" for j in range(12)]
+    sets = {d: five_word_sets(t) for d, t in rows}
+    groups = components_by_hand(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(groups.values())) == 12
+    found = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == groups
+
+
 def test_anchors_lose_no_link(spark):
     r = random.Random(5)
     values = {r.getrandbits(64) for _ in range(40)}
