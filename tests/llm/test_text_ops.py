@@ -7,7 +7,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -15,6 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lynxframe.llm import common, decontamination, lines, packing, quality, sharding, simhash, substrings, tokens
+from lynxframe.llm import words as words_
 from lynxframe.llm.queries import RANKS, TOKENIZER
 
 DOCS = "doc_id long, text string, lang string, source string, piece int, size long, n_words long"
@@ -259,6 +262,34 @@ def test_near_copies_hang_together_through_folded_texts(spark):
     assert found == groups
 
 
+@pytest.mark.parametrize("kind", ["added", "removed", "edits"])
+@pytest.mark.parametrize("similar", [0.8, 0.83, 0.87])
+def test_near_copies_share_a_key(kind, similar):
+    """Candidates do not depend on the kind of edit: 60 pairs each, of 200 words."""
+    r = random.Random(11)
+
+    def keys(words):
+        found = words_.hashes(pa.array(words), make=simhash.lowered)
+        return simhash.band_keys(np.unique(words_.windows(found, 5)), 32, 5)
+
+    for _ in range(60):
+        a = [f"w{r.randrange(5000)}" for _ in range(200)]
+        if kind == "added":
+            at = r.randrange(200)
+            b = a[:at] + [f"n{r.randrange(5000)}" for _ in range(int(192 / similar - 200))] + a[at:]
+        elif kind == "removed":
+            n = int(192 - 200 * similar)
+            at = r.randrange(200 - n)
+            b = a[:at] + a[at + n :]
+        else:
+            b = list(a)
+            for at in r.sample(range(200), max(1, int(196 * (1 - similar) / (1 + similar) / 5))):
+                b[at] = "changed"
+        one, two = five_word_sets(" ".join(a)), five_word_sets(" ".join(b))
+        assert len(one & two) >= 0.8 * len(one | two)
+        assert (keys(a) == keys(b)).any()
+
+
 def test_anchors_lose_no_link(spark):
     r = random.Random(5)
     values = {r.getrandbits(64) for _ in range(40)}
