@@ -71,10 +71,25 @@ def _blank_free(line: str) -> str:
     return " ".join(line.split())
 
 
-LINES = "oid long, tie long, lines array<long>, words array<int>"
+LINES = "oid long, tie long, lines array<long>, words array<int>, runs array<long>"
 MARKS = "line long, oid long, tie long"
 
 
+def run_keys(keys: np.ndarray, words: list[int], least_words: int) -> list[int]:
+    """The shortest runs of adjacent lines that reach ``least_words``, each from a line with words; runs of one line are left out."""
+    out, end, total = set(), 0, 0
+    for at, n in enumerate(words):
+        while end < len(words) and total < least_words:
+            total += words[end]
+            end += 1
+        if total < least_words:
+            break
+        if 0 < n < least_words:
+            out.add(xxhash.xxh64_intdigest(keys[at:end].tobytes()) - (1 << 63))
+        total -= n
+    return sorted(out)
+
+
 def with_order(docs: DataFrame) -> DataFrame:
     """doc_id, text and what orders documents: oid (null ids last), then tie (a hash of the text)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -89,13 +104,15 @@ def removed_lines(base: DataFrame, scratch: Scratch, rare: int, least_words: int
             rows = [[_blank_free(x) for x in t.split("\n")] for t in batch.column("text").to_pylist()]
             keys = [np.fromiter((xxhash.xxh64_intdigest(x) for x in r), np.uint64, len(r)).view(np.int64) for r in rows]
             words = [[x.count(" ") + 1 if x else 0 for x in r] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("oid"), batch.column("tie"), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["oid", "tie", "lines", "words"])
+            runs = [run_keys(k, w, least_words) for k, w in zip(keys, words, strict=True)]
+            lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("oid"), batch.column("tie"), *lists], ["oid", "tie", "lines", "words", "runs"])
 
     def order(prefix: str) -> Column:
         return F.struct(F.col(f"{prefix}oid"), F.col(f"{prefix}tie"))
 
     # Equal rows are one document; equal texts under several ids are several.
-    docs = scratch.save(base.select("oid", "tie", "text").mapInArrow(lean(lines), LINES).groupBy("oid", "tie").agg(F.first("lines").alias("lines"), F.first("words").alias("words")))
+    docs = scratch.save(base.select("oid", "tie", "text").mapInArrow(lean(lines), LINES).groupBy("oid", "tie").agg(F.first("lines").alias("lines"), F.first("words").alias("words"), F.first("runs").alias("runs")))
     # Lines with words, each once a document.
     zipped = docs.select("oid", "tie", F.explode(F.array_distinct(F.expr("transform(filter(arrays_zip(lines, words), x -> x.words > 0), x -> x.lines)"))).alias("line"))
     marks = scratch.save(zipped)
@@ -107,7 +124,11 @@ def removed_lines(base: DataFrame, scratch: Scratch, rare: int, least_words: int
     paired = groups.select(F.explode(F.expr("flatten(transform(d, (x, i) -> transform(slice(d, 1, i), y -> struct(y as a, x as b))))")).alias("p")).select("p.*")
     # Other lines: every later document with the first that has the line, a pair a document.
     many = marks.join(stats.where(F.col("n") > rare).select("line", "first").hint("merge"), "line").where(order("") > F.col("first")).select(F.col("first").alias("a"), order("").alias("b"))
-    pairs = paired.unionByName(many).select(F.col("a.oid").alias("aoid"), F.col("a.tie").alias("atie"), F.col("b.oid").alias("boid"), F.col("b.tie").alias("btie")).distinct()
+    # Runs of lines: every later document with the first that has the run, so each block of frequent lines has a partner.
+    runs = docs.select("oid", "tie", F.explode("runs").alias("run"))
+    begun = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(order("")).alias("first")).where("n > 1").select("run", "first")
+    along = runs.join(begun.hint("merge"), "run").where(order("") > F.col("first")).select(F.col("first").alias("a"), order("").alias("b"))
+    pairs = paired.unionByName(many).unionByName(along).select(F.col("a.oid").alias("aoid"), F.col("a.tie").alias("atie"), F.col("b.oid").alias("boid"), F.col("b.tie").alias("btie")).distinct()
     pairs = scratch.save(pairs)
     scratch.drop(marks, stats)
 
@@ -131,7 +152,9 @@ def line_dedup(docs: DataFrame, rare: int = 8, least_words: int = 10) -> DataFra
     Lines are compared with white space runs taken as one space. Documents that share a rare line (one of at most
     ``rare`` documents) are aligned pair by pair with patience diff; aligned lines that follow on in both are a block, and
     a block of ``least_words`` words or more is deleted from the document with the larger doc_id. A line of more documents
-    pairs each of them with the first that has it: as many pairs as rows, none left out. All is judged on the input.
+    pairs each of them with the first that has it, and each shortest run of adjacent lines that reaches ``least_words``
+    pairs its later holders with its first one: as many pairs as rows. So every block of frequent lines is aligned with a
+    document that has it; the alignment may still pass it by, as where lines recur. All is judged on the input.
 
     Returns the input's columns, with ``text`` without the deleted lines, and n_lines, n_removed (long) after them.
     Null and empty texts stay as they are with 1 empty line; repeated rows are one document and fare alike; rows of one

@@ -369,6 +369,16 @@ def test_line_dedup(docs, rows, empty):
     assert lines.line_dedup(docs).count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [8, 9, 30])
+def test_blocks_of_frequent_lines_go(spark, n):
+    """A block of lines that each are frequent, and whose first holders have them apart, goes from all but its first holder."""
+    block = ["a line of five words", "", "another of just five words"]
+    rows = [(0, f"{block[0]}\nown zero"), (1, f"{block[2]}\nown one\n{block[0]}")]
+    rows += [(k, "\n".join([f"own {k}", *block, f"own too {k}"])) for k in range(2, 2 + n)]
+    out = {x.doc_id: x.n_removed for x in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 0, 2: 0} | {k: 3 for k in range(3, 2 + n)}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_patience_aligns_in_order(a, b):
