@@ -137,6 +137,15 @@ class Items:
                 starts[n].append(p)
         for n, seen in starts.items():
             if n > n_words:
+                # Too short for a window: the whole document is one, if it can have enough of the item's shingles.
+                if len(shingles) >= least * (n - width + 1):
+                    members, index = self.groups[n]
+                    prints = to_prints(bits(shingles).sum(axis=0, dtype=np.int64), len(shingles))
+                    for _, k, far in zip(*[x.tolist() for x in index.search(prints[None])], strict=True):
+                        item = int(members[k])
+                        sim = similarity(Counter(shingles.tolist()), self.counts[item])
+                        if sim >= least:
+                            best[item] = (sim, 0, far)
                 continue
             reach = n - width  # a window may begin so far before a shingle that it holds
             marks = np.zeros(n_words - n + 2, np.int32)
@@ -178,11 +187,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
     Words are compared without case and punctuation. Every window of an item's number of words that shares at least one
     ``shingle``-word shingle with an item of that size (any other has similarity 0) gets a SimHash; a Hamming index of
     ``blocks`` blocks finds all item fingerprints within ``radius``; the exact similarity, weighted Jaccard of the
-    shingles with their counts, verifies each. Shorter items have one shingle, the whole item. The radius is about 4.5
+    shingles with their counts, verifies each. A document of fewer words than an item is one window. Shorter items have one shingle, the whole item. The radius is about 4.5
     standard deviations above the mean distance at similarity 0.8. The benchmark goes to the executors in blocks of at
     most ``block_items`` items and about ``block_chars`` characters, each block against all documents.
 
-    Returns a row per document and item found: doc_id, item_id, start (plain word), n_words, similarity, hamming, for the
+    Returns a row per document and item found: doc_id, item_id, start (plain word), n_words (of the item), similarity, hamming, for the
     item's best window there. Null and empty texts on either side match nothing; repeated rows, and a null doc_id, are
     rows like any other; null item ids are left out; empty tables give no rows; other columns are not read.
     """

@@ -425,3 +425,27 @@ def test_decontamination(spark, empty):
     assert kept == {d for d, _ in rows} - {d for d, _ in expected}
     assert decontamination.find_contamination(empty, bench).count() == 0
     assert decontamination.find_contamination(docs_, bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    r = random.Random(10)
+    items = [(i, " ".join(f"i{i}v{r.randrange(900)}" for _ in range(n))) for i, n in enumerate([5, 6, 20, 38, 60, 60, 90])]
+    rows = []
+    for i, (_, text) in enumerate(items):
+        words = text.split()
+        for k, own in enumerate((words[1:], words[:-1], words[2:-2], words[: len(words) // 2] + words[len(words) // 2 + 1 :], words[: -len(words) // 5], words[1:-1] + ["own"])):
+            rows.append((10 * i + k, " ".join(own)))
+    expected = {}
+    for doc_id, text in rows:
+        words = text.split()
+        for item, t in items:
+            own = t.split()
+            n, k = len(own), min(5, len(own))
+            want = Counter(tuple(own[j : j + k]) for j in range(n - k + 1))
+            size = min(n, len(words))
+            best = max(decontamination.similarity(Counter(tuple(words[s + j : s + j + k]) for j in range(size - k + 1)), want) for s in range(len(words) - size + 1))
+            if best >= 0.8:
+                expected[doc_id, item] = round(best, 9)
+    docs_, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontamination.find_contamination(docs_, bench).collect()}
+    assert out == expected and len(out) > 15
