@@ -21,11 +21,16 @@ RESPONSES = f"page_id long, {RECORD}"
 DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, payload_digest string, block_digest string, content_length long, block binary"
 
 TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/<>]*)[^<>]*>|<[!?][^<>]*>")
-#: Elements whose content is no text, and elements that end a line.
-SILENT = {"script", "style", "noscript", "template", "head"}
+#: Elements whose content is no text, elements that may stand in a head, and elements that end a line.
+SILENT = {"script", "style", "noscript", "template"}
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "title", *SILENT}
 BREAKS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul"}
 
 
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in (*SILENT, "head", "title")}
+BODY = re.compile(r"<body(?=[\s/>])", re.I)
+
+
 def sha1(data: bytes) -> str:
     """A digest as WARC headers have it."""
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -37,24 +42,37 @@ def record_id(*parts: str) -> str:
 
 
 def plain_text(source: str) -> str:
-    """The text of a page: no comments, scripts, styles or head; block elements end lines; one pass over the source."""
-    lower, out, at, end = None, [], 0, len(source)
+    """The text of a page: no comments, scripts, styles or head; block elements end lines; one pass over the source.
+
+    A head ends at its end tag. Without one before the body, it ends where HTML ends it: at text or at the first element
+    that cannot stand in a head.
+    """
+    out, at, end, head = [], 0, len(source), False
     while at < end:
         m = TAG.search(source, at)
+        piece = source[at : m.start()] if m else source[at:]
+        head = head and not piece.strip()
+        if not head:
+            out.append(piece)
         if not m:
-            out.append(source[at:])
             break
-        out.append(source[at : m.start()])
         at = m.end()
         if m[0] == "<!--":
             close = source.find("-->", at)
             at = end if close < 0 else close + 3
         elif m[2]:
             name = m[2].lower()
-            if name in SILENT and not m[1]:
-                lower = source.lower() if lower is None or len(lower) != end else lower
-                close = lower.find(f"</{name}", at) if len(lower) == end else source.find(f"</{name}", at)
-                at = end if close < 0 else close
+            if name == "head" and not m[1]:
+                close = ENDS[name].search(source, at)
+                body = BODY.search(source, at, close.start()) if close else None
+                head = not close or bool(body)
+                at = at if head else close.start()
+                continue
+            if head and not m[1]:
+                head = name in IN_HEAD
+            if not m[1] and (name in SILENT or (head and name == "title")):
+                close = ENDS[name].search(source, at)
+                at = close.start() if close else end
             elif name in BREAKS:
                 out.append("\n")
     lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))

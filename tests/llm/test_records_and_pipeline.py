@@ -115,6 +115,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(spark.createDataFrame([(1, None), (2, bytearray(b"no record"))], "page_id long, record binary")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<html><head><title>T</title><body><p>one</p>", "one"),
+        ("<head><title>T</title><meta x><p>one<header>two</header>three", "one\ntwo\nthree"),
+        ("<head><title>T</title><script>'<p>'</script>one <b>two", "one two"),
+        ("<head><title>T</title><body>one<pre>no </head> tag</pre>", "one\nno tag"),
+        ("<head><style>a</styles>b</style></head x><p>one", "one"),
+        ("<HEAD><title>T</title>\n</HEAD ><header>one</header>", "one"),
+    ],
+)
+def test_head_ends_without_its_end_tag(source, text):
+    assert warc.plain_text(source) == text
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage over the small table does what its operator says, and the documents' columns stay."""
     sf = "/root/testdata/sf0.001"
