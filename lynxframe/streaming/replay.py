@@ -30,9 +30,18 @@ def once_per_key(rows: DataFrame, ts: str, keys: list[str], late: str) -> DataFr
 
 
 def replay(spark: SparkSession, folder: str, files: str, schema, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a streaming operator over the files of ``folder`` whose names match ``files`` until they are used up, and return what it appended."""
+    """Run a streaming operator over a table until it is used up, and return what it appended.
+
+    The table: the files of ``folder`` whose names match ``files``, or all part files below it if ``files`` is a folder there.
+    """
     root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/") + f"/lynxframe/stream-{uuid.uuid4().hex}"
-    out = operator(spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{files}")
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at) or []
+    if any(x.isDirectory() for x in found):
+        source = spark.readStream.schema(schema).parquet(f"{folder}/{files}")
+    else:
+        source = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+    out = operator(source)
     sink = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append")
     sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/rows")

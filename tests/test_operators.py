@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
 from lynxframe.operators import graph, metrics, tracking
+from lynxframe.plans import catalogue
 from lynxframe.sources import logs, versions
 
 BOXES = "stream_id string, ts_s double, frame_no long, x0 double, y0 double, x1 double, y1 double"
@@ -119,3 +120,12 @@ def test_components(spark):
     out = dict(map(tuple, graph.components(nodes, spark.createDataFrame(links, "a long, b long")).collect()))
     assert out == {**dict.fromkeys(path, 100), 1: 1, 2: 2, 3: 2, 4: 4, 9: 4, 50: 50}
     assert graph.components(nodes.limit(0), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_tumbling_metrics", "stream_user_sessions", "stream_first_per_hour"):
+        query = catalogue.QUERIES[name]
+        one, parts = (sorted(map(tuple, query(spark, at).collect())) for at in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert one and parts == one
