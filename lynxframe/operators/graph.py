@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (local tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from lynxframe.shared import Scratch
 
 
 def near_pairs(points: DataFrame, keys: list[str], radius: int) -> DataFrame:
@@ -25,32 +22,35 @@ def near_pairs(points: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return asked.join(own, [*keys, "gx", "gy"]).where((F.col("a") > F.col("id")) & close).select("a", F.col("id").alias("b"))
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``id``, ``component`` (the smallest id reachable) for every node, by links ``a``, ``b``.
+def connected(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``a``, ``b`` (longs) -> ``node``, ``root``: the smallest node that each linked node reaches.
 
-    Each round a node takes the smallest label around it and then that label's own label, so labels run along a path in
-    about the logarithm of its length. Only minima are grouped. Rounds end when no label changes; each is written to the
-    shared folder, so a lost executor repeats one round at most.
+    Alternating star contractions: each round hangs every node's larger neighbours, then its smaller ones, on the
+    smallest node of its neighbourhood, until nothing changes; the number of rounds grows with the logarithm of the
+    longest path. Only minima are grouped, so a node with very many links never gathers them in one task. Rounds are
+    written to the shared folder, so a lost executor repeats one at most. Links of a node with itself are left out.
     """
-    spark = nodes.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/") + f"/lynxframe/graph-{uuid.uuid4().hex}"
+    scratch = scratch or Scratch(links.sparkSession, "graph")
+    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Large star: a node's larger neighbours go to its least.
+        large = scratch.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # Small star: a node and its smaller neighbours go to its least.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.withColumnRenamed("m", "v")).distinct()
+        small = scratch.save(small)
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        scratch.drop(edges, large)
+        edges = small
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = now
 
-    def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    pairs = links.where("a <> b").select("a", "b")
-    both = save(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels, n = save(nodes.select("id", F.col("id").alias("component")), "0"), 0
-    while True:
-        n += 1
-        around = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("least"))
-        lower = labels.join(around, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", "least").alias("least"))
-        # The nodes that a component's name stands for learn of each other's better names.
-        hooked = lower.groupBy("component").agg(F.min("least").alias("target"))
-        jumped = hooked.alias("h").join(hooked.select(F.col("component").alias("next"), F.col("target").alias("after")), F.col("target") == F.col("next"), "left")
-        names = jumped.select(F.col("component").alias("name"), F.least("target", "after").alias("best"))
-        after = save(lower.join(names, F.col("component") == F.col("name")).select("id", F.col("best").alias("component"), (F.col("best") != F.col("component")).alias("moved")), str(n))
-        labels = after.select("id", "component")
-        if after.where("moved").isEmpty():
-            return labels
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``id``, ``component`` (the smallest id reachable by links ``a``, ``b``) for every node; repeated ids keep their rows."""
+    roots = connected(links).withColumnRenamed("node", "id")
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))

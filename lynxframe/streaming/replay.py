@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (local tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from lynxframe.shared import Scratch
 
 
 def tumbling(rows: DataFrame, ts: str, keys: list[str], length: str, late: str, **aggregates: Column) -> DataFrame:
@@ -34,7 +32,7 @@ def replay(spark: SparkSession, folder: str, files: str, schema, operator: Calla
 
     The table: the files of ``folder`` whose names match ``files``, or all part files below it if ``files`` is a folder there.
     """
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/") + f"/lynxframe/stream-{uuid.uuid4().hex}"
+    root = Scratch(spark, "stream").root
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{files}")
     found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at) or []
     if any(x.isDirectory() for x in found):
