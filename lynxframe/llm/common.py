@@ -3,59 +3,18 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (local tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from lynxframe.shared import Scratch, hot_join, hot_keys, salted_join  # noqa: F401
 
 #: Stands for a null document id: such a document comes after all others.
 NO_ID = 9223372036854775807
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-class Scratch:
-    """Written tables that cut lineage: what an executor loses is read again, not computed again."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/lynxframe/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def path(self) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count}"
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` to the shared folder and return the table read back."""
-        path, schema = self.path(), df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        self.release()
-        out = self.spark.read.schema(schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables of ``save`` that nothing reads any more."""
-        jvm = self.spark._jvm
-        for table in tables:
-            at = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-    def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of finished steps; it acts when the driver's heap is collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions so that each holds about ``per_task`` rows, never fewer than the shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
