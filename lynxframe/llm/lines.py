@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lynxframe.llm.common import NO_ID, Scratch, lean, text_or_empty
+from lynxframe.llm.common import NO_ID, Scratch, hot_join, hot_keys, lean, salted_join, text_or_empty
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -54,17 +54,42 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], words_b: list[int], least_words: int) -> list[int]:
-    """Places in b of the aligned blocks that have ``least_words`` words or more. A block: aligned lines that follow on in both."""
-    out: list[int] = []
+def runs(lines: list[int], words: list[int], least_words: int) -> list[tuple[int, int, int]]:
+    """(key, from, to) of the shortest runs of adjacent lines that reach ``least_words``, from each line with words on and
+    up to each line with words. Every block of as many words is made up of such runs, but for blank lines at its ends."""
+    upto = [0, *accumulate(words)]
+    found = set()
+    for at, n in enumerate(words):
+        if n:
+            end = bisect_left(upto, upto[at] + least_words)
+            if end < len(upto):
+                found.add((at, end))
+            if upto[at + 1] >= least_words:
+                found.add((bisect_right(upto, upto[at + 1] - least_words) - 1, at + 1))
+    keys = np.array(lines, np.int64)
+    return [(xxhash.xxh64_intdigest(keys[i:j].tobytes()) - (1 << 63), i, j) for i, j in sorted(found)]
+
+
+def common_blocks(a: list[int], runs_of_a: set[int], b: list[int], words_b: list[int], least_words: int) -> list[int]:
+    """Places of the lines of b in blocks that a has too. A block: lines that follow on in both, ``least_words`` words or
+    more, from a line with words to a line with words.
+
+    The blocks are those of the patience alignment; where its anchors pass a common run by, as when blocks change places
+    or lines recur, the two are aligned at that run as well.
+    """
+    gone: set[int] = set()
     block: list[tuple[int, int]] = []
     for pair in [*patience(a, b), (-9, -9)]:
         if block and (pair[0] != block[-1][0] + 1 or pair[1] != block[-1][1] + 1):
-            if sum(words_b[y] for _, y in block) >= least_words:
-                out += [y for _, y in block]
+            worded = [y for _, y in block if words_b[y]]
+            if sum(words_b[y] for y in worded) >= least_words:
+                gone.update(range(worded[0], worded[-1] + 1))
             block = []
         block.append(pair)
-    return out
+    for key, i, j in runs(b, words_b, least_words):
+        if key in runs_of_a and not gone.issuperset(range(i, j)):
+            gone.update(range(i, j))
+    return sorted(gone)
 
 
 def _blank_free(line: str) -> str:
@@ -72,22 +97,6 @@ def _blank_free(line: str) -> str:
 
 
 LINES = "oid long, tie long, lines array<long>, words array<int>, runs array<long>"
-MARKS = "line long, oid long, tie long"
-
-
-def run_keys(keys: np.ndarray, words: list[int], least_words: int) -> list[int]:
-    """The shortest runs of adjacent lines that reach ``least_words``, each from a line with words; runs of one line are left out."""
-    out, end, total = set(), 0, 0
-    for at, n in enumerate(words):
-        while end < len(words) and total < least_words:
-            total += words[end]
-            end += 1
-        if total < least_words:
-            break
-        if 0 < n < least_words:
-            out.add(xxhash.xxh64_intdigest(keys[at:end].tobytes()) - (1 << 63))
-        total -= n
-    return sorted(out)
 
 
 def with_order(docs: DataFrame) -> DataFrame:
@@ -96,7 +105,7 @@ def with_order(docs: DataFrame) -> DataFrame:
     return base.withColumn("oid", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text"))
 
 
-def removed_lines(base: DataFrame, scratch: Scratch, rare: int, least_words: int) -> DataFrame:
+def removed_lines(base: DataFrame, scratch: Scratch, least_words: int) -> DataFrame:
     """oid, tie, gone: the lines to delete, by place, of the documents that lose some."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,57 +113,46 @@ def removed_lines(base: DataFrame, scratch: Scratch, rare: int, least_words: int
             rows = [[_blank_free(x) for x in t.split("\n")] for t in batch.column("text").to_pylist()]
             keys = [np.fromiter((xxhash.xxh64_intdigest(x) for x in r), np.uint64, len(r)).view(np.int64) for r in rows]
             words = [[x.count(" ") + 1 if x else 0 for x in r] for r in rows]
-            runs = [run_keys(k, w, least_words) for k, w in zip(keys, words, strict=True)]
-            lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))]
+            found = [sorted({x for x, _, _ in runs(k, w, least_words)}) for k, w in zip(keys, words, strict=True)]
+            lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("oid"), batch.column("tie"), *lists], ["oid", "tie", "lines", "words", "runs"])
 
-    def order(prefix: str) -> Column:
-        return F.struct(F.col(f"{prefix}oid"), F.col(f"{prefix}tie"))
-
+    order = F.struct("oid", "tie")
     # Equal rows are one document; equal texts under several ids are several.
     docs = scratch.save(base.select("oid", "tie", "text").mapInArrow(lean(lines), LINES).groupBy("oid", "tie").agg(F.first("lines").alias("lines"), F.first("words").alias("words"), F.first("runs").alias("runs")))
-    # Lines with words, each once a document.
-    zipped = docs.select("oid", "tie", F.explode(F.array_distinct(F.expr("transform(filter(arrays_zip(lines, words), x -> x.words > 0), x -> x.lines)"))).alias("line"))
-    marks = scratch.save(zipped)
-    stats = marks.groupBy("line").agg(F.count("*").alias("n"), F.min(order("")).alias("first")).where("n > 1")
-    stats = scratch.save(stats)
-    # Rare lines: every later document with every earlier one; there are rare * (rare - 1) / 2 pairs of a line at most.
-    few = marks.join(stats.where(F.col("n") <= rare).select("line").hint("merge"), "line", "left_semi")
-    groups = few.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("oid", "tie"))).alias("d"))
-    paired = groups.select(F.explode(F.expr("flatten(transform(d, (x, i) -> transform(slice(d, 1, i), y -> struct(y as a, x as b))))")).alias("p")).select("p.*")
-    # Other lines: every later document with the first that has the line, a pair a document.
-    many = marks.join(stats.where(F.col("n") > rare).select("line", "first").hint("merge"), "line").where(order("") > F.col("first")).select(F.col("first").alias("a"), order("").alias("b"))
-    # Runs of lines: every later document with the first that has the run, so each block of frequent lines has a partner.
-    runs = docs.select("oid", "tie", F.explode("runs").alias("run"))
-    begun = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(order("")).alias("first")).where("n > 1").select("run", "first")
-    along = runs.join(begun.hint("merge"), "run").where(order("") > F.col("first")).select(F.col("first").alias("a"), order("").alias("b"))
-    pairs = paired.unionByName(many).unionByName(along).select(F.col("a.oid").alias("aoid"), F.col("a.tie").alias("atie"), F.col("b.oid").alias("boid"), F.col("b.tie").alias("btie")).distinct()
+    # Every later document that has a run goes with the first one that has it: a pair a row, however frequent the run.
+    marks = scratch.save(docs.select(order.alias("b"), F.explode("runs").alias("run")))
+    firsts = scratch.save(marks.groupBy("run").agg(F.count("*").alias("n"), F.min("b").alias("a")).where("n > 1"))
+    pairs = hot_join(marks, firsts.select("run", "a"), ["run"], hot_keys(firsts)).where("a < b").select(F.col("a.oid").alias("aoid"), F.col("a.tie").alias("atie"), F.col("b.oid").alias("boid"), F.col("b.tie").alias("btie")).distinct()
     pairs = scratch.save(pairs)
-    scratch.drop(marks, stats)
+    scratch.drop(marks, firsts)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("alines", "blines", "bwords")}
-            gone = [common_blocks(a, b, w, least_words) for a, b, w in zip(c["alines"], c["blines"], c["bwords"], strict=True)]
+            c = [batch.column(n).to_pylist() for n in ("alines", "aruns", "blines", "bwords")]
+            gone = [common_blocks(a, set(r), b, w, least_words) for a, r, b, w in zip(*c, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("boid"), batch.column("btie"), pa.array(gone, pa.list_(pa.int32()))], ["oid", "tie", "gone"])
 
-    left = docs.select(F.col("oid").alias("aoid"), F.col("tie").alias("atie"), F.col("lines").alias("alines"))
+    left = docs.select(F.col("oid").alias("aoid"), F.col("tie").alias("atie"), F.col("lines").alias("alines"), F.col("runs").alias("aruns"))
     right = docs.select(F.col("oid").alias("boid"), F.col("tie").alias("btie"), F.col("lines").alias("blines"), F.col("words").alias("bwords"))
-    both = pairs.join(left.hint("merge"), ["aoid", "atie"]).join(right.hint("merge"), ["boid", "btie"]).select("boid", "btie", "alines", "blines", "bwords")
-    cut = scratch.save(both.mapInArrow(lean(align), "oid long, tie long, gone array<int>").where("size(gone) > 0"))
+    # A document that came first with a frequent run is asked for by very many.
+    hot = hot_keys(pairs.groupBy("aoid", "atie").agg(F.count("*").alias("n")))
+    both = salted_join(pairs.join(right.hint("merge"), ["boid", "btie"]), left, ["aoid", "atie"], hot, ["boid", "btie"])
+    cut = scratch.save(both.select("boid", "btie", "alines", "aruns", "blines", "bwords").mapInArrow(lean(align, 500), "oid long, tie long, gone array<int>").where("size(gone) > 0"))
     gone = cut.select("oid", "tie", F.explode("gone").alias("g")).distinct().groupBy("oid", "tie").agg(F.array_sort(F.collect_list("g")).alias("gone"))
     return scratch.save(gone)
 
 
-def line_dedup(docs: DataFrame, rare: int = 8, least_words: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     """Delete from later documents the blocks of lines that they share with earlier ones.
 
-    Lines are compared with white space runs taken as one space. Documents that share a rare line (one of at most
-    ``rare`` documents) are aligned pair by pair with patience diff; aligned lines that follow on in both are a block, and
-    a block of ``least_words`` words or more is deleted from the document with the larger doc_id. A line of more documents
-    pairs each of them with the first that has it, and each shortest run of adjacent lines that reaches ``least_words``
-    pairs its later holders with its first one: as many pairs as rows. So every block of frequent lines is aligned with a
-    document that has it; the alignment may still pass it by, as where lines recur. All is judged on the input.
+    Lines are compared with white space runs taken as one space. A block is a run of adjacent lines with ``least_words``
+    words or more, from a line with words to a line with words. Documents overlap where they share the hash of such a
+    line or run of lines; each holder is paired with the first document that has it, so a frequent line gives one pair a
+    holder and no two holders of a rare one are left apart. Each pair is aligned with patience diff, and the aligned
+    common blocks are deleted from the document with the larger doc_id; blocks that the alignment passes by are aligned
+    by themselves. So a document loses just the lines of its blocks that an earlier document has too. All is judged on the
+    input.
 
     Returns the input's columns, with ``text`` without the deleted lines, and n_lines, n_removed (long) after them.
     Null and empty texts stay as they are with 1 empty line; repeated rows are one document and fare alike; rows of one
@@ -162,22 +160,14 @@ def line_dedup(docs: DataFrame, rare: int = 8, least_words: int = 10) -> DataFra
     n_removed are replaced; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = removed_lines(with_order(docs), scratch, rare, least_words)
+    gone = removed_lines(with_order(docs), scratch, least_words)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("oid"), F.xxhash64(text_or_empty()).alias("tie"))
     joined = keyed.join(gone.hint("merge"), ["oid", "tie"], "left")
-
-    @F.pandas_udf("struct<rest:string,n:long>")
-    def without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, g in zip(texts, gone, strict=True):
-            parts = (text or "").split("\n")
-            if g is not None:
-                drop = set(g)
-                text = "\n".join([x for i, x in enumerate(parts) if i not in drop])
-            out.append((text, len(parts)))
-        return pd.DataFrame(out, columns=["rest", "n"])
-
-    done = joined.select("row", "gone", without(F.col("row.text").cast("string"), F.col("gone")).alias("cut"))
+    text = F.col("row.text").cast("string")
+    lines = F.split(text, "\n", -1)
+    stay = F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i))
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("long").alias("n_lines")
     n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
-    return done.select(*[F.col("cut.rest" if c == "text" else f"row.{c}").alias(c) for c in columns], F.col("cut.n").alias("n_lines"), n_removed)
+    rest = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(stay, "\n"))
+    return joined.select(*[(rest if c == "text" else F.col(f"row.{c}")).alias(c) for c in columns], n_lines, n_removed)
