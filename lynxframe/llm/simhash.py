@@ -9,12 +9,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynxframe.llm import words as W
-from lynxframe.llm.common import NO_ID, Scratch, digest, lean, text_or_empty
-from lynxframe.llm.components import connected_components
+from lynxframe.llm.common import NO_ID, Scratch, digest, hot_join, hot_keys, lean, salted_join, text_or_empty
+from lynxframe.operators.graph import connected
 
 #: Fixed values of the perfect binary Golay code: word length, check bits, covering radius, generator polynomial.
 BITS, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b101011100011
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     rows = scratch.save(fingerprints(docs, shingle, seed).withColumn("oid", F.coalesce("doc_id", F.lit(NO_ID))))
     distinct = scratch.save(rows.groupBy("fp").agg(F.min("oid").alias("oid")))
     found = scratch.save(links(distinct, distance))
-    roots = connected_components(found, scratch)
+    roots = connected(found, scratch)
     known = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "oid", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("oid").alias("component_id"))
     named = scratch.save(known.join(least.hint("merge"), "root").select("fp", "component_id"))
@@ -165,22 +165,28 @@ def bag_prints(words: np.ndarray, views: int) -> np.ndarray:
     return out
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, least: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts' sets of ``shingle`` words have a Jaccard similarity of ``least`` or more."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``id``, ``text`` -> ``id``, ``sid`` (a number of the row), ``sh``: the distinct ``shingle``-word shingles as numbers
+    (fewer words: the whole sequence)."""
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, bounds = W.split(batch.column("text"))
             found = W.hashes(flat, make=lowered)
             runs = [np.unique(W.windows(found[a:b], min(shingle, b - a))) if b > a else found[:0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.view(np.int64) for x in runs], pa.list_(pa.int64()))], ["id", "sh"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sid"), pa.array([x.view(np.int64) for x in runs], pa.list_(pa.int64()))], ["id", "sid", "sh"])
+
+    return texts.select("id", F.xxhash64("id", "text").alias("sid"), "text").mapInArrow(lean(compute), "id long, sid long, sh array<long>")
 
-    pairs = scratch.save(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.save(texts.join(asked.hint("merge"), "id", "left_semi").mapInArrow(lean(shingles), "id long, sh array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")).hint("merge"), "b")
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs ``a``, ``b`` whose sets have a Jaccard similarity of ``least`` or more. One ``a`` may have most pairs."""
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    left = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
+    both = salted_join(pairs.join(right.hint("merge"), "b"), left, ["a"], hot, ["b"])
     common, all_ = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return scratch.save(both.where((all_ == 0) | (common / F.greatest(all_ - common, F.lit(1)) >= least)).select("a", "b").distinct())
+    return both.where((all_ == 0) | (common / F.greatest(all_ - common, F.lit(1)) >= least)).select("a", "b")
 
 
 def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -197,29 +203,45 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def across(members: DataFrame) -> DataFrame:
-    """``key``, ``id``, ``root`` -> ``a`` < ``b``: the pairs at one key whose roots differ.
+def prefix_pairs(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """``id``, ``sid``, ``root``, ``sh`` -> ``a`` < ``b``: all pairs with different roots that can have a similarity of ``least``.
 
-    A key's largest component is never paired with itself, only with the others there.
+    A set's shingles are put in one order, the rarest first; those of one root only come before all, as they match no
+    other. Two sets of n >= m shingles that are alike enough share more than ``least / (1 + least) * (n + m)``, so they
+    share one among the first few of either, and at its places enough must be left in both: a set is looked for by the
+    first ``n - ceil(least * n) + 1`` and found by its first ``m - ceil(2 * least / (1 + least) * m) + 1``. No pair is
+    missed. Texts that only have a frame in common, and less than ``least`` of it, start with what is their own and do
+    not meet, however many there are. Empty sets are one text and never here.
     """
-    counts = members.groupBy("key", "root").count()
-    mains = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-    placed = members.join(mains.hint("merge"), "key").select("key", "id", "root", (F.col("root") == F.col("main")).alias("inside"))
-    others = placed.where("not inside").select(F.col("key").alias("k"), F.col("id").alias("other"), F.col("root").alias("other_root"))
-    pairs = placed.hint("merge").join(others, F.expr("key = k and root <> other_root and (inside or id < other)"))
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    tokens = scratch.save(sets.select("id", "sid", "root", F.size("sh").alias("n"), F.explode("sh").alias("t")))
+    counts = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("t", "df")
+    counts = scratch.save(counts)
+    total = tokens.count()
+    hot = counts.where(F.col("df") > max(1, total // 1000))
+    listed = salted_join(tokens, counts, ["t"], hot, ["sid"])
+    own = Window.partitionBy("sid")
+    place = F.row_number().over(own.orderBy("df", "t")) - 1
+    ranked = listed.withColumn("of", F.count("*").over(own)).withColumn("pos", place + F.col("n") - F.col("of"))
+    ahead = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9)
+    share = 2 * least / (1 + least)
+    ranked = scratch.save(ranked.where(F.col("pos") <= ahead(least)).select("t", "id", "root", "n", "pos", (F.col("pos") <= ahead(share)).alias("owner")))
+    scratch.drop(tokens, counts)
+    smaller = ranked.where("owner").select("t", *[F.col(c).alias(f"o_{c}") for c in ("id", "root", "n", "pos")])
+    need = F.ceil((F.col("n") + F.col("o_n")) * (share / 2) - 1e-9)
+    meet = (F.col("o_root") != F.col("root")) & ((F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_id") < F.col("id")))) & (F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) >= need)
+    pairs = ranked.alias("v").hint("merge").join(smaller.alias("s"), (F.col("v.t") == F.col("s.t")) & meet)
+    return pairs.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: int = 12, most_bits: int = 10, bands: int = 32, rows: int = 5) -> DataFrame:
     """Groups of documents that are like one another: ``shingle``-word sets, lower-cased in A-Z, of similarity ``least``.
 
-    Candidates share a key; the exact similarity decides. A text's keys are its own anchors under ``views`` SimHashes of
-    its words (there at most ``most_bits`` bits differ) and ``bands`` keys of ``rows`` minima of its shingles' hashes. First
-    each text is compared with the smallest document at each of its keys, which folds large groups with few pairs a
-    text. Then every two texts of one band key that are not in one group yet are compared, folded ones too, so that
-    groups linked by any of their members become one. A pair of similarity s shares no band with the chance
-    (1 - s ** rows) ** bands, whatever the kind of edit: 3e-6 at 0.8. Copies of a text are its first document's. No pair
-    below ``least`` is linked.
+    Texts meet at keys: their own anchors under ``views`` SimHashes of their words (there at most ``most_bits`` bits
+    differ) and ``bands`` keys of ``rows`` minima of their shingles' hashes. First each text is compared with the smallest
+    document at each of its keys, which folds large groups with few pairs a text. Of the texts that share a band key with
+    a text outside their group, folded ones too, all pairs that can be alike are then found by ``prefix_pairs``. The exact
+    similarity decides. A pair of similarity s shares no band with the chance (1 - s ** rows) ** bands, whatever the kind
+    of edit: 3e-6 at 0.8. Copies of a text are its first document's. No pair below ``least`` is linked.
 
     Returns doc_id, component_id (the smallest doc_id reachable by links, itself included) of the documents that have a
     link. Rows of one doc_id are one document; rows without a doc_id have no links; null, empty and blank texts are like
@@ -246,20 +268,29 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: in
 
     printed = scratch.save(texts.withColumn("dig", digest(F.col("text"))).mapInArrow(lean(compute), "id long, dig binary, prints array<long>, keys array<long>"))
     firsts = scratch.save(printed.groupBy("dig").agg(F.min("id").alias("first"), F.first("prints").alias("prints"), F.first("keys").alias("keys")))
-    copies = scratch.save(printed.join(firsts.select("dig", "first").hint("merge"), "dig").where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    hot = hot_keys(printed.groupBy("dig").agg(F.count("*").alias("n")))
+    copies = scratch.save(hot_join(printed.select("dig", "id"), firsts.select("dig", "first"), ["dig"], hot).where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")))
     scratch.drop(printed)
     firsts = firsts.withColumnRenamed("first", "id")
 
+    def with_heads(table: DataFrame, key: str, head) -> DataFrame:
+        counts = scratch.save(table.groupBy(key).agg(head.alias("head"), F.count("*").alias("n")).where("n > 1"))
+        return hot_join(table, counts.select(key, "head"), [key], hot_keys(counts))
+
     owners = scratch.save(firsts.select("id", "prints").mapInArrow(lean(place), "anchor long, id long, fp long"))
-    heads = owners.groupBy("anchor").agg(F.min(F.struct("id", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    near = owners.join(heads.hint("merge"), "anchor").where(f"head.id < id and bit_count(head.fp ^ fp) <= {most_bits}").select(F.col("head.id").alias("a"), F.col("id").alias("b"))
-    keyed = firsts.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    shared = scratch.save(keyed.join(shared.hint("merge"), "key"))
-    stars = _similar(near.unionByName(shared.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))), texts, scratch, shingle, least)
-
-    roots = connected_components(stars, scratch).withColumnRenamed("node", "id")
+    near = with_heads(owners, "anchor", F.min(F.struct("id", "fp"))).where(f"head.id < id and bit_count(head.fp ^ fp) <= {most_bits}").select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+    shared = scratch.save(with_heads(firsts.select("id", F.explode("keys").alias("key")), "key", F.min("id")))
+    stars = scratch.save(near.unionByName(shared.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct())
+    asked = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = scratch.save(shingle_sets(texts.join(asked.hint("merge"), "id", "left_semi"), shingle))
+    stars = scratch.save(similar(stars, sets, least))
+
+    roots = connected(stars, scratch).withColumnRenamed("node", "id")
     members = scratch.save(shared.join(roots.hint("merge"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-    more = _similar(across(members), texts, scratch, shingle, least)
-    roots = connected_components(copies.unionByName(stars).unionByName(more), scratch)
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    mixed = scratch.save(mixed.where("low < high"))
+    open_ = hot_join(members, mixed.select("key"), ["key"], hot_keys(mixed)).select("id", "root").distinct()
+    more = scratch.save(prefix_pairs(sets.join(open_.hint("merge"), "id").select("id", "sid", "root", "sh"), least, scratch))
+    more = similar(more, sets, least)
+    roots = connected(copies.unionByName(stars).unionByName(more), scratch)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -14,13 +14,14 @@ import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lynxframe.llm import common, decontamination, lines, packing, quality, sharding, simhash, substrings, tokens
 from lynxframe.llm import words as words_
+from lynxframe.operators.graph import connected
 from lynxframe.llm.queries import RANKS, TOKENIZER
 
 DOCS = "doc_id long, text string, lang string, source string, piece int, size long, n_words long"
@@ -154,6 +155,26 @@ def test_sharding(spark, docs, rows, empty):
     assert len(sizes) == 10 and max(sizes.values()) - min(sizes.values()) <= 2
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Copies with other metadata stay together, only a group larger than a shard is cut; shards are near equal."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.kd_shards(docs, shards=40).collect()
+    texts = dict(docs.selectExpr("doc_id", "sha2(coalesce(text, ''), 256)").collect())
+    sizes, groups, weight = Counter(), defaultdict(set), Counter()
+    for x in out:
+        sizes[x.shard] += x.size
+        groups[texts[x.doc_id]].add(x.shard)
+        weight[texts[x.doc_id]] += x.size
+    mean = sum(sizes.values()) / 40
+    assert all(len(g) == 1 for k, g in groups.items() if weight[k] <= mean)
+    assert max(abs(v - mean) for v in sizes.values()) <= 0.08 * mean
+    hot = spark.createDataFrame([(i, "y" * 84 if i % 3 else f"text {i} " * 9, "en", "a") for i in range(3000)], "doc_id long, text string, lang string, source string")
+    sizes = Counter()
+    for x in sharding.kd_shards(hot, shards=5).collect():
+        sizes[x.shard] += x.size
+    assert max(sizes.values()) <= 1.02 * min(sizes.values())
+
+
 def test_sharding_runs_no_python(docs):
     plan = sharding.kd_shards(docs, shards=3)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
@@ -283,6 +304,36 @@ def test_near_copies_hang_together_through_folded_texts(spark):
     assert found == groups
 
 
+def test_families_below_the_limit_give_no_pairs(spark):
+    """Texts of one frame, each pair just below 0.8: twice the family, not even one pair to verify."""
+    r = random.Random(6)
+    frame = [f"w{k}" for k in range(200)]
+    made = []
+    for size in (100, 200):
+        rows = []
+        for k in range(size):
+            words = list(frame)
+            for at in r.sample(range(10, 190, 9), 5):
+                words[at] = f"own{k}x{at}"
+            rows.append((k, " ".join(words)))
+        sets = simhash.shingle_sets(spark.createDataFrame(rows, "id long, text string"), 5).withColumn("root", F.col("id"))
+        made.append(simhash.prefix_pairs(sets, 0.8, common.Scratch(spark, "test")).count())
+        assert simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert made == [0, 0]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 3), st.sets(st.integers(0, 14), max_size=12)), min_size=2, max_size=14))
+def test_prefix_pairs_miss_none(spark, drawn):
+    """All pairs of sets with different roots and a similarity of 0.8 or more are among the candidates."""
+    rows = [(k, k, root, sorted(x)) for k, (root, x) in enumerate(drawn) if x]
+    found = {(x.a, x.b) for x in simhash.prefix_pairs(spark.createDataFrame(rows, "id long, sid long, root long, sh array<long>"), 0.8, common.Scratch(spark, "test")).collect()}
+    for a, _, ra, x in rows:
+        for b, _, rb, y in rows:
+            if a < b and ra != rb and len({*x} & {*y}) >= 0.8 * len({*x} | {*y}):
+                assert (a, b) in found
+
+
 @pytest.mark.parametrize("kind", ["added", "removed", "edits"])
 @pytest.mark.parametrize("similar", [0.8, 0.83, 0.87])
 def test_near_copies_share_a_key(kind, similar):
@@ -328,37 +379,39 @@ def test_anchors_lose_no_link(spark):
 
 
 def test_long_chains_have_one_root(spark):
-    from lynxframe.llm.components import connected_components
-
     r = random.Random(2)
     names = list(range(300))
     r.shuffle(names)
     links = [(a, b) if r.random() < 0.5 else (b, a) for a, b in zip(names, names[1:], strict=False)] + [(1000, 1001), (7, 7), (2000, 2000)]
-    out = dict(connected_components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "test")).collect())
+    out = dict(connected(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "test")).collect())
     assert out == {**dict.fromkeys(range(300), 0), 1000: 1000, 1001: 1000}
 
 
-def lines_by_hand(rows, rare, least_words):
-    """Pairs and alignment as stated, over all pairs of documents."""
-    docs_ = {(r[0] if r[0] is not None else common.NO_ID, r[1] or "") for r in rows}
+def lines_by_hand(rows, least_words):
+    """All pairs of documents: the lines of b in any run of lines, ``least_words`` words or more, that a has too."""
+    docs_ = {(r[0], r[1] or "") for r in rows}
     split = {d: [" ".join(x.split()) for x in d[1].split("\n")] for d in docs_}
-    holders = defaultdict(set)
-    for d, own in split.items():
-        for x in own:
-            if x:
-                holders[x].add(d)
     gone = defaultdict(set)
     for b in docs_:
         for a in docs_:
-            if a[0] < b[0] and any(x in set(split[a]) and (len(holders[x]) <= rare or min(holders[x])[0] == a[0]) for x in split[b] if x):
-                gone[b] |= set(lines.common_blocks(split[a], split[b], [len(x.split()) for x in split[b]], least_words))
-    return docs_, split, gone
+            if a[0] >= b[0]:
+                continue
+            one, two = split[a], split[b]
+            for i in range(len(one)):
+                for k in range(len(two)):
+                    n = 0
+                    while i + n < len(one) and k + n < len(two) and one[i + n] == two[k + n]:
+                        n += 1
+                    worded = [j for j in range(k, k + n) if two[j]]
+                    if sum(len(two[j].split()) for j in worded) >= least_words:
+                        gone[b] |= set(range(worded[0], worded[-1] + 1))
+    return gone
 
 
 def test_line_dedup(docs, rows, empty):
     distinct = [r for r in rows if r[0] is not None]
-    _, _, gone = lines_by_hand(distinct, 8, 10)
-    out = lines.line_dedup(docs.where("doc_id is not null"), rare=8, least_words=10).select("doc_id", "text", "n_removed").collect()
+    gone = lines_by_hand(distinct, 10)
+    out = lines.line_dedup(docs.where("doc_id is not null"), least_words=10).select("doc_id", "text", "n_removed").collect()
     expected = []
     for r in distinct:
         cut = gone[(r[0], r[1] or "")]
@@ -379,6 +432,21 @@ def test_blocks_of_frequent_lines_go(spark, n):
     assert out == {0: 0, 1: 0, 2: 0} | {k: 3 for k in range(3, 2 + n)}
 
 
+def test_lines_that_recur_or_change_places(spark):
+    """Blocks that no patience anchor reaches: moved, repeated, of recurring lines, in very long texts."""
+    r = random.Random(4)
+    line = [" ".join(f"l{k}w{j}" for j in range(r.choice([1, 2, 4, 11]))) for k in range(12)] + ["", "  "]
+    rows = [(k, "\n".join(r.choice(line) for _ in range(r.choice([1, 5, 14])))) for k in range(70)]
+    long = [f"word{k} " * 7 for k in range(3000)]
+    rows += [(90, "\n".join(long)), (91, "\n".join([*long[1500:], "own line", *long[:1500]])), (92, "one two three\n" * 3000)]
+    out = {x.doc_id: (x.text, x.n_removed) for x in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = lines_by_hand([x for x in rows if x[0] < 90], 10)
+    for k, text in rows[:70]:
+        cut = gone[k, text]
+        assert out[k] == ("\n".join(x for j, x in enumerate(text.split("\n")) if j not in cut), len(cut))
+    assert out[90] == (rows[-3][1], 0) and out[91] == ("own line", 3000) and out[92] == (rows[-1][1], 0)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_patience_aligns_in_order(a, b):
