@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynxframe.llm.common import Scratch, digest, lean, text_or_empty
+from lynxframe.llm.common import Scratch, digest, hot_join, hot_keys, lean, text_or_empty
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
@@ -130,8 +130,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     count_texts(misses, tokenizer).write.mode("append").option("compression", "zstd").parquet(cache)
     scratch.release()
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
-    rows = texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
-    # Skewed digests stay with a plain sort-merge join, whose hot partitions Spark splits at run time.
-    return rows.join(scratch.save(counts).hint("merge"), "content").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    # A text may have very many copies: rows of frequent digests get their few counts by broadcast.
+    rows = scratch.save(texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")))
+    hot = hot_keys(rows.groupBy("content").agg(F.count("*").alias("n")))
+    return hot_join(rows, scratch.save(counts), ["content"], hot).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
