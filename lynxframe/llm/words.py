@@ -57,12 +57,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x = x ^ (x >> np.uint64(32))
         x = x * np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
-
-
-def minimizers(values: np.ndarray, span: int) -> np.ndarray:
-    """Positions that are the leftmost least value of some ``span`` values in a row, ascending."""
-    n = len(values) - span + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(values, span)
-    return np.unique(views.argmin(axis=1) + np.arange(n))

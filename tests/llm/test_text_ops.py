@@ -132,7 +132,7 @@ def removed_by_hand(rows, window):
         yield r[0], len(words), len(gone), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("window", [13, 4, 1])
+@pytest.mark.parametrize("window", [13, 33, 4, 1])
 def test_substrings(docs, rows, empty, window):
     out = substrings.remove_repeats(docs, window)
     assert Counter(map(tuple, out.collect())) == Counter(removed_by_hand(rows, window))
