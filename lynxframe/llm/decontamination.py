@@ -233,6 +233,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
     Rows with a null doc_id are matched by their text alone. Options and the treatment of nulls: ``find_contamination``.
     """
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    bad = find_contamination(keyed.select(F.col("_row_key").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_row_key")).distinct()
-    return keyed.join(bad.hint("merge"), "_row_key", "left_anti").select(*[keyed[c] for c in docs.columns])
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text")))
+    bad = find_contamination(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad.hint("merge"), key, "left_anti").select(*docs.columns)
