@@ -60,6 +60,82 @@ def association_radius(b: Column) -> Column:
     return F.greatest(F.lit(8.0), F.least(F.lit(32.0), 0.6 * F.sqrt((b.x1 - b.x0) * (b.y1 - b.y0))))
 
 
+def diagonal(b: Column) -> Column:
+    w, h = b.x1 - b.x0, b.y1 - b.y0
+    return F.sqrt(w * w + h * h)
+
+
+def short_side(b: Column) -> Column:
+    return F.least(F.abs(b.x1 - b.x0), F.abs(b.y1 - b.y0))
+
+
+def own_size_distance(a: Column, b: Column) -> Column:
+    """Distance of the centres, each axis in units of the smaller of the two sides."""
+    dx = (centre_x(a) - centre_x(b)) / F.least(a.x1 - a.x0, b.x1 - b.x0)
+    dy = (centre_y(a) - centre_y(b)) / F.least(a.y1 - a.y0, b.y1 - b.y0)
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def extent() -> list[Column]:
+    """Aggregates: the union box of a group of rows with columns x0, y0, x1, y1, and the mean of their centres."""
+    return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.avg((F.col("x0") + F.col("x1")) / 2).alias("cx"), F.avg((F.col("y0") + F.col("y1")) / 2).alias("cy")]
+
+
+def scaled(b: Column, ratio: float) -> Column:
+    """The box with its sides ``ratio`` times as long around its centre."""
+    return expanded(b, (ratio - 1) / 2)
+
+
+def clamped(b: Column, width: float, height: float) -> Column:
+    """The part of the box that lies in the canvas."""
+    side = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), c))
+    return F.struct(side(b.x0, width).alias("x0"), side(b.y0, height).alias("y0"), side(b.x1, width).alias("x1"), side(b.y1, height).alias("y1"))
+
+
+def contains(b: Column, x: Column, y: Column) -> Column:
+    return (x >= b.x0) & (x <= b.x1) & (y >= b.y0) & (y <= b.y1)
+
+
+def same_target(a: Column, b: Column, most_distance: float = 30.0, most_ratio: float = 5.0) -> Column:
+    """One physical target: centres and short sides not too different."""
+    tiny = F.lit(1e-6)
+    return (distance(a, b) <= most_distance) & (F.greatest(short_side(a), short_side(b), tiny) / F.greatest(F.least(short_side(a), short_side(b)), tiny) <= most_ratio)
+
+
+def channels_match(a: Column, b: Column, least_iou: float = 0.10, expand: float = 1.25, near: float = 24.0, most_ratio: float = 8.0) -> Column:
+    """Boxes of two channels: they overlap, or a's centre lies in b expanded, or both distance and area ratio are bounded."""
+    tiny = F.lit(1e-6)
+    close = distance(a, b) <= F.greatest(F.lit(near), 0.5 * F.greatest(short_side(a), short_side(b)))
+    ratio = F.greatest(area(a), area(b), tiny) / F.greatest(F.least(area(a), area(b)), tiny)
+    return (iou(a, b) >= least_iou) | contains(scaled(b, expand), centre_x(a), centre_y(a)) | (close & (ratio <= most_ratio))
+
+
+def to_tile(b: Column, x: Column, y: Column) -> Column:
+    """The box in the coordinates of a tile whose origin is (x, y)."""
+    return F.struct((b.x0 - x).alias("x0"), (b.y0 - y).alias("y0"), (b.x1 - x).alias("x1"), (b.y1 - y).alias("y1"))
+
+
+def from_tile(b: Column, x: Column, y: Column) -> Column:
+    return to_tile(b, -x, -y)
+
+
+def normalised(b: Column, width: Column, height: Column) -> Column:
+    return F.struct((b.x0 / width).alias("x0"), (b.y0 / height).alias("y0"), (b.x1 / width).alias("x1"), (b.y1 / height).alias("y1"))
+
+
+def edge_margin(b: Column, width: float, height: float) -> Column:
+    """Least distance of the box from the edge of its tile; below 0 it is truncated."""
+    return F.least(b.x0, b.y0, width - b.x1, height - b.y1)
+
+
+def crop_window(b: Column, side: float, width: float, height: float, margin: float = 0.0) -> Column:
+    """A square window of the canvas around the box: struct of status, x, y. Without status 'ok' there is no window."""
+    place = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most - side)), c - side / 2))
+    status = F.when((b.x0 < 0) | (b.y0 < 0) | (b.x1 > width) | (b.y1 > height), "outside canvas").when(F.greatest(b.x1 - b.x0, b.y1 - b.y0) + 2 * margin > side, "target too large").otherwise("ok")
+    ok = status == "ok"
+    return F.struct(status.alias("status"), F.when(ok, place(centre_x(b), width)).alias("x"), F.when(ok, place(centre_y(b), height)).alias("y"))
+
+
 def sizes_agree(a: Column, b: Column, most: float = 3.0) -> Column:
     """Both sides' ratios within [1/most, most]."""
     w, h = (a.x1 - a.x0) / (b.x1 - b.x0), (a.y1 - a.y0) / (b.y1 - b.y0)

@@ -40,3 +40,13 @@ def turn_degrees(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     length = F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (ax * bx + ay * by) / length))
     return F.when(length <= 1e-12, 0.0).otherwise(F.degrees(F.acos(cosine)))
+
+
+def canonical(options: Column) -> Column:
+    """A struct as JSON text: fields in the struct's order, nulls kept."""
+    return F.to_json(options, {"ignoreNullFields": "false"})
+
+
+def at_offset(start: Column, seconds: Column) -> Column:
+    """The instant ``seconds`` after ``start``; null where either is unknown."""
+    return F.timestamp_micros(F.unix_micros(start) + (seconds * 1000000).cast("long"))

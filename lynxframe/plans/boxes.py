@@ -71,21 +71,6 @@ def time_to_edge(spark, sf_dir):
     return moved.select("track_id", "frame_no", F.round(F.least(to("x0", "x1", "dx"), to("y0", "y1", "dy")), 3).alias("edge_s"))
 
 
-@query("SELECT stream_id, frame_no, count(*) OVER w AS last_hour, count(*) OVER w <= 3 AS within_budget FROM observations WINDOW w AS (PARTITION BY stream_id ORDER BY ts_s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)", "observations")
-def hourly_budget(spark, sf_dir):
-    n = F.count("*").over(Window.partitionBy("stream_id").orderBy("ts_s").rangeBetween(-3600, 0))
-    return load(spark, sf_dir, "observations").select("stream_id", "frame_no", n.alias("last_hour"), (n <= 3).alias("within_budget"))
-
-
-@query("""AS_ v AS (SELECT *, (frame_no * 7) % 4 AS said FROM observations), k AS (SELECT *, list(said) OVER (PARTITION BY track_id ORDER BY ts_s, frame_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last FROM v), c AS (SELECT *, CASE WHEN len(list_filter(last, lambda x: x = said)) >= 2 THEN said END AS now FROM k)
-SELECT track_id, frame_no, last_value(now IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY ts_s, frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS confirmed FROM c""", "observations")
-def sticky_confirmation(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no")
-    rows = load(spark, sf_dir, "observations").withColumn("said", (F.col("frame_no") * 7) % 4).withColumn("last", F.collect_list("said").over(w.rowsBetween(-4, 0)))
-    now = F.when(F.size(F.filter("last", lambda x: x == F.col("said"))) >= 2, F.col("said"))
-    return rows.withColumn("now", now).select("track_id", "frame_no", F.last("now", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("confirmed"))
-
-
 @query("""AS_ p AS (SELECT *, max(end_s) OVER (PARTITION BY camera ORDER BY start_s, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto, count(*) OVER (PARTITION BY file_id) AS same FROM recordings)
 SELECT file_id, camera, 'empty interval' AS violation FROM p WHERE end_s <= start_s UNION ALL SELECT file_id, camera, 'overlaps an earlier one' FROM p WHERE start_s < upto UNION ALL SELECT file_id, camera, 'repeated id' FROM p WHERE same > 1""", "recordings")
 def interval_violations(spark, sf_dir):

@@ -27,6 +27,16 @@ def query(sql: str | None = None, *tables: str):
     return add
 
 
+def six(value) -> Column:
+    """Six places after the point, halves upwards, in the arithmetic that both engines share (their ``round`` differs)."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+def six_sql(expression: str) -> str:
+    return f"floor(({expression}) * 1e6 + 0.5) / 1e6"
+
+
 def _box(prefix: str = ""):
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
@@ -77,16 +87,21 @@ _IOU = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(
 _UNION = f"((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_IOU})"
 
 
-@query(f"""SELECT a.frame_id, a.det_id, b.det_id AS other_id, round({_IOU} / {_UNION}, 6) AS iou, round({_IOU} / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)), 6) AS over_smaller, round({_IOU} / ((a.x1 - a.x0) * (a.y1 - a.y0)), 6) AS covered,
-round(sqrt(power(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + power(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)), 6) AS gap, round(sqrt(power((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2, 2) + power((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2, 2)), 6) AS distance,
-round(greatest(8.0, least(32.0, 0.6 * sqrt((a.x1 - a.x0) * (a.y1 - a.y0)))), 6) AS radius
-FROM detections a JOIN detections b ON a.frame_id = b.frame_id AND a.det_id < b.det_id""", "detections")
+_AREAS = ("((a.x1 - a.x0) * (a.y1 - a.y0))", "((b.x1 - b.x0) * (b.y1 - b.y0))")
+
+
+@query(f"""SELECT a.frame_id, a.det_id, b.det_id AS other_id, {six_sql(f"{_IOU} / {_UNION}")} AS iou, {six_sql(f"{_IOU} / least({_AREAS[0]}, {_AREAS[1]})")} AS over_smaller, {six_sql(f"{_IOU} / {_AREAS[0]}")} AS covered,
+{six_sql("sqrt(greatest(a.x0 - b.x1, b.x0 - a.x1, 0) * greatest(a.x0 - b.x1, b.x0 - a.x1, 0) + greatest(a.y0 - b.y1, b.y0 - a.y1, 0) * greatest(a.y0 - b.y1, b.y0 - a.y1, 0))")} AS gap,
+{six_sql("sqrt(((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) * ((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) + ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) * ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2))")} AS distance,
+{six_sql(f"greatest(8.0, least(32.0, 0.6 * sqrt({_AREAS[0]})))")} AS radius
+FROM detections a JOIN detections b ON a.frame_id = b.frame_id AND a.det_id < b.det_id AND a.x0 <= b.x1 + 8 AND b.x0 <= a.x1 + 8 AND a.y0 <= b.y1 + 8 AND b.y0 <= a.y1 + 8""", "detections")
 def box_geometry(spark, sf_dir):
+    """The pairs of a frame whose boxes are at most 8 apart on either axis."""
     rows = load(spark, sf_dir, "detections")
     a, b = rows.select("frame_id", "det_id", _box().alias("a")), rows.select("frame_id", F.col("det_id").alias("other_id"), _box().alias("b"))
     x, y = F.col("a"), F.col("b")
-    both = a.join(b, "frame_id").where("det_id < other_id")
-    return both.select("frame_id", "det_id", "other_id", *[F.round(v, 6).alias(n) for n, v in (("iou", G.iou(x, y)), ("over_smaller", G.over_smaller(x, y)), ("covered", G.covered(x, y)), ("gap", G.gap(x, y)), ("distance", G.distance(x, y)), ("radius", G.association_radius(x)))])
+    both = a.join(b, "frame_id").where("det_id < other_id and a.x0 <= b.x1 + 8 and b.x0 <= a.x1 + 8 and a.y0 <= b.y1 + 8 and b.y0 <= a.y1 + 8")
+    return both.select("frame_id", "det_id", "other_id", *[six(v).alias(n) for n, v in (("iou", G.iou(x, y)), ("over_smaller", G.over_smaller(x, y)), ("covered", G.covered(x, y)), ("gap", G.gap(x, y)), ("distance", G.distance(x, y)), ("radius", G.association_radius(x)))])
 
 
 def _greedy(extra: str) -> str:
@@ -281,15 +296,6 @@ def tumbling_metrics(spark, sf_dir):
     return load(spark, sf_dir, "observations").groupBy("stream_id", F.floor(F.col("ts_s") / 21600).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "error").alias("errors"), F.round(F.max("conf"), 6).alias("max_conf"))
 
 
-@query("""AS_ v AS (SELECT *, 'R' || CAST((frame_no * 7) % 4 AS VARCHAR) AS said FROM observations), k AS (SELECT track_id, frame_no, said, list(said) OVER (PARTITION BY track_id ORDER BY ts_s, frame_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last FROM v)
-SELECT track_id, frame_no, len(list_filter(last, lambda x: x = said)) AS votes, len(list_filter(last, lambda x: x = said)) >= 2 AS confirmed FROM k""", "observations")
-def plate_vote_consensus(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no").rowsBetween(-4, 0)
-    rows = load(spark, sf_dir, "observations").withColumn("said", F.concat(F.lit("R"), ((F.col("frame_no") * 7) % 4).cast("string"))).withColumn("last", F.collect_list("said").over(w))
-    votes = F.size(F.filter("last", lambda x: x == F.col("said"))).cast("long")
-    return rows.select("track_id", "frame_no", votes.alias("votes"), (votes >= 2).alias("confirmed"))
-
-
 @query("AS_ p AS (SELECT track_id, frame_no, ts_s, lag(ts_s) OVER w AS t0, lag(x0) OVER w AS px, lag(x0, 2) OVER w AS qx, lag(ts_s, 2) OVER w AS u0 FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s, frame_no)) SELECT track_id, frame_no, round(CASE WHEN ts_s - t0 <= 86400 AND t0 > u0 THEN px + (px - qx) / (t0 - u0) * (ts_s - t0) END, 6) AS projected FROM p", "observations")
 def asof_projection(spark, sf_dir):
     w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no")

@@ -14,6 +14,9 @@ _SELECT = {
     "scored": "SELECT d.doc_id AS sample_id, d.source AS device, CAST((d.doc_id * 31) % 1000 AS DOUBLE) / 1000 AS score, CAST(l.quality AS BIGINT) AS label, 1 + d.doc_id % 5 AS weight, (d.doc_id * 31) % 1000 >= 400 AS passed, d.lang FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "metrics": "SELECT stream_id, ts_s, frame_no, kind, sum(25) OVER w AS captured, sum(CASE WHEN kind = 'error' THEN 0 ELSE 24 END) OVER w AS published, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER w AS corrupt FROM observations WINDOW w AS (PARTITION BY stream_id ORDER BY ts_s, frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "cells": "SELECT vec_id AS frame_id, vec_id % 8 AS camera, CAST(p.pos AS INT) AS cell, CAST(p.gray AS DOUBLE) AS gray FROM {cells}",
+    "sourced": "SELECT event_id AS obs_id, user_id % 8 AS camera, event_id % 3 AS scene, event_type AS kind, {micros} / 1000000 AS ts_s, CAST((event_id * 37) % 1800 AS DOUBLE) AS x0, CAST((event_id * 53) % 1000 AS DOUBLE) AS y0, CAST((event_id * 37) % 1800 + 8 + event_id % 90 AS DOUBLE) AS x1, CAST((event_id * 53) % 1000 + 8 + event_id % 70 AS DOUBLE) AS y1, CASE WHEN event_id % 3 <> 1 THEN CAST((event_id * 29) % 100 AS DOUBLE) / 100 END AS first_conf, CASE WHEN event_id % 3 <> 0 THEN CAST((event_id * 43) % 100 AS DOUBLE) / 100 END AS second_conf, event_id % 5 = 0 AS seen_place, event_id % 7 < 3 AS seen_look, CAST((event_id * 11) % 256 AS DOUBLE) AS r, CAST((event_id * 17) % 256 AS DOUBLE) AS g, CAST((event_id * 23) % 256 AS DOUBLE) AS b FROM events",
+    "snapshots": "SELECT 'cam_' || CAST(user_id % 8 AS STRING) AS stream_id, CAST(floor({micros} / 3600000000) AS BIGINT) AS tick, CAST(least(10000, sum((4 + event_id % 9) * (4 + event_id % 7))) AS DOUBLE) / 10000 AS area, CAST(sum(2 * ((event_id * 37) % 80) + 4 + event_id % 9) AS DOUBLE) / (200 * count(*)) AS cx, CAST(sum(2 * ((event_id * 53) % 80) + 4 + event_id % 7) AS DOUBLE) / (200 * count(*)) AS cy, CAST(min(event_id) % 12 AS DOUBLE) / 4000 AS visual FROM events GROUP BY 1, 2",
+    "decisions": "SELECT event_id AS decision_id, user_id * 10 + event_id % 10 AS card_id, {micros} / 1000000 AS decided_s, CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'uncertain' ELSE 'pending' END AS decision FROM events",
 }
 _SPARK = {"micros": "unix_micros(CAST(ts AS TIMESTAMP))", "o_micros": "unix_micros(CAST(o_orderdate AS TIMESTAMP))", "cells": "embeddings LATERAL VIEW posexplode(embedding) p AS pos, gray"}
 _DUCK = {"micros": "epoch_us(ts)", "o_micros": "epoch_us(o_orderdate)", "cells": "(SELECT vec_id, unnest(embedding) AS gray, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) p"}
