@@ -143,3 +143,10 @@ def box_faults(b: Column, width: float, height: float, least_side: float) -> Col
 def in_schedule(at: Column, start: Column, end: Column) -> Column:
     """Whether an instant lies in a schedule; both ends are in."""
     return (at >= start) & (at <= end)
+
+
+def median_residual(a: Column, b: Column) -> Column:
+    """Median absolute difference of two vectors over the places that both have; null where there are none."""
+    gaps = F.array_sort(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), lambda v: v.isNotNull()))
+    n = F.size(gaps)
+    return F.when(n > 0, (F.element_at(gaps, F.floor((n + 1) / 2).cast("int")) + F.element_at(gaps, (F.floor(n / 2) + 1).cast("int"))) / 2)

@@ -11,42 +11,72 @@ from pyspark.sql import functions as F
 from lynxframe.functions import geometry as G
 
 
-def suppress(boxes: DataFrame, frame: str, least_iou: float, same_class: bool = False, conflict=None) -> DataFrame:
+def suppress(boxes: DataFrame, frame: str, least_iou: float, same_class: bool = False, conflict=None, last: Column | None = None, limit: int | None = None) -> DataFrame:
     """Greedy non-maximum suppression per frame: boxes by falling confidence, then det_id; one is kept unless a kept one
-    (of its class, if ``same_class``) overlaps it by ``least_iou`` or more. ``conflict`` replaces that test.
+    (of its class, if ``same_class``) overlaps it by ``least_iou`` or more. ``conflict`` replaces that test. Boxes for
+    which ``last`` holds rank after all others; ``limit`` keeps so many of a frame. A frame's boxes meet in one array.
     """
     test = conflict or (lambda k, b: G.iou(k.box, b.box) >= least_iou)
 
     def clash(k: Column, b: Column) -> Column:
         return test(k, b) & (k.class_id == b.class_id) if same_class else test(k, b)
 
-    order = F.struct((-F.col("conf")).alias("rank"), "det_id", "class_id", "conf", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    late = F.lit(False) if last is None else last
+    order = F.struct(late.alias("late"), (-F.col("conf")).alias("rank"), "det_id", "class_id", "conf", F.struct("x0", "y0", "x1", "y1").alias("box"))
     rows = boxes.groupBy(frame).agg(F.array_sort(F.collect_list(order)).alias("all"))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: clash(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
+    if limit:
+        kept = F.slice(kept, 1, limit)
     return rows.select(frame, F.explode(kept).alias("k")).select(frame, "k.det_id", "k.class_id", "k.conf", "k.box.*")
 
 
-def match(left: DataFrame, right: DataFrame, frame: str, least_iou: float) -> DataFrame:
-    """One-to-one matches per frame, best first: by IoU, then confidence, then ids. Both sides are used once.
+def associate(left: DataFrame, right: DataFrame, frame: str, least_iou: float = 0.3, edge=None) -> DataFrame:
+    """One-to-one pairs per frame, best first, with the rows of either side that found no partner.
 
-    left: frame, det_id, conf and a box; right: frame, gt_id and a box.
+    left: frame, det_id, conf and a box; right: frame, gt_id and a box. Pairs are taken by IoU, then confidence, then ids.
+    ``edge(x, y)`` of two structs with ``box`` may replace that by (condition, columns to sort by). Each side is grouped
+    into one array a frame and shuffled once; what may pair, and the fold over it, stay in the row, so a frame should hold
+    hundreds of boxes, not millions. Returns frame, det_id, gt_id, iou, side (both, left, right).
     """
-    a = left.select(frame, "det_id", "conf", F.struct("x0", "y0", "x1", "y1").alias("a"))
-    b = right.select(frame, "gt_id", F.struct("x0", "y0", "x1", "y1").alias("b"))
-    pairs = a.join(b, frame).withColumn("iou", G.iou(F.col("a"), F.col("b"))).where(F.col("iou") >= least_iou)
-    edge = F.struct((-F.col("iou")).alias("by_iou"), (-F.col("conf")).alias("by_conf"), "det_id", "gt_id", "iou")
-    rows = pairs.groupBy(frame).agg(F.array_sort(F.collect_list(edge)).alias("all"))
-    taken = F.aggregate("all", F.slice("all", 1, 0), lambda m, e: F.when(F.exists(m, lambda k: (k.det_id == e.det_id) | (k.gt_id == e.gt_id)), m).otherwise(F.concat(m, F.array(e))))
-    return rows.select(frame, F.explode(taken).alias("k")).select(frame, "k.det_id", "k.gt_id", "k.iou")
-
-
-def associate(left: DataFrame, right: DataFrame, frame: str, least_iou: float) -> DataFrame:
-    """``match`` with the rows of either side that found no partner: frame, det_id, gt_id, iou, side."""
-    both = match(left, right, frame, least_iou)
-    a = left.select(frame, "det_id").join(both, [frame, "det_id"], "left")
-    b = right.select(frame, "gt_id").join(both.select(frame, "gt_id"), [frame, "gt_id"], "left_anti")
-    side = F.when(F.col("gt_id").isNull(), "left").otherwise("both")
-    return a.withColumn("side", side).unionByName(b.withColumn("side", F.lit("right")), allowMissingColumns=True)
+    rule = edge or (lambda x, y: (G.iou(x.box, y.box) >= least_iou, [-G.iou(x.box, y.box), -x.conf]))
+    box = F.struct("x0", "y0", "x1", "y1").alias("box")
+    ls = left.groupBy(frame).agg(F.collect_list(F.struct("det_id", "conf", box)).alias("ls"))
+    rs = right.groupBy(frame).agg(F.collect_list(F.struct("gt_id", box)).alias("rs"))
+    rows = ls.join(rs, frame, "full").withColumn("ls", F.coalesce("ls", F.array())).withColumn("rs", F.coalesce("rs", F.array()))
+
+    def made(x: Column, y: Column) -> Column:
+        return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rule(x, y)[1])], x.det_id.alias("det_id"), y.gt_id.alias("gt_id"), G.iou(x.box, y.box).alias("iou"))
+
+    edges = F.array_sort(F.flatten(F.transform("ls", lambda x: F.transform(F.filter("rs", lambda y: rule(x, y)[0]), lambda y: made(x, y)))))
+    rows = rows.withColumn("edges", edges)
+    taken = F.aggregate("edges", F.slice("edges", 1, 0), lambda m, e: F.when(F.exists(m, lambda k: (k.det_id == e.det_id) | (k.gt_id == e.gt_id)), m).otherwise(F.concat(m, F.array(e))))
+    rows = rows.withColumn("m", taken)
+    found = F.transform("m", lambda k: F.struct(k.det_id.alias("det_id"), k.gt_id.alias("gt_id"), k.iou.alias("iou"), F.lit("both").alias("side")))
+    none = F.lit(None)
+    alone_l = F.transform(F.filter("ls", lambda x: ~F.exists("m", lambda k: k.det_id == x.det_id)), lambda x: F.struct(x.det_id.alias("det_id"), none.cast("long").alias("gt_id"), none.cast("double").alias("iou"), F.lit("left").alias("side")))
+    alone_r = F.transform(F.filter("rs", lambda y: ~F.exists("m", lambda k: k.gt_id == y.gt_id)), lambda y: F.struct(none.cast("long").alias("det_id"), y.gt_id.alias("gt_id"), none.cast("double").alias("iou"), F.lit("right").alias("side")))
+    return rows.select(frame, F.explode(F.concat(found, alone_l, alone_r)).alias("o")).select(frame, "o.*")
+
+
+def match(left: DataFrame, right: DataFrame, frame: str, least_iou: float) -> DataFrame:
+    """The pairs of ``associate``: frame, det_id, gt_id, iou."""
+    return associate(left, right, frame, least_iou).where("side = 'both'").drop("side")
+
+
+def merge_labels(boxes: DataFrame, frame: str, least_iou: float) -> DataFrame:
+    """Boxes of a frame that overlap by ``least_iou`` or more are one label: by det_id, each joins the first label whose
+    box it overlaps, or begins one. Returns frame, det_id (the first), ids (all, in order) and the first one's box."""
+    row = F.struct("det_id", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    rows = boxes.groupBy(frame).agg(F.array_sort(F.collect_list(row)).alias("all"))
+    seed = F.transform("all", lambda b: F.struct(b.det_id.alias("det_id"), b.box.alias("box"), F.array(b.det_id).alias("ids")))
+
+    def add(kept: Column, b: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda k: G.iou(k.box, b.box) >= least_iou), True)
+        joined = F.transform(kept, lambda k, i: F.struct(k.det_id.alias("det_id"), k.box.alias("box"), F.when(i + 1 == at, F.concat(k.ids, b.ids)).otherwise(k.ids).alias("ids")))
+        return F.when(at > 0, joined).otherwise(F.concat(kept, F.array(b)))
+
+    kept = F.aggregate(seed, F.slice(seed, 1, 0), add)
+    return rows.select(frame, F.explode(kept).alias("k")).select(frame, "k.det_id", "k.ids", "k.box.*")
 
 
 def uncovered(boxes: DataFrame, others: DataFrame, frame: str, test) -> DataFrame:

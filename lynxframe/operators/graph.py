@@ -54,3 +54,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``id``, ``component`` (the smallest id reachable by links ``a``, ``b``) for every node; repeated ids keep their rows."""
     roots = connected(links).withColumnRenamed("node", "id")
     return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+
+
+def decided_groups(said: DataFrame, merge: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """Groups by decisions ``a``, ``b``, ``decision``: (node, root of all that merges connect; the distinct splits ``a``,
+    ``b``, ``root`` whose two sides merges have put into one group, for a human to solve)."""
+    roots = connected(said.where(F.col("decision") == merge).select("a", "b"))
+    asked = said.where(F.col("decision") == split).select("a", "b").distinct()
+    left = asked.join(roots.select(F.col("node").alias("a"), "root"), "a")
+    both = left.join(roots.select(F.col("node").alias("b"), F.col("root").alias("other_root")), "b").where("root = other_root")
+    return roots, both.select("a", "b", "root")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,22 @@ def hourly_budget(rows: DataFrame, key: str, order: list[str], most: int, interv
     return walk(cut, [key, "session"], order, order, list, step, f"{types}, accepted boolean")
 
 
+def change_of(least_area: float, cap: float = 0.001, moved: float = 0.05, uncertain: float | None = None) -> Callable[[tuple, tuple], str]:
+    """``rules.change_kind`` on two tuples (area, cx, cy, visual), for a walk; ``uncertain``: the visual change that is one."""
+    limit = least_area if uncertain is None else uncertain
+
+    def kind(before: tuple, after: tuple) -> str:
+        delta, seen = after[0] - before[0], after[3] >= min(least_area, cap)
+        if abs(delta) >= least_area and seen:
+            return "added" if delta > 0 else "removed"
+        far = math.dist(before[1:3], after[1:3])
+        if far >= moved and max(before[0], after[0]) > 0 and seen:
+            return "moved"
+        return "uncertain" if after[3] >= limit else "unchanged"
+
+    return kind
+
+
 def persistent_changes(rows: DataFrame, key: str, order: str, kinds, hold: float, warm_up: float) -> DataFrame:
     """Confirmed changes of a snapshot against a baseline: the same kind of change for ``hold`` units emits once.
 

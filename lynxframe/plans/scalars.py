@@ -8,18 +8,23 @@ from lynxframe.functions import geometry as G
 from lynxframe.functions import rules as R
 from lynxframe.functions import text as T
 from lynxframe.operators import blocks
-from lynxframe.plans.catalogue import _AREAS, _INSIDE, _IOU, _UNION, _polygon, query, six, six_sql
+from lynxframe.plans.catalogue import _AREAS, _INSIDE, _IOU, _UNION, _box, _polygon, query, six, six_sql
 from lynxframe.sources.fixtures import load
 
-BOX = F.struct("x0", "y0", "x1", "y1")
-SOURCES = F.map_filter(F.create_map(F.lit("first"), F.col("first_conf"), F.lit("second"), F.col("second_conf")), lambda k, v: v.isNotNull())
+
+
+def _sources():
+    """Confidence by source, without the sources that saw nothing."""
+    return F.map_filter(F.create_map(F.lit("first"), F.col("first_conf"), F.lit("second"), F.col("second_conf")), lambda k, v: v.isNotNull())
+
+
 _DIST = "sqrt(((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) * ((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) + ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) * ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2))"
 _SHORT = ("least(a.x1 - a.x0, a.y1 - a.y0)", "least(b.x1 - b.x0, b.y1 - b.y0)")
 
 
 @query(f"SELECT det_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, y1 AS bottom, (x1 - x0) * (y1 - y0) AS area, {six_sql('sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))')} AS diagonal, least(x1 - x0, y1 - y0) AS short_side FROM detections", "detections")
 def box_measures(spark, sf_dir):
-    return load(spark, sf_dir, "detections").select("det_id", G.centre_x(BOX).alias("cx"), G.centre_y(BOX).alias("cy"), F.col("y1").alias("bottom"), G.area(BOX).alias("area"), six(G.diagonal(BOX)).alias("diagonal"), G.short_side(BOX).alias("short_side"))
+    return load(spark, sf_dir, "detections").select("det_id", G.centre_x(_box()).alias("cx"), G.centre_y(_box()).alias("cy"), F.col("y1").alias("bottom"), G.area(_box()).alias("area"), six(G.diagonal(_box())).alias("diagonal"), G.short_side(_box()).alias("short_side"))
 
 
 @query(f"SELECT frame_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, {six_sql('sum((x0 + x1) / 2) / count(*)')} AS cx, {six_sql('sum((y0 + y1) / 2) / count(*)')} AS cy FROM detections GROUP BY frame_id", "detections")
@@ -33,7 +38,7 @@ def frame_extents(spark, sf_dir):
 FROM detections a JOIN detections b ON a.frame_id = b.frame_id AND a.det_id < b.det_id) SELECT * FROM p WHERE same_target OR matching""", "detections")
 def same_target_pairs(spark, sf_dir):
     rows = load(spark, sf_dir, "detections")
-    a, b = rows.select("frame_id", "det_id", BOX.alias("a")), rows.select("frame_id", F.col("det_id").alias("other_id"), BOX.alias("b"))
+    a, b = rows.select("frame_id", "det_id", _box().alias("a")), rows.select("frame_id", F.col("det_id").alias("other_id"), _box().alias("b"))
     x, y = F.col("a"), F.col("b")
     flags = [G.same_target(x, y, 30.0, 1.2).alias("same_target"), G.channels_match(x, y, 0.5, 0.4, 8.0, 1.5).alias("matching")]
     return a.join(b, "frame_id").where("det_id < other_id").select("frame_id", "det_id", "other_id", *flags).where("same_target or matching")
@@ -54,7 +59,7 @@ def zone_edges(spark, sf_dir):
 SELECT det_id, x0 - ox AS tile_x0, y0 - oy AS tile_y0, {six_sql('(x1 - ox) / 25')} AS share_x1, margin, margin < 0 AS truncated, margin >= 0 AND margin < 2 AS near_edge FROM m""", "detections")
 def tile_coordinates(spark, sf_dir):
     origin = lambda c: (F.floor(c / 25) * 25).cast("double")
-    rows = load(spark, sf_dir, "detections").select("det_id", BOX.alias("b"), origin(G.centre_x(BOX)).alias("ox"), origin(G.centre_y(BOX)).alias("oy"))
+    rows = load(spark, sf_dir, "detections").select("det_id", _box().alias("b"), origin(G.centre_x(_box())).alias("ox"), origin(G.centre_y(_box())).alias("oy"))
     rows = rows.withColumn("t", G.to_tile(F.col("b"), F.col("ox"), F.col("oy"))).withColumn("n", G.normalised(F.col("t"), F.lit(25.0), F.lit(25.0))).withColumn("margin", G.edge_margin(F.col("t"), 25.0, 25.0))
     return rows.select("det_id", F.col("t.x0").alias("tile_x0"), F.col("t.y0").alias("tile_y0"), six("n.x1").alias("share_x1"), "margin", (F.col("margin") < 0).alias("truncated"), ((F.col("margin") >= 0) & (F.col("margin") < 2)).alias("near_edge"))
 
@@ -62,7 +67,7 @@ def tile_coordinates(spark, sf_dir):
 @query("""AS_ w AS (SELECT *, CASE WHEN x1 > 90 OR y1 > 90 THEN 'outside canvas' WHEN greatest(x1 - x0, y1 - y0) + 4 > 36 THEN 'target too large' ELSE 'ok' END AS status, greatest(0, least(54, (x0 + x1) / 2 - 18)) AS wx, greatest(0, least(54, (y0 + y1) / 2 - 18)) AS wy FROM detections)
 SELECT w.det_id, w.status, CASE WHEN w.status = 'ok' THEN wx END AS x, CASE WHEN w.status = 'ok' THEN wy END AS y, (SELECT count(*) FROM detections d WHERE d.frame_id = w.frame_id AND d.det_id <> w.det_id AND w.status = 'ok' AND d.x0 >= wx AND d.y0 >= wy AND d.x1 <= wx + 36 AND d.y1 <= wy + 36) AS neighbours FROM w""", "detections")
 def crop_plans(spark, sf_dir):
-    rows = load(spark, sf_dir, "detections").select("frame_id", "det_id", BOX.alias("b")).withColumn("w", G.crop_window(F.col("b"), 36.0, 90.0, 90.0, 2.0))
+    rows = load(spark, sf_dir, "detections").select("frame_id", "det_id", _box().alias("b")).withColumn("w", G.crop_window(F.col("b"), 36.0, 90.0, 90.0, 2.0))
     mates = rows.groupBy("frame_id").agg(F.collect_list(F.struct("det_id", "b")).alias("mates"))
     inside = F.filter("mates", lambda m: (m.det_id != F.col("det_id")) & (m.b.x0 >= F.col("w.x")) & (m.b.y0 >= F.col("w.y")) & (m.b.x1 <= F.col("w.x") + 36) & (m.b.y1 <= F.col("w.y") + 36))
     return rows.join(mates, "frame_id").select("det_id", F.col("w.status").alias("status"), F.col("w.x").alias("x"), F.col("w.y").alias("y"), F.size(inside).cast("long").alias("neighbours"))
@@ -71,13 +76,13 @@ def crop_plans(spark, sf_dir):
 @query("""SELECT obs_id, CASE WHEN first_conf IS NOT NULL AND second_conf IS NULL AND first_conf BETWEEN 0.1 AND 0.5 THEN 'P2' WHEN first_conf IS NOT NULL AND second_conf IS NULL THEN 'P3' WHEN first_conf IS NOT NULL AND NOT (seen_place AND seen_look) THEN 'P3' WHEN first_conf IS NOT NULL THEN 'P3b' WHEN second_conf < 0.15 THEN 'LOW' WHEN second_conf >= 0.3 AND NOT seen_place THEN 'P1' ELSE 'P3' END AS tier,
 greatest(coalesce(first_conf, 0), coalesce(second_conf, 0)) >= 0.15 AS above_floor FROM sourced""", "sourced")
 def candidate_tiers(spark, sf_dir):
-    return load(spark, sf_dir, "sourced").select("obs_id", R.review_tier(SOURCES, F.col("seen_place"), F.col("seen_look"), "first", "second").alias("tier"), R.above_floor(SOURCES).alias("above_floor"))
+    return load(spark, sf_dir, "sourced").select("obs_id", R.review_tier(_sources(), F.col("seen_place"), F.col("seen_look"), "first", "second").alias("tier"), R.above_floor(_sources()).alias("above_floor"))
 
 
 @query("""SELECT camera, array_to_string(list_sort(['camera:' || camera, 'colour:' || least(3, floor(r / (r + g + b + 1e-6) * 4))::BIGINT || least(3, floor(g / (r + g + b + 1e-6) * 4))::BIGINT || least(3, floor(b / (r + g + b + 1e-6) * 4))::BIGINT, 'place:' || floor(least(0.999, (y0 + y1) / 2 / 1080) * 3)::BIGINT || floor(least(0.999, (x0 + x1) / 2 / 1920) * 4)::BIGINT, 'source:' || CASE WHEN first_conf IS NULL THEN 'second_only' WHEN second_conf IS NULL THEN 'first_only' ELSE 'both' END]), ' ') AS buckets, count(*) AS n FROM sourced GROUP BY 1, 2""", "sourced")
 def coverage_sets(spark, sf_dir):
-    cell = T.grid_cell(G.centre_x(BOX) / 1920, G.centre_y(BOX) / 1080)
-    found = R.coverage_set(camera=F.col("camera"), colour=R.colour_bin(F.array("r", "g", "b")), place=cell, source=R.source_label(SOURCES, "first", "second"))
+    cell = T.grid_cell(G.centre_x(_box()) / 1920, G.centre_y(_box()) / 1080)
+    found = R.coverage_set(camera=F.col("camera"), colour=R.colour_bin(F.array("r", "g", "b")), place=cell, source=R.source_label(_sources(), "first", "second"))
     return load(spark, sf_dir, "sourced").groupBy("camera", F.array_join(found, " ").alias("buckets")).agg(F.count("*").alias("n"))
 
 
@@ -204,7 +209,7 @@ FROM observations o JOIN zones z ON o.stream_id = z.stream_id AND z.kind = 'roi'
 def zone_minimums(spark, sf_dir):
     least = F.when(F.col("zone_id") == "left", 0.055).otherwise(0.065)
     zones = load(spark, sf_dir, "zones").where("kind = 'roi'").select("stream_id", "zone_id", _polygon().alias("polygon"), least.alias("least_side"), F.lit(0.2).alias("day_conf"), F.lit(0.4).alias("night_conf"))
-    seen = load(spark, sf_dir, "observations").select("stream_id", BOX.alias("b"), "conf", (F.floor(F.col("ts_s") / 3600) % 24).alias("hour"))
+    seen = load(spark, sf_dir, "observations").select("stream_id", _box().alias("b"), "conf", (F.floor(F.col("ts_s") / 3600) % 24).alias("hour"))
     inside = seen.join(zones, "stream_id").where(G.in_polygon(G.centre_x(F.col("b")), F.col("b.y1"), F.col("polygon")))
     conf = F.when(F.col("hour").between(6, 18), F.col("day_conf")).otherwise(F.col("night_conf"))
     return inside.groupBy("stream_id", "zone_id").agg(F.count("*").alias("n"), F.count_if((G.short_side(F.col("b")) >= F.col("least_side")) & (F.col("conf") >= conf)).alias("passed"))

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
 from lynxframe.operators import blocks, states
-from lynxframe.plans.catalogue import query, six, six_sql
+from lynxframe.plans.catalogue import _box, query, six, six_sql
 from lynxframe.sources.fixtures import load
 
-BOX = F.struct("x0", "y0", "x1", "y1")
 _VOTES = """AS_ v AS (SELECT track_id, frame_no, ts_s, 'R' || CAST((frame_no * 7) % 4 AS VARCHAR) AS said FROM observations WHERE frame_no % 11 <> 5), k AS (SELECT *, list(said) OVER (PARTITION BY track_id ORDER BY ts_s, frame_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last FROM v),
 u AS (SELECT track_id, frame_no, ts_s, last, unnest(last) AS x, generate_subscripts(last, 1) AS i FROM k), c AS (SELECT track_id, frame_no, ts_s, x, count(*) AS n, min(i) AS i FROM u GROUP BY 1, 2, 3, 4), b AS (SELECT *, row_number() OVER (PARTITION BY track_id, frame_no ORDER BY n DESC, i) AS r FROM c)"""
 
@@ -42,17 +41,6 @@ def hourly_budget(spark, sf_dir):
 _KIND = "CASE WHEN n.area - s.area >= 0.004 AND n.visual >= 0.001 THEN 'added' WHEN n.area - s.area <= -0.004 AND n.visual >= 0.001 THEN 'removed' WHEN sqrt((n.cx - s.cx) * (n.cx - s.cx) + (n.cy - s.cy) * (n.cy - s.cy)) >= 0.05 AND greatest(n.area, s.area) > 0 AND n.visual >= 0.001 THEN 'moved' WHEN n.visual >= 0.002 THEN 'uncertain' ELSE 'unchanged' END"
 
 
-def change_of(before: tuple, after: tuple) -> str:
-    """``rules.change_kind`` on two tuples (area, cx, cy, visual), for a walk."""
-    delta, seen = after[0] - before[0], after[3] >= 0.001
-    if abs(delta) >= 0.004 and seen:
-        return "added" if delta > 0 else "removed"
-    far = ((after[1] - before[1]) ** 2 + (after[2] - before[2]) ** 2) ** 0.5
-    if far >= 0.05 and max(before[0], after[0]) > 0 and seen:
-        return "moved"
-    return "uncertain" if after[3] >= 0.002 else "unchanged"
-
-
 @query(f"""AS_ n0 AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY tick) AS k FROM snapshots),
 s AS (SELECT stream_id, k, tick, tick AS began, area, cx, cy, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS BIGINT) AS since, 'baseline' AS kind, 0.0::DOUBLE AS elapsed, false AS emitted FROM n0 WHERE k = 1
 UNION ALL SELECT n.stream_id, n.k, n.tick, s.began, CASE WHEN o.moves THEN n.area ELSE s.area END, CASE WHEN o.moves THEN n.cx ELSE s.cx END, CASE WHEN o.moves THEN n.cy ELSE s.cy END, CASE WHEN o.moves OR o.kind = 'warm-up' THEN NULL ELSE o.kind END, CASE WHEN o.moves OR o.kind = 'warm-up' THEN NULL ELSE o.since END, o.kind, o.elapsed, o.emitted
@@ -63,7 +51,7 @@ LATERAL (SELECT a.kind, b.since, CASE WHEN a.kind IN ('warm-up', 'unchanged') TH
 a.kind = 'unchanged' OR (a.kind = 'warm-up' AND n.area >= s.area) OR (a.kind NOT IN ('warm-up', 'unchanged') AND n.tick - b.since >= 2) AS moves) o)
 SELECT stream_id, tick, kind, elapsed, emitted FROM s""", "snapshots")
 def persistent_changes(spark, sf_dir):
-    return states.persistent_changes(load(spark, sf_dir, "snapshots"), "stream_id", "tick", change_of, hold=2, warm_up=3)
+    return states.persistent_changes(load(spark, sf_dir, "snapshots"), "stream_id", "tick", states.change_of(0.004, uncertain=0.002), hold=2, warm_up=3)
 
 
 @query("""AS_ o AS (SELECT track_id, frame_no, ts_s, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, row_number() OVER (PARTITION BY track_id ORDER BY ts_s, frame_no) AS k FROM observations),
@@ -75,7 +63,7 @@ LATERAL (SELECT degrees(acos(greatest(-1, least(1, (s.hx * (n.cx - s.sx) + s.hy
 LATERAL (SELECT coalesce(a.steps AND s.hx IS NOT NULL AND b.angle >= 120 AND (s.last IS NULL OR n.ts_s - s.last >= 3600), false) AS turns) c)
 SELECT track_id, frame_no, CAST(len(times) AS BIGINT) AS reversals FROM s""", "observations")
 def heading_reversals(spark, sf_dir):
-    rows = load(spark, sf_dir, "observations").select("track_id", "ts_s", "frame_no", G.centre_x(BOX).alias("cx"), G.centre_y(BOX).alias("cy"), F.lit(0.2).alias("scale"))
+    rows = load(spark, sf_dir, "observations").select("track_id", "ts_s", "frame_no", G.centre_x(_box()).alias("cx"), G.centre_y(_box()).alias("cy"), F.lit(0.2).alias("scale"))
     return states.reversals(rows, ["track_id"], ["ts_s", "frame_no"], 120.0, 0.5, 3600.0, 604800.0).select("track_id", "frame_no", "reversals")
 
 
@@ -83,7 +71,7 @@ def heading_reversals(spark, sf_dir):
 s AS (SELECT track_id, k, frame_no, ts_s, cx, cy, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM o WHERE k = 1 UNION ALL SELECT n.track_id, n.k, n.frame_no, n.ts_s, n.cx, n.cy, CASE WHEN n.ts_s > s.ts_s THEN 0.7::DOUBLE * s.vx + (1 - 0.7::DOUBLE) * ((n.cx - s.cx) / (n.ts_s - s.ts_s)) ELSE s.vx END, CASE WHEN n.ts_s > s.ts_s THEN 0.7::DOUBLE * s.vy + (1 - 0.7::DOUBLE) * ((n.cy - s.cy) / (n.ts_s - s.ts_s)) ELSE s.vy END FROM s JOIN o n ON n.track_id = s.track_id AND n.k = s.k + 1)
 SELECT track_id, frame_no, {six_sql("vx * 3600")} AS vx, {six_sql("vy * 3600")} AS vy FROM s""", "observations")
 def smoothed_velocity(spark, sf_dir):
-    rows = load(spark, sf_dir, "observations").select("track_id", "ts_s", "frame_no", G.centre_x(BOX).alias("cx"), G.centre_y(BOX).alias("cy"))
+    rows = load(spark, sf_dir, "observations").select("track_id", "ts_s", "frame_no", G.centre_x(_box()).alias("cx"), G.centre_y(_box()).alias("cy"))
     out = states.ewma_velocity(rows, ["track_id"], ["ts_s", "frame_no"], 0.7)
     return out.select("track_id", "frame_no", six(F.col("vx") * 3600).alias("vx"), six(F.col("vy") * 3600).alias("vy"))
 
@@ -100,7 +88,7 @@ UNION ALL SELECT n.camera, n.k, n.obs_id, coalesce(a.hit.id, n.obs_id), CASE WHE
 LATERAL (SELECT list_filter(s.live, lambda c: n.ts_s - c.t <= 86400) AS live, list_filter(s.live, lambda c: n.ts_s - c.t <= 86400 AND sqrt((n.cx - c.x) * (n.cx - c.x) + (n.cy - c.y) * (n.cy - c.y)) <= 250)[1] AS hit) a)
 SELECT camera, obs_id, cluster FROM s WHERE k > 0""", "sourced")
 def near_duplicate_clusters(spark, sf_dir):
-    rows = load(spark, sf_dir, "sourced").select("camera", "ts_s", "obs_id", G.centre_x(BOX).alias("cx"), G.centre_y(BOX).alias("cy"))
+    rows = load(spark, sf_dir, "sourced").select("camera", "ts_s", "obs_id", G.centre_x(_box()).alias("cx"), G.centre_y(_box()).alias("cy"))
     return states.first_sighting_clusters(rows, "camera", ["ts_s", "obs_id"], 250.0, 86400.0).select("camera", "obs_id", "cluster")
 
 
@@ -122,7 +110,7 @@ def episode_candidates(spark, sf_dir):
 
 @query()
 def ground_candidates(spark, sf_dir):
-    rows = load(spark, sf_dir, "observations").where("conf >= 0.2").select("stream_id", "ts_s", "frame_no", G.centre_x(BOX).alias("cx"), G.centre_y(BOX).alias("cy"))
+    rows = load(spark, sf_dir, "observations").where("conf >= 0.2").select("stream_id", "ts_s", "frame_no", G.centre_x(_box()).alias("cx"), G.centre_y(_box()).alias("cy"))
     return states.ground_tracks(rows, "stream_id", ["ts_s", "frame_no"], lost=43200.0, near=0.12, hold=7200.0, least_hits=3, most_motion=0.2).drop("session")
 
 
