@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lynxframe.operators import blocks
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null for a zero denominator."""
@@ -28,10 +30,10 @@ def weighted_scores(rows: DataFrame, group: str) -> DataFrame:
 
 
 def _counts_by_score(rows: DataFrame, key: str) -> DataFrame:
-    """Positives and rows per score, with those of higher scores: one row a score, so ranks need no sort of all rows."""
+    """Positives and rows per score, with the positives of higher scores: a row a score, summed over range partitions."""
     by = rows.groupBy(key, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    above = Window.partitionBy(key).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return by.withColumn("pos_above", F.coalesce(F.sum("pos").over(above), F.lit(0))).withColumn("n_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    summed = blocks.numbered(by, [key], [F.desc("score")], ["pos"])
+    return summed.withColumn("pos_above", F.col("sum_pos") - F.col("pos"))
 
 
 def roc_auc(rows: DataFrame, key: str) -> DataFrame:
@@ -51,11 +53,15 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """The value at rank ceil(share * n): exact, by counts per value."""
-    by = rows.groupBy(key, value).agg(F.count("*").alias("n"))
-    up = Window.partitionBy(key).orderBy(value)
-    ranked = by.withColumn("upto", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy(key)))
-    return ranked.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(key).agg(F.min(value).alias("value"))
+    """The value at rank ceil(share * n): exact, by ranks over range partitions."""
+    placed = blocks.numbered(rows.select(key, value), [key], [F.col(value)])
+    return placed.where(F.col("place") == F.ceil(F.col("of") * share)).select(key, F.col(value).alias("value"))
+
+
+def average_precision(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """Mean of the precision at each positive, by falling score; null for a key without one."""
+    ranked = blocks.numbered(rows.select(key, "score", tie, "label"), [key], [F.desc("score"), F.col(tie)], ["label"])
+    return ranked.groupBy(key).agg(F.round(ratio(F.sum(F.col("label") * F.col("sum_label") / F.col("place")), F.sum("label")), 6).alias("average_precision"))
 
 
 def choose_threshold(rows: DataFrame, key: str, steps: int, near: float) -> DataFrame:
@@ -74,3 +80,11 @@ def choose_threshold(rows: DataFrame, key: str, steps: int, near: float) -> Data
     close = scored.withColumn("best", F.max("rate").over(Window.partitionBy(key))).where(F.col("best") - F.col("rate") <= near)
     first = F.row_number().over(Window.partitionBy(key).orderBy("fp", F.desc("t")))
     return close.withColumn("k", first).where("k = 1").select(key, (F.col("t") / steps).alias("threshold"), F.round("rate", 6).alias("hit_rate"), F.round("fp", 6).alias("fp_per_100"))
+
+
+def robust_scale(rows: DataFrame, keys: list[str], value: str, floor: float) -> DataFrame:
+    """Median of each key, and 1.4826 times the median distance from it, ``floor`` at least."""
+    mid = blocks.exact_median(rows, keys, value)
+    off = rows.select(*keys, value).join(mid, keys).withColumn("_off", F.abs(F.col(value) - F.col("median")))
+    mad = blocks.exact_median(off, keys, "_off", "_mad")
+    return mid.join(mad, keys).select(*keys, "median", F.greatest(1.4826 * F.col("_mad"), F.lit(floor)).alias("scale"))

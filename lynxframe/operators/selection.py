@@ -27,3 +27,73 @@ def split_holdout(rows: DataFrame, group: str, key: str, share: float, seed: str
     free = Window.partitionBy(group, forced_train).orderBy(stable_rank(seed, F.col(key)))
     n = F.count("*").over(Window.partitionBy(group))
     return rows.withColumn("split", F.when(forced_train, "train").when(F.row_number().over(free) <= F.floor(n * share), "holdout").otherwise("train"))
+
+
+def quota_then_refill(rows: DataFrame, group: str, source: str, order: list[Column], quota: int, total: int) -> DataFrame:
+    """At most ``total`` rows a group: first up to ``quota`` of each source, spare places go to the next best of all."""
+    own = F.row_number().over(Window.partitionBy(group, source).orderBy(*order))
+    ranked = rows.withColumn("in_quota", own <= quota)
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("in_quota"), *order))).where(F.col("place") <= total)
+
+
+def staged(rows: DataFrame, group: str, key: str, stages: list[tuple[str, Column, list[Column], int]]) -> DataFrame:
+    """A budget filled stage by stage: each takes its best rows (condition, order, number) that no earlier stage took.
+
+    Within a group only the best ``n`` rows of a stage plus all earlier picks can matter, so every stage is one ranked
+    window over what is left and an anti-join with the few picks so far.
+    """
+    picked = None
+    for name, condition, order, n in stages:
+        left = rows.where(condition)
+        if picked is not None:
+            left = left.join(picked.select(group, key), [group, key], "left_anti")
+        place = F.row_number().over(Window.partitionBy(group).orderBy(*order, key))
+        best = left.withColumn("place", place).where(F.col("place") <= n).select(group, key, F.lit(name).alias("stage"), "place")
+        picked = best if picked is None else picked.unionByName(best)
+    return picked
+
+
+def spread(rows: DataFrame, keys: list[str], place: str, n: int) -> DataFrame:
+    """``n`` rows per key at even distances of their place (from 1), all of them if there are no more; first and last are in."""
+    of = F.count("*").over(Window.partitionBy(*keys))
+    spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("_of") - 1) / (n - 1)).cast("long") + 1)
+    return rows.withColumn("_of", of).where((F.col("_of") <= n) | F.array_contains(spots, F.col(place).cast("long"))).drop("_of")
+
+
+def even_hours(rows: DataFrame, keys: list[str], ts: str, key: str, n: int) -> DataFrame:
+    """The earliest row of each hour of a key's day, then ``n`` of these hours evenly spaced."""
+    hour = F.floor(F.col(ts) / 3600)
+    first = rows.groupBy(*keys, F.floor(F.col(ts) / 86400).alias("day"), hour.alias("hour")).agg(F.min_by(key, F.struct(ts, key)).alias(key))
+    place = F.row_number().over(Window.partitionBy(*keys, "day").orderBy("hour"))
+    return spread(first.withColumn("_at", place), [*keys, "day"], "_at", n).drop("_at")
+
+
+def typical_member(rows: DataFrame, key: str, id_: str, ts: str) -> DataFrame:
+    """The representative of each group: near the middle of its order in time, of about median size, not truncated.
+
+    The score of a member is its distance from the middle place as a share of the members, plus the relative difference of
+    its mean side from that of the median box, plus 1 if it is truncated; ties by time and id.
+    """
+    w = Window.partitionBy(key)
+    side = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    mid = rows.groupBy(key).agg(F.sqrt((F.percentile("x1", F.lit(0.5)) - F.percentile("x0", F.lit(0.5))) * (F.percentile("y1", F.lit(0.5)) - F.percentile("y0", F.lit(0.5)))).alias("_mid"))
+    at = F.row_number().over(w.orderBy(ts, id_)) - 1
+    scored = rows.withColumn("_at", at).withColumn("_of", F.count("*").over(w)).join(mid, key)
+    score = F.abs(F.col("_at") - (F.col("_of") - 1) / 2) / F.col("_of") + F.abs(side - F.col("_mid")) / F.greatest("_mid", F.lit(1e-6)) + F.col("truncated").cast("int")
+    return scored.groupBy(key).agg(F.count("*").alias("members"), F.min_by(id_, F.struct(score, F.col(ts), F.col(id_))).alias("representative"))
+
+
+def set_cover(rows: DataFrame, key: str, buckets: str, n: int) -> list:
+    """``n`` keys in the order in which each adds most buckets not covered yet (ties by key): one distributed aggregate and
+    one row to the driver a pick, so ``n`` is a few hundred at most."""
+    covered: set = set()
+    chosen: list = []
+    while len(chosen) < n:
+        gain = F.size(F.array_except(buckets, F.array(*[F.lit(b) for b in sorted(covered)]).cast("array<string>")))
+        left = rows.where(~F.col(key).isin(chosen)) if chosen else rows
+        best = left.select(key, buckets, gain.alias("gain")).agg(F.max_by(F.struct(key, buckets), F.struct(F.col("gain"), -F.col(key))).alias("b")).first()["b"]
+        if best is None:
+            break
+        chosen.append(best[key])
+        covered |= set(best[buckets])
+    return chosen

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lynxframe.operators import blocks
+
 
 def zone_join(observations: DataFrame, zones: DataFrame, inside: Column) -> DataFrame:
-    """Observations with the zones of their stream that hold them. ``zones`` is a configuration table, some rows a stream."""
-    return observations.join(F.broadcast(zones), "stream_id").where(inside)
+    """Observations with the zones of their stream that hold them."""
+    return observations.join(zones, "stream_id").where(inside)
 
 
 def sessions(rows: DataFrame, keys: list[str], ts: str, most_gap: float, tie: str) -> DataFrame:
@@ -28,11 +30,11 @@ def dwell_alerts(rows: DataFrame, keys: list[str], grace: float, threshold: floa
 
 
 def elapsed_evidence(rows: DataFrame, keys: list[str], most_gap: float, tie: str) -> DataFrame:
-    """``evidence_s``: time so far, counting only steps above 0 and up to ``most_gap``."""
-    w = Window.partitionBy(*keys).orderBy("ts_s", tie)
-    step = F.col("ts_s") - F.lag("ts_s").over(w)
+    """``evidence_s``: time so far, counting only steps above 0 and up to ``most_gap``. Keys may be as long as streams are."""
+    stepped = blocks.previous(rows, keys, ["ts_s", tie], ["ts_s"])
+    step = F.col("ts_s") - F.col("prev1_ts_s")
     counted = F.when((step > 0) & (step <= most_gap), step).otherwise(0.0)
-    return rows.withColumn("_step", counted).withColumn("evidence_s", F.sum("_step").over(w)).drop("_step")
+    return blocks.running(stepped, keys, ["ts_s", tie], sums={"evidence_s": counted}).drop("prev1_ts_s")
 
 
 def m_of_n(rows: DataFrame, keys: list[str], hit: Column, m: int, n: int, tie: str) -> DataFrame:
@@ -41,11 +43,22 @@ def m_of_n(rows: DataFrame, keys: list[str], hit: Column, m: int, n: int, tie: s
     return rows.withColumn("hits", F.sum(hit.cast("int")).over(last)).withColumn("confirmed", F.col("hits") >= m)
 
 
-def monotonic(rows: DataFrame, keys: list[str], arrival: str, ts: str = "ts_s") -> DataFrame:
-    """``accepted``: whether a row's clock is later than that of all rows that arrived before; null clocks are not."""
-    before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    high = F.max(ts).over(before)
-    return rows.withColumn("accepted", F.col(ts).isNotNull() & (high.isNull() | (F.col(ts) > high)))
+def monotonic(rows: DataFrame, keys: list[str], arrival: str, ts: str = "ts_s", block: int = 100_000) -> DataFrame:
+    """``accepted``: whether a row's clock is later than that of all rows that arrived before, and ``refused``, why not (no
+    clock, not later). ``arrival`` numbers the rows; so many numbers are a block."""
+    seen = blocks.running(rows, keys, [arrival], highs={"_high": F.col(ts)}, block=F.floor(F.col(arrival) / block))
+    late = F.col("_high").isNotNull() & (F.col(ts) <= F.col("_high"))
+    refused = F.when(F.col(ts).isNull(), "no clock").when(late, "not later")
+    return seen.withColumn("refused", refused).withColumn("accepted", F.col("refused").isNull()).drop("_high")
+
+
+def frozen(rows: DataFrame, keys: list[str], order: list[str], content: str, clock: Column, n: int) -> DataFrame:
+    """``frozen``: whether the last ``n`` rows of the key have one content and their clock stood still."""
+    seen = blocks.previous(rows.withColumn("_clock", clock), keys, order, [content, "_clock"], n=n - 1)
+    same = F.lit(True)
+    for i in range(1, n):
+        same = same & F.coalesce((F.col(f"prev{i}_{content}") == F.col(content)) & (F.col(f"prev{i}__clock") == F.col("_clock")), F.lit(False))
+    return seen.select(*rows.columns, same.alias("frozen"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import frames, metrics, selection, timeline
+from lynxframe.operators import blocks, frames, metrics, selection, timeline
 from lynxframe.sources.fixtures import duck, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,8 +79,9 @@ def roi_filter_gate(spark, sf_dir):
 
 @query(f"SELECT o.stream_id, o.frame_no FROM observations o WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE o.stream_id = z.stream_id AND z.kind = 'exclude' AND {_INSIDE})", "observations", "zones")
 def exclusion_zone_anti(spark, sf_dir):
-    out = _in_zones(spark, sf_dir, "exclude").select("frame_no")
-    return load(spark, sf_dir, "observations").join(out, "frame_no", "left_anti").select("stream_id", "frame_no")
+    zones = load(spark, sf_dir, "zones").where("kind = 'exclude'").select(F.col("stream_id").alias("of"), _polygon().alias("polygon"))
+    seen = load(spark, sf_dir, "observations").select("stream_id", "frame_no", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), "y1")
+    return seen.join(zones, (F.col("stream_id") == F.col("of")) & G.in_polygon(F.col("cx"), F.col("y1"), F.col("polygon")), "left_anti").select("stream_id", "frame_no")
 
 
 _IOU = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0))"
@@ -173,9 +174,9 @@ _STEP = "c AS (SELECT *, captured - lag(captured) OVER w AS dc, published - lag(
 
 
 def _intervals(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("stream_id").orderBy("ts_s", "frame_no")
-    delta = lambda c: F.col(c) - F.lag(c).over(w)
-    return load(spark, sf_dir, "metrics").select("*", delta("captured").alias("dc"), delta("published").alias("dp"), delta("corrupt").alias("dx"), delta("ts_s").alias("dt"))
+    rows = blocks.previous(load(spark, sf_dir, "metrics"), ["stream_id"], ["ts_s", "frame_no"], ["captured", "published", "corrupt", "ts_s"])
+    delta = lambda c: F.col(c) - F.col(f"prev1_{c}")
+    return rows.select("*", delta("captured").alias("dc"), delta("published").alias("dp"), delta("corrupt").alias("dx"), delta("ts_s").alias("dt"))
 
 
 @query(f"AS_ {_STEP} SELECT stream_id, frame_no, CAST(dc AS BIGINT) AS captured, CAST(dp AS BIGINT) AS published, round(CASE WHEN dt > 0 THEN dc / dt END, 6) AS capture_rate, round(CASE WHEN dc > 0 THEN dp / dc END, 6) AS published_share FROM c", "metrics")
@@ -198,8 +199,8 @@ def stream_health(spark, sf_dir):
 
 @query(f"AS_ {_STEP}, h AS (SELECT *, {_HEALTH} AS status FROM c), l AS (SELECT *, lag(status) OVER (PARTITION BY stream_id ORDER BY ts_s, frame_no) AS before FROM h) SELECT stream_id, frame_no, before, status FROM l WHERE before IS DISTINCT FROM status", "metrics")
 def health_changes(spark, sf_dir):
-    before = F.lag("status").over(Window.partitionBy("stream_id").orderBy("ts_s", "frame_no"))
-    return _health(spark, sf_dir).withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("status"))).select("stream_id", "frame_no", "before", "status")
+    rows = blocks.previous(_health(spark, sf_dir).select("stream_id", "ts_s", "frame_no", "status"), ["stream_id"], ["ts_s", "frame_no"], ["status"])
+    return rows.where(~F.col("prev1_status").eqNullSafe(F.col("status"))).select("stream_id", "frame_no", F.col("prev1_status").alias("before"), "status")
 
 
 @query("SELECT stream_id, count(*) AS n, count(DISTINCT track_id) AS tracks, count(*) FILTER (WHERE kind = 'error') AS errors, round(avg(value), 6) AS mean_value, max(frame_no) AS last_frame FROM observations GROUP BY ROLLUP (stream_id)", "observations")
@@ -280,9 +281,8 @@ def identity_dedupe(spark, sf_dir):
 
 @query("AS_ s AS (SELECT frame_id, camera, cell, gray FROM cells), m AS (SELECT camera, cell, median(gray) AS med FROM s GROUP BY 1, 2) SELECT m.camera, m.cell, round(med, 6) AS median_gray, round(greatest(1.4826 * median(abs(gray - med)), 0.01), 6) AS scale FROM s JOIN m ON s.camera = m.camera AND s.cell = m.cell GROUP BY m.camera, m.cell, med", "cells")
 def robust_scale(spark, sf_dir):
-    cells = load(spark, sf_dir, "cells")
-    med = cells.groupBy("camera", "cell").agg(F.median("gray").alias("med"))
-    return cells.join(med, ["camera", "cell"]).groupBy("camera", "cell", "med").agg(F.median(F.abs(F.col("gray") - F.col("med"))).alias("mad")).select("camera", "cell", F.round("med", 6).alias("median_gray"), F.round(F.greatest(1.4826 * F.col("mad"), F.lit(0.01)), 6).alias("scale"))
+    out = metrics.robust_scale(load(spark, sf_dir, "cells"), ["camera", "cell"], "gray", 0.01)
+    return out.select("camera", "cell", F.round("median", 6).alias("median_gray"), F.round("scale", 6).alias("scale"))
 
 
 @query("AS_ l AS (SELECT *, lag(kind) OVER (PARTITION BY track_id ORDER BY ts_s, frame_no) AS before FROM observations) SELECT track_id, frame_no, before, kind FROM l WHERE before IS NOT NULL AND before <> kind", "observations")

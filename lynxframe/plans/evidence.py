@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import tracking
+from lynxframe.operators import blocks, timeline, tracking
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
 from lynxframe.streaming import replay as R
@@ -39,10 +39,8 @@ def confirm_window(spark, sf_dir):
 
 @query("""SELECT stream_id, frame_no, count(*) OVER w = 3 AND min(kind) OVER w = max(kind) OVER w AND max(floor(ts_s / 3600)) OVER w = min(floor(ts_s / 3600)) OVER w AS frozen FROM observations WINDOW w AS (PARTITION BY stream_id ORDER BY ts_s, frame_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""", "observations")
 def frozen_stream(spark, sf_dir):
-    w = Window.partitionBy("stream_id").orderBy("ts_s", "frame_no").rowsBetween(-2, 0)
     clock = F.floor(F.col("ts_s") / 3600)
-    same = (F.count("*").over(w) == 3) & (F.min("kind").over(w) == F.max("kind").over(w)) & (F.max(clock).over(w) == F.min(clock).over(w))
-    return load(spark, sf_dir, "observations").select("stream_id", "frame_no", same.alias("frozen"))
+    return timeline.frozen(load(spark, sf_dir, "observations"), ["stream_id"], ["ts_s", "frame_no"], "kind", clock, 3).select("stream_id", "frame_no", "frozen")
 
 
 @query("SELECT track_id, count(DISTINCT CAST(floor(ts_s / 60) AS BIGINT)) * 60 AS visible_s FROM observations GROUP BY track_id", "observations")
@@ -76,8 +74,9 @@ def tile_plan(spark, sf_dir):
 
 @query("AS_ b AS (SELECT camera, cell, frame_id % 4 AS block, median(gray) AS m FROM cells GROUP BY 1, 2, 3) SELECT camera, cell, round(median(m), 6) AS background FROM b GROUP BY 1, 2", "cells")
 def two_level_median(spark, sf_dir):
-    blocks = load(spark, sf_dir, "cells").groupBy("camera", "cell", (F.col("frame_id") % 4).alias("block")).agg(F.median("gray").alias("m"))
-    return blocks.groupBy("camera", "cell").agg(F.round(F.median("m"), 6).alias("background"))
+    cells = load(spark, sf_dir, "cells").select("camera", "cell", (F.col("frame_id") % 4).alias("block"), "gray")
+    inner = blocks.exact_median(cells, ["camera", "cell", "block"], "gray", "m")
+    return blocks.exact_median(inner, ["camera", "cell"], "m", "background").withColumn("background", F.round("background", 6))
 
 
 @query()
@@ -107,5 +106,5 @@ def stream_user_sessions(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type, epoch_us(date_trunc('hour', ts)) AS hour_us FROM events")
 def stream_first_per_hour(spark, sf_dir):
     hourly = lambda rows: rows.select("user_id", "event_type", F.date_trunc("hour", "ts").alias("ts"))
-    out = _replay(spark, sf_dir, lambda rows: R.once_per_key(hourly(rows), "ts", ["user_id", "event_type"], "60 days"))
+    out = _replay(spark, sf_dir, lambda rows: R.once_per_key(hourly(rows), "ts", ["user_id", "event_type"], "1 day"))
     return out.select("user_id", "event_type", F.unix_micros("ts").alias("hour_us"))

@@ -96,12 +96,12 @@ _PLACED = "sqrt(power((m.x0 + m.x1 - n.x0 - n.x1) / 2, 2) + power((m.y0 + m.y1 -
 _DIAG = ("sqrt((m.x1 - m.x0) * (m.x1 - m.x0) + (m.y1 - m.y0) * (m.y1 - m.y0))", "sqrt((n.x1 - n.x0) * (n.x1 - n.x0) + (n.y1 - n.y0) * (n.y1 - n.y0))")
 
 
-@query(f"""AS_ o AS (SELECT *, row_number() OVER (PARTITION BY camera, scene ORDER BY ts_s, obs_id) AS k FROM sourced WHERE kind <> 'error'),
-f AS (SELECT n.obs_id AS a, m.obs_id AS b FROM o n JOIN o m ON n.camera = m.camera AND n.scene = m.scene AND m.k < n.k AND n.ts_s - m.ts_s <= 172800 AND {_PLACED} <= greatest(400, 0.75 * ({_DIAG[0]} + {_DIAG[1]}) / 2) AND greatest({_DIAG[0]}, {_DIAG[1]}) <= 3 * least({_DIAG[0]}, {_DIAG[1]})),
-g AS (SELECT camera, scene, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS obs_id, NULL::BIGINT AS episode, CAST([] AS STRUCT(id BIGINT, members BIGINT[])[]) AS made FROM (SELECT DISTINCT camera, scene FROM o)
-UNION ALL SELECT n.camera, n.scene, n.k, n.obs_id, coalesce(h.hit, n.obs_id), CASE WHEN h.hit IS NULL THEN list_append(g.made, {{'id': n.obs_id, 'members': [n.obs_id]}}) ELSE list_transform(g.made, lambda x: CASE WHEN x.id = h.hit THEN {{'id': x.id, 'members': list_append(x.members, n.obs_id)}} ELSE x END) END
-FROM g JOIN o n ON n.camera = g.camera AND n.scene = g.scene AND n.k = g.k + 1 LEFT JOIN (SELECT a, list(b) AS fits FROM f GROUP BY a) p ON p.a = n.obs_id,
-LATERAL (SELECT list_filter(g.made, lambda x: len(list_filter(x.members, lambda y: NOT list_contains(coalesce(p.fits, CAST([] AS BIGINT[])), y))) = 0)[1].id AS hit) h)
+@query(f"""AS_ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY camera, scene ORDER BY ts_s, obs_id) AS k FROM sourced WHERE kind <> 'error'),
+f AS MATERIALIZED (SELECT n.obs_id AS a, m.obs_id AS b FROM o n JOIN o m ON n.camera = m.camera AND n.scene = m.scene AND m.k < n.k AND n.ts_s - m.ts_s <= 172800 AND {_PLACED} <= greatest(400, 0.75 * ({_DIAG[0]} + {_DIAG[1]}) / 2) AND greatest({_DIAG[0]}, {_DIAG[1]}) <= 3 * least({_DIAG[0]}, {_DIAG[1]})),
+p AS MATERIALIZED (SELECT a, list(b) AS fits FROM f GROUP BY a), g AS (SELECT camera, scene, CAST(0 AS BIGINT) AS k, NULL::BIGINT AS obs_id, NULL::BIGINT AS episode, CAST([] AS STRUCT(id BIGINT, t DOUBLE, members BIGINT[])[]) AS made FROM (SELECT DISTINCT camera, scene FROM o)
+UNION ALL SELECT n.camera, n.scene, n.k, n.obs_id, coalesce(h.hit, n.obs_id), CASE WHEN h.hit IS NULL THEN list_append(h.live, {{'id': n.obs_id, 't': n.ts_s, 'members': [n.obs_id]}}) ELSE list_transform(h.live, lambda x: CASE WHEN x.id = h.hit THEN {{'id': x.id, 't': x.t, 'members': list_append(x.members, n.obs_id)}} ELSE x END) END
+FROM g JOIN o n ON n.camera = g.camera AND n.scene = g.scene AND n.k = g.k + 1 LEFT JOIN p ON p.a = n.obs_id,
+LATERAL (SELECT list_filter(g.made, lambda x: n.ts_s - x.t <= 172800) AS live, list_filter(g.made, lambda x: len(list_filter(x.members, lambda y: NOT list_contains(coalesce(p.fits, CAST([] AS BIGINT[])), y))) = 0)[1].id AS hit) h)
 SELECT camera, scene, obs_id, episode FROM g WHERE k > 0""", "sourced")
 def episode_candidates(spark, sf_dir):
     rows = load(spark, sf_dir, "sourced").where("kind <> 'error'")

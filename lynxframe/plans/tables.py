@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import metrics, timeline
+from lynxframe.operators import blocks, metrics, timeline
 from lynxframe.operators.selection import stable_rank
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
@@ -111,8 +111,8 @@ def burst_cap(spark, sf_dir):
 
 @query("SELECT stream_id, frame_no, (row_number() OVER (PARTITION BY stream_id ORDER BY conf DESC, frame_no) - 1) // 50 AS batch FROM observations", "observations")
 def batch_slices(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("stream_id").orderBy(F.desc("conf"), "frame_no"))
-    return load(spark, sf_dir, "observations").select("stream_id", "frame_no", F.floor((place - 1) / 50).alias("batch"))
+    placed = blocks.numbered(load(spark, sf_dir, "observations").select("stream_id", "frame_no", "conf"), ["stream_id"], [F.desc("conf"), F.col("frame_no")])
+    return placed.select("stream_id", "frame_no", F.floor((F.col("place") - 1) / 50).alias("batch"))
 
 
 @query("SELECT file_id, CASE WHEN end_s <= 788918400 THEN 'build' WHEN start_s >= 788918400 AND end_s <= 851990400 THEN 'calibration' WHEN start_s >= 851990400 THEN 'blind' ELSE 'crossing' END AS part FROM recordings", "recordings")
@@ -131,6 +131,4 @@ def threshold_choice(spark, sf_dir):
 
 @query("AS_ r AS (SELECT device, label, sum(label) OVER w AS hits, row_number() OVER w AS k FROM scored WINDOW w AS (PARTITION BY device ORDER BY score DESC, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT device, round(sum(label * hits / k) / nullif(sum(label), 0), 6) AS average_precision FROM r GROUP BY device", "scored")
 def average_precision(spark, sf_dir):
-    w = Window.partitionBy("device").orderBy(F.desc("score"), "sample_id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = load(spark, sf_dir, "scored").select("device", "label", F.sum("label").over(w).alias("hits"), F.row_number().over(w).alias("k"))
-    return ranked.groupBy("device").agg(F.round(metrics.ratio(F.sum(F.col("label") * F.col("hits") / F.col("k")), F.sum("label")), 6).alias("average_precision"))
+    return metrics.average_precision(load(spark, sf_dir, "scored"), "device", "sample_id")

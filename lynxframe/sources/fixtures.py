@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lynxframe.operators import blocks
 
 #: name -> (base tables, the same SELECT for both engines but for what stands in braces)
 _SELECT = {
@@ -26,6 +29,11 @@ _TABLES = ("events", "lineitem", "orders", "documents", "labels", "embeddings")
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table, as a lazy plan over the Parquet files."""
+    if name == "metrics":  # running sums over whole streams, in blocks of time
+        error = F.col("kind") == "error"
+        sums = {"captured": F.lit(25), "published": F.when(error, 0).otherwise(24), "corrupt": F.when(error, 1).otherwise(0)}
+        rows = load(spark, sf_dir, "observations").select("stream_id", "ts_s", "frame_no", "kind")
+        return blocks.running(rows, ["stream_id"], ["ts_s", "frame_no"], sums=sums)
     own = {x: load(spark, sf_dir, x) for x in _NEEDS.get(name, [])}
     sql = _SELECT[name].format(**_SPARK)
     own |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql}

@@ -8,46 +8,48 @@ import random
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import graph, metrics, tracking
+from lynxframe.functions import rules as R
+from lynxframe.operators import blocks, gates, graph, joins, metrics, selection, states, tracking
 from lynxframe.plans import catalogue
+from lynxframe.shared import hot_join, hot_keys, salted_join
 from lynxframe.sources import logs, versions
 
 BOXES = "stream_id string, ts_s double, frame_no long, x0 double, y0 double, x1 double, y1 double"
 
 
+def like(a, b):
+    """Score of two boxes, None if they cannot be one object."""
+    w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
+    iou = w * h / union if union > 0 else 0
+    side = max(a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1])
+    far = (((a[0] + a[2] - b[0] - b[2]) ** 2 + (a[1] + a[3] - b[1] - b[3]) ** 2) ** 0.5 / 2 / side) if side > 0 else float("inf")
+    return iou * 2 - far / 4 if iou >= 0.3 or far <= 0.5 else None
+
+
 def plain_tracks(rows, hold):
-    """All rows of a stream at once, tracks as a list of dicts."""
-    out = {}
-    for stream in {r[0] for r in rows}:
-        tracks, own = [], sorted((r for r in rows if r[0] == stream and None not in r), key=lambda r: (r[1], r[2]))
-        for now in sorted({r[1] for r in own}):
-            seen = [r for r in own if r[1] == now]
-            pairs = []
-            for i, t in enumerate(tracks):
-                for j, r in enumerate(seen):
-                    a, b = t["box"], r[3:]
-                    w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
-                    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-                    iou = w * h / union if union > 0 else 0
-                    side = max(a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1])
-                    far = (((a[0] + a[2] - b[0] - b[2]) ** 2 + (a[1] + a[3] - b[1] - b[3]) ** 2) ** 0.5 / 2 / side) if side > 0 else float("inf")
-                    if now - t["last"] <= hold and (iou >= 0.3 or far <= 0.5):
-                        pairs.append((iou * 2 - far / 4, i, j))
-            used_i, used_j = {}, {}
-            for _, i, j in sorted(pairs, reverse=True):
-                if i not in used_i and j not in used_j:
-                    used_i[i], used_j[j] = j, i
-            for j, r in enumerate(seen):
-                if j not in used_j:
-                    tracks.append({"hits": 0})
-                    used_j[j] = len(tracks) - 1
-                t = tracks[used_j[j]]
-                t.update(box=r[3:], last=now, hits=t["hits"] + 1)
-                out[stream, r[2]] = (used_j[j] + 1, t["hits"])
-    return out
+    """The contract: at each instant the best pair of an open track and a free detection is joined until none is left."""
+    names = {}
+    usable = sorted((r for r in rows if None not in r), key=lambda r: (r[0], r[1], r[2]))
+    members = {}  # (stream, number) -> its detections
+    for stream, now in sorted({(r[0], r[1]) for r in usable}):
+        free = [r for r in usable if r[:2] == (stream, now)]
+        fresh = {k: m[-1] for k, m in members.items() if k[0] == stream and now - m[-1][1] <= hold}
+        while pairs := [(s, k, free.index(r), r) for k, last in fresh.items() for r in free if r[2] not in names and (s := like(last[3:], r[3:])) is not None]:
+            _, k, _, r = max(pairs)
+            members[k].append(r)
+            names[r[2]] = (k[1], len(members[k]))
+            del fresh[k]
+        for r in free:
+            if r[2] not in names:
+                k = (stream, sum(x[0] == stream for x in members) + 1)
+                members[k] = [r]
+                names[r[2]] = (k[1], 1)
+    return {(r[0], r[2]): names[r[2]] for r in usable}
 
 
 def test_sparse_tracks(spark):
@@ -129,3 +131,82 @@ def test_streams_read_tables_of_several_files(spark, tmp_path):
         query = catalogue.QUERIES[name]
         one, parts = (sorted(map(tuple, query(spark, at).collect())) for at in ("/root/testdata/sf0.001", str(tmp_path)))
         assert one and parts == one
+
+
+def test_blocks_are_windows(spark):
+    """Rows before, running sums and maxima, ranks and medians in blocks equal plain windows, whatever the blocks."""
+    r = random.Random(5)
+    rows = [(r.choice("abc"), float(r.choice([1, 2, 3, 50, 51, 90, 300])) if r.random() < 0.95 else None, n, r.choice([None, 1, 5, 9])) for n in range(200)]
+    df = spark.createDataFrame(rows, "k string, ts_s double, n long, v long")
+    w = Window.partitionBy("k").orderBy("ts_s", "n")
+    for length in (1.0, 40.0, 1e9):
+        block = blocks.by_time("ts_s", length)
+        got = blocks.previous(df, ["k"], ["ts_s", "n"], ["n", "v"], n=3, block=block).select("n", *[f"prev{i}_{c}" for i in (1, 2, 3) for c in "nv"]).collect()
+        want = df.select("n", *[F.lag(c, i).over(w).alias(f"prev{i}_{c}") for i in (1, 2, 3) for c in "nv"]).collect()
+        assert sorted(map(tuple, got), key=lambda x: x[0]) == sorted(map(tuple, want), key=lambda x: x[0])
+        got = blocks.running(df, ["k"], ["ts_s", "n"], sums={"s": F.col("v")}, highs={"h": F.col("v")}, block=block).select("n", "s", "h").collect()
+        want = df.select("n", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("h")).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    got = blocks.numbered(df.repartition(9), ["k"], [F.desc("ts_s"), F.col("n")], ["n"]).select("n", "place", "of", "sum_n").collect()
+    down = Window.partitionBy("k").orderBy(F.desc("ts_s"), "n")
+    want = df.select("n", F.row_number().over(down).alias("p"), F.count("*").over(Window.partitionBy("k")).alias("of"), F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("s")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    got, want = dict(blocks.exact_median(df, ["k"], "v").collect()), dict(df.groupBy("k").agg(F.median("v")).collect())
+    assert got == want and blocks.exact_median(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_hot_joins_lose_no_row(spark):
+    rows = spark.createDataFrame([(1 if n % 3 else n, n) for n in range(3000)] + [(None, -1)], "k long, n long")
+    other = spark.createDataFrame([(k, k * 2) for k in range(0, 3000, 2)] + [(1, 2)], "k long, v long")
+    hot = hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")))
+    assert [x.k for x in hot.collect()] == [1]
+    want = sorted(map(tuple, rows.join(other, "k").select("k", "n", "v").collect()))
+    assert sorted(map(tuple, hot_join(rows, other, ["k"], hot).select("k", "n", "v").collect())) == want
+    assert sorted(map(tuple, salted_join(rows, other, ["k"], hot, ["n"]).select("k", "n", "v").collect())) == want
+    assert hot_join(rows, other, ["k"], hot, "left").count() == 3001
+
+
+def test_inventory(spark):
+    """An item is created, seen, verified clean without pauses, cleared and made anew; a sighting restarts the clock."""
+    box, far = (0.0, 0.0, 2.0, 2.0), (50.0, 0.0, 52.0, 2.0)
+    said = [(0, box, False), (1, box, False), (2, box, True), (3, box, False), (4, box, True), (9, box, True), (10, box, True), (11, box, True), (13, box, True), (14, box, True), (15, box, False), (16, far, True)]
+    rows = [("c", float(t), t, *b, clean) for t, b, clean in said]
+    out = states.inventory(spark.createDataFrame(rows, "stream_id string, ts_s double, frame_no long, x0 double, y0 double, x1 double, y1 double, clean boolean"), "stream_id", ["ts_s", "frame_no"], clear_after=3.0, most_gap=2.0)
+    assert [(x.item, x.outcome) for x in sorted(out.collect(), key=lambda x: x.ts_s)] == [
+        (0, "created"), (0, "present"), (0, "verifying"), (0, "present"), (0, "verifying"), (0, "verifying"), (0, "verifying"), (0, "verifying"), (0, "cleared"), (None, "no item"), (15, "created"), (None, "no item"),
+    ]
+
+
+def test_ground_tracks(spark):
+    """Confirmed once, after enough hits and time and little motion; a long pause or a far box is another object."""
+    spots = [(0, 0.0), (2, 0.01), (4, 0.0), (5, 0.0), (6, 0.5), (20, 0.0), (21, 0.3)]
+    rows = spark.createDataFrame([("c", float(t), n, x, 0.0) for n, (t, x) in enumerate(spots)], "s string, ts_s double, n long, cx double, cy double")
+    out = sorted(states.ground_tracks(rows, "s", ["ts_s", "n"], lost=5.0, near=0.1, hold=4.0, least_hits=3, most_motion=0.05).collect(), key=lambda x: x.n)
+    assert [(x.object, x.hits, x.confirmed) for x in out] == [(0, 1, False), (0, 2, False), (0, 3, True), (0, 4, False), (4, 1, False), (5, 1, False), (6, 1, False)]
+
+
+def test_votes_and_budget(spark):
+    reads = spark.createDataFrame([("t", n, v) for n, v in enumerate(["A", "A", "A", "B", None, "B", "B"])], "k string, n long, v string")
+    out = sorted(states.majority_votes(reads, ["k"], ["n"], "v").collect(), key=lambda x: x.n)
+    assert [(x.candidate, x.votes, x.confirmed) for x in out] == [("A", 1, None), ("A", 2, "A"), ("A", 3, "A"), ("A", 3, "A"), ("A", 3, "A"), ("B", 3, "B")]
+    asked = spark.createDataFrame([("t", float(t), t) for t in (0, 10, 30, 40, 60, 90, 3600, 3601, 3640)], "k string, ts_s double, n long")
+    out = sorted(states.hourly_budget(asked, "k", ["ts_s", "n"], most=3, interval=30.0).collect(), key=lambda x: x.n)
+    assert [x.n for x in out if x.accepted] == [0, 30, 60, 3600, 3640]
+
+
+def test_intervals_and_gates(spark):
+    points = spark.createDataFrame([("c", t) for t in (-5.0, 0.0, 10.0, 15.0, 30.0, 99.0)], "k string, at double")
+    spans = spark.createDataFrame([("c", 0.0, 10.0, 1), ("c", 12.0, 30.0, 2), ("c", 14.0, 20.0, 3)], "k string, a double, b double, id long")
+    out = sorted(joins.in_interval(points, spans, ["k"], "at", "a", "b", "id", band=8.0).collect(), key=lambda x: x["at"])
+    assert [(x.n, x.span, x.status) for x in out] == [(0, None, "expired"), (1, 1, "found"), (0, 1, "at end"), (2, 2, "several"), (0, 2, "at end"), (0, None, "missing")]
+    gates.require(spans.where("b < a"), "interval")
+    with pytest.raises(ValueError, match="interval"):
+        gates.require(spans.where("id = 2"), "interval")
+    ranks = spark.createDataFrame([(1,), (7,)], "r long")
+    with pytest.raises(Exception, match="outside all bands"):
+        ranks.select(R.rank_band(F.col("r"), [("top", 1, 5)])).collect()
+
+
+def test_set_cover(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b", "c"]), (3, ["d"]), (4, ["c", "d"])], "id long, b array<string>")
+    assert selection.set_cover(rows, "id", "b", 3) == [2, 3, 1] and selection.set_cover(rows, "id", "b", 9) == [2, 3, 1, 4]
