@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lynxframe.llm import words as W
-from lynxframe.llm.common import NO_ID, Scratch, digest, hot_join, hot_keys, lean, text_or_empty
+from lynxframe.llm.common import NO_ID, Scratch, digest, hot_keys, lean, salted_join, text_or_empty
 
 SEEDS = "text_key long, seed long"
 WINDOWS = "oid long, text_key long, h1 long, h2 long, at array<int>"
@@ -100,7 +100,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
         repeated = scratch.save(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
         if marks is not None:
             scratch.drop(marks)
-        marks = scratch.save(hot_join(found, repeated.select("seed"), ["seed"], hot_keys(repeated)).groupBy("text_key").agg(F.collect_list("seed").alias("seeds")))
+        marks = scratch.save(salted_join(found, repeated.select("seed"), ["seed"], hot_keys(repeated), ["text_key"]).groupBy("text_key").agg(F.collect_list("seed").alias("seeds")))
         scratch.drop(found, repeated)
         before = length
         if marks.isEmpty():
@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -
         scratch.drop(marks)
     first = long.groupBy("h1", "h2").agg(F.min("oid").alias("first_oid"), F.max("oid").alias("last_oid"), F.count("*").alias("n")).where("first_oid < last_oid")
     first = scratch.save(first.select("h1", "h2", "first_oid", "n"))
-    hits = hot_join(long, first.select("h1", "h2", "first_oid"), ["h1", "h2"], hot_keys(first)).where("oid > first_oid").select("oid", "text_key", "at")
+    hits = salted_join(long, first.select("h1", "h2", "first_oid"), ["h1", "h2"], hot_keys(first), ["oid", "text_key"]).where("oid > first_oid").select("oid", "text_key", "at")
     hits = scratch.save(hits.groupBy("oid", "text_key").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("hits")))
     scratch.drop(long, first)
 
