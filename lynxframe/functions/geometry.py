@@ -167,3 +167,8 @@ def in_polygon(x: Column, y: Column, polygon: Column, edge_inside: bool = True)
     odd = F.size(F.filter(edges, crosses)) % 2 == 1
     on = F.exists(edges, touches)
     return (on | odd) if edge_inside else (odd & ~on)
+
+
+def overrides(event: Column, b: Column) -> Column:
+    """Whether a confirmed event's box stands for a detected one: they overlap, or one holds the other's centre."""
+    return (overlap(event, b) > 0) | contains(event, centre_x(b), centre_y(b)) | contains(b, centre_x(event), centre_y(event))

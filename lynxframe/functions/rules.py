@@ -150,3 +150,9 @@ def median_residual(a: Column, b: Column) -> Column:
     gaps = F.array_sort(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), lambda v: v.isNotNull()))
     n = F.size(gaps)
     return F.when(n > 0, (F.element_at(gaps, F.floor((n + 1) / 2).cast("int")) + F.element_at(gaps, (F.floor(n / 2) + 1).cast("int"))) / 2)
+
+
+def usable(at: Column, now: Column, epoch: Column, current: Column, held: Column, conf: Column, most_age: float, ahead: float = 0.05) -> Column:
+    """Whether an observation may steer: of the current view, measured, not from the future, not too old, with confidence.
+    What is unknown is not usable."""
+    return F.coalesce((epoch == current) & ~held & (at <= now + ahead) & (now - at <= most_age) & (conf > 0), F.lit(False))

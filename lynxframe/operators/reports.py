@@ -67,3 +67,15 @@ def isolated(cells: DataFrame, frame: str, columns: int) -> DataFrame:
     asked = own.select(frame, "cell", around.alias("_n")).select(frame, "cell", "_n.*")
     met = asked.join(own.select(frame, "_x", "_y", F.lit(1).alias("_hit")), [frame, "_x", "_y"])
     return own.select(frame, "cell").join(met.groupBy(frame, "cell").agg(F.count("*").alias("around")), [frame, "cell"], "left").na.fill(0, ["around"])
+
+
+def phase_report(artifacts: dict[str, tuple[DataFrame, list[list[str]]]]) -> DataFrame:
+    """Counts of several tables in one: ``artifact``, ``by`` (the columns of a set, comma-joined; '' for all rows), ``value``
+    (their values, bar-joined, '-' for null), ``n``. One pass a table; counts are made before the shuffle."""
+    out = None
+    for name, (rows, sets) in artifacts.items():
+        shown = lambda s: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in s]) if s else F.lit("")
+        each = F.explode(F.array(*[F.struct(F.lit(",".join(s)).alias("by"), shown(s).alias("value")) for s in [[], *sets]])).alias("s")
+        one = rows.select(each).groupBy(F.lit(name).alias("artifact"), "s.by", "s.value").agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out

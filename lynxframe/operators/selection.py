@@ -97,3 +97,22 @@ def set_cover(rows: DataFrame, key: str, buckets: str, n: int) -> list:
         chosen.append(best[key])
         covered |= set(best[buckets])
     return chosen
+
+
+def evenly_spaced(rows: DataFrame, key: str, at: str, id_: str, n: int) -> DataFrame:
+    """``n`` rows a key, each the free one nearest to the middle of one of ``n`` equal parts of its time span, in order of the
+    parts; all rows of a key that has no more. Ties by time, then id. Returns key, id, slot (null where all are taken).
+
+    Of the n rows nearest to an instant at most n - 1 are taken before, so these are all that a slot may need; they are
+    found by a limited rank, which Spark cuts before the shuffle, and a key's n * n candidates are folded in one row.
+    """
+    span = rows.groupBy(key).agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.count("*").alias("_n"))
+    wide = rows.select(key, at, id_).join(span, key)
+    few = wide.where(F.col("_n") <= n).select(key, id_, F.lit(None).cast("int").alias("slot"))
+    asked = wide.where(F.col("_n") > n).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    off = F.abs(F.col(at) - (F.col("_low") + (F.col("_slot") + 0.5) * (F.col("_high") - F.col("_low")) / n))
+    nearest = F.row_number().over(Window.partitionBy(key, "_slot").orderBy("_off", at, id_))
+    near = asked.withColumn("_off", off).withColumn("_r", nearest).where(F.col("_r") <= n)
+    listed = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_slot").alias("slot"), F.col("_r").alias("r"), F.col(id_).alias("id")))).alias("_all"))
+    taken = F.aggregate("_all", F.slice("_all", 1, 0), lambda m, e: F.when(F.exists(m, lambda k: (k.slot == e.slot) | (k.id == e.id)), m).otherwise(F.concat(m, F.array(e))))
+    return listed.select(key, F.explode(taken).alias("_t")).select(key, F.col("_t.id").alias(id_), F.col("_t.slot").alias("slot")).unionByName(few)
