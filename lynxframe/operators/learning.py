@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynxframe.functions.rules import dot
+from lynxframe.shared import Scratch
 
 
 class Head(NamedTuple):
@@ -53,7 +54,7 @@ def moments(rows: DataFrame, vector: str) -> tuple[list[float], list[float]]:
     return [r.m for r in found], [r.s for r in found]
 
 
-def fit(rows: DataFrame, vector: str, label: str, regularisation: float = 0.01) -> Head:
+def fit(rows: DataFrame, vector: str, label: str, regularisation: float = 0.01, rounds: int = 30) -> Head:
     """A logistic head on standardised unit vectors; both classes have the same weight in all. Rows without a label are
     left out; one class alone is an error."""
     known = rows.where(F.col(label).isNotNull())
@@ -65,14 +66,14 @@ def fit(rows: DataFrame, vector: str, label: str, regularisation: float = 0.01)
     scaled = F.zip_with(F.zip_with(unit(F.col(vector)), lit(mean), lambda x, m: x - m), lit([max(s, 1e-3) for s in std]), lambda x, s: x / s)
     weight = F.when(F.col(label).cast("int") == 1, n[0] / n[1]).otherwise(1.0)
     ready = known.select(array_to_vector(scaled).alias("features"), F.col(label).cast("double").alias("label"), weight.alias("weight"))
-    model = LogisticRegression(weightCol="weight", regParam=regularisation, standardization=False, maxIter=100).fit(ready)
+    model = LogisticRegression(weightCol="weight", regParam=regularisation, standardization=False, maxIter=rounds, tol=1e-4).fit(ready)
     return Head(model.coefficients.toArray().tolist(), float(model.intercept), mean, std)
 
 
 def held_out(rows: DataFrame, vector: str, label: str, group: str, most_groups: int = 200) -> tuple[DataFrame, list[Head]]:
     """``rows`` with ``score`` by a head fitted on all other groups, and those heads. A fit each group, so more than
     ``most_groups`` is an error. Groups without a positive row, or whose rest lacks one, get no head and a null score."""
-    known = rows.where(F.col(label).isNotNull())
+    known = Scratch(rows.sparkSession, "heads").save(rows.where(F.col(label).isNotNull()).select(group, label, vector))
     by = sorted(known.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("p")).limit(most_groups + 1).collect(), key=lambda r: str(r[0]))
     if len(by) > most_groups:
         raise ValueError(f"more than {most_groups} groups of {group}")
