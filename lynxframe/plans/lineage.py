@@ -165,4 +165,4 @@ def linear_head_scores(spark, sf_dir):
 def held_out_scores(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), "embedding")
     rows = load(spark, sf_dir, "scored").drop("score").join(vectors, "sample_id")
-    return learning.held_out(rows, "embedding", "label", "device")[0].select("sample_id", "device", "label", F.round("score", 4).alias("score"))
+    return learning.held_out(rows, "embedding", "label", "lang")[0].select("sample_id", "lang", "label", F.round("score", 4).alias("score"))
