@@ -156,3 +156,11 @@ def usable(at: Column, now: Column, epoch: Column, current: Column, held: Column
     """Whether an observation may steer: of the current view, measured, not from the future, not too old, with confidence.
     What is unknown is not usable."""
     return F.coalesce((epoch == current) & ~held & (at <= now + ahead) & (now - at <= most_age) & (conf > 0), F.lit(False))
+
+
+def capped_score(*rules: tuple[Column, int], most: int = 100) -> Column:
+    """Points of all rules whose condition holds, at most ``most``; an unknown condition gives none."""
+    total = F.lit(0)
+    for condition, points in rules:
+        total = total + F.when(condition, points).otherwise(0)
+    return F.least(total, F.lit(most))

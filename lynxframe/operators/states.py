@@ -262,3 +262,19 @@ def inventory(rows: DataFrame, key: str, order: list[str], clear_after: float, m
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in order)
     kind = rows.schema[order[1]].dataType.simpleString()
     return walk(rows, [key], order, [*order, "x0", "y0", "x1", "y1", "clean"], list, step, f"{types}, item {kind}, outcome string")
+
+
+def visit_alerts(rows: DataFrame, keys: list[str], order: list[str], visit: str, score: str, least: int, cooldown: float) -> DataFrame:
+    """Rows (``keys`` and ``order``, a clock first) at which an alert goes out: the score reaches ``least``, the visit has had
+    none, and the key's last one is at least ``cooldown`` ago. Rows below ``least`` or without a clock never travel."""
+    high = rows.where((F.col(score) >= least) & F.col(order[0]).isNotNull())
+
+    def step(state, row):
+        done, last = state
+        of, now = row[0], row[1]
+        alert = of != done and (last is None or now - last >= cooldown)
+        return ((of, now) if alert else state), (*row, alert)
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in dict.fromkeys([visit, *order])]
+    out = walk(high, keys, order, [k.split()[0] for k in kinds], lambda: (None, None), step, ", ".join([*kinds, "alert boolean"]))
+    return out.where("alert").drop("alert")

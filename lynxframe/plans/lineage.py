@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
 from lynxframe.functions import rules as R
-from lynxframe.operators import events, frames, learning, lineage, reports, selection
-from lynxframe.plans.catalogue import _IOU, _UNION, _box, query, six, six_sql
+from lynxframe.operators import events, frames, learning, lineage, reports, selection, states, timeline
+from lynxframe.plans.catalogue import _INSIDE, _IOU, _UNION, _box, _in_zones, query, six, six_sql
 from lynxframe.plans.links import folded
 from lynxframe.sources import listing
 from lynxframe.sources.fixtures import load
@@ -166,3 +167,25 @@ def held_out_scores(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), "embedding")
     rows = load(spark, sf_dir, "scored").drop("score").join(vectors, "sample_id")
     return learning.held_out(rows, "embedding", "label", "lang")[0].select("sample_id", "lang", "label", F.round("score", 4).alias("score"))
+
+
+_VISITS = f"""AS_ seen AS (SELECT o.*, z.zone_id FROM observations o JOIN zones z ON o.stream_id = z.stream_id AND z.kind = 'roi' AND {_INSIDE}),
+s AS (SELECT *, CASE WHEN ts_s - lag(ts_s) OVER w > 86400 THEN 1 ELSE 0 END AS fresh FROM seen WINDOW w AS (PARTITION BY stream_id, zone_id, track_id ORDER BY ts_s, frame_no)),
+v AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY stream_id, zone_id, track_id ORDER BY ts_s, frame_no) AS BIGINT) AS visit FROM s),
+p AS (SELECT *, ts_s - min(ts_s) OVER (PARTITION BY stream_id, zone_id, track_id, visit) AS dwell, max(x0) OVER w - min(x0) OVER w AS span FROM v WINDOW w AS (PARTITION BY stream_id, zone_id, track_id, visit ORDER BY ts_s, frame_no))"""
+
+
+@query(f"""{_VISITS}, h AS (SELECT *, row_number() OVER (PARTITION BY stream_id, zone_id, track_id ORDER BY ts_s, frame_no) AS k FROM p WHERE CASE WHEN dwell >= 3600 THEN 40 ELSE 0 END + CASE WHEN dwell >= 21600 AND span <= 0.3 THEN 20 ELSE 0 END + CASE WHEN conf >= 0.5 THEN 20 ELSE 0 END >= 60),
+g AS (SELECT stream_id, zone_id, track_id, k, frame_no, visit, CAST(-1 AS BIGINT) AS done, CAST(NULL AS DOUBLE) AS last, true AS alert, ts_s FROM h WHERE k = 1 UNION ALL
+SELECT h.stream_id, h.zone_id, h.track_id, h.k, h.frame_no, h.visit, CASE WHEN g.alert THEN g.visit ELSE g.done END, CASE WHEN g.alert THEN g.ts_s ELSE g.last END, h.visit <> CASE WHEN g.alert THEN g.visit ELSE g.done END AND h.ts_s - CASE WHEN g.alert THEN g.ts_s ELSE g.last END >= 259200, h.ts_s
+FROM g JOIN h ON h.stream_id = g.stream_id AND h.zone_id = g.zone_id AND h.track_id = g.track_id AND h.k = g.k + 1)
+SELECT stream_id, zone_id, track_id, visit, frame_no FROM g WHERE alert""", "observations", "zones")
+def visit_risk_alerts(spark, sf_dir):
+    keys = ["stream_id", "zone_id", "track_id"]
+    visits = timeline.sessions(_in_zones(spark, sf_dir, "roi"), keys, "ts_s", 86400, "frame_no").withColumn("visit", F.col("session").cast("long"))
+    so_far = Window.partitionBy(*keys, "visit").orderBy("ts_s", "frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    dwell, span = F.col("ts_s") - F.min("ts_s").over(so_far), F.max("x0").over(so_far) - F.min("x0").over(so_far)
+    rows = visits.select("*", dwell.alias("dwell"), span.alias("span"))
+    score = R.capped_score((F.col("dwell") >= 3600, 40), ((F.col("dwell") >= 21600) & (F.col("span") <= 0.3), 20), (F.col("conf") >= 0.5, 20))
+    out = states.visit_alerts(rows.withColumn("score", score), keys, ["ts_s", "frame_no"], "visit", "score", 60, 259200)
+    return out.select(*keys, "visit", "frame_no")

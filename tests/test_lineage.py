@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lynxframe.operators import events, learning, lineage, reports, selection
+from lynxframe.operators import events, learning, lineage, reports, selection, states
 from lynxframe.sources import listing, truth, versions
 
 
@@ -151,3 +151,9 @@ def test_phase_report_counts_nulls_and_all(spark):
     rows = spark.createDataFrame([("x", 1), (None, 1)], "k string, n int")
     out = {tuple(r) for r in reports.phase_report({"t": (rows, [["k", "n"]])}).collect()}
     assert out == {("t", "", "", 2), ("t", "k,n", "x|1", 1), ("t", "k,n", "-|1", 1)}
+
+
+def test_one_alert_a_visit_and_none_in_the_cooldown(spark):
+    rows = [("a", 1, 0.0, 50), ("a", 1, 1.0, 60), ("a", 1, 2.0, 99), ("a", 2, 5.0, 70), ("a", 2, 11.0, 70), ("a", 2, 40.0, 70), ("b", 1, 3.0, 60), ("b", 1, None, 90)]
+    out = states.visit_alerts(spark.createDataFrame(rows, "k string, visit int, t double, score int"), ["k"], ["t"], "visit", "score", 60, 10.0)
+    assert sorted((r.k, r.visit, r.t) for r in out.collect()) == [("a", 1, 1.0), ("a", 2, 11.0), ("b", 1, 3.0)]
