@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynxframe.llm import chat, decontamination, lines, packing, quality, sharding, simhash, substrings, tokens, warc
+from lynxframe.llm import chat, decontamination, lines, packing, quality, ranking, sharding, simhash, substrings, tokens, warc
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -59,6 +59,10 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.response_records(read(spark, sf_dir, "pages")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,5 +71,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_sharding, op6_quality_rules, op7_decontamination, op8_chat_formatting, op9_simhash_dedup, op10_warc_derivatives, pipeline)
+    for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_sharding, op6_quality_rules, op7_decontamination, op8_chat_formatting, op9_simhash_dedup, op10_warc_derivatives, op11_ranked_search, pipeline)
 }
