@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynxframe.llm import chat, decontamination, lines, packing, quality, ranking, sharding, simhash, substrings, tokens, warc
+from lynxframe.llm import chat, classifier, collocations, decontamination, lines, packing, quality, ranking, sharding, simhash, substrings, tokens, warc
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -63,6 +63,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,5 +79,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_sharding, op6_quality_rules, op7_decontamination, op8_chat_formatting, op9_simhash_dedup, op10_warc_derivatives, op11_ranked_search, pipeline)
+    for f in (op1_best_fit_packing, op2_token_counts, op3_substring_dedup, op4_line_dedup, op5_sharding, op6_quality_rules, op7_decontamination, op8_chat_formatting, op9_simhash_dedup, op10_warc_derivatives, op11_ranked_search, op12_quality_classifier, op13_collocations, pipeline)
 }
