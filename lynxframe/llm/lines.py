@@ -70,25 +70,47 @@ def runs(lines: list[int], words: list[int], least_words: int) -> list[tuple[int
     return [(xxhash.xxh64_intdigest(keys[i:j].tobytes()) - (1 << 63), i, j) for i, j in sorted(found)]
 
 
-def common_blocks(a: list[int], runs_of_a: set[int], b: list[int], words_b: list[int], least_words: int) -> list[int]:
-    """Places of the lines of b in blocks that a has too. A block: lines that follow on in both, ``least_words`` words or
-    more, from a line with words to a line with words.
-
-    The blocks are those of the patience alignment; where its anchors pass a common run by, as when blocks change places
-    or lines recur, the two are aligned at that run as well.
-    """
-    gone: set[int] = set()
+def _blocks(pairs: list[tuple[int, int]], words_b: list[int], least_words: int) -> set[int]:
+    """Places of b in the blocks of an alignment: pairs that follow on in both, ``least_words`` words or more, from a line
+    with words to a line with words."""
+    out: set[int] = set()
     block: list[tuple[int, int]] = []
-    for pair in [*patience(a, b), (-9, -9)]:
+    for pair in [*pairs, (-9, -9)]:
         if block and (pair[0] != block[-1][0] + 1 or pair[1] != block[-1][1] + 1):
             worded = [y for _, y in block if words_b[y]]
             if sum(words_b[y] for y in worded) >= least_words:
-                gone.update(range(worded[0], worded[-1] + 1))
+                out.update(range(worded[0], worded[-1] + 1))
             block = []
         block.append(pair)
+    return out
+
+
+def common_blocks(a: list[int], words_a: list[int], b: list[int], words_b: list[int], least_words: int) -> list[int]:
+    """Places of the lines of b in common blocks of an alignment with a. A block: lines that follow on in both,
+    ``least_words`` words or more, from a line with words to a line with words.
+
+    First both are aligned whole. An alignment keeps the order of both, so it passes blocks by that changed places, that b
+    has once more or whose lines recur; where b still has a run of lines that a has, the stretch of b around it that is
+    left is aligned again with a from that run's place on, forwards and backwards. The runs only say where; what goes are
+    the blocks that patience aligns.
+    """
+    gone = _blocks(patience(a, b), words_b, least_words)
+    place: dict[int, int] = {}
+    for key, i, _ in runs(a, words_a, least_words):
+        place.setdefault(key, i)
     for key, i, j in runs(b, words_b, least_words):
-        if key in runs_of_a and not gone.issuperset(range(i, j)):
-            gone.update(range(i, j))
+        at = place.get(key)
+        if at is None or gone.issuperset(range(i, j)):
+            continue
+        low, high = i, j
+        while low and low - 1 not in gone:
+            low -= 1
+        while high < len(b) and high not in gone:
+            high += 1
+        from_a = max(at - (i - low), 0)
+        before = [(x + from_a, y + low) for x, y in patience(a[from_a:at], b[low:i])]
+        after = [(x + at, y + i) for x, y in patience(a[at : at + high - i], b[i:high])]
+        gone |= _blocks([*before, *after], words_b, least_words)
     return sorted(gone)
 
 
@@ -129,16 +151,16 @@ def removed_lines(base: DataFrame, scratch: Scratch, least_words: int) -> DataFr
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [batch.column(n).to_pylist() for n in ("alines", "aruns", "blines", "bwords")]
-            gone = [common_blocks(a, set(r), b, w, least_words) for a, r, b, w in zip(*c, strict=True)]
+            c = [batch.column(n).to_pylist() for n in ("alines", "awords", "blines", "bwords")]
+            gone = [common_blocks(*x, least_words) for x in zip(*c, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("boid"), batch.column("btie"), pa.array(gone, pa.list_(pa.int32()))], ["oid", "tie", "gone"])
 
-    left = docs.select(F.col("oid").alias("aoid"), F.col("tie").alias("atie"), F.col("lines").alias("alines"), F.col("runs").alias("aruns"))
+    left = docs.select(F.col("oid").alias("aoid"), F.col("tie").alias("atie"), F.col("lines").alias("alines"), F.col("words").alias("awords"))
     right = docs.select(F.col("oid").alias("boid"), F.col("tie").alias("btie"), F.col("lines").alias("blines"), F.col("words").alias("bwords"))
     # A document that came first with a frequent run is asked for by very many.
     hot = hot_keys(pairs.groupBy("aoid", "atie").agg(F.count("*").alias("n")))
     both = salted_join(pairs.join(right.hint("merge"), ["boid", "btie"]), left, ["aoid", "atie"], hot, ["boid", "btie"])
-    cut = scratch.save(both.select("boid", "btie", "alines", "aruns", "blines", "bwords").mapInArrow(lean(align, 500), "oid long, tie long, gone array<int>").where("size(gone) > 0"))
+    cut = scratch.save(both.select("boid", "btie", "alines", "awords", "blines", "bwords").mapInArrow(lean(align, 500), "oid long, tie long, gone array<int>").where("size(gone) > 0"))
     gone = cut.select("oid", "tie", F.explode("gone").alias("g")).distinct().groupBy("oid", "tie").agg(F.array_sort(F.collect_list("g")).alias("gone"))
     return scratch.save(gone)
 
@@ -148,10 +170,12 @@ def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
 
     Lines are compared with white space runs taken as one space. A block is a run of adjacent lines with ``least_words``
     words or more, from a line with words to a line with words. Documents overlap where they share the hash of such a
-    line or run of lines; each holder is paired with the first document that has it, so a frequent line gives one pair a
-    holder and no two holders of a rare one are left apart. Each pair is aligned with patience diff, and the aligned
-    common blocks are deleted from the document with the larger doc_id; blocks that the alignment passes by are aligned
-    by themselves. So a document loses just the lines of its blocks that an earlier document has too. All is judged on the
+    line or run of lines, which is rare as most lines are: of all holders of one each is paired with the first document
+    that has it, so a frequent line gives one pair a holder and no two holders of a rare one are left apart. Each pair is
+    aligned with patience diff, and the aligned common blocks are deleted from the document with the larger doc_id; where
+    blocks changed places or recur, the pair is aligned again at the runs that are left. A hash look-up of runs alone would
+    delete nothing else here, but that rests on the alignments: a run of equal hash that does not align stays. All is
+    judged on the
     input.
 
     Returns the input's columns, with ``text`` without the deleted lines, and n_lines, n_removed (long) after them.

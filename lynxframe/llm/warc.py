@@ -94,25 +94,69 @@ def serialize(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(lower-case header fields, block) of the records of a WARC file, plain or gzip by record."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:
-            unzip = zlib.decompressobj(31)
+def _unzipped(data: bytes) -> tuple[bytes, int]:
+    """The members of a gzip file in a row, and how many are broken; a broken one gives what could be read of it."""
+    plain, broken = [], 0
+    while data:
+        unzip = zlib.decompressobj(31)
+        try:
             plain.append(unzip.decompress(data))
-            data = unzip.unused_data
-        data = b"".join(plain)
+            rest = unzip.unused_data
+            broken += not unzip.eof
+        except zlib.error:
+            broken += 1
+            # On to the next head of a member.
+            unzip, rest = zlib.decompressobj(31), data[1:]
+            plain.append(_readable(data))
+        start = rest.find(b"\x1f\x8b\x08")
+        if start < 0:
+            break
+        data = rest[start:]
+    return b"".join(plain), broken
+
+
+def _readable(data: bytes, step: int = 1024) -> bytes:
+    """What a broken member gives up to where it breaks."""
+    unzip, out = zlib.decompressobj(31), []
+    try:
+        for k in range(0, len(data), step):
+            out.append(unzip.decompress(data[k : k + step]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def parse_records(data: bytes, skipped: list[str] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(lower-case header fields, block) of the records of a WARC file, plain or gzip by record.
+
+    A record without a length that is a number, or with less left than its length, is left out, as are bytes between
+    records; reading goes on at the next record head (``WARC/`` at the start of a line). Of broken gzip members the
+    readable part is taken. What was left out is named in ``skipped``.
+    """
+    skipped = [] if skipped is None else skipped
+    if data[:2] == b"\x1f\x8b":
+        data, broken = _unzipped(data)
+        skipped += ["broken gzip member"] * broken
+    heads = re.compile(rb"(?:^|(?<=\n))WARC/")
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
+    while m := heads.search(data, at):
+        at = m.start()
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
+            skipped.append("no end of head")
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields.get("content-length", "0"))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = fields.get("content-length", "0")
+        if not re.fullmatch("[0-9]{1,18}", size):
+            skipped.append("length is no number")
+            at += 5
+        elif end + 4 + int(size) > len(data):
+            skipped.append("shorter than its length")
+            at += 5
+        else:
+            at = end + 4 + int(size)
+            yield fields, data[end + 4 : at]
 
 
 def response_records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:

@@ -115,6 +115,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(spark.createDataFrame([(1, None), (2, bytearray(b"no record"))], "page_id long, record binary")).count() == 0
 
 
+def test_broken_records_are_named_and_passed_by(spark, tmp_path):
+    good = [warc.serialize([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:{k}>")], warc.http_block(b"<p>text %d WARC/ in it" % k)) for k in range(4)]
+    no_number = good[1].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    data = b"noise\r\n" + good[0] + no_number + b"\r\nnoise\r\n" + good[2] + b"WARC/1.1\r\nContent-Length: 99999\r\n\r\nshort\r\n" + good[3] + b"WARC/1.1\r\nno end"
+    skipped = []
+    found = [f["warc-record-id"] for f, _ in warc.parse_records(data, skipped)]
+    assert found == ["<urn:0>", "<urn:2>", "<urn:3>"] and skipped == ["length is no number", "shorter than its length", "no end of head"]
+    zipped = [gzip.compress(x) for x in good]
+    broken = bytearray(zipped[1])
+    broken[14:20] = b"\xff" * 6
+    skipped = []
+    found = [f["warc-record-id"] for f, _ in warc.parse_records(zipped[0] + bytes(broken) + zipped[2] + zipped[3][:-12], skipped)]
+    assert {"<urn:0>", "<urn:2>"} <= set(found) and skipped.count("broken gzip member") == 2
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(data)
+    assert warc.derivatives(warc.read_warc(spark, str(tmp_path / "w"))).count() == 6
+    assert warc.derivatives(spark.createDataFrame([(1, bytearray(no_number)), (2, bytearray(good[0]))], "page_id long, record binary")).count() == 2
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "word other third " * 7000
+    pages = spark.createDataFrame([(1, "u", f"<p>{long}", "x", 5, b"r")], "page_id long, url string, html string, record_type string, content_length long, record binary")
+    out = {x.record_type: bytes(x.block).decode() for x in warc.derivatives(warc.response_records(pages)).collect()}
+    assert out["conversion"].split() == long.split()
+    rows = [(1, 0, "user", long, 9, "p"), (1, 1, "assistant", long + SAID, 9, "p"), (2, 0, "user", long, 9, "p")]
+    convs = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, n_turns long, path string")
+    read = {x.conv_id: x for x in chat.read_back(*chat.prefix_tree(convs, queries.RANKS), queries.RANKS).collect()}
+    assert read[1].loss_sha256 == hashlib.sha256((long + SAID).encode()).hexdigest() and (read[1].n_turns, read[2].n_turns) == (2, 1)
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
@@ -163,4 +193,4 @@ def test_all_queries_are_registered():
     import __spark_entry__
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
-    assert [k.split("_")[0] for k in queries.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [*(f"op{n}" for n in range(1, 14)), "pipeline"]

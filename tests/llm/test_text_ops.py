@@ -447,6 +447,45 @@ def test_lines_that_recur_or_change_places(spark):
     assert out[90] == (rows[-3][1], 0) and out[91] == ("own line", 3000) and out[92] == (rows[-1][1], 0)
 
 
+def aligned_by_hand(a, b, least_words):
+    """Lines of b that go, by alignments written another way: at each common run that reaches ``least_words``, everything
+    that goes on alike on either side of it, until no such run is left."""
+    gone, changed = set(), True
+    while changed:
+        changed = False
+        for k in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and k + n < len(b) and a[i + n] == b[k + n]:
+                    n += 1
+                worded = [j for j in range(k, k + n) if b[j]]
+                if sum(len(b[j].split()) for j in worded) >= least_words and not gone.issuperset(range(worded[0], worded[-1] + 1)):
+                    gone |= set(range(worded[0], worded[-1] + 1))
+                    changed = True
+    return gone
+
+
+def some_pairs_of_texts(n=400):
+    r = random.Random(8)
+    line = [" ".join(f"l{k}w{j}" for j in range(r.choice([1, 2, 4, 11]))) for k in range(14)] + ["", ""]
+    return [([r.choice(line) for _ in range(r.choice([3, 8, 20]))], [r.choice(line) for _ in range(r.choice([3, 8, 20]))]) for _ in range(n)]
+
+
+def test_alignment_decides_what_goes(monkeypatch):
+    def cut(a, b):
+        number = {x: k for k, x in enumerate(dict.fromkeys(a + b))}
+        words = [[len(x.split()) for x in side] for side in (a, b)]
+        return set(lines.common_blocks([number[x] for x in a], words[0], [number[x] for x in b], words[1], 10))
+
+    pairs = some_pairs_of_texts()
+    worded = lambda b, found: {k for k in found if b[k]}
+    with_patience = [worded(b, cut(a, b)) for a, b in pairs]
+    assert with_patience == [worded(b, aligned_by_hand(a, b, 10)) for a, b in pairs]
+    assert sum(map(bool, with_patience)) > 50
+    monkeypatch.setattr(lines, "patience", lambda a, b: [])
+    assert not any(cut(a, b) for a, b in pairs)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_patience_aligns_in_order(a, b):
