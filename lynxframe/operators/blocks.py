@@ -22,6 +22,13 @@ def _blocked(rows: DataFrame, block: Column) -> DataFrame:
     return rows.withColumn("_block", F.coalesce(block, F.lit(-(1 << 62))))
 
 
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the row of ``carried`` of their key and block; null keys are a key."""
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_block"]]
+    more = [F.col(f"c.{c}") for c in carried.columns if c not in (*keys, "_block")]
+    return rows.alias("o").join(carried.alias("c").hint("merge"), same, "left").select("o.*", *more)
+
+
 def previous(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], n: int = 1, block: Column | None = None) -> DataFrame:
     """``rows`` with ``prev1_c`` ... ``prevN_c``: the columns of the N rows before in the key (null where there are none).
 
@@ -40,7 +47,7 @@ def previous(rows: DataFrame, keys: list[str], order: list[str], columns: list[s
     carried = F.slice(F.concat("_ends", *[f"_b{i}" for i in range(1, n)]), 1, n)
     ends = ends.withColumn("_carried", F.lag(carried).over(Window.partitionBy(*keys).orderBy("_block"))).select(*keys, "_block", "_carried")
     placed = cut.withColumn("_at", F.row_number().over(inside)).select("*", *[F.lag(kept, i).over(inside).alias(f"_l{i}") for i in range(1, n + 1)])
-    joined = placed.join(ends.hint("merge"), [*keys, "_block"], "left")
+    joined = _with_carried(placed, ends, keys)
     for i in range(1, n + 1):
         # The i-th row before: in the block, or so many places back in what was carried.
         outside = F.get(F.col("_carried"), (F.lit(i) - F.col("_at"))).getField("_k")
@@ -61,7 +68,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     now, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
     own = cut.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(now), F.lit(0)).alias(f"_w_{n}") for n in sums], *[F.max(f"_v_{n}").over(before).alias(f"_w_{n}") for n in highs])
-    joined = own.join(carried.hint("merge"), [*keys, "_block"], "left")
+    joined = _with_carried(own, carried, keys)
     return joined.select(*rows.columns, *[(F.col(f"_w_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums], *[F.greatest(f"_w_{n}", f"_c_{n}").alias(n) for n in highs])
 
 
@@ -69,7 +76,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], sums: list[s
     """``rows`` with ``place`` (from 1, in the order within the key), ``of`` (rows of the key) and ``sum_c``, the running
     sums of ``sums`` along the order: by range partitions, so that a key may be larger than a task. Ties of ``order`` are
     placed one way or the other, so it should end in something unique."""
-    scratch = Scratch(rows.sparkSession, "numbered")
+    scratch = Scratch(rows.sparkSession, "numbered", tidy=False)
     ordered = scratch.save(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     sizes = ordered.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
     whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ def connected(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     longest path. Only minima are grouped, so a node with very many links never gathers them in one task. Rounds are
     written to the shared folder, so a lost executor repeats one at most. Links of a node with itself are left out.
     """
-    scratch = scratch or Scratch(links.sparkSession, "graph")
+    scratch = scratch or Scratch(links.sparkSession, "graph", tidy=False)
     edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:

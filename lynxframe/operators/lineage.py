@@ -88,3 +88,10 @@ def to_media_time(rows: DataFrame, mapping: DataFrame, keys: list[str], ts: str,
     media = F.col("media_s")
     fault = chain((F.col("_n").isNull(), "unmapped"), (F.col("_n") > 1, "ambiguous"), (~((media >= 0) & (media < duration)), "out of range"), (media <= F.col("prev1_media_s"), "not increasing"))
     return seen.select(*rows.columns, "media_s", fault.alias("fault"))
+
+
+def fingerprints(rows: DataFrame, keys: list[str], parts: list[Column]) -> DataFrame:
+    """Per key: ``n`` rows and ``fingerprint``, the sum of the first 64 bits of each row's MD5 over its ``parts`` (as text,
+    joined by ``|``), which does not depend on the order of rows. Null parts are left out of the joined text."""
+    piece = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 16), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(piece).cast("string").alias("fingerprint"))

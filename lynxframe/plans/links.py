@@ -122,7 +122,7 @@ _OVER_U = _UNION.replace("a.", "s.").replace("b.", "t.")
 def cross_day_overlap(spark, sf_dir):
     rows = load(spark, sf_dir, "sourced").select("camera", "obs_id", _box().alias("box"), (F.floor(F.col("ts_s") / 86400) % 2).alias("odd"))
     test, train = rows.where("odd = 1"), rows.where("odd = 0").select("camera", "box", F.col("obs_id").alias("train_id"))
-    met = joins.near_boxes(test, train, ["camera"], 100.0, lambda a, b: G.iou(a, b) >= 0.3).select("obs_id").distinct()
+    met = joins.touching_boxes(test, train, ["camera"], 100.0, lambda a, b: G.iou(a, b) >= 0.3, how="left_semi").select("obs_id")
     return test.select("obs_id").join(met, "obs_id", "left_anti")
 
 
@@ -146,7 +146,7 @@ def near_required_boxes(spark, sf_dir):
     rows = load(spark, sf_dir, "sourced").select("camera", "obs_id", "kind", "ts_s", _box().alias("box"))
     slot = F.floor(F.col("ts_s") / 345600)
     known = rows.where("kind = 'purchase'").select("camera", "box", F.col("ts_s").alias("t"), F.explode(F.sequence(slot - 1, slot + 1)).alias("slot"))
-    met = joins.near_boxes(rows.where("kind <> 'purchase'").withColumn("slot", slot), known, ["camera", "slot"], 100.0, lambda a, b: G.overlap(a, b) > 0).withColumn("gap", F.abs(F.col("ts_s") - F.col("t"))).where("gap <= 345600")
+    met = joins.touching_boxes(rows.where("kind <> 'purchase'").withColumn("slot", slot), known, ["camera", "slot"], 100.0, lambda a, b: G.overlap(a, b) > 0).withColumn("gap", F.abs(F.col("ts_s") - F.col("t"))).where("gap <= 345600")
     return met.groupBy("obs_id").agg(F.when(F.count_if(F.col("gap") <= 3600) > 0, "exclude").otherwise("warn").alias("verdict"), F.count("*").alias("required"))
 
 
@@ -199,7 +199,7 @@ def zone_assignment(spark, sf_dir):
 def shared_boxes(spark, sf_dir):
     rows = load(spark, sf_dir, "sourced").select("camera", F.col("obs_id").alias("a"), F.col("ts_s").alias("ta"), _box().alias("box"))
     other = rows.select("camera", F.col("a").alias("b"), F.col("ta").alias("tb"), "box")
-    met = joins.near_boxes(rows, other, ["camera"], 100.0, lambda x, y: G.iou(x, y) >= 0.15).where("a < b")
+    met = joins.touching_boxes(rows, other, ["camera"], 100.0, lambda x, y: (F.col("a") < F.col("b")) & (G.iou(x, y) >= 0.15))
     return met.select("a", "b", (F.abs(F.col("ta") - F.col("tb")) <= 3600).alias("together"))
 
 

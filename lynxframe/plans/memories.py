@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lynxframe.operators import memory
+from lynxframe.operators import memory, selector
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
 from lynxframe.streaming import memory as stream_memory
@@ -121,3 +121,37 @@ def event_memory(spark, sf_dir):
 def event_memory_stream(spark, sf_dir):
     """The same as keyed state over a stream of the ticks, in three slices of their time."""
     return _shown(replay_slices(ticks(spark, sf_dir), "ts_s", lambda s: stream_memory.event_memory(s, ["stream_id", "view"], "frame_no", RULES)))
+
+
+LIMITS = selector.Limits(switch=(3, 0.5 * _DAY), recovery=(2, 0.1 * _DAY), dwell=1.5 * _DAY, cooldown=0.7 * _DAY, most_gap=_DAY, join_gap=2 * _DAY)
+
+
+def _selector_sql(r: selector.Limits) -> str:
+    pick = lambda scores, of: f"list_filter({scores}, lambda s: s.profile = {of})[1]"
+    times = lambda kind: f"CASE WHEN m.{kind} = d.best AND NOT a.broken AND t.ts_s - list_last(m.{kind}_at) > 0 AND t.ts_s - list_last(m.{kind}_at) <= {r.most_gap} THEN list_append(m.{kind}_at, t.ts_s) ELSE [t.ts_s] END"
+    enough = lambda rule: f"len(e.times) >= {rule[0]} AND list_last(e.times) - e.times[1] >= {rule[1]}"
+    wipe = "g.ask IS NOT NULL AND (g.sound OR {0} = g.ask)"
+    switch, recovery = "CASE WHEN b.hold THEN d.best END", "CASE WHEN NOT b.hold AND d.best IS NOT NULL THEN d.best WHEN NOT a.broken THEN m.recovery END"
+    return f"""AS_ t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts_s, frame_no) AS k FROM (SELECT stream_id, ts_s, frame_no, list({{'profile': profile, 'score': score, 'enter': enter, 'hold': hold, 'sound': sound, 'rough': rough}} ORDER BY profile) AS scores FROM profile_scores GROUP BY stream_id, ts_s, frame_no)),
+m AS (SELECT stream_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS ts_s, CAST(NULL AS BIGINT) AS frame_no, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS BIGINT) AS active, CAST(NULL AS DOUBLE) AS since, CAST(NULL AS BIGINT) AS switch, CAST([] AS DOUBLE[]) AS switch_at, CAST(NULL AS BIGINT) AS recovery, CAST([] AS DOUBLE[]) AS recovery_at, CAST([] AS STRUCT(p BIGINT, until DOUBLE)[]) AS cool, CAST(-1 AS BIGINT) AS cursor_, CAST(0 AS BIGINT) AS generation, CAST(0 AS BIGINT) AS switches, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS candidate, 0 AS tested, CAST(NULL AS DOUBLE) AS improvement FROM (SELECT DISTINCT stream_id FROM t)
+UNION ALL SELECT m.stream_id, t.k, t.ts_s, t.frame_no, t.ts_s, CASE WHEN g.sound THEN g.ask ELSE m.active END, CASE WHEN g.sound THEN t.ts_s ELSE m.since END,
+CASE WHEN {wipe.format('d.best')} THEN NULL ELSE {switch} END, CASE WHEN b.hold AND d.best IS NOT NULL AND NOT coalesce({wipe.format('d.best')}, false) THEN e.times ELSE [] END,
+CASE WHEN {wipe.format(f'({recovery})')} THEN NULL ELSE {recovery} END, CASE WHEN coalesce({wipe.format(f'({recovery})')}, false) THEN [] WHEN NOT b.hold AND d.best IS NOT NULL THEN e.times WHEN NOT a.broken THEN m.recovery_at ELSE [] END,
+CASE WHEN g.ask IS NOT NULL AND NOT g.sound THEN list_append(a.cool, {{'p': g.ask, 'until': t.ts_s + {r.cooldown}}}) ELSE a.cool END, CASE WHEN NOT b.hold AND len(c.fresh) > 0 THEN list_last(c.fresh) ELSE m.cursor_ END,
+m.generation + CASE WHEN g.sound THEN 1 ELSE 0 END, m.switches + CASE WHEN g.sound AND g.ask IS DISTINCT FROM m.active THEN 1 ELSE 0 END, split_part(f.says, ' ', 1), split_part(f.says, ' ', 2), d.best, CAST(len(d.tested) AS INTEGER), CASE WHEN b.hold THEN (b.score - {pick('t.scores', 'd.best')}.score) / greatest(b.score, {r.floor}) END
+FROM m JOIN t ON t.stream_id = m.stream_id AND t.k = m.k + 1,
+LATERAL (SELECT coalesce(t.ts_s < m.last OR t.ts_s - m.last > {r.join_gap}, false) AS broken, list_filter(m.cool, lambda x: x.until > t.ts_s) AS cool) a,
+LATERAL (SELECT coalesce({pick('t.scores', 'm.active')}.hold, false) AS hold, {pick('t.scores', 'm.active')}.score AS score, list_transform(a.cool, lambda x: x.p) AS cold, CASE WHEN a.broken THEN NULL ELSE coalesce(m.recovery, m.switch) END AS going) b,
+LATERAL (SELECT list_filter([b.going], lambda p: p IS NOT NULL AND NOT list_contains(b.cold, p)) AS going, list_filter(list_transform(list_concat(list_filter(t.scores, lambda s: s.profile > m.cursor_), list_filter(t.scores, lambda s: s.profile <= m.cursor_)), lambda s: s.profile), lambda p: p IS DISTINCT FROM b.going AND NOT list_contains(b.cold, p))[1:{r.fresh} - len(list_filter([b.going], lambda p: p IS NOT NULL AND NOT list_contains(b.cold, p)))] AS fresh) c,
+LATERAL (SELECT CASE WHEN b.hold THEN list_distinct(list_append(list_transform(list_sort(list_transform(t.scores, lambda s: {{'r': s.rough, 'p': s.profile}}))[1:{r.top_k}], lambda x: x.p), m.active)) ELSE list_concat(c.going, c.fresh) END AS tested) c2,
+LATERAL (SELECT c2.tested, list_sort(list_transform(list_filter(t.scores, lambda s: list_contains(c2.tested, s.profile) AND s.enter AND NOT list_contains(b.cold, s.profile) AND (NOT b.hold OR (s.profile <> m.active AND (b.score - s.score) / greatest(b.score, {r.floor}) >= {r.improvement}))), lambda s: {{'s': s.score, 'p': s.profile}}))[1].p AS best) d,
+LATERAL (SELECT CASE WHEN d.best IS NULL THEN CAST([] AS DOUBLE[]) WHEN b.hold THEN {times('switch')} ELSE {times('recovery')} END AS times) e,
+LATERAL (SELECT CASE WHEN b.hold AND d.best IS NULL THEN 'MATCHED OK' WHEN b.hold AND NOT ({enough(r.switch)}) THEN 'MATCHED WAITING_SWITCH_EVIDENCE' WHEN b.hold AND t.ts_s - coalesce(m.since, t.ts_s) < {r.dwell} THEN 'MATCHED WAITING_MIN_DWELL' WHEN b.hold THEN 'SWITCH_PENDING SWITCH_READY' WHEN d.best IS NULL THEN 'UNKNOWN NO_ELIGIBLE_PROFILE' WHEN NOT ({enough(r.recovery)}) THEN 'UNKNOWN WAITING_RECOVERY_SPAN' ELSE 'SWITCH_PENDING RECOVERY_READY' END AS says) f,
+LATERAL (SELECT CASE WHEN f.says LIKE 'SWITCH%' THEN d.best END AS ask, f.says LIKE 'SWITCH%' AND {pick('t.scores', 'd.best')}.sound AS sound) g)
+SELECT stream_id, frame_no, active, status, reason, candidate, tested, round(improvement, 6) AS improvement, generation, switches FROM m WHERE k > 0"""
+
+
+@query(_selector_sql(LIMITS), "profile_scores")
+def profile_selection(spark, sf_dir):
+    out = selector.selected_profiles(load(spark, sf_dir, "profile_scores"), ["stream_id"], "frame_no", LIMITS)
+    return out.withColumn("improvement", F.round("improvement", 6)).drop("ts_s")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import blocks, metrics, timeline
+from lynxframe.operators import blocks, lineage, metrics, timeline
 from lynxframe.operators.selection import stable_rank
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
@@ -36,10 +36,9 @@ def coverage_buckets(spark, sf_dir):
     return load(spark, sf_dir, "observations").groupBy("stream_id", hours.alias("hours"), size.alias("size"), cell.alias("cell")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*) AS n, sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '')), 1, 8) AS BIGINT))::BIGINT AS fingerprint FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '')), 1, 16) AS UBIGINT)) AS VARCHAR) AS fingerprint FROM documents GROUP BY source")
 def dataset_fingerprint(spark, sf_dir):
-    piece = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))), 1, 8), 16, 10).cast("long")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("*").alias("n"), F.sum(piece).alias("fingerprint"))
+    return lineage.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["source"], [F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))])
 
 
 @query("SELECT camera, start_s, count(*) AS members, 'ep-' || substr(sha256(string_agg(CAST(file_id AS VARCHAR), '|' ORDER BY file_id)), 1, 16) AS episode_id FROM recordings GROUP BY camera, start_s", "recordings")

@@ -25,11 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage: what an executor loses is read again, not computed again.
 
-    What ``drop`` has not deleted goes when the driver's process ends, as results read these tables until then.
+    What ``drop`` has not deleted goes when the driver's process ends, as results read these tables until then. ``tidy``:
+    let go of the shuffle files of a step as soon as its table is written, for steps that shuffle whole texts.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = True):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_dir(spark)}/lynxframe/{name}-{uuid.uuid4().hex}"
         self.count = 0
         at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -44,7 +45,8 @@ class Scratch:
         """Write ``df`` to the shared folder and return the table read back."""
         path, schema = self.path(), df.schema
         df.write.option("compression", "zstd").parquet(path)
-        self.release()
+        if self.tidy:
+            self.release()
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
