@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynxframe.llm import words as W
@@ -20,6 +20,11 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in _BREAKS else c for c in ra
 
 ENCODED = "shard int, lang string, n long, words array<long>, texts array<string>"
 COUNTS = "words array<long>, n long"
+TALLY = "length int, bucket int, keys binary, n binary, bits binary"
+#: Fingerprints of one beginning of so many bits are counted together: 256 groups a length.
+BUCKET_BITS = 8
+#: A task that has spelt so many words forgets them, so its memory is bounded.
+MOST_TOLD = 1 << 20
 #: Stands in ``shard`` for the rows that spell words.
 SPELLING = -1
 #: Stands between pieces; no word has it.
@@ -33,6 +38,7 @@ def encode(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "lang", "n", "words", "texts"]
+        told = np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -62,135 +68,167 @@ def encode(shards: int):
             shard = np.arange(batch.num_rows, dtype=np.int32) % shards
             none = pa.nulls(batch.num_rows, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("lang"), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out, pa.int64())), none], names)
-            if len(pairs):
-                ends = pa.array(np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner)), pa.int32())
-                used = np.unique(owner)
-                k = len(used)
-                said = pa.array([spelt[c] for c in code.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, SPELLING, np.int32)), pa.array(langs[used].tolist(), pa.string()), pa.array(np.zeros(k, np.int64)), pa.ListArray.from_arrays(ends, pa.array(number, pa.int64())), pa.ListArray.from_arrays(ends, said)], names)
+            # Words that this task has not spelt yet, or not since it last forgot.
+            new = np.flatnonzero(~np.isin(number, told))
+            if len(new):
+                told = np.concatenate((told if len(told) < MOST_TOLD else told[:0], number[new]))
+                used, k = np.unique(owner[new], return_index=True)
+                ends = pa.array(np.append(k, len(new)), pa.int32())
+                said = pa.array([spelt[c] for c in code[new].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), SPELLING, np.int32)), pa.array(langs[used].tolist(), pa.string()), pa.array(np.zeros(len(used), np.int64)), pa.ListArray.from_arrays(ends, pa.array(number[new], pa.int64())), pa.ListArray.from_arrays(ends, said)], names)
 
     return run
 
 
 def _fingerprints(words: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit number for the phrase of ``length`` words from each place on."""
+    """A 64-bit number for the phrase of ``length`` words from each place on, spread over all its bits."""
     return W.windows(words.view(np.uint64), length)
 
 
 class Filter:
-    """A set of phrases of one length as a bitmap: it holds all that were put in, and few others."""
+    """A set of fingerprints as a bitmap over their first bits: it holds all that were put in, and few others."""
 
     def __init__(self, bits: np.ndarray | None, size: int):
-        self.bits, self.size = bits, size
+        self.bits, self.shift = bits, np.uint64(64 - size.bit_length() + 1)
 
     def holds(self, fingerprints: np.ndarray) -> np.ndarray:
         if self.bits is None:
             return np.zeros(len(fingerprints), bool)
-        at = (fingerprints & np.uint64(self.size - 1)).astype(np.int64)
-        return (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        at = (fingerprints >> self.shift).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1
 
     def same(self, other: Filter) -> bool:
         return (self.bits is None) == (other.bits is None) and (self.bits is None or bool(np.array_equal(self.bits, other.bits)))
 
 
-def make_filter(phrases: DataFrame, length: int, size: int) -> Filter:
-    """The filter of the column ``words``. Tasks set bits, Spark joins them; the driver gets ``size`` bits at most."""
+def active_phrases(words: np.ndarray, longest: int, first: bool, now: dict[int, Filter], before: dict[int, Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, fingerprints) of the phrases that are active in this scan of their shard.
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A phrase of two or more words is active once ``now`` holds both its parts that lack one word, and was counted in the
+    last scan of this shard if ``before`` held them then; so each shard counts it in exactly one scan.
+    """
+    there, prints = words != BREAK, _fingerprints(words, 1)
+    if first:
+        at = np.flatnonzero(there)
+        yield 1, at, prints[at]
+    for length in range(2, min(longest, len(words)) + 1):
+        n = len(words) - length + 1
+        on, done = now[length - 1].holds(prints), before[length - 1].holds(prints)
+        there = there[:n] & (words[length - 1 :] != BREAK)
+        at = np.flatnonzero(there & on[:n] & on[1:] & ~(done[:n] & done[1:]))
+        prints = _fingerprints(words, length)
+        yield length, at, prints[at]
+
+
+def count_step(longest: int, first: bool, now: dict[int, Filter], before: dict[int, Filter]):
+    """Rows of a shard -> counts of its active phrases by fingerprint, a row a length and bucket of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("words").flatten().to_numpy(zero_copy_only=False)
-            at = (_fingerprints(words, length)[::length] & np.uint64(size - 1)).astype(np.int64) if batch.num_rows else np.zeros(0, np.int64)
-            slots, of = np.unique(at >> 6, return_inverse=True)
-            out = np.zeros(len(slots), np.uint64)
-            np.bitwise_or.at(out, of, np.uint64(1) << (at & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(out.view(np.int64))], ["slot", "bits"])
+            for length, _, prints in active_phrases(words, longest, first, now, before):
+                keys, n = np.unique(prints, return_counts=True)
+                if len(keys):
+                    yield _tally(length, keys, n)
 
-    got = phrases.select("words").mapInArrow(bits, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    if not got.num_rows:
-        return Filter(None, size)
-    out = np.zeros(size >> 6, np.uint64)
-    out[got["slot"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return Filter(out, size)
+    return run
 
 
-def count_step(longest: int, first: bool, now: dict[int, Filter], before: dict[int, Filter]):
-    """Rows of a shard -> counts of the phrases that are active in this scan of it.
+def _tally(length: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``TALLY`` for sorted keys: a bucket is the keys of one beginning."""
+    bucket = (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    of, at = np.unique(bucket, return_index=True)
+    ends = pa.array(np.append(at, len(keys)) * 8, pa.int64())
+    lists = [pa.Array.from_buffers(pa.large_binary(), len(of), [None, ends.buffers()[1], pa.py_buffer(np.ascontiguousarray(x, np.int64).tobytes())]) for x in (keys.view(np.int64), n)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(of), length, np.int32)), pa.array(of), *[x.cast(pa.binary()) for x in lists], pa.nulls(len(of), pa.binary())], ["length", "bucket", "keys", "n", "bits"])
+
+
+def merge_tallies(least: int, size: int):
+    """All rows of one length and bucket -> one, with the bits of the keys that have reached ``least``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        length, bucket = table["length"][0].as_py(), table["bucket"][0].as_py()
+        keys, n = [np.frombuffer(b"".join(x for x in table[c].to_pylist()), kind) for c, kind in (("keys", np.uint64), ("n", np.int64))]
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)))
+        keys, n = keys[first], np.add.reduceat(n, first)
+        own = size >> BUCKET_BITS
+        at = (keys[n >= least] >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64) - bucket * own
+        bits = np.zeros(own, np.uint8)
+        bits[at] = 1
+        there = np.packbits(bits, bitorder="little").tobytes() if len(at) else None
+        return pa.table({"length": pa.array([length], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "bits": pa.array([there], pa.binary())})
 
-    A phrase of two or more words is active once ``now`` holds both its parts that lack one word, and was counted in the
-    last scan of this shard if ``before`` held them then; so each shard counts it in exactly one scan.
-    """
+    return run
+
+
+def read_filters(counted: DataFrame, longest: int, size: int) -> dict[int, Filter]:
+    """The filters of all lengths; ``size`` bits a length come to the driver, however many phrases there are."""
+    out = {x: Filter(None, size) for x in range(1, longest + 1)}
+    own = size >> BUCKET_BITS >> 3
+    for row in counted.where("bits is not null").select("length", "bucket", "bits").toLocalIterator():
+        if out[row.length].bits is None:
+            out[row.length].bits = np.zeros(size >> 3, np.uint8)
+        out[row.length].bits[row.bucket * own : (row.bucket + 1) * own] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def exact_counts(longest: int, reached: dict[int, Filter]):
+    """Rows of all shards -> (words, n) of the phrases whose fingerprint has reached the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column("words").flatten().to_numpy(zero_copy_only=False)
             distinct, ids = np.unique(words, return_inverse=True)
-            if not len(distinct):
-                continue
-            there = words != BREAK
-            active = {1: there if first else np.zeros(len(words), bool)}
-            for length in range(2, min(longest, len(words)) + 1):
-                n = len(words) - length + 1
-                prints = _fingerprints(words, length - 1)
-                on, done = now[length - 1].holds(prints), before[length - 1].holds(prints)
-                there = there[:n] & (words[length - 1 :] != BREAK)
-                active[length] = there & on[:n] & on[1:] & ~(done[:n] & done[1:])
-            last = max((x for x in active if active[x].any()), default=0)
-            code = ids
-            for length in range(1, last + 1):
-                if length > 1:
-                    # Numbers of phrases within the batch: the phrase less its last word, and that word.
-                    _, code = np.unique(code[: len(words) - length + 1] * len(distinct) + ids[length - 1 :], return_inverse=True)
-                at = np.flatnonzero(active[length])
-                if len(at):
-                    count, place = np.bincount(code[at]), np.zeros(int(code.max()) + 1, np.int64)
-                    place[code[at]] = at
-                    found = np.flatnonzero(count)
-                    phrase = words[(place[found][:, None] + np.arange(length)[None, :])].ravel()
-                    cuts = pa.array(np.arange(len(found) + 1) * length, pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(phrase, pa.int64())), pa.array(count[found], pa.int64())], ["words", "n"])
+            there, code, at = words != BREAK, ids, np.arange(len(words))
+            for length in range(1, min(longest, len(words)) + 1):
+                there = there[: len(words) - length + 1] & (words[length - 1 :] != BREAK)
+                # Of the places of reached phrases one word shorter those where this length has reached it too.
+                at = at[at < len(there)]
+                at = at[there[at] & reached[length].holds(_fingerprints(words, length)[at])]
+                if not len(at):
+                    break
+                # Numbers of phrases within the batch: the phrase less its last word, and that word.
+                _, first, code_at, n = np.unique(code[at] * len(distinct) + ids[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
+                code = np.zeros(len(words), np.int64)
+                code[at] = code_at
+                phrase = words[at[first][:, None] + np.arange(length)[None, :]].ravel()
+                cuts = pa.array(np.arange(len(n) + 1) * length, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(phrase, pa.int64())), pa.array(n, pa.int64())], ["words", "n"])
 
     return run
 
 
-def frequent_phrases(spark: SparkSession, shard, shards: int, longest: int, least: int, scratch: Scratch, size: int = 1 << 24) -> DataFrame:
+def frequent_phrases(encoded: DataFrame, shards: int, longest: int, least: int, scratch: Scratch, size: int = 1 << 24) -> DataFrame:
     """All phrases of 1 to ``longest`` words that occur ``least`` times or more: words, n (exact).
 
     Dynamic itemset counting. Scan s reads shard s mod ``shards``. Words are counted in the first cycle; a longer phrase
     is taken up as soon as both its parts that lack one word have reached ``least`` in the shards read so far, in the
-    middle of a cycle, and stays until it has met each shard once. What has reached ``least`` goes to the scans as a bitmap
-    of ``size`` bits; the phrases that it lets pass for nothing are counted right, or in part and then below ``least``.
-    The last cycle ends where no scan has anything to count that was not active a cycle before.
+    middle of a cycle, and stays until it has met each shard once. The cycles end where no scan has anything to count that
+    was not active a cycle before. Counts are kept by 64-bit fingerprint, in arrays a bucket of them; which have reached
+    ``least`` goes to the scans as a bitmap of ``size`` bits a length. What a bitmap lets pass for nothing, or a fingerprint
+    that two phrases share, only adds to what is looked at: one scan at the end counts by their words all phrases whose
+    fingerprint has reached ``least``, and these counts decide.
     """
-    none = {length: Filter(None, size) for length in range(1, longest)}
+    none = {x: Filter(None, size) for x in range(1, longest + 1)}
     filters: list[dict[int, Filter]] = []
-    reached = [none]
-    steps: list[DataFrame] = []
-    counted = None
-    s = 0
+    now, counted, s = none, None, 0
     while True:
-        now, before = reached[-1], filters[s - shards] if s >= shards else none
-        if s >= shards and all(now[x].same(before[x]) for x in none):
+        before = filters[s - shards] if s >= shards else none
+        if s >= shards and all(now[x].same(before[x]) for x in range(1, longest)):
             break
         filters.append(now)
-        scan = shard(s % shards).mapInArrow(lean(count_step(longest, s < shards, now, before)), COUNTS)
-        step = scratch.save(scan.groupBy("words").agg(F.sum("n").alias("n")))
-        steps.append(step)
-        # Counts so far of the phrases that can be parts of others.
-        parts = step.where(F.size("words") < longest)
-        more = scratch.save((parts if counted is None else counted.unionByName(parts)).groupBy("words").agg(F.sum("n").alias("n")))
+        step = encoded.where(F.col("shard") == s % shards).select("words").mapInArrow(lean(count_step(longest, s < shards, now, before), 4000), TALLY)
+        merged = scratch.save((step if counted is None else counted.drop("bits").withColumn("bits", F.lit(None).cast("binary")).unionByName(step)).groupBy("length", "bucket").applyInArrow(merge_tallies(least, size), TALLY))
         if counted is not None:
             scratch.drop(counted)
-        counted = more
-        full = counted.where(F.col("n") >= least)
-        reached.append({x: make_filter(full.where(F.size("words") == x), x, size) for x in none})
+        counted = merged
+        now = read_filters(counted, longest, size)
         s += 1
-    last = steps[0]
-    for step in steps[1:]:
-        last = last.unionByName(step)
-    long = last.where(F.size("words") == longest).groupBy("words").agg(F.sum("n").alias("n"))
-    out = scratch.save(counted.unionByName(long).where(F.col("n") >= least))
-    scratch.drop(counted, *steps)
-    return out
+    scratch.drop(counted)
+    found = encoded.where(F.col("shard") != SPELLING).select("words").mapInArrow(lean(exact_counts(longest, now), 4000), COUNTS)
+    return scratch.save(found.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
 
 def _drop_inside(candidates: DataFrame, longest: int, percent: int) -> DataFrame:
@@ -221,9 +259,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     scratch = Scratch(spark, "collocations")
     base = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     path = scratch.path()
-    base.mapInArrow(lean(encode(shards)), ENCODED).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    base.mapInArrow(lean(encode(shards), 4000), ENCODED).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     encoded = spark.read.schema("lang string, n long, words array<long>, texts array<string>, shard int").parquet(path)
-    phrases = frequent_phrases(spark, lambda k: encoded.where(F.col("shard") == k).select("words"), shards, longest, least, scratch)
+    phrases = frequent_phrases(encoded, shards, longest, least, scratch)
 
     totals = encoded.where(F.col("shard") != SPELLING).groupBy("lang").agg(F.sum("n").alias("n"))
     single = phrases.where("size(words) = 1").select(F.col("words")[0].alias("word"))

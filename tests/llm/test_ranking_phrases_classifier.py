@@ -155,8 +155,8 @@ def test_phrases_are_the_plain_ones(docs, rows, longest, least, top, shards):
 
 def test_phrases_with_a_bitmap_that_is_full(docs, rows, monkeypatch):
     """Filters that let everything pass cost work, not results."""
-    real = collocations.make_filter
-    monkeypatch.setattr(collocations, "make_filter", lambda phrases, length, size: real(phrases, length, 64))
+    real = collocations.frequent_phrases
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda *x: real(*x, size=2048))
     assert sorted(map(tuple, collocations.collocations(docs).collect())) == sorted(plain_phrases(rows))
 
 
@@ -168,7 +168,31 @@ def test_longer_phrases_are_taken_up_within_a_cycle(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b c d", "en") for i in range(400)], "doc_id long, text string, lang string").repartition(3)
     got = {r.phrase: r.a for r in collocations.collocations(docs, inside_percent=101).collect()}
     assert got == {"a b": 400, "b c": 400, "c d": 400, "a b c": 400, "b c d": 400}
-    assert seen[:4] == [[], [1], [1, 2], [1, 2]] and len(seen) < 8
+    assert seen[:4] == [[], [1], [1, 2], [1, 2, 3]] and len(seen) < 8
+
+
+def test_each_shard_counts_a_phrase_once():
+    """Whatever the filters of the scans were, as long as they only grow."""
+    r = np.random.default_rng(3)
+    words = r.integers(0, 9, 400)
+    prints = [collocations._fingerprints(words, k) for k in (1, 2, 3)]
+
+    class Some:
+        def __init__(self, share, k):
+            self.limit = np.quantile(prints[k - 1].astype(float), share)
+
+        def holds(self, x):
+            return x.astype(float) <= self.limit
+
+    none = {k: Some(-0.0, k) for k in (1, 2)}
+    for f in none.values():
+        f.limit = -1
+    growing = [{k: Some(share, k) for k in (1, 2)} for share in (0.3, 0.6, 1.0)]
+    counted = Counter()
+    for cycle, now in enumerate(growing):
+        for length, at, _ in collocations.active_phrases(words, 3, cycle == 0, now, growing[cycle - 1] if cycle else none):
+            counted.update((length, int(x)) for x in at)
+    assert set(counted.values()) == {1} and Counter(k for k, _ in counted) == {k: sum(0 not in words[i : i + k] for i in range(401 - k)) for k in (1, 2, 3)}
 
 
 def test_products_beyond_64_bits(spark):
