@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lynxframe.operators import memory, selector
+from lynxframe.operators import memory, selector, targets
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
+from lynxframe.streaming import claims
 from lynxframe.streaming import memory as stream_memory
-from lynxframe.streaming.replay import replay_slices
+from lynxframe.streaming.replay import replay_batches, replay_slices
 
 #: One second of the rules is ten minutes and more of the tables, which span a month.
 _DAY = 86400.0
@@ -155,3 +156,76 @@ SELECT stream_id, frame_no, active, status, reason, candidate, tested, round(imp
 def profile_selection(spark, sf_dir):
     out = selector.selected_profiles(load(spark, sf_dir, "profile_scores"), ["stream_id"], "frame_no", LIMITS)
     return out.withColumn("improvement", F.round("improvement", 6)).drop("ts_s")
+
+
+#: Of observations: their shares of the picture, and times a thousand.
+REACH = targets.Reach(recent=4 * 3600.0, per_second=0.0015 / 1000, cooldown={"boat_confirmed": 3 * 3600.0, "candidate_not_confirmed": 6 * 3600.0, "target_lost": 1800.0}, busy=1200.0)
+_VERDICT = {0: "boat_confirmed", 1: "candidate_not_confirmed", 2: "target_lost"}
+
+
+def _ledger_sql(r: targets.Reach) -> str:
+    struct = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, vx DOUBLE, vy DOUBLE, seen DOUBLE, n BIGINT, src BIGINT, cool DOUBLE, until DOUBLE, verdict VARCHAR, jx DOUBLE, jy DOUBLE)"
+    fields = [f.strip().split() for f in struct[7:-1].split(",")]
+
+    def put(old: str = "e", **new: str) -> str:
+        return "{" + ", ".join(f"'{f}': CAST({new.get(f, f'{old}.{f}')} AS {kind})" for f, kind in fields) + "}"
+
+    rest = "CASE e.verdict " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in r.cooldown.items()) + " END"
+    done = put(cool=f"e.until + {rest}", x="e.jx", y="e.jy", vx="0", vy="0", until="NULL")
+    size = "0.5 * greatest(t.w, t.h, e.w, e.h)"
+    here = "sqrt((t.x - e.x) * (t.x - e.x) + (t.y - e.y) * (t.y - e.y))"
+    gone = "greatest(t.ts_s - e.seen, 0)"
+    ahead = f"sqrt((t.x - (e.x + e.vx * {gone})) * (t.x - (e.x + e.vx * {gone})) + (t.y - (e.y + e.vy * {gone})) * (t.y - (e.y + e.vy * {gone})))"
+    plain = f"least({r.base} + least({r.per_second} * {gone}, {r.most - r.base}) + least({size}, {r.most / 2}), {r.most})"
+    radius = f"CASE WHEN e.src = t.track_id THEN least({plain} * {r.same_source}, {r.most}) ELSE {plain} END"
+    speed = lambda v, c: f"CASE WHEN {gone} >= 0.05 THEN CASE WHEN e.n <= 1 THEN (t.{c} - e.{c}) / {gone} ELSE 0.7::DOUBLE * e.{v} + (1 - 0.7::DOUBLE) * ((t.{c} - e.{c}) / {gone}) END ELSE e.{v} END"
+    moved = put(src="t.track_id", seen="t.ts_s", n="e.n + 1", x="t.x", y="t.y", w="t.w", h="t.h", vx=speed("vx", "x"), vy=speed("vy", "y"))
+    counted = put(src="t.track_id", seen="t.ts_s", n="e.n + 1")
+    fresh = put(id="t.frame_no", x="t.x", y="t.y", w="t.w", h="t.h", vx="0", vy="0", seen="t.ts_s", n="1", src="t.track_id", cool="0", until="NULL", verdict="NULL", jx="0", jy="0")
+    begun = put(until=f"t.ts_s + {r.busy}", verdict="t.verdict", jx="t.x", jy="t.y")
+    first = lambda far, test: f"list_sort(list_transform(list_filter(a.live, lambda e: {test}), lambda e: {{'d': {far}, 'id': e.id}}))[1].id"
+    return f"""AS_ t AS MATERIALIZED (SELECT stream_id, ts_s, frame_no, track_id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y, x1 - x0 AS w, y1 - y0 AS h, CASE frame_no % 3 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _VERDICT.items())} END AS verdict, row_number() OVER (PARTITION BY stream_id ORDER BY ts_s, frame_no) AS k FROM observations),
+m AS (SELECT stream_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS frame_no, CAST(NULL AS DOUBLE) AS at, CAST([] AS BIGINT[]) AS taken, CAST([] AS {struct}[]) AS targets, CAST(NULL AS {struct}) AS target, CAST(NULL AS VARCHAR) AS found, false AS claimed FROM (SELECT DISTINCT stream_id FROM t)
+UNION ALL SELECT m.stream_id, t.k, t.frame_no, t.ts_s, CASE WHEN c.found = 'reviewed' THEN a.taken ELSE list_append(a.taken, d.target.id) END, list_transform(d.all_, lambda e: CASE WHEN e.id = d.target.id AND f.claims THEN {begun} ELSE e END), d.target, c.found, f.claims
+FROM m JOIN t ON t.stream_id = m.stream_id AND t.k = m.k + 1,
+LATERAL (SELECT CASE WHEN t.ts_s = m.at THEN m.taken ELSE CAST([] AS BIGINT[]) END AS taken, list_filter(list_transform(m.targets, lambda e: CASE WHEN e.until <= t.ts_s THEN {done} ELSE e END), lambda e: e.seen >= t.ts_s - {r.recent}) AS live) a,
+LATERAL (SELECT {first(here, f"e.cool > t.ts_s AND {here} <= least(greatest({r.reviewed}, least({size}, {r.reviewed})), {r.most})")} AS old, {first(ahead, f"e.cool <= t.ts_s AND NOT list_contains(a.taken, e.id) AND {ahead} <= {radius}")} AS near) b,
+LATERAL (SELECT coalesce(b.old, b.near) AS id, CASE WHEN b.old IS NOT NULL THEN 'reviewed' WHEN b.near IS NOT NULL THEN 'matched' ELSE 'new' END AS found) c,
+LATERAL (SELECT CASE WHEN c.id IS NULL THEN list_append(a.live, {fresh}) ELSE list_transform(a.live, lambda e: CASE WHEN e.id <> c.id THEN e WHEN c.found = 'reviewed' THEN {counted} ELSE {moved} END) END AS all_) x,
+LATERAL (SELECT x.all_, list_filter(x.all_, lambda e: e.id = coalesce(c.id, t.frame_no))[1] AS target) d,
+LATERAL (SELECT d.target.cool <= t.ts_s AND d.target.until IS NULL AS claims) f)
+SELECT stream_id, frame_no, target.id AS target, found, target.n AS observations, round(target.x, 6) AS x, round(target.y, 6) AS y, claimed, round(target.cool, 3) AS cooldown_until FROM m WHERE k > 0"""
+
+
+@query(_ledger_sql(REACH), "observations")
+def target_ledger(spark, sf_dir):
+    rows = load(spark, sf_dir, "observations")
+    verdict = F.expr("CASE frame_no % 3 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _VERDICT.items()) + " END")
+    seen = rows.select("stream_id", "ts_s", "frame_no", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), F.col("track_id").alias("source"), verdict.alias("verdict"))
+    out = targets.target_ledger(seen, "stream_id", "frame_no", REACH).drop("ts_s")
+    return out.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6)).withColumn("cooldown_until", F.round("cooldown_until", 3))
+
+
+_CLAIMS = """AS_ t AS MATERIALIZED (SELECT track_id, ts_s, frame_no AS tie, kind <> 'error' AS asks, CASE frame_no % 2 WHEN 0 THEN 86400 ELSE 7200 END AS rest, row_number() OVER (PARTITION BY track_id ORDER BY ts_s, frame_no) AS k FROM observations),
+m AS (SELECT track_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS tie, false AS asks, false AS active, CAST('-infinity' AS DOUBLE) AS until, false AS granted FROM (SELECT DISTINCT track_id FROM t)
+UNION ALL SELECT m.track_id, t.k, t.tie, t.asks, CASE WHEN g.ok THEN t.asks ELSE m.active END, CASE WHEN g.ok AND NOT t.asks THEN t.ts_s + t.rest ELSE m.until END, g.ok FROM m JOIN t ON t.track_id = m.track_id AND t.k = m.k + 1, LATERAL (SELECT CASE WHEN t.asks THEN NOT m.active AND m.until <= t.ts_s ELSE m.active END AS ok) g)
+SELECT track_id, tie, asks, granted FROM m WHERE k > 0"""
+
+
+def _requests(spark, sf_dir):
+    rest = F.when(F.col("frame_no") % 2 == 0, 86400.0).otherwise(7200.0)
+    return load(spark, sf_dir, "observations").select("track_id", "ts_s", F.col("frame_no").alias("tie"), (F.col("kind") != "error").alias("asks"), rest.alias("rest"))
+
+
+@query(_CLAIMS, "observations")
+def job_claims(spark, sf_dir):
+    """All requests as one batch: at most one active job a track, and a rest after each."""
+    free = spark.createDataFrame([], f"track_id bigint, {targets.HELD}")
+    return targets.claimed(_requests(spark, sf_dir), free, "track_id")[0].select("track_id", "tie", "asks", "granted")
+
+
+@query(_CLAIMS, "observations")
+def job_claims_stream(spark, sf_dir):
+    """The same from a stream in three batches, against one table of jobs."""
+    folder = replay_batches(_requests(spark, sf_dir), "ts_s", lambda root: claims.claiming(root, "track_id"))
+    return spark.read.schema("track_id bigint, ts_s double, tie bigint, asks boolean, granted boolean, batch bigint").parquet(f"{folder}/jobs").select("track_id", "tie", "asks", "granted")

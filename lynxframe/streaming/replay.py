@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,25 +46,39 @@ def replay(spark: SparkSession, folder: str, files: str, schema, operator: Calla
     return spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
+def _slices(rows: DataFrame, ts: str, slices: int) -> Iterator[DataFrame]:
+    shares = [k / slices for k in range(1, slices)]
+    cuts = rows.agg(F.percentile_approx(ts, shares, 1000)).first()[0] if shares else []
+    edges = [None, *(cuts or []), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = rows if low is None else rows.where(F.col(ts) > low)
+        if high is not None:
+            part = part.where((F.col(ts) <= high) | (F.col(ts).isNull() if low is None else F.lit(False)))
+        yield part
+
+
 def replay_slices(rows: DataFrame, ts: str, operator: Callable[[DataFrame], DataFrame], slices: int = 3) -> DataFrame:
     """Run a streaming operator over ``rows`` as if they arrived by time: one slice of their time after the other is put
     into the folder that the stream reads, and each run goes on from the checkpoint of the one before. Returns what it
     appended in all. Null times come with the first slice."""
     spark = rows.sparkSession
-    scratch = Scratch(spark, "slices")
+    root = Scratch(spark, "slices").root
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    shares = [k / slices for k in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(ts, shares, 1000)).first()[0] if shares else []
-    edges = [None, *(cuts or []), None]
     out = None
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = rows
-        if low is not None:
-            part = part.where(F.col(ts) > low)
-        if high is not None:
-            part = part.where((F.col(ts) <= high) | (F.col(ts).isNull() if low is None else F.lit(False)))
-        part.write.mode("append").parquet(f"{scratch.root}/given")
-        out = operator(spark.readStream.schema(rows.schema).parquet(f"{scratch.root}/given"))
-        sink = out.writeStream.format("parquet").option("path", f"{scratch.root}/rows").option("checkpointLocation", f"{scratch.root}/state").outputMode("append")
+    for part in _slices(rows, ts, slices):
+        part.write.mode("append").parquet(f"{root}/given")
+        out = operator(spark.readStream.schema(rows.schema).parquet(f"{root}/given"))
+        sink = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/rows")
+
+
+def replay_batches(rows: DataFrame, ts: str, each: Callable[[str], Callable[[DataFrame, int], None]], slices: int = 3) -> str:
+    """As ``replay_slices`` for ``foreachBatch``: ``each(folder)`` handles the batches; returns the folder."""
+    spark = rows.sparkSession
+    root = Scratch(spark, "batches").root
+    for part in _slices(rows, ts, slices):
+        part.write.mode("append").parquet(f"{root}/given")
+        sink = spark.readStream.schema(rows.schema).parquet(f"{root}/given").writeStream.foreachBatch(each(f"{root}/out")).option("checkpointLocation", f"{root}/state")
         sink.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{scratch.root}/rows")
+    return f"{root}/out"
