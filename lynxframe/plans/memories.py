@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lynxframe.operators import memory, selector, targets
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
-from lynxframe.streaming import claims
+from lynxframe.streaming import claims, health
 from lynxframe.streaming import memory as stream_memory
 from lynxframe.streaming.replay import replay_batches, replay_slices
 
@@ -158,8 +158,7 @@ def profile_selection(spark, sf_dir):
     return out.withColumn("improvement", F.round("improvement", 6)).drop("ts_s")
 
 
-#: Of observations: their shares of the picture, and times a thousand.
-REACH = targets.Reach(recent=4 * 3600.0, per_second=0.0015 / 1000, cooldown={"boat_confirmed": 3 * 3600.0, "candidate_not_confirmed": 6 * 3600.0, "target_lost": 1800.0}, busy=1200.0)
+REACH = targets.Reach(recent=1.5 * _DAY, reviewed=0.15, base=0.1, per_second=0.1 / _DAY, most=0.3, cooldown={"boat_confirmed": _DAY, "candidate_not_confirmed": 2 * _DAY, "target_lost": 20000.0}, busy=7200.0)
 _VERDICT = {0: "boat_confirmed", 1: "candidate_not_confirmed", 2: "target_lost"}
 
 
@@ -229,3 +228,32 @@ def job_claims_stream(spark, sf_dir):
     """The same from a stream in three batches, against one table of jobs."""
     folder = replay_batches(_requests(spark, sf_dir), "ts_s", lambda root: claims.claiming(root, "track_id"))
     return spark.read.schema("track_id bigint, ts_s double, tie bigint, asks boolean, granted boolean, batch bigint").parquet(f"{folder}/jobs").select("track_id", "tie", "asks", "granted")
+
+
+_HEALTH = "CASE WHEN kind = 'error' THEN 'mosaic_risk' WHEN value > 80 THEN 'degraded' ELSE 'healthy' END"
+
+
+@query(f"""AS_ o AS (SELECT stream_id, ts_s, frame_no, {_HEALTH} AS health, lead(ts_s) OVER (PARTITION BY stream_id ORDER BY ts_s, frame_no) AS next_s FROM observations),
+e AS (SELECT stream_id, ts_s, frame_no AS tie, health FROM o UNION ALL SELECT stream_id, ts_s + 36000, frame_no, 'stalled' FROM o WHERE next_s - ts_s > 36000 OR (next_s IS NULL AND ts_s + 36000 < (SELECT max(ts_s) FROM observations) - 3600)),
+c AS (SELECT *, lag(health) OVER (PARTITION BY stream_id ORDER BY ts_s, tie) AS before FROM e) SELECT stream_id, round(ts_s, 3) AS ts_s, health, before FROM c WHERE health IS DISTINCT FROM before""", "observations")
+def live_health(spark, sf_dir):
+    """Changes of health from a stream in three slices of time; ten hours of silence stall a stream."""
+    rows = load(spark, sf_dir, "observations").select("stream_id", F.timestamp_micros(F.round(F.col("ts_s") * 1e6).cast("long")).alias("at"), "ts_s", "frame_no", F.expr(_HEALTH).alias("health"))
+    return replay_slices(rows, "ts_s", lambda s: health.changes(s, "stream_id", "at", "frame_no", 36000.0, "1 hour")).withColumn("ts_s", F.round("ts_s", 3))
+
+
+#: Rows arrive in four batches by when they come, every seventh two days after its time, and every fifth one twice.
+_ARRIVALS = [1704067200.0 + d * _DAY for d in (8, 15, 22)]
+_COMES = "CASE WHEN frame_no % 7 = 0 THEN ts_s + 172800 ELSE ts_s END"
+
+
+@query(f"""AS_ a AS (SELECT stream_id, floor(ts_s / 600) * 600 AS ts_s, frame_no, {_COMES} AS comes FROM observations), b AS (SELECT *, CASE {" ".join(f"WHEN comes <= {x} THEN {k}" for k, x in enumerate(_ARRIVALS))} ELSE {len(_ARRIVALS)} END AS batch FROM a),
+h AS (SELECT stream_id, batch, max(max(ts_s)) OVER (PARTITION BY stream_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM b GROUP BY stream_id, batch),
+m AS (SELECT b.*, high, row_number() OVER (PARTITION BY b.stream_id, b.batch, b.ts_s ORDER BY frame_no) AS r FROM b JOIN h ON h.stream_id = b.stream_id AND h.batch = b.batch)
+SELECT stream_id, frame_no, CASE WHEN ts_s <= high THEN 'late' ELSE 'repeated' END AS reason, round(high - ts_s, 3) AS late_by FROM m WHERE ts_s <= high OR r > 1""", "observations")
+def late_rows(spark, sf_dir):
+    """The side table of rows whose clock does not rise, from a stream in four batches."""
+    rows = load(spark, sf_dir, "observations").select("stream_id", (F.floor(F.col("ts_s") / 600) * 600).cast("double").alias("ts_s"), "frame_no", F.expr(_COMES).alias("comes"))
+    folder = replay_batches(rows, "comes", lambda root: health.in_time(root, "stream_id", "frame_no"), _ARRIVALS)
+    late = spark.read.schema("stream_id string, frame_no bigint, late_by double, reason string").parquet(f"{folder}/late")
+    return late.select("stream_id", "frame_no", "reason", F.round("late_by", 3).alias("late_by"))

@@ -46,10 +46,12 @@ def replay(spark: SparkSession, folder: str, files: str, schema, operator: Calla
     return spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
-def _slices(rows: DataFrame, ts: str, slices: int) -> Iterator[DataFrame]:
-    shares = [k / slices for k in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(ts, shares, 1000)).first()[0] if shares else []
-    edges = [None, *(cuts or []), None]
+def _slices(rows: DataFrame, ts: str, slices: int | list[float]) -> Iterator[DataFrame]:
+    """Rows by ``ts``: so many slices of like size, or those that end at the given values."""
+    if isinstance(slices, int):
+        shares = [k / slices for k in range(1, slices)]
+        slices = rows.agg(F.percentile_approx(ts, shares, 1000)).first()[0] if shares else []
+    edges = [None, *(slices or []), None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows if low is None else rows.where(F.col(ts) > low)
         if high is not None:
@@ -57,7 +59,7 @@ def _slices(rows: DataFrame, ts: str, slices: int) -> Iterator[DataFrame]:
         yield part
 
 
-def replay_slices(rows: DataFrame, ts: str, operator: Callable[[DataFrame], DataFrame], slices: int = 3) -> DataFrame:
+def replay_slices(rows: DataFrame, ts: str, operator: Callable[[DataFrame], DataFrame], slices: int | list[float] = 3) -> DataFrame:
     """Run a streaming operator over ``rows`` as if they arrived by time: one slice of their time after the other is put
     into the folder that the stream reads, and each run goes on from the checkpoint of the one before. Returns what it
     appended in all. Null times come with the first slice."""
@@ -73,7 +75,7 @@ def replay_slices(rows: DataFrame, ts: str, operator: Callable[[DataFrame], Data
     return spark.read.schema(out.schema).parquet(f"{root}/rows")
 
 
-def replay_batches(rows: DataFrame, ts: str, each: Callable[[str], Callable[[DataFrame, int], None]], slices: int = 3) -> str:
+def replay_batches(rows: DataFrame, ts: str, each: Callable[[str], Callable[[DataFrame, int], None]], slices: int | list[float] = 3) -> str:
     """As ``replay_slices`` for ``foreachBatch``: ``each(folder)`` handles the batches; returns the folder."""
     spark = rows.sparkSession
     root = Scratch(spark, "batches").root
