@@ -19,7 +19,6 @@ _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if c in _BREAKS else c for c in range(256))
 
 ENCODED = "shard int, lang string, n long, words array<long>, texts array<string>"
-COUNTS = "words array<long>, n long"
 TALLY = "length int, bucket int, keys binary, n binary, bits binary"
 #: Fingerprints of one beginning of so many bits are counted together: 256 groups a length.
 BUCKET_BITS = 8
@@ -56,7 +55,13 @@ def encode(shards: int):
             coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
             spelt, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
             of = np.repeat(lang_of[text_of], per_piece)
-            pairs, place = np.unique(of * max(len(spelt), 1) + code, return_inverse=True)
+            key, width = of * max(len(spelt), 1) + code, len(langs) * max(len(spelt), 1)
+            if width <= 4 * len(key):
+                there = np.zeros(width, bool)
+                there[key] = True
+                pairs, place = np.flatnonzero(there), (np.cumsum(there) - 1)[key]
+            else:
+                pairs, place = np.unique(key, return_inverse=True)
             seeds = [xxhash.xxh64_intdigest(x) for x in langs]
             owner, code = np.divmod(pairs, max(len(spelt), 1))
             number = np.fromiter((xxhash.xxh64_intdigest(spelt[c], seeds[o]) or 1 for o, c in zip(owner.tolist(), code.tolist(), strict=True)), np.uint64, len(pairs)).view(np.int64)
@@ -175,7 +180,7 @@ def read_filters(counted: DataFrame, longest: int, size: int) -> dict[int, Filte
 
 
 def exact_counts(longest: int, reached: dict[int, Filter]):
-    """Rows of all shards -> (words, n) of the phrases whose fingerprint has reached the threshold."""
+    """Rows of all shards -> (w0, w1, ..., n) of the phrases whose fingerprint has reached the threshold; null words end them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,9 +198,8 @@ def exact_counts(longest: int, reached: dict[int, Filter]):
                 _, first, code_at, n = np.unique(code[at] * len(distinct) + ids[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
                 code = np.zeros(len(words), np.int64)
                 code[at] = code_at
-                phrase = words[at[first][:, None] + np.arange(length)[None, :]].ravel()
-                cuts = pa.array(np.arange(len(n) + 1) * length, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(phrase, pa.int64())), pa.array(n, pa.int64())], ["words", "n"])
+                phrase = [pa.array(words[at[first] + k], pa.int64()) for k in range(length)] + [pa.nulls(len(n), pa.int64())] * (longest - length)
+                yield pa.RecordBatch.from_arrays([*phrase, pa.array(n, pa.int64())], [*[f"w{k}" for k in range(longest)], "n"])
 
     return run
 
@@ -220,15 +224,20 @@ def frequent_phrases(encoded: DataFrame, shards: int, longest: int, least: int,
             break
         filters.append(now)
         step = encoded.where(F.col("shard") == s % shards).select("words").mapInArrow(lean(count_step(longest, s < shards, now, before), 4000), TALLY)
-        merged = scratch.save((step if counted is None else counted.drop("bits").withColumn("bits", F.lit(None).cast("binary")).unionByName(step)).groupBy("length", "bucket").applyInArrow(merge_tallies(least, size), TALLY))
+        # A length is settled once its last cycle is over: its filter stays, its counts are not needed any more.
+        opened = None if counted is None else counted.where(F.col("length") > s // shards).withColumn("bits", F.lit(None).cast("binary"))
+        merged = scratch.save((step if opened is None else opened.unionByName(step)).groupBy("length", "bucket").applyInArrow(merge_tallies(least, size), TALLY))
         if counted is not None:
             scratch.drop(counted)
         counted = merged
-        now = read_filters(counted, longest, size)
+        now = {x: now[x] if x <= s // shards else f for x, f in read_filters(counted, longest, size).items()}
         s += 1
     scratch.drop(counted)
-    found = encoded.where(F.col("shard") != SPELLING).select("words").mapInArrow(lean(exact_counts(longest, now), 4000), COUNTS)
-    return scratch.save(found.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    found = encoded.where(F.col("shard") != SPELLING).select("words")
+    columns = [f"w{k}" for k in range(longest)]
+    exact = found.mapInArrow(lean(exact_counts(longest, now), 4000), ", ".join(f"{c} long" for c in [*columns, "n"]))
+    reached = exact.groupBy(*columns).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return scratch.save(reached.select(F.array_compact(F.array(*columns)).alias("words"), "n"))
 
 
 def _drop_inside(candidates: DataFrame, longest: int, percent: int) -> DataFrame:
