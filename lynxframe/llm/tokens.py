@@ -125,8 +125,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     version = tokenizer_version(tokenizer_path(tokenizer))
     texts = docs.select(F.col("doc_id"), text_or_empty().alias("text")).withColumn("content", digest(F.col("text")))
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
-    # One text a digest, combined before the shuffle: copies do not travel.
-    misses = texts.select("content", "text").join(known, "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
+    # One text a digest, combined before the shuffle and before the cache is asked: copies do not travel, whatever it holds.
+    misses = texts.groupBy("content").agg(F.first("text").alias("text")).join(known, "content", "left_anti")
     count_texts(misses, tokenizer).write.mode("append").option("compression", "zstd").parquet(cache)
     scratch.release()
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
