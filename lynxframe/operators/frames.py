@@ -84,3 +84,40 @@ def uncovered(boxes: DataFrame, others: DataFrame, frame: str, test) -> DataFram
     b = others.select(F.col(frame).alias("_frame"), F.struct("x0", "y0", "x1", "y1").alias("_other"))
     hit = (F.col(frame) == F.col("_frame")) & test(F.struct("x0", "y0", "x1", "y1"), F.col("_other"))
     return boxes.join(b, hit, "left_anti")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def piles(boxes: DataFrame, frame: str, most_gap: float, least: int, pad: float = 0.0, width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """Boxes of a frame that lie at most ``most_gap`` apart are one pile, and so are piles whose union boxes do, until no
+    two are that near: frame, det_id (the smallest), n, conf (the highest) and the union box, padded within the canvas.
+
+    Piles of fewer than ``least`` boxes go. What is merged does not depend on the order: unions only grow nearer. A frame's
+    boxes meet in one array, and each is added to the piles so far in a fold, without Python. Boxes with a null side count
+    as no box.
+    """
+    sides = ("x0", "y0", "x1", "y1")
+    one = F.struct("det_id", F.lit(1).alias("n"), "conf", *sides)
+    rows = boxes.dropna(subset=list(sides)).groupBy(frame).agg(F.array_sort(F.collect_list(one)).alias("all"))
+
+    def union(a: Column, b: Column, n: Column) -> Column:
+        low, high = (lambda s: F.least(a[s], b[s]).alias(s)), (lambda s: F.greatest(a[s], b[s]).alias(s))
+        return F.struct(F.least(a.det_id, b.det_id).alias("det_id"), n.alias("n"), F.greatest(a.conf, b.conf).alias("conf"), low("x0"), low("y0"), high("x1"), high("y1"))
+
+    def add(kept: Column, b: Column) -> Column:
+        # As many passes as there are piles: each takes in at least one more, or none will be.
+        near = lambda g: F.aggregate(kept, g, lambda u, k: F.when(G.gap(u, k) <= most_gap, union(u, k, u.n)).otherwise(u))
+        grown = F.aggregate(kept, b, lambda g, _: near(g))
+
+        def placed(g: Column) -> Column:
+            taken = F.aggregate(F.filter(kept, lambda k: G.gap(g, k) <= most_gap), F.lit(1), lambda n, k: n + k.n)
+            return F.concat(F.filter(kept, lambda k: G.gap(g, k) > most_gap), F.array(F.struct(g.det_id.alias("det_id"), taken.alias("n"), g.conf.alias("conf"), *[g[s].alias(s) for s in sides])))
+
+        return let(grown, placed)
+
+    found = rows.select(frame, F.explode(F.aggregate("all", F.slice("all", 1, 0), add)).alias("p")).where(F.col("p.n") >= least)
+    padded = [F.greatest(F.col(f"p.{s}") - pad, F.lit(0.0)).alias(s) for s in sides[:2]] + [F.least(F.col(f"p.{s}") + pad, F.lit(float(m))).alias(s) for s, m in zip(sides[2:], (width, height), strict=True)]
+    return found.select(frame, "p.det_id", "p.n", "p.conf", *padded)

@@ -257,10 +257,6 @@ def consensus(boxes: DataFrame, key: str, sample: str, least: int, match_iou: fl
     rows = thin.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(sample).alias("sample"), (-F.col("conf")).alias("rank"), "det_id", "conf", "box"))).alias("all"))
     one = F.transform("all", lambda b: F.struct(b.det_id.alias("first"), b.sample.alias("last"), F.array(b.box).alias("boxes"), F.array(b.conf).alias("confs")))
 
-    def let(value: Column, body) -> Column:
-        """``body`` of a value that is computed once, however often the body names it."""
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
     def add(kept: Column, b: Column) -> Column:
         def put(at: Column) -> Column:
             joined = F.transform(kept, lambda c, i: F.when(i + 1 == at, F.struct(c["first"].alias("first"), b.sample.alias("last"), F.concat(c.boxes, F.array(b.box)).alias("boxes"), F.concat(c.confs, F.array(b.conf)).alias("confs"))).otherwise(c))
@@ -268,8 +264,8 @@ def consensus(boxes: DataFrame, key: str, sample: str, least: int, match_iou: fl
             return F.when(at > 0, joined).otherwise(F.concat(kept, F.array(fresh)))
 
         reach = F.transform(kept, lambda c: F.when(c.last == b.sample, F.lit(-1.0)).otherwise(F.array_max(F.transform(c.boxes, lambda x: G.iou(b.box, x)))))
-        place = lambda r: let(F.array_max(r), lambda best: F.when((best >= match_iou) & (best > 0), F.array_position(r, best)).otherwise(F.lit(0)))
-        return let(let(reach, place), put)
+        place = lambda r: frames.let(F.array_max(r), lambda best: F.when((best >= match_iou) & (best > 0), F.array_position(r, best)).otherwise(F.lit(0)))
+        return frames.let(frames.let(reach, place), put)
 
     found = rows.select(key, F.explode(F.aggregate("all", F.slice(one, 1, 0), add)).alias("c")).where(F.size("c.confs") >= least)
 

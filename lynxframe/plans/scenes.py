@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lynxframe.operators import scenes
+from lynxframe.operators import frames, scenes, tracking
 from lynxframe.plans.catalogue import _IOU, _UNION, query, six, six_sql
 from lynxframe.sources.fixtures import load
 
@@ -152,3 +152,46 @@ l AS (SELECT batch, unnest(arg_max(made, k)) AS u FROM m GROUP BY batch), q AS (
 def sample_consensus(spark, sf_dir):
     rows = load(spark, sf_dir, "detections").withColumn("batch", F.floor(F.col("frame_id") / 20)).withColumnRenamed("frame_id", "sample")
     return scenes.consensus(rows, "batch", "sample", 2, 0.3, 0.5).withColumn("conf", six("conf"))
+
+
+_PILE = "STRUCT(det_id BIGINT, n INTEGER, conf DOUBLE, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)"
+_APART = "greatest(m.items[{0}].{2}0 - m.items[{1}].{2}1, m.items[{1}].{2}0 - m.items[{0}].{2}1, 0)"
+_GAP = " + ".join(f"{_APART.format('i', 'j', c)} * {_APART.format('i', 'j', c)}" for c in "xy")
+_BOTH = ", ".join(f"'{s}': {f}(m.items[p.i].{s}, m.items[p.j].{s})" for s, f in (("det_id", "least"), ("conf", "greatest"), ("x0", "least"), ("y0", "least"), ("x1", "greatest"), ("y1", "greatest")))
+
+
+@query(f"""AS_ m AS (SELECT frame_id, 0 AS step, list({{'det_id': det_id, 'n': 1, 'conf': conf, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY det_id)::{_PILE}[] AS items FROM detections GROUP BY frame_id
+UNION ALL SELECT m.frame_id, m.step + 1, list_append(list_filter(m.items, lambda x, i: i <> p.i AND i <> p.j), {{'det_id': b.u.det_id, 'n': m.items[p.i].n + m.items[p.j].n, 'conf': b.u.conf, 'x0': b.u.x0, 'y0': b.u.y0, 'x1': b.u.x1, 'y1': b.u.y1}})
+FROM m, LATERAL (SELECT list_filter(flatten(list_transform(range(1, len(m.items) + 1), lambda i: list_transform(range(i + 1, len(m.items) + 1), lambda j: {{'i': i, 'j': j, 'near': sqrt({_GAP}) <= 4}}))), lambda x: x.near)[1] AS q) f, LATERAL (SELECT f.q.i AS i, f.q.j AS j) p, LATERAL (SELECT {{{_BOTH}}} AS u) b WHERE f.q IS NOT NULL),
+l AS (SELECT frame_id, unnest(arg_max(items, step)) AS x FROM m GROUP BY frame_id) SELECT frame_id, x.det_id, x.n, x.conf, greatest(x.x0 - 2, 0) AS x0, greatest(x.y0 - 2, 0) AS y0, least(x.x1 + 2, 100) AS x1, least(x.y1 + 2, 100) AS y1 FROM l WHERE x.n >= 2""", "detections")
+def frame_piles(spark, sf_dir):
+    return frames.piles(load(spark, sf_dir, "detections"), "frame_id", 4.0, 2, 2.0, 100.0, 100.0)
+
+
+_HIDES = "frame_no % 11 = 0"
+_SEEN = f"SELECT stream_id, floor(ts_s / 21600) * 21600 AS ts_s, frame_no AS det_id, sx0 AS x0, sy0 AS y0, sx1 AS x1, sy1 AS y1, {_HIDES} AS hides, ax0, ay0, ax1, ay1 FROM view_ticks"
+_OPEN = "STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, seen DOUBLE, hits INTEGER, hidden INTEGER)"
+
+
+def _cost_sql(a: str, b: str) -> str:
+    size = lambda x: f"greatest(({x}.x1 - {x}.x0) * ({x}.y1 - {x}.y0), 1)"
+    diagonal = lambda x: f"sqrt(({x}.x1 - {x}.x0) * ({x}.x1 - {x}.x0) + ({x}.y1 - {x}.y0) * ({x}.y1 - {x}.y0))"
+    ratio, limit = f"(greatest({size(a)}, {size(b)}) / least({size(a)}, {size(b)}))", f"greatest(18, 2 * greatest({diagonal(a)}, {diagonal(b)}))"
+    return f"CASE WHEN {ratio} <= 5 AND ({_over(a, b)} > 0 OR {_far(a, b)} <= {limit}) THEN {_far(a, b)} / {limit} + 0.15::DOUBLE * ln({ratio}) - 0.25::DOUBLE * ({_over(a, b)}) END"
+
+
+@query(f"""AS_ r AS ({_SEEN}), t AS MATERIALIZED (SELECT stream_id, ts_s, list({{'det_id': det_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY det_id) AS seen, max(CASE WHEN hides THEN [{{'x0': ax0, 'y0': ay0, 'x1': ax1, 'y1': ay1}}] ELSE [] END) AS hides, row_number() OVER (PARTITION BY stream_id ORDER BY ts_s) AS k FROM r GROUP BY stream_id, ts_s),
+m AS (SELECT stream_id, CAST(0 AS BIGINT) AS k, CAST([] AS {_OPEN}[]) AS tracks, CAST([] AS STRUCT(det_id BIGINT, track BIGINT, hits INTEGER, cost DOUBLE, hidden INTEGER)[]) AS found FROM (SELECT DISTINCT stream_id FROM t)
+UNION ALL SELECT m.stream_id, t.k, list_concat(list_transform(a.live, lambda e, i: coalesce(list_filter(list_transform(c.taken, lambda x: {{'id': e.id, 'x0': t.seen[x.n].x0, 'y0': t.seen[x.n].y0, 'x1': t.seen[x.n].x1, 'y1': t.seen[x.n].y1, 'seen': t.ts_s, 'hits': e.hits + 1, 'hidden': e.hidden, 'i': x.k}}), lambda x: x.i = i)[1], {{'id': e.id, 'x0': e.x0, 'y0': e.y0, 'x1': e.x1, 'y1': e.y1, 'seen': e.seen, 'hits': e.hits, 'hidden': e.hidden, 'i': i}}))::{_OPEN}[],
+list_transform(list_filter(t.seen, lambda s, n: NOT list_contains(list_transform(c.taken, lambda x: x.n), n)), lambda s: {{'id': s.det_id, 'x0': s.x0, 'y0': s.y0, 'x1': s.x1, 'y1': s.y1, 'seen': t.ts_s, 'hits': 1, 'hidden': 0}})::{_OPEN}[]),
+list_transform(t.seen, lambda s, n: coalesce(list_transform(list_filter(c.taken, lambda x: x.n = n), lambda x: {{'det_id': s.det_id, 'track': a.live[x.k].id, 'hits': a.live[x.k].hits + 1, 'cost': x.c, 'hidden': a.live[x.k].hidden}})[1], {{'det_id': s.det_id, 'track': s.det_id, 'hits': 1, 'cost': NULL, 'hidden': 0}}))
+FROM m JOIN t ON t.stream_id = m.stream_id AND t.k = m.k + 1,
+LATERAL (SELECT list_transform(list_filter(list_transform(m.tracks, lambda e: {{'e': e, 'covered': len(list_filter(t.hides, lambda o: (e.x0 + e.x1) / 2 BETWEEN o.x0 AND o.x1 AND (e.y0 + e.y1) / 2 BETWEEN o.y0 AND o.y1)) > 0}}), lambda x: x.covered OR t.ts_s - x.e.seen <= 45360), lambda x: {{'id': x.e.id, 'x0': x.e.x0, 'y0': x.e.y0, 'x1': x.e.x1, 'y1': x.e.y1, 'seen': x.e.seen, 'hits': x.e.hits, 'hidden': x.e.hidden + CASE WHEN x.covered THEN 1 ELSE 0 END}}) AS live) a,
+LATERAL (SELECT list_sort(list_filter(flatten(list_transform(a.live, lambda e, k: list_transform(t.seen, lambda s, n: {{'c': {_cost_sql('e', 's')}, 'k': k, 'n': n}}))), lambda x: x.c IS NOT NULL)) AS pairs) b,
+LATERAL (SELECT CASE WHEN len(b.pairs) > 0 THEN list_reduce(list_transform(b.pairs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.k = x[1].k OR y.n = x[1].n)) > 0 THEN acc ELSE list_concat(acc, x) END) ELSE [] END AS taken) c),
+f AS (SELECT stream_id, unnest(found) AS f FROM m) SELECT stream_id, f.det_id, f.track, f.hits, {six_sql("f.cost")} AS cost, f.hidden FROM f""", "view_ticks")
+def cheapest_tracks(spark, sf_dir):
+    rows = load(spark, sf_dir, "view_ticks")
+    hides = F.when(F.expr(_HIDES), F.array(F.struct(*[F.col(f"a{s}").alias(s) for s in scenes.SIDES])))
+    seen = rows.select("stream_id", (F.floor(F.col("ts_s") / 21600) * 21600).cast("double").alias("ts_s"), F.col("frame_no").alias("det_id"), *[F.col(f"s{s}").alias(s) for s in scenes.SIDES], hides.alias("occluders"))
+    return tracking.cheapest_tracks(seen, "stream_id", 21600.0).drop("ts_s").withColumn("cost", six("cost"))
