@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import blocks, frames, metrics, selection, timeline
+from lynxframe.operators import blocks, frames, metrics, records, selection, timeline
 from lynxframe.sources.fixtures import duck, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,10 +158,8 @@ def m_of_n_confirm(spark, sf_dir):
 
 @query("""SELECT track_id, frame_no, round(sqrt(power(max((x0 + x1) / 2) OVER w - min((x0 + x1) / 2) OVER w, 2) + power(max((y0 + y1) / 2) OVER w - min((y0 + y1) / 2) OVER w, 2)), 6) AS span FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""", "observations")
 def compact_span(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s").rangeBetween(-86400, 0)
-    width = lambda c: F.max(c).over(w) - F.min(c).over(w)
-    x, y = width((F.col("x0") + F.col("x1")) / 2), width((F.col("y0") + F.col("y1")) / 2)
-    return load(spark, sf_dir, "observations").select("track_id", "frame_no", F.round(F.sqrt(F.pow(x, 2) + F.pow(y, 2)), 6).alias("span"))
+    rows = load(spark, sf_dir, "observations")
+    return rows.select("track_id", "frame_no", F.round(records.compact_span(rows, ["track_id"], "ts_s", _box(), 86400), 6).alias("span"))
 
 
 @query("""AS_ a AS (SELECT stream_id, frame_no, ts_s, max(ts_s) OVER (PARTITION BY stream_id ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM observations)
@@ -215,7 +213,7 @@ def nearest_rank_p95(spark, sf_dir):
 
 @query("SELECT device, count(*) AS reviewed, sum(label) AS positive, round(sum(label) / count(*), 6) AS yield_ratio FROM scored GROUP BY device", "scored")
 def source_yield(spark, sf_dir):
-    return load(spark, sf_dir, "scored").groupBy("device").agg(F.count("*").alias("reviewed"), F.sum("label").alias("positive"), F.round(F.sum("label") / F.count("*"), 6).alias("yield_ratio"))
+    return records.yields(load(spark, sf_dir, "scored"), ["device"], "label")
 
 
 @query("""SELECT device, count(*) AS n, round(sum(CASE WHEN label = 1 AND passed THEN weight ELSE 0 END) / nullif(sum(CASE WHEN passed THEN weight ELSE 0 END), 0), 6) AS precision, round(sum(CASE WHEN label = 1 AND passed THEN weight ELSE 0 END) / nullif(sum(CASE WHEN label = 1 THEN weight ELSE 0 END), 0), 6) AS recall, round(sum(CASE WHEN label <> 1 AND NOT passed THEN weight ELSE 0 END) / nullif(sum(CASE WHEN label <> 1 THEN weight ELSE 0 END), 0), 6) AS negative_reduction FROM scored GROUP BY ROLLUP (device)""", "scored")
@@ -260,23 +258,23 @@ def train_holdout_split(spark, sf_dir):
 
 @query("SELECT stream_id, frame_no, kind FROM observations ORDER BY ts_s DESC, frame_no DESC LIMIT 100", "observations")
 def latest_events(spark, sf_dir):
-    return load(spark, sf_dir, "observations").orderBy(F.desc("ts_s"), F.desc("frame_no")).limit(100).select("stream_id", "frame_no", "kind")
+    return records.latest(load(spark, sf_dir, "observations"), ["ts_s", "frame_no"], 100).select("stream_id", "frame_no", "kind")
 
 
 @query("SELECT frame_no, kind FROM observations WHERE frame_no > 200 AND kind = 'error' ORDER BY frame_no LIMIT 50", "observations")
 def cursor_page(spark, sf_dir):
-    return load(spark, sf_dir, "observations").where("frame_no > 200 and kind = 'error'").orderBy("frame_no").limit(50).select("frame_no", "kind")
+    return records.page_after(load(spark, sf_dir, "observations").where("kind = 'error'"), "frame_no", 200, 50).select("frame_no", "kind")
 
 
 @query("SELECT sha256(coalesce(text, '')) AS content, count(*) AS n, min(doc_id) AS first_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM documents GROUP BY 1")
 def exact_duplicate_collapse(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    content = F.sha2(F.coalesce("text", F.lit("")), 256).alias("content")
+    return records.collapsed(spark.read.parquet(f"{sf_dir}/documents.parquet"), [content], "doc_id", {"sources": F.col("source")})
 
 
 @query("AS_ r AS (SELECT camera, file_id, start_s, row_number() OVER (PARTITION BY camera, start_s ORDER BY file_id) AS k FROM recordings) SELECT camera, start_s, file_id FROM r WHERE k = 1", "recordings")
 def identity_dedupe(spark, sf_dir):
-    return load(spark, sf_dir, "recordings").groupBy("camera", "start_s").agg(F.min("file_id").alias("file_id"))
+    return records.one_each(load(spark, sf_dir, "recordings"), ["camera", "start_s"], ["file_id"], ["file_id"])
 
 
 @query("AS_ s AS (SELECT frame_id, camera, cell, gray FROM cells), m AS (SELECT camera, cell, median(gray) AS med FROM s GROUP BY 1, 2) SELECT m.camera, m.cell, round(med, 6) AS median_gray, round(greatest(1.4826 * median(abs(gray - med)), 0.01), 6) AS scale FROM s JOIN m ON s.camera = m.camera AND s.cell = m.cell GROUP BY m.camera, m.cell, med", "cells")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import blocks, timeline, tracking
+from lynxframe.operators import blocks, records, timeline, tracking
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
 from lynxframe.streaming import replay as R
@@ -23,8 +23,8 @@ def heading_turns(spark, sf_dir):
 
 @query("""SELECT track_id, frame_no, CASE WHEN max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER w = 1 THEN last_value(CASE WHEN kind = 'purchase' THEN value END IGNORE NULLS) OVER w END AS held FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s, frame_no ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""", "observations")
 def hold_last_value(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no").rowsBetween(-3, 0)
-    return load(spark, sf_dir, "observations").select("track_id", "frame_no", F.last(F.when(F.col("kind") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("held"))
+    rows = load(spark, sf_dir, "observations")
+    return rows.select("track_id", "frame_no", records.held(rows, ["track_id"], ["ts_s", "frame_no"], F.when(F.col("kind") == "purchase", F.col("value")), 3).alias("held"))
 
 
 @query("""AS_ c AS (SELECT track_id, frame_no, count(*) OVER w AS seen, sum(CASE WHEN kind IN ('click', 'view') THEN 1 ELSE 0 END) OVER w AS hits, ts_s - min(ts_s) OVER w AS span FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s, frame_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
@@ -57,12 +57,9 @@ def interval_grid(spark, sf_dir):
 SELECT file_id, block, round(greatest(b - a, 0), 3) AS usable_s, CASE WHEN b <= a THEN 'outside' WHEN b - a < 43200 THEN 'partial' ELSE 'whole' END AS state FROM j""", "recordings")
 def usable_windows(spark, sf_dir):
     files = load(spark, sf_dir, "recordings")
-    block = lambda c: F.floor(F.col(c) / 2592000)
-    tasks = files.select("camera", block("start_s").alias("block")).distinct()
-    met = files.withColumn("block", F.explode(F.sequence(block("start_s"), block("end_s")))).join(tasks, ["camera", "block"])
-    length = F.least("end_s", F.col("block") * 2592000 + 2160000) - F.greatest("start_s", F.col("block") * 2592000 + 432000)
-    state = F.when(length <= 0, "outside").when(length < 43200, "partial").otherwise("whole")
-    return met.select("file_id", "block", F.round(F.greatest(length, F.lit(0.0)), 3).alias("usable_s"), state.alias("state"))
+    tasks = files.select("camera", F.floor(F.col("start_s") / 2592000).alias("block"))
+    met = records.usable_windows(files, tasks, "camera", 2592000, 432000, 2160000, 43200)
+    return met.select("file_id", "block", F.round("usable_s", 3).alias("usable_s"), "state")
 
 
 @query("""AS_ s AS (SELECT c_custkey, 640 + (c_custkey % 7) * 200 AS w, 640 + (c_custkey % 5) * 150 AS h FROM customer), x AS (SELECT DISTINCT c_custkey, h, unnest(list_append(range(0, w - 639, 480), w - 640)) AS x FROM s) SELECT DISTINCT c_custkey, CAST(x AS BIGINT) AS x, CAST(unnest(list_append(range(0, h - 639, 480), h - 640)) AS BIGINT) AS y FROM x""", "scored")
@@ -79,7 +76,21 @@ def two_level_median(spark, sf_dir):
     return blocks.exact_median(inner, ["camera", "cell"], "m", "background").withColumn("background", F.round("background", 6))
 
 
-@query()
+_TRK = "STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, seen DOUBLE, hits INTEGER)"
+_BOTH = "(greatest(least(e.x1, s.x1) - greatest(e.x0, s.x0), 0) * greatest(least(e.y1, s.y1) - greatest(e.y0, s.y0), 0))"
+_OVER = f"({_BOTH} / ((e.x1 - e.x0) * (e.y1 - e.y0) + (s.x1 - s.x0) * (s.y1 - s.y0) - {_BOTH}))"
+_AWAY = "(sqrt((e.x0 + e.x1 - s.x0 - s.x1) * (e.x0 + e.x1 - s.x0 - s.x1) + (e.y0 + e.y1 - s.y0 - s.y1) * (e.y0 + e.y1 - s.y0 - s.y1)) / 2 / greatest(e.x1 - e.x0, e.y1 - e.y0, s.x1 - s.x0, s.y1 - s.y0))"
+
+
+@query(f"""AS_ t AS MATERIALIZED (SELECT stream_id, ts_s, list({{'frame_no': frame_no, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY frame_no) AS seen, row_number() OVER (PARTITION BY stream_id ORDER BY ts_s) AS k FROM observations GROUP BY stream_id, ts_s),
+m AS (SELECT stream_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS made, CAST([] AS {_TRK}[]) AS tracks, CAST([] AS STRUCT(frame_no BIGINT, id BIGINT, hits INTEGER)[]) AS found FROM (SELECT DISTINCT stream_id FROM t)
+UNION ALL SELECT m.stream_id, t.k, m.made + len(d.fresh), list_concat(list_transform(a.live, lambda e: coalesce(list_transform(list_filter(c.taken, lambda x: x.id = e.id), lambda x: {{'id': e.id, 'x0': t.seen[x.n].x0, 'y0': t.seen[x.n].y0, 'x1': t.seen[x.n].x1, 'y1': t.seen[x.n].y1, 'seen': t.ts_s, 'hits': e.hits + 1}})[1], e)), list_transform(d.fresh, lambda n, i: {{'id': m.made + i, 'x0': t.seen[n].x0, 'y0': t.seen[n].y0, 'x1': t.seen[n].x1, 'y1': t.seen[n].y1, 'seen': t.ts_s, 'hits': 1}}))::{_TRK}[],
+list_transform(t.seen, lambda s, n: coalesce(list_transform(list_filter(c.taken, lambda x: x.n = n), lambda x: {{'frame_no': s.frame_no, 'id': x.id, 'hits': list_filter(a.live, lambda e: e.id = x.id)[1].hits + 1}})[1], {{'frame_no': s.frame_no, 'id': m.made + list_position(d.fresh, n), 'hits': 1}}))
+FROM m JOIN t ON t.stream_id = m.stream_id AND t.k = m.k + 1, LATERAL (SELECT list_filter(m.tracks, lambda e: t.ts_s - e.seen <= 21600) AS live) a,
+LATERAL (SELECT list_reverse_sort(list_filter(flatten(list_transform(a.live, lambda e: list_transform(t.seen, lambda s, n: {{'o': CASE WHEN {_OVER} >= 0.3 OR {_AWAY} <= 0.5 THEN {_OVER} * 2 - {_AWAY} / 4 END, 'id': e.id, 'n': n}}))), lambda x: x.o IS NOT NULL)) AS pairs) b,
+LATERAL (SELECT CASE WHEN len(b.pairs) > 0 THEN list_reduce(list_transform(b.pairs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.id = x[1].id OR y.n = x[1].n)) > 0 THEN acc ELSE list_concat(acc, x) END) ELSE [] END AS taken) c,
+LATERAL (SELECT list_filter(range(1, len(t.seen) + 1), lambda n: NOT list_contains(list_transform(c.taken, lambda x: x.n), n)) AS fresh) d),
+f AS (SELECT m.stream_id, t.ts_s, unnest(found) AS f FROM m JOIN t USING (stream_id, k)) SELECT stream_id, f.frame_no, ts_s, f.id AS object_id, f.hits FROM f""", "observations")
 def sparse_detection_tracks(spark, sf_dir):
     return tracking.sparse_tracks(load(spark, sf_dir, "observations"), hold_s=21600)
 

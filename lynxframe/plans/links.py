@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
 from lynxframe.functions import rules as R
-from lynxframe.operators import blocks, frames, graph, joins, states
+from lynxframe.operators import blocks, frames, graph, joins, records, states
 from lynxframe.plans.catalogue import _INSIDE, _IOU, _UNION, _box, _polygon, query
 from lynxframe.sources.fixtures import load
 
@@ -108,10 +108,12 @@ def camera_codes(spark, sf_dir):
 
 @query("SELECT o_orderkey AS job_id, count(l.l_orderkey) AS images, coalesce(array_to_string(list_sort(list(DISTINCT l.l_returnflag) FILTER (WHERE l.l_orderkey IS NOT NULL)), ','), '') AS flags, date_diff('day', o_orderdate, max(l.l_shipdate)) AS latency_days FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o_orderkey, o_orderdate")
 def jobs_with_images(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count("*").alias("images"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"), F.max("l_shipdate").alias("done"))
-    jobs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("job_id"), "o_orderdate").join(lines, "job_id", "left")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "job_id")
+    jobs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("job_id"), "o_orderdate")
+    whole = records.with_nested(jobs, lines, "job_id", ["l_returnflag", "l_shipdate"], "l_shipdate")
+    flags = F.array_join(F.array_distinct(F.transform("parts", lambda p: p.l_returnflag)), ",")
     days = F.datediff(F.col("done").cast("date"), F.col("o_orderdate").cast("date")).cast("long")
-    return jobs.select("job_id", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("flags", F.lit("")).alias("flags"), days.alias("latency_days"))
+    return whole.select("job_id", F.size("parts").cast("long").alias("images"), flags.alias("flags"), days.alias("latency_days"))
 
 
 _OVER = _IOU.replace("a.", "s.").replace("b.", "t.")
@@ -162,19 +164,16 @@ def fragment_suppression(spark, sf_dir):
 @query(f"SELECT a.vec_id, 1 - coalesce(round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5), 0) AS novelty FROM embeddings a LEFT JOIN embeddings b ON a.vec_id % 8 = b.vec_id % 8 AND b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY 1")
 def novelty(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", (F.col("vec_id") % 8).alias("camera"), "embedding")
-    known = rows.where("vec_id % 50 = 0").select("camera", F.col("vec_id").alias("known_id"), F.col("embedding").alias("known"))
-    best = rows.join(known, "camera").where("vec_id <> known_id").groupBy("vec_id").agg(F.max(R.cosine(F.col("embedding"), F.col("known"))).alias("best"))
-    return rows.select("vec_id").join(best, "vec_id", "left").select("vec_id", (1 - F.coalesce(F.round("best", 5), F.lit(0.0))).alias("novelty"))
+    best = records.novelty(rows, rows.where("vec_id % 50 = 0"), "camera", "vec_id", "embedding")
+    return best.select("vec_id", (1 - F.coalesce(F.round("best", 5), F.lit(0.0))).alias("novelty"))
 
 
 @query("SELECT c.obs_id, arg_max(a.track_id, (a.ts_s, a.frame_no)) AS actor, count(*) AS steps FROM sourced c JOIN observations a ON a.stream_id = 'cam_' || CAST(c.camera AS VARCHAR) AND a.ts_s < c.ts_s AND a.ts_s >= c.ts_s - 86400 AND (a.x0 + a.x1) / 2 BETWEEN c.x0 / 1920 - 0.12 AND c.x1 / 1920 + 0.12 AND a.y1 BETWEEN c.y0 / 1080 - 0.12 AND c.y1 / 1080 + 0.12 WHERE c.kind = 'purchase' GROUP BY 1", "sourced", "observations")
 def actor_trails(spark, sf_dir):
-    day = lambda c: F.floor(F.col(c) / 86400)
-    changes = load(spark, sf_dir, "sourced").where("kind = 'purchase'").select("obs_id", F.concat(F.lit("cam_"), F.col("camera").cast("string")).alias("stream_id"), F.col("ts_s").alias("at"), *[(F.col(c) / n).alias(f"c{c}") for c, n in (("x0", 1920), ("y0", 1080), ("x1", 1920), ("y1", 1080))])
-    changes = changes.withColumn("day", F.explode(F.array(day("at"), day("at") - 1)))
-    trail = load(spark, sf_dir, "observations").select("stream_id", "track_id", "frame_no", "ts_s", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("y1").alias("y"), day("ts_s").alias("day"))
-    met = changes.join(trail, ["stream_id", "day"]).where("ts_s < at and ts_s >= at - 86400 and x between cx0 - 0.12 and cx1 + 0.12 and y between cy0 - 0.12 and cy1 + 0.12")
-    return met.groupBy("obs_id").agg(F.max_by("track_id", F.struct("ts_s", "frame_no")).alias("actor"), F.count("*").alias("steps"))
+    stream = F.concat(F.lit("cam_"), F.col("camera").cast("string")).alias("stream_id")
+    changes = load(spark, sf_dir, "sourced").where("kind = 'purchase'").select("obs_id", stream, F.col("ts_s").alias("at"), *[(F.col(c) / n).alias(c) for c, n in (("x0", 1920), ("y0", 1080), ("x1", 1920), ("y1", 1080))])
+    trail = load(spark, sf_dir, "observations").select("stream_id", "track_id", "frame_no", "ts_s", ((F.col("x0") + F.col("x1")) / 2).alias("x"), F.col("y1").alias("y"))
+    return records.latest_visitor(changes, trail, "stream_id", "obs_id", "track_id", "frame_no", 86400, 0.12)
 
 
 @query(f"SELECT t.gt_id AS prior_id, count(d.det_id) AS results, count(*) FILTER (WHERE {_IOU.replace('a.', 't.').replace('b.', 'd.')} / {_UNION.replace('a.', 't.').replace('b.', 'd.')} >= 0.3) AS matched FROM truth_boxes t LEFT JOIN detections d ON d.frame_id = t.frame_id GROUP BY 1", "detections", "truth_boxes")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import blocks, joins, selection
+from lynxframe.operators import blocks, joins, records, selection
 from lynxframe.operators.selection import stable_rank
 from lynxframe.plans.catalogue import _box, query
 from lynxframe.sources.fixtures import load
@@ -14,7 +14,7 @@ from lynxframe.sources.fixtures import load
 
 @query("SELECT stream_id, frame_no, kind, value FROM observations WHERE frame_no = 321", "observations")
 def point_lookup(spark, sf_dir):
-    return load(spark, sf_dir, "observations").where("frame_no = 321").select("stream_id", "frame_no", "kind", "value")
+    return records.by_id(load(spark, sf_dir, "observations"), "frame_no", 321).select("stream_id", "frame_no", "kind", "value")
 
 
 @query("AS_ r AS (SELECT *, row_number() OVER (PARTITION BY camera, kind ORDER BY coalesce(first_conf, second_conf) DESC, obs_id) <= 5 AS in_quota FROM sourced), p AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY in_quota DESC, coalesce(first_conf, second_conf) DESC, obs_id) AS place FROM r) SELECT camera, obs_id, in_quota, place FROM p WHERE place <= 30", "sourced")
@@ -122,9 +122,8 @@ def decision_transitions(spark, sf_dir):
 @query("SELECT file_id, start_s + off AS at_s, min(kind) AS kind FROM (SELECT file_id, start_s, off, 'fixed' AS kind FROM recordings CROSS JOIN (VALUES (3600), (14400), (28800)) o(off) UNION ALL SELECT file_id, start_s, 3600 * (file_id % 9), 'bonus' FROM recordings WHERE file_id % 4 = 0) GROUP BY 1, 2", "recordings")
 def review_grid(spark, sf_dir):
     files = load(spark, sf_dir, "recordings").select("file_id", "start_s")
-    fixed = files.withColumn("off", F.explode(F.array(F.lit(3600), F.lit(14400), F.lit(28800)))).select("file_id", (F.col("start_s") + F.col("off")).alias("at_s"), F.lit("fixed").alias("kind"))
-    bonus = files.where("file_id % 4 = 0").select("file_id", (F.col("start_s") + 3600 * (F.col("file_id") % 9)).alias("at_s"), F.lit("bonus").alias("kind"))
-    return fixed.unionByName(bonus).groupBy("file_id", "at_s").agg(F.min("kind").alias("kind"))
+    bonus = files.where("file_id % 4 = 0").select("file_id", (F.col("start_s") + 3600 * (F.col("file_id") % 9)).alias("at_s"))
+    return records.review_grid(files, "file_id", "start_s", [3600.0, 14400.0, 28800.0], bonus)
 
 
 @query("AS_ e AS (SELECT card_id, count(*) AS members, count(DISTINCT decision) AS kinds, min(decided_s) AS first_s FROM decisions GROUP BY 1), l AS (SELECT card_id, arg_max(decision, (decided_s, decision_id)) AS last FROM decisions GROUP BY 1) SELECT s.camera, l.last AS decision, count(*) AS cards, CAST(sum(e.members) AS BIGINT) AS members, max(e.kinds) AS most_kinds FROM sourced s JOIN e ON e.card_id = s.obs_id JOIN l ON l.card_id = s.obs_id GROUP BY 1, 2", "sourced", "decisions")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import frames, graph, metrics
+from lynxframe.operators import frames, graph, metrics, records
 from lynxframe.plans.boxes import _MATCH
 from lynxframe.plans.catalogue import _IOU, _UNION, _greedy, query
 from lynxframe.sources.fixtures import load
@@ -40,10 +40,7 @@ def frame_metrics(spark, sf_dir):
 
 @query("SELECT d.source, count(*) AS documents, count(l.doc_id) AS reviewed, round(count(l.doc_id) / count(*), 6) AS share, count(*) = count(l.doc_id) AS complete FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ROLLUP (d.source)")
 def review_coverage(spark, sf_dir):
-    known = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.lit(1).alias("known"))
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").join(known, "doc_id", "left")
-    n, k = F.count("*"), F.count("known")
-    return rows.rollup("source").agg(n.alias("documents"), k.alias("reviewed"), F.round(k / n, 6).alias("share"), (n == k).alias("complete"))
+    return records.coverage(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "source")[0]
 
 
 _WRITTEN = {"spark": ("date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"), "duck": ("strftime(ts, '%Y-%m-%d %H:%M:%S')", "strftime(ts, '%Y-%m-%dT%H:%M:%S')")}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
 from lynxframe.functions import rules as R
-from lynxframe.operators import blocks, frames, graph, metrics, reports
+from lynxframe.operators import blocks, frames, graph, metrics, records, reports
 from lynxframe.plans.catalogue import _IOU, _UNION, _box, query, six, six_sql
 from lynxframe.plans.links import folded
 from lynxframe.shared import Scratch
@@ -45,7 +45,7 @@ def stage_summary(spark, sf_dir):
 @query("SELECT scene, CASE WHEN x1 > 1700 OR y1 > 950 THEN 'unresolved' WHEN first_conf IS NULL THEN 'proposed' ELSE 'localised' END AS state, count(*) AS n, min(obs_id) AS first_id FROM sourced GROUP BY 1, 2", "sourced")
 def localisation_counts(spark, sf_dir):
     state = R.chain(((F.col("x1") > 1700) | (F.col("y1") > 950), "unresolved"), (F.col("first_conf").isNull(), "proposed"), other="localised")
-    return load(spark, sf_dir, "sourced").groupBy("scene", state.alias("state")).agg(F.count("*").alias("n"), F.min("obs_id").alias("first_id"))
+    return records.state_counts(load(spark, sf_dir, "sourced"), ["scene"], state, "obs_id", "unresolved")[0]
 
 
 @query("AS_ r AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS k, count(*) OVER (PARTITION BY kind) AS n FROM observations WHERE value IS NOT NULL), p AS (SELECT kind, n, value FROM r WHERE k = CAST(ceil(n * 0.95) AS BIGINT)), l AS (SELECT DISTINCT kind, CASE kind WHEN 'click' THEN 60.0::DOUBLE ELSE 200.0::DOUBLE END AS lim FROM observations) SELECT l.kind, coalesce(n, 0) AS n, value AS percentile, CASE WHEN coalesce(n, 0) < 200 THEN 'insufficient' WHEN value <= lim THEN 'pass' ELSE 'fail' END AS verdict FROM l LEFT JOIN p USING (kind)", "observations")
@@ -123,20 +123,18 @@ def bias_regions(spark, sf_dir):
 
 @query(f"SELECT camera, cell, {six_sql('CAST(count(*) FILTER (WHERE gray > 0) AS DOUBLE) / count(*)')} AS share, count(*) FILTER (WHERE gray > 0) * 2 >= count(*) AS in_mask FROM cells GROUP BY 1, 2", "cells")
 def consensus_mask(spark, sf_dir):
-    votes, n = F.count_if(F.col("gray") > 0), F.count("*")
-    return load(spark, sf_dir, "cells").groupBy("camera", "cell").agg(six(votes / n).alias("share"), (votes * 2 >= n).alias("in_mask"))
+    return records.voted(load(spark, sf_dir, "cells"), ["camera", "cell"], F.col("gray") > 0).withColumn("share", six("share"))
 
 
 @query("AS_ t AS (SELECT track_id, count(*) AS n, max(ts_s) - min(ts_s) AS life FROM observations GROUP BY 1) SELECT count(*) AS tracks, CAST(sum(n) AS BIGINT) AS raw_rows, count(*) FILTER (WHERE life >= 86400) AS day, count(*) FILTER (WHERE life >= 604800) AS week, count(*) FILTER (WHERE life >= 2000000) AS long FROM t", "observations")
 def track_funnel(spark, sf_dir):
-    lives = load(spark, sf_dir, "observations").groupBy("track_id").agg(F.count("*").alias("n"), (F.max("ts_s") - F.min("ts_s")).alias("life"))
-    return lives.agg(F.count("*").alias("tracks"), F.sum("n").alias("raw_rows"), *[F.count_if(F.col("life") >= s).alias(n) for n, s in (("day", 86400), ("week", 604800), ("long", 2000000))])
+    return records.funnel(load(spark, sf_dir, "observations"), "track_id", "ts_s", {"day": 86400, "week": 604800, "long": 2000000})
 
 
 @query(f"SELECT device, lang, count(*) AS n, count(*) FILTER (WHERE passed AND label = 0) AS fp, {six_sql('CAST(count(*) FILTER (WHERE passed AND label = 0) AS DOUBLE) / count(*)')} AS fp_share FROM scored GROUP BY 1, 2", "scored")
 def fp_by_stage(spark, sf_dir):
-    fp = F.count_if(F.col("passed") & (F.col("label") == 0))
-    return load(spark, sf_dir, "scored").groupBy("device", "lang").agg(F.count("*").alias("n"), fp.alias("fp"), six(fp / F.count("*")).alias("fp_share"))
+    out = records.false_positives(load(spark, sf_dir, "scored"), ["device", "lang"], F.col("passed"), F.col("label") != 0)
+    return out.withColumn("fp_share", six("fp_share"))
 
 
 @query("SELECT device, count(*) AS frames, count(*) FILTER (WHERE score >= 0.4) AS first_kept, count(*) FILTER (WHERE weight >= 3) AS second_kept, count(*) FILTER (WHERE score >= 0.4 AND weight >= 3) AS both_kept, count(*) FILTER (WHERE label = 1 AND score >= 0.4) - count(*) FILTER (WHERE label = 1 AND weight >= 3) AS gain FROM scored GROUP BY 1", "scored")
@@ -147,8 +145,8 @@ def regime_comparison(spark, sf_dir):
 
 @query("SELECT CASE WHEN first_conf IS NULL THEN 'second' WHEN second_conf IS NULL THEN 'first' ELSE 'both' END AS method, count(*) AS n, round(avg(coalesce(first_conf, second_conf)), 5) AS mean_conf, max((x1 - x0) * (y1 - y0)) AS largest FROM sourced GROUP BY 1", "sourced")
 def proposal_statistics(spark, sf_dir):
-    method = R.chain((F.col("first_conf").isNull(), "second"), (F.col("second_conf").isNull(), "first"), other="both")
-    return load(spark, sf_dir, "sourced").groupBy(method.alias("method")).agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("first_conf", "second_conf")), 5).alias("mean_conf"), F.max(G.area(_box())).alias("largest"))
+    out = records.by_method(load(spark, sf_dir, "sourced"), {"first": "first_conf", "second": "second_conf"}, "both", G.area(_box()))
+    return out.withColumn("mean_conf", F.round("mean_conf", 5))
 
 
 _ROI = "(VALUES ('west', 0.0::DOUBLE, 50.0::DOUBLE), ('east', 50.0::DOUBLE, 100.0::DOUBLE)) AS r(roi, low, high)"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import blocks, lineage, metrics, timeline
+from lynxframe.operators import blocks, lineage, metrics, records, timeline
 from lynxframe.operators.selection import stable_rank
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
@@ -43,46 +43,43 @@ def dataset_fingerprint(spark, sf_dir):
 
 @query("SELECT camera, start_s, count(*) AS members, 'ep-' || substr(sha256(string_agg(CAST(file_id AS VARCHAR), '|' ORDER BY file_id)), 1, 16) AS episode_id FROM recordings GROUP BY camera, start_s", "recordings")
 def member_set_ids(spark, sf_dir):
-    key = F.sha2(F.array_join(F.array_sort(F.collect_list("file_id")).cast("array<string>"), "|"), 256)
-    return load(spark, sf_dir, "recordings").groupBy("camera", "start_s").agg(F.count("*").alias("members"), F.concat(F.lit("ep-"), F.substring(key, 1, 16)).alias("episode_id"))
+    return records.set_ids(load(spark, sf_dir, "recordings"), ["camera", "start_s"], "file_id", "ep-").withColumnRenamed("set_id", "episode_id")
 
 
 @query("SELECT d.source, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS decision, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2")
 def review_state(spark, sf_dir):
-    decided = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", F.lit(True).alias("known"))
-    state = F.when(F.col("known").isNull(), "pending").when(F.col("quality") == 1, "accepted").otherwise("rejected")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").join(decided, "doc_id", "left").groupBy("source", state.alias("decision")).agg(F.count("*").alias("n"))
+    state = F.when(F.col("quality") == 1, "accepted").otherwise("rejected")
+    rows = records.decided(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", state)
+    return rows.groupBy("source", "decision").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def not_yet_reviewed(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti")
+    return records.unseen(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
 
 
 @query("SELECT CASE WHEN d.doc_id IS NULL THEN 'labels only' WHEN l.doc_id IS NULL THEN 'documents only' ELSE 'both' END AS side, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
 def id_set_difference(spark, sf_dir):
-    a = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(True).alias("a"))
-    b = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.lit(True).alias("b"))
-    side = F.when(F.col("a").isNull(), "labels only").when(F.col("b").isNull(), "documents only").otherwise("both")
-    return a.join(b, "doc_id", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+    a, b = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return records.sides(a, b, "doc_id", ("documents", "labels")).groupBy("side").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return records.repeated(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
 @query("AS_ u AS (SELECT frame_id, 'detector' AS origin, conf FROM detections UNION ALL SELECT frame_id, 'truth', NULL FROM truth_boxes) SELECT frame_id, origin, count(*) AS n, max(conf) AS best FROM u GROUP BY 1, 2", "detections", "truth_boxes")
 def union_of_sources(spark, sf_dir):
-    found = load(spark, sf_dir, "detections").select("frame_id", F.lit("detector").alias("origin"), "conf")
-    truth = load(spark, sf_dir, "truth_boxes").select("frame_id", F.lit("truth").alias("origin"))
-    return found.unionByName(truth, allowMissingColumns=True).groupBy("frame_id", "origin").agg(F.count("*").alias("n"), F.max("conf").alias("best"))
+    found = load(spark, sf_dir, "detections").select("frame_id", "conf")
+    both = records.union_of({"detector": found, "truth": load(spark, sf_dir, "truth_boxes").select("frame_id")})
+    return both.groupBy("frame_id", "origin").agg(F.count("*").alias("n"), F.max("conf").alias("best"))
 
 
 @query("SELECT stream_id, frame_no, first_value(frame_no) OVER w AS first_no, row_number() OVER w > 1 AS duplicate FROM observations WINDOW w AS (PARTITION BY stream_id, x0, y0, kind ORDER BY ts_s, frame_no)", "observations")
 def first_of_key(spark, sf_dir):
-    w = Window.partitionBy("stream_id", "x0", "y0", "kind").orderBy("ts_s", "frame_no")
-    return load(spark, sf_dir, "observations").select("stream_id", "frame_no", F.first("frame_no").over(w).alias("first_no"), (F.row_number().over(w) > 1).alias("duplicate"))
+    rows = load(spark, sf_dir, "observations")
+    return records.first_sightings(rows, ["stream_id", "x0", "y0", "kind"], ["ts_s", "frame_no"], "frame_no").select("stream_id", "frame_no", "first_no", "duplicate")
 
 
 @query("""AS_ m AS (SELECT device, sample_id, passed, abs(score - 0.4) AS margin, CASE WHEN passed THEN 'passed' ELSE 'filtered' END AS side FROM scored), s AS (SELECT *, ntile(2) OVER (PARTITION BY device, side ORDER BY margin, sha256(side || '|' || CAST(sample_id AS VARCHAR))) AS half FROM m),
@@ -110,8 +107,7 @@ def burst_cap(spark, sf_dir):
 
 @query("SELECT stream_id, frame_no, (row_number() OVER (PARTITION BY stream_id ORDER BY conf DESC, frame_no) - 1) // 50 AS batch FROM observations", "observations")
 def batch_slices(spark, sf_dir):
-    placed = blocks.numbered(load(spark, sf_dir, "observations").select("stream_id", "frame_no", "conf"), ["stream_id"], [F.desc("conf"), F.col("frame_no")])
-    return placed.select("stream_id", "frame_no", F.floor((F.col("place") - 1) / 50).alias("batch"))
+    return records.slices(load(spark, sf_dir, "observations").select("stream_id", "frame_no", "conf"), ["stream_id"], [F.desc("conf"), F.col("frame_no")], 50).drop("conf")
 
 
 @query("SELECT file_id, CASE WHEN end_s <= 788918400 THEN 'build' WHEN start_s >= 788918400 AND end_s <= 851990400 THEN 'calibration' WHEN start_s >= 851990400 THEN 'blind' ELSE 'crossing' END AS part FROM recordings", "recordings")
