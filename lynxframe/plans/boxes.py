@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import frames, metrics
-from lynxframe.plans.catalogue import _IOU, _UNION, query
+from lynxframe.operators import frames, metrics, samples
+from lynxframe.plans.catalogue import _IOU, _UNION, _box, query
 from lynxframe.sources import logs
 from lynxframe.sources.fixtures import load
 
@@ -63,21 +62,14 @@ def actor_occlusion(spark, sf_dir):
 @query("""AS_ m AS (SELECT track_id, frame_no, x0, x1, y0, y1, ts_s - lag(ts_s) OVER w AS dt, (x0 + x1) / 2 - lag((x0 + x1) / 2) OVER w AS dx, (y0 + y1) / 2 - lag((y0 + y1) / 2) OVER w AS dy FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s, frame_no))
 SELECT track_id, frame_no, round(least(CASE WHEN dx < 0 THEN x0 / (-dx / dt) WHEN dx > 0 THEN (1 - x1) / (dx / dt) END, CASE WHEN dy < 0 THEN y0 / (-dy / dt) WHEN dy > 0 THEN (1 - y1) / (dy / dt) END), 3) AS edge_s FROM m WHERE dt > 0""", "observations")
 def time_to_edge(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no")
-    step = lambda c: c - F.lag(c).over(w)
-    rows = load(spark, sf_dir, "observations")
-    moved = rows.select("track_id", "frame_no", "x0", "x1", "y0", "y1", step(F.col("ts_s")).alias("dt"), step((F.col("x0") + F.col("x1")) / 2).alias("dx"), step((F.col("y0") + F.col("y1")) / 2).alias("dy")).where("dt > 0")
-    to = lambda low, high, d: F.when(F.col(d) < 0, F.col(low) / (-F.col(d) / F.col("dt"))).when(F.col(d) > 0, (1 - F.col(high)) / (F.col(d) / F.col("dt")))
-    return moved.select("track_id", "frame_no", F.round(F.least(to("x0", "x1", "dx"), to("y0", "y1", "dy")), 3).alias("edge_s"))
+    out = samples.time_to_edge(load(spark, sf_dir, "observations"), ["track_id"], ["ts_s", "frame_no"], _box())
+    return out.select("track_id", "frame_no", F.round("edge_s", 3).alias("edge_s"))
 
 
 @query("""AS_ p AS (SELECT *, max(end_s) OVER (PARTITION BY camera ORDER BY start_s, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto, count(*) OVER (PARTITION BY file_id) AS same FROM recordings)
 SELECT file_id, camera, 'empty interval' AS violation FROM p WHERE end_s <= start_s UNION ALL SELECT file_id, camera, 'overlaps an earlier one' FROM p WHERE start_s < upto UNION ALL SELECT file_id, camera, 'repeated id' FROM p WHERE same > 1""", "recordings")
 def interval_violations(spark, sf_dir):
-    before = Window.partitionBy("camera").orderBy("start_s", "file_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = load(spark, sf_dir, "recordings").withColumn("upto", F.max("end_s").over(before)).withColumn("same", F.count("*").over(Window.partitionBy("file_id")))
-    found = F.array_compact(F.array(F.when(F.col("end_s") <= F.col("start_s"), "empty interval"), F.when(F.col("start_s") < F.col("upto"), "overlaps an earlier one"), F.when(F.col("same") > 1, "repeated id")))
-    return rows.select("file_id", "camera", F.explode(found).alias("violation"))
+    return samples.interval_faults(load(spark, sf_dir, "recordings"), "camera", "file_id", "start_s", "end_s")
 
 
 @query("SELECT stream_id, kind AS level, count(*) AS n, max(frame_no) AS last_sequence FROM observations WHERE frame_no % 7 <> 3 AND frame_no > 100 GROUP BY 1, 2", "observations")

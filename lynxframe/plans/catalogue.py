@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import blocks, frames, metrics, records, selection, timeline
+from lynxframe.operators import blocks, frames, metrics, records, samples, selection, timeline
 from lynxframe.sources.fixtures import duck, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,8 +285,7 @@ def robust_scale(spark, sf_dir):
 
 @query("AS_ l AS (SELECT *, lag(kind) OVER (PARTITION BY track_id ORDER BY ts_s, frame_no) AS before FROM observations) SELECT track_id, frame_no, before, kind FROM l WHERE before IS NOT NULL AND before <> kind", "observations")
 def state_transitions(spark, sf_dir):
-    before = F.lag("kind").over(Window.partitionBy("track_id").orderBy("ts_s", "frame_no"))
-    return load(spark, sf_dir, "observations").withColumn("before", before).where("before <> kind").select("track_id", "frame_no", "before", "kind")
+    return samples.transitions(load(spark, sf_dir, "observations"), ["track_id"], ["ts_s", "frame_no"], "kind").select("track_id", "frame_no", "before", "kind")
 
 
 @query("SELECT stream_id, CAST(floor(ts_s / 21600) AS BIGINT) AS bucket, count(*) AS n, count(*) FILTER (WHERE kind = 'error') AS errors, round(max(conf), 6) AS max_conf FROM observations GROUP BY 1, 2", "observations")
@@ -296,8 +295,5 @@ def tumbling_metrics(spark, sf_dir):
 
 @query("AS_ p AS (SELECT track_id, frame_no, ts_s, lag(ts_s) OVER w AS t0, lag(x0) OVER w AS px, lag(x0, 2) OVER w AS qx, lag(ts_s, 2) OVER w AS u0 FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s, frame_no)) SELECT track_id, frame_no, round(CASE WHEN ts_s - t0 <= 86400 AND t0 > u0 THEN px + (px - qx) / (t0 - u0) * (ts_s - t0) END, 6) AS projected FROM p", "observations")
 def asof_projection(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no")
-    lag = lambda c, n: F.lag(c, n).over(w)
-    rows = load(spark, sf_dir, "observations").select("track_id", "frame_no", "ts_s", lag("ts_s", 1).alias("t0"), lag("x0", 1).alias("px"), lag("x0", 2).alias("qx"), lag("ts_s", 2).alias("u0"))
-    ahead = F.expr("px + (px - qx) / (t0 - u0) * (ts_s - t0)")
-    return rows.select("track_id", "frame_no", F.round(F.when((F.col("ts_s") - F.col("t0") <= 86400) & (F.col("t0") > F.col("u0")), ahead), 6).alias("projected"))
+    ahead = samples.projected(["track_id"], ["ts_s", "frame_no"], "x0", 86400)
+    return load(spark, sf_dir, "observations").select("track_id", "frame_no", F.round(ahead, 6).alias("projected"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import blocks, records, timeline, tracking
+from lynxframe.operators import blocks, records, samples, timeline, tracking
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
 from lynxframe.streaming import replay as R
@@ -30,11 +30,8 @@ def hold_last_value(spark, sf_dir):
 @query("""AS_ c AS (SELECT track_id, frame_no, count(*) OVER w AS seen, sum(CASE WHEN kind IN ('click', 'view') THEN 1 ELSE 0 END) OVER w AS hits, ts_s - min(ts_s) OVER w AS span FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s, frame_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT track_id, frame_no, hits, concat_ws(',', CASE WHEN hits < 3 THEN 'few hits' END, CASE WHEN span < 3600 THEN 'too short' END, CASE WHEN hits * 2 < seen THEN 'low share' END) AS reasons FROM c""", "observations")
 def confirm_window(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no").rowsBetween(-4, 0)
-    hits = F.sum(F.col("kind").isin("click", "view").cast("int")).over(w)
-    rows = load(spark, sf_dir, "observations").select("track_id", "frame_no", F.count("*").over(w).alias("seen"), hits.alias("hits"), (F.col("ts_s") - F.min("ts_s").over(w)).alias("span"))
-    reasons = [F.when(F.col("hits") < 3, "few hits"), F.when(F.col("span") < 3600, "too short"), F.when(F.col("hits") * 2 < F.col("seen"), "low share")]
-    return rows.select("track_id", "frame_no", "hits", F.concat_ws(",", *reasons).alias("reasons"))
+    out = samples.confirm_window(load(spark, sf_dir, "observations"), ["track_id"], ["ts_s", "frame_no"], F.col("kind").isin("click", "view"), 5, 3, 3600, 0.5)
+    return out.select("track_id", "frame_no", "hits", "reasons")
 
 
 @query("""SELECT stream_id, frame_no, count(*) OVER w = 3 AND min(kind) OVER w = max(kind) OVER w AND max(floor(ts_s / 3600)) OVER w = min(floor(ts_s / 3600)) OVER w AS frozen FROM observations WINDOW w AS (PARTITION BY stream_id ORDER BY ts_s, frame_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""", "observations")
@@ -45,12 +42,12 @@ def frozen_stream(spark, sf_dir):
 
 @query("SELECT track_id, count(DISTINCT CAST(floor(ts_s / 60) AS BIGINT)) * 60 AS visible_s FROM observations GROUP BY track_id", "observations")
 def visible_seconds(spark, sf_dir):
-    return load(spark, sf_dir, "observations").groupBy("track_id").agg((F.countDistinct(F.floor(F.col("ts_s") / 60)) * 60).alias("visible_s"))
+    return samples.visible_seconds(load(spark, sf_dir, "observations"), ["track_id"], "ts_s", 60)
 
 
 @query("SELECT file_id, CAST(unnest(range(CAST(start_s AS BIGINT), CAST(end_s AS BIGINT), 14400)) AS BIGINT) AS at_s FROM recordings", "recordings")
 def interval_grid(spark, sf_dir):
-    return load(spark, sf_dir, "recordings").select("file_id", F.explode(F.expr("sequence(cast(start_s as bigint), cast(end_s as bigint) - 1, 14400L)")).alias("at_s"))
+    return samples.interval_grid(load(spark, sf_dir, "recordings"), "start_s", "end_s", 14400).select("file_id", "at_s")
 
 
 @query("""AS_ t AS (SELECT DISTINCT camera, CAST(floor(start_s / 2592000) AS BIGINT) AS block FROM recordings), j AS (SELECT r.file_id, t.block, greatest(r.start_s, t.block * 2592000 + 432000) AS a, least(r.end_s, t.block * 2592000 + 2160000) AS b FROM recordings r JOIN t ON r.camera = t.camera AND t.block BETWEEN floor(r.start_s / 2592000) AND floor(r.end_s / 2592000))

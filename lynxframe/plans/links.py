@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.functions import rules as R
-from lynxframe.operators import blocks, frames, graph, joins, records, states
+from lynxframe.operators import blocks, frames, graph, joins, records, samples, states
 from lynxframe.plans.catalogue import _INSIDE, _IOU, _UNION, _box, _polygon, query
 from lynxframe.sources.fixtures import load
 
@@ -132,24 +131,21 @@ def cross_day_overlap(spark, sf_dir):
 def reviewed_position_flag(spark, sf_dir):
     rows = load(spark, sf_dir, "sourced").select("camera", "obs_id", "kind", _box().alias("box"))
     known = rows.where("kind = 'purchase'").select("camera", "box", F.col("obs_id").alias("known_id"))
-    met = joins.near_boxes(rows, known, ["camera"], 60.0, lambda a, b: G.distance(a, b) <= 60).where("obs_id <> known_id").select("obs_id").distinct().withColumn("hit", F.lit(True))
-    return rows.select("obs_id").join(met, "obs_id", "left").select("obs_id", F.coalesce("hit", F.lit(False)).alias("seen_before"))
+    return samples.seen_places(rows, known, "camera", "obs_id", "known_id", 60.0)
 
 
 @query("SELECT sha256(coalesce(d.text, '')) AS content, count(*) FILTER (WHERE l.quality = 1) AS positives, count(*) FILTER (WHERE l.quality = 0) AS negatives, count(*) FILTER (WHERE l.quality = 1) > 0 AND count(*) FILTER (WHERE l.quality = 0) > 0 AS conflict FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
 def polarity_conflicts(spark, sf_dir):
     text = F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("content")).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id")
-    return rows.groupBy("content").agg(F.count_if(F.col("quality") == 1).alias("positives"), F.count_if(F.col("quality") == 0).alias("negatives")).withColumn("conflict", (F.col("positives") > 0) & (F.col("negatives") > 0))
+    return samples.polarity_conflicts(rows, ["content"], "quality")
 
 
 @query(f"""SELECT s.obs_id, CASE WHEN count(*) FILTER (WHERE abs(s.ts_s - t.ts_s) <= 3600) > 0 THEN 'exclude' ELSE 'warn' END AS verdict, count(*) AS required FROM sourced s JOIN sourced t ON s.camera = t.camera AND s.kind <> 'purchase' AND t.kind = 'purchase' AND abs(s.ts_s - t.ts_s) <= 345600 AND {_OVER} > 0 GROUP BY 1""", "sourced")
 def near_required_boxes(spark, sf_dir):
     rows = load(spark, sf_dir, "sourced").select("camera", "obs_id", "kind", "ts_s", _box().alias("box"))
-    slot = F.floor(F.col("ts_s") / 345600)
-    known = rows.where("kind = 'purchase'").select("camera", "box", F.col("ts_s").alias("t"), F.explode(F.sequence(slot - 1, slot + 1)).alias("slot"))
-    met = joins.touching_boxes(rows.where("kind <> 'purchase'").withColumn("slot", slot), known, ["camera", "slot"], 100.0, lambda a, b: G.overlap(a, b) > 0).withColumn("gap", F.abs(F.col("ts_s") - F.col("t"))).where("gap <= 345600")
-    return met.groupBy("obs_id").agg(F.when(F.count_if(F.col("gap") <= 3600) > 0, "exclude").otherwise("warn").alias("verdict"), F.count("*").alias("required"))
+    known = rows.where("kind = 'purchase'").select("camera", "box", F.col("ts_s").alias("t"))
+    return samples.near_required(rows.where("kind <> 'purchase'"), known, "camera", "obs_id", 100.0, 345600, 3600)
 
 
 @query("""AS_ r AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, row_number() OVER (PARTITION BY frame_id ORDER BY class_id = 2, conf DESC, det_id) AS k FROM detections),
@@ -180,7 +176,7 @@ def actor_trails(spark, sf_dir):
 def prior_crop_results(spark, sf_dir):
     priors = load(spark, sf_dir, "truth_boxes").select("frame_id", F.col("gt_id").alias("prior_id"), _box().alias("p"))
     found = load(spark, sf_dir, "detections").select("frame_id", "det_id", _box().alias("d"))
-    return priors.join(found, "frame_id", "left").groupBy("prior_id").agg(F.count("det_id").alias("results"), F.count_if(G.iou(F.col("p"), F.col("d")) >= 0.3).alias("matched"))
+    return samples.crop_results(priors, found, "frame_id", "prior_id", 0.3)[1]
 
 
 _ALL_ZONES = f"SELECT o.frame_no, o.stream_id, count(*) FILTER (WHERE z.kind = 'roi') AS n, count(*) FILTER (WHERE z.kind = 'exclude') AS out, min(z.zone_id) FILTER (WHERE z.kind = 'roi' AND (o.x1 - o.x0) * (o.y1 - o.y0) >= 0.004) AS zone FROM observations o JOIN zones z ON o.stream_id = z.stream_id AND {_INSIDE} GROUP BY 1, 2"

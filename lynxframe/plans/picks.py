@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lynxframe.functions import geometry as G
-from lynxframe.operators import blocks, joins, records, selection
-from lynxframe.operators.selection import stable_rank
+from lynxframe.operators import blocks, joins, records, samples, selection
 from lynxframe.plans.catalogue import _box, query
 from lynxframe.sources.fixtures import load
 
@@ -55,10 +53,7 @@ def evenly_spaced_days(spark, sf_dir):
 @query("AS_ r AS (SELECT camera, obs_id, CAST(floor(ts_s / 86400) AS BIGINT) AS day, kind, row_number() OVER (PARTITION BY camera ORDER BY sha256('blind|' || CAST(obs_id AS VARCHAR))) AS k FROM sourced), c AS (SELECT camera, obs_id, row_number() OVER (PARTITION BY camera, day, kind ORDER BY sha256('cover|' || CAST(obs_id AS VARCHAR))) AS n FROM r WHERE k > 10) SELECT camera, obs_id, 'random' AS how FROM r WHERE k <= 10 UNION ALL SELECT camera, obs_id, 'coverage' FROM c WHERE n = 1", "sourced")
 def blind_frames(spark, sf_dir):
     rows = load(spark, sf_dir, "sourced").withColumn("day", F.floor(F.col("ts_s") / 86400))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("camera").orderBy(stable_rank("blind", F.col("obs_id")))))
-    chosen = ranked.where("k <= 10").select("camera", "obs_id", F.lit("random").alias("how"))
-    cover = F.row_number().over(Window.partitionBy("camera", "day", "kind").orderBy(stable_rank("cover", F.col("obs_id"))))
-    return chosen.unionByName(ranked.where("k > 10").withColumn("n", cover).where("n = 1").select("camera", "obs_id", F.lit("coverage").alias("how")))
+    return samples.blind_choice(rows, "camera", ["day", "kind"], "obs_id", 10)
 
 
 @query("""AS_ o AS (SELECT *, camera * 100000 + CAST(floor(ts_s / 86400) AS BIGINT) AS episode, x1 > 1790 AS truncated FROM sourced), m AS (SELECT episode, sqrt((median(x1) - median(x0)) * (median(y1) - median(y0))) AS mid FROM o GROUP BY 1), s AS (SELECT o.*, mid, row_number() OVER (PARTITION BY episode ORDER BY ts_s, obs_id) - 1 AS pos, count(*) OVER (PARTITION BY episode) AS n FROM o JOIN m USING (episode)),
@@ -80,11 +75,8 @@ _IN = "(d.x0 + d.x1) / 2 BETWEEN t.x0 AND t.x1 AND (d.y0 + d.y1) / 2 BETWEEN t.y
 
 @query(f"AS_ f AS (SELECT d.frame_id, d.det_id, d.conf, EXISTS (SELECT 1 FROM truth_boxes t WHERE t.frame_id = d.frame_id AND {_IN}) AS attached FROM detections d), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY attached, conf DESC, det_id) AS k FROM f) SELECT frame_id, det_id, attached, k AS place FROM r WHERE k <= 2", "detections", "truth_boxes")
 def top_priors(spark, sf_dir):
-    rows = load(spark, sf_dir, "detections").select("frame_id", "det_id", "conf", _box().alias("d"))
-    events = load(spark, sf_dir, "truth_boxes").groupBy("frame_id").agg(F.collect_list(_box()).alias("events"))
-    attached = F.coalesce(F.exists("events", lambda t: G.contains(t, G.centre_x(F.col("d")), G.centre_y(F.col("d")))), F.lit(False))
-    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("attached", F.desc("conf"), "det_id"))
-    return rows.join(events, "frame_id", "left").withColumn("attached", attached).withColumn("place", place.cast("long")).where("place <= 2").select("frame_id", "det_id", "attached", "place")
+    rows = load(spark, sf_dir, "detections").select("frame_id", "det_id", "conf", _box().alias("box"))
+    return samples.top_priors(rows, load(spark, sf_dir, "truth_boxes").select("frame_id", _box().alias("box")), "frame_id", "det_id", "conf", 2)
 
 
 @query("AS_ l AS (SELECT camera, obs_id, coalesce(first_conf, second_conf) AS conf, row_number() OVER (PARTITION BY camera, scene, CAST(floor(x0 / 300) AS BIGINT) ORDER BY coalesce(first_conf, second_conf), obs_id) AS k FROM sourced WHERE coalesce(first_conf, second_conf) < 0.4), p AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY conf, obs_id) AS place FROM l WHERE k <= 2) SELECT camera, obs_id, place FROM p WHERE place <= 8", "sourced")
@@ -99,10 +91,7 @@ def diagnostic_picks(spark, sf_dir):
 def grid_proposals(spark, sf_dir):
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     region = F.array(corner(8.0, 0.0), corner(16.0, 4.5), corner(8.0, 9.0), corner(0.0, 4.5))
-    cells = load(spark, sf_dir, "sourced").select("camera").distinct().select("camera", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("x")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"))).alias("y"))
-    inside = cells.where(G.in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, region))
-    place = F.row_number().over(Window.partitionBy("camera").orderBy(stable_rank("grid", F.col("camera"), F.col("x"), F.col("y"))))
-    return inside.withColumn("place", place.cast("long")).where("place <= 6")
+    return samples.grid_proposals(load(spark, sf_dir, "sourced"), "camera", 16, 9, region, 6)
 
 
 @query("SELECT obs_id, row_number() OVER (ORDER BY CASE WHEN kind = 'error' THEN 0 WHEN seen_place THEN 2 ELSE 1 END, camera, ts_s, obs_id) AS place FROM sourced", "sourced")
@@ -114,9 +103,8 @@ def review_queue(spark, sf_dir):
 
 @query("AS_ d AS (SELECT card_id, decision, decided_s, decision_id, lag(decision) OVER (PARTITION BY card_id ORDER BY decided_s, decision_id) AS before FROM decisions) SELECT card_id, decision_id, before, decision FROM d WHERE (before = 'confirmed' AND decision = 'pending') OR (before = 'rejected' AND decision = 'confirmed')", "decisions")
 def decision_transitions(spark, sf_dir):
-    before = F.lag("decision").over(Window.partitionBy("card_id").orderBy("decided_s", "decision_id"))
-    rows = load(spark, sf_dir, "decisions").withColumn("before", before)
-    return rows.where("(before = 'confirmed' and decision = 'pending') or (before = 'rejected' and decision = 'confirmed')").select("card_id", "decision_id", "before", "decision")
+    out = samples.transitions(load(spark, sf_dir, "decisions"), ["card_id"], ["decided_s", "decision_id"], "decision", [("confirmed", "pending"), ("rejected", "confirmed")])
+    return out.select("card_id", "decision_id", "before", "decision")
 
 
 @query("SELECT file_id, start_s + off AS at_s, min(kind) AS kind FROM (SELECT file_id, start_s, off, 'fixed' AS kind FROM recordings CROSS JOIN (VALUES (3600), (14400), (28800)) o(off) UNION ALL SELECT file_id, start_s, 3600 * (file_id % 9), 'bonus' FROM recordings WHERE file_id % 4 = 0) GROUP BY 1, 2", "recordings")

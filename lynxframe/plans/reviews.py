@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import frames, graph, metrics, records
+from lynxframe.operators import frames, graph, metrics, records, samples
 from lynxframe.plans.boxes import _MATCH
 from lynxframe.plans.catalogue import _IOU, _UNION, _greedy, query
 from lynxframe.sources.fixtures import load
@@ -50,7 +49,7 @@ _SAID = "CASE event_id % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE 'soon' END"
 @query(f"SELECT event_id, epoch_us(coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%Y-%m-%dT%H:%M:%S'))) AS at_us FROM (SELECT event_id, {_SAID.format(*_WRITTEN['duck'])} AS s FROM events)")
 def tolerant_timestamps(spark, sf_dir):
     said = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_SAID.format(*_WRITTEN["spark"])).alias("s"))
-    at = F.coalesce(F.try_to_timestamp("s", F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp("s", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    at = samples.parsed_time(F.col("s"), ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"])
     return said.select("event_id", F.unix_micros(at).alias("at_us"))
 
 
@@ -58,15 +57,12 @@ def tolerant_timestamps(spark, sf_dir):
 def class_labels(spark, sf_dir):
     names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("class_id"), "n_name")
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_nationkey") + F.col("c_custkey") % 3).alias("class_id"))
-    return rows.join(names, "class_id", "left").select("c_custkey", F.coalesce("n_name", F.concat(F.lit("class-"), F.col("class_id").cast("string"))).alias("label"))
+    return samples.class_labels(rows, names, "class_id", "n_name").select("c_custkey", "label")
 
 
 @query("AS_ g AS (SELECT track_id, frame_no, kind, ts_s - lag(ts_s) OVER w AS gap, lag(kind) OVER w AS before FROM observations WINDOW w AS (PARTITION BY track_id ORDER BY ts_s, frame_no)) SELECT track_id, frame_no, CASE WHEN gap IS NULL THEN 'first' WHEN before = kind THEN 'same kind' WHEN gap <= 3600 THEN 'close' ELSE 'no' END AS copy FROM g", "observations")
 def copy_eligibility(spark, sf_dir):
-    w = Window.partitionBy("track_id").orderBy("ts_s", "frame_no")
-    gap = F.col("ts_s") - F.lag("ts_s").over(w)
-    copy = F.when(gap.isNull(), "first").when(F.lag("kind").over(w) == F.col("kind"), "same kind").when(gap <= 3600, "close").otherwise("no")
-    return load(spark, sf_dir, "observations").select("track_id", "frame_no", copy.alias("copy"))
+    return load(spark, sf_dir, "observations").select("track_id", "frame_no", samples.copy_reason(["track_id"], ["ts_s", "frame_no"], "kind", 3600).alias("copy"))
 
 
 @query("AS_ d AS (SELECT camera, file_id, start_s, CAST(floor(start_s / 604800) AS BIGINT) AS week, CAST(floor(start_s / 86400) AS BIGINT) % 7 AS day FROM recordings) SELECT camera, week, day, arg_min(file_id, (start_s, file_id)) AS file_id FROM d GROUP BY 1, 2, 3", "recordings")
@@ -77,6 +73,5 @@ def earliest_per_slot(spark, sf_dir):
 
 @query("SELECT file_id, offset_no, CAST(start_s + CASE WHEN offset_no < 3 THEN (offset_no + 1) * 10800 ELSE CAST('0x' || substr(md5('s|' || CAST(file_id AS VARCHAR)), 1, 8) AS BIGINT) % 43200 END AS BIGINT) AS at_s FROM recordings CROSS JOIN (VALUES (0), (1), (2), (3)) AS o(offset_no)", "recordings")
 def seeded_offsets(spark, sf_dir):
-    seeded = F.conv(F.substring(F.md5(F.concat(F.lit("s|"), F.col("file_id").cast("string"))), 1, 8), 16, 10).cast("long") % 43200
-    offsets = F.array(*[F.lit(10800 * k).cast("long") for k in (1, 2, 3)], seeded)
-    return load(spark, sf_dir, "recordings").select("file_id", "start_s", F.posexplode(offsets).alias("offset_no", "o")).select("file_id", "offset_no", (F.col("start_s") + F.col("o")).cast("long").alias("at_s"))
+    out = samples.seeded_offsets(load(spark, sf_dir, "recordings"), "file_id", "start_s", [10800, 21600, 32400], 43200, "s")
+    return out.select("file_id", "offset_no", "at_s")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lynxframe.functions import geometry as G
 from lynxframe.functions import rules as R
 from lynxframe.functions import text as T
-from lynxframe.operators import blocks
+from lynxframe.operators import blocks, samples
 from lynxframe.plans.catalogue import _AREAS, _INSIDE, _IOU, _UNION, _box, _polygon, query, six, six_sql
 from lynxframe.sources.fixtures import load
 
@@ -164,9 +164,7 @@ def normal_frames(spark, sf_dir):
 
 @query("AS_ f AS (SELECT frame_id, max(gray) AS hi, min(gray) AS lo, count(*) FILTER (WHERE gray > 0) AS pos, count(*) AS n FROM cells GROUP BY 1) SELECT frame_id, concat_ws(',', CASE WHEN hi - lo < 0.45 THEN 'low contrast' END, CASE WHEN pos * 5 > n * 3 THEN 'bright' END, CASE WHEN pos * 5 < n * 2 THEN 'dark' END) AS faults, hi - lo >= 0.45 AND pos * 5 <= n * 3 AND pos * 5 >= n * 2 AS usable FROM f", "cells")
 def frame_quality(spark, sf_dir):
-    out = load(spark, sf_dir, "cells").groupBy("frame_id").agg(F.max("gray").alias("hi"), F.min("gray").alias("lo"), F.count_if(F.col("gray") > 0).alias("pos"), F.count("*").alias("n"))
-    found = R.reasons((F.col("hi") - F.col("lo") < 0.45, "low contrast"), (F.col("pos") * 5 > F.col("n") * 3, "bright"), (F.col("pos") * 5 < F.col("n") * 2, "dark"))
-    return out.select("frame_id", F.array_join(found, ",").alias("faults"), (F.size(found) == 0).alias("usable"))
+    return samples.frame_faults(load(spark, sf_dir, "cells"), "frame_id", "gray", 0.45, 0.6, 0.4)
 
 
 @query("SELECT e.event_id, CASE WHEN e.event_id % 5 > 0 THEN epoch_us(o.o_orderdate) + (e.event_id % 400) * 1000000 END AS at_us FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id")

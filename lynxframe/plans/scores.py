@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
 from lynxframe.functions import rules as R
-from lynxframe.operators import blocks, frames, graph, metrics, records, reports
+from lynxframe.operators import frames, graph, metrics, records, reports, samples
 from lynxframe.plans.catalogue import _IOU, _UNION, _box, query, six, six_sql
 from lynxframe.plans.links import folded
 from lynxframe.shared import Scratch
@@ -101,11 +101,7 @@ _TOL = "m AS (SELECT camera, cell, median(gray) AS mid FROM cells GROUP BY 1, 2)
 
 
 def _tolerances(spark, sf_dir):
-    cells = load(spark, sf_dir, "cells").select("camera", "cell", "gray")
-    mid = blocks.exact_median(cells, ["camera", "cell"], "gray", "mid")
-    mad = blocks.exact_median(cells.join(mid, ["camera", "cell"]).withColumn("off", F.abs(F.col("gray") - F.col("mid"))), ["camera", "cell"], "off", "mad")
-    raw = F.abs("mid") + F.greatest(3 * F.col("mad"), F.lit(0.01))
-    return mid.join(mad, ["camera", "cell"]).select("camera", "cell", F.least(F.greatest(F.lit(0.1), raw), F.lit(0.27)).alias("tolerance"), (raw > 0.27).alias("biased"))
+    return samples.cell_tolerances(load(spark, sf_dir, "cells"), ["camera", "cell"], "gray", 0.1, 3, 0.01, 0.27)
 
 
 @query(f"AS_ {_TOL} SELECT camera, cell, round(tolerance, 5) AS tolerance, biased FROM b", "cells")
@@ -139,8 +135,7 @@ def fp_by_stage(spark, sf_dir):
 
 @query("SELECT device, count(*) AS frames, count(*) FILTER (WHERE score >= 0.4) AS first_kept, count(*) FILTER (WHERE weight >= 3) AS second_kept, count(*) FILTER (WHERE score >= 0.4 AND weight >= 3) AS both_kept, count(*) FILTER (WHERE label = 1 AND score >= 0.4) - count(*) FILTER (WHERE label = 1 AND weight >= 3) AS gain FROM scored GROUP BY 1", "scored")
 def regime_comparison(spark, sf_dir):
-    one, two, pos = F.col("score") >= 0.4, F.col("weight") >= 3, F.col("label") == 1
-    return load(spark, sf_dir, "scored").groupBy("device").agg(F.count("*").alias("frames"), F.count_if(one).alias("first_kept"), F.count_if(two).alias("second_kept"), F.count_if(one & two).alias("both_kept"), (F.count_if(pos & one) - F.count_if(pos & two)).alias("gain"))
+    return samples.policies_compared(load(spark, sf_dir, "scored"), ["device"], F.col("score") >= 0.4, F.col("weight") >= 3, F.col("label") == 1)
 
 
 @query("SELECT CASE WHEN first_conf IS NULL THEN 'second' WHEN second_conf IS NULL THEN 'first' ELSE 'both' END AS method, count(*) AS n, round(avg(coalesce(first_conf, second_conf)), 5) AS mean_conf, max((x1 - x0) * (y1 - y0)) AS largest FROM sourced GROUP BY 1", "sourced")
@@ -179,10 +174,8 @@ def record_precision(spark, sf_dir):
 @query("""AS_ t AS (SELECT camera, obs_id, ts_s FROM sourced WHERE kind = 'view'), v AS (SELECT camera, CAST(floor(ts_s / 86400) AS BIGINT) AS episode, min(ts_s) AS start_s, max(ts_s) AS end_s FROM sourced WHERE kind IN ('click', 'purchase') GROUP BY 1, 2)
 SELECT v.camera, v.episode, count(t.obs_id) AS sightings, round(min(t.ts_s) - any_value(v.start_s), 3) AS delay_s FROM v LEFT JOIN t ON t.camera = v.camera AND t.ts_s >= v.start_s AND t.ts_s < v.end_s GROUP BY 1, 2""", "sourced")
 def visible_sightings(spark, sf_dir):
+    # Episodes lie within a day here, so the day is a key of the join.
     rows = load(spark, sf_dir, "sourced").withColumn("episode", F.floor(F.col("ts_s") / 86400))
     visible = rows.where("kind in ('click', 'purchase')").groupBy("camera", "episode").agg(F.min("ts_s").alias("start_s"), F.max("ts_s").alias("end_s"))
-    # Episodes lie within a day here, so the day is the equi-key of the interval join.
-    seen = rows.where("kind = 'view'").select("camera", "episode", "obs_id", "ts_s")
-    inside = (F.col("ts_s") >= F.col("start_s")) & (F.col("ts_s") < F.col("end_s"))
-    met = visible.join(seen, ["camera", "episode"], "left").withColumn("hit", F.when(inside, F.col("ts_s")))
-    return met.groupBy("camera", "episode", "start_s").agg(F.count("hit").alias("sightings"), F.round(F.min("hit") - F.col("start_s"), 3).alias("delay_s")).drop("start_s")
+    out = samples.sightings(visible, rows.where("kind = 'view'"), ["camera", "episode"])
+    return out.select("camera", "episode", "sightings", F.round("delay_s", 3).alias("delay_s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
-from lynxframe.operators import blocks, states
+from lynxframe.operators import samples, states
 from lynxframe.plans.catalogue import _box, query, six, six_sql
 from lynxframe.sources.fixtures import load
 
@@ -190,6 +190,5 @@ def attended_changes(spark, sf_dir):
 
 @query("AS_ p AS (SELECT stream_id, ts_s - lag(ts_s) OVER (PARTITION BY stream_id ORDER BY ts_s, frame_no) AS gap, kind FROM observations) SELECT stream_id, count(*) AS frames, count(*) FILTER (WHERE kind = 'error') AS corrupt, count(*) FILTER (WHERE gap > 7200) AS long_gaps, round(max(gap), 3) AS max_gap_s FROM p GROUP BY stream_id", "observations")
 def live_counters(spark, sf_dir):
-    rows = blocks.previous(load(spark, sf_dir, "observations").select("stream_id", "ts_s", "frame_no", "kind"), ["stream_id"], ["ts_s", "frame_no"], ["ts_s"])
-    gap = F.col("ts_s") - F.col("prev1_ts_s")
-    return rows.groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if(F.col("kind") == "error").alias("corrupt"), F.count_if(gap > 7200).alias("long_gaps"), F.round(F.max(gap), 3).alias("max_gap_s"))
+    rows = load(spark, sf_dir, "observations").select("stream_id", "ts_s", "frame_no", "kind")
+    return samples.live_counters(rows, "stream_id", ["ts_s", "frame_no"], F.col("kind") == "error", 7200).withColumn("max_gap_s", F.round("max_gap_s", 3))

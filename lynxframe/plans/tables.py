@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import text as T
-from lynxframe.operators import blocks, lineage, metrics, records, timeline
+from lynxframe.operators import lineage, metrics, records, samples
 from lynxframe.operators.selection import stable_rank
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
@@ -99,10 +99,8 @@ def margin_strata_picks(spark, sf_dir):
 @query("""AS_ d AS (SELECT stream_id, frame_no, ts_s, conf, CAST(floor(ts_s / 86400) AS BIGINT) AS day, row_number() OVER (PARTITION BY stream_id, CAST(floor(ts_s / 3600) AS BIGINT), x0, y0 ORDER BY ts_s, frame_no) AS k FROM observations), c AS (SELECT *, row_number() OVER (PARTITION BY stream_id, day ORDER BY conf DESC, frame_no) AS round FROM d WHERE k = 1)
 SELECT stream_id, day, round, frame_no FROM c WHERE round <= 3""", "observations")
 def burst_cap(spark, sf_dir):
-    rows = load(spark, sf_dir, "observations").withColumn("hour", F.floor(F.col("ts_s") / 3600)).withColumn("day", F.floor(F.col("ts_s") / 86400))
-    once = timeline.latest(rows, ["stream_id", "hour", "x0", "y0"], [F.col("ts_s"), F.col("frame_no")])
-    w = Window.partitionBy("stream_id", "day").orderBy(F.desc("conf"), "frame_no")
-    return once.withColumn("round", F.row_number().over(w).cast("long")).where("round <= 3").select("stream_id", "day", "round", "frame_no")
+    out = samples.burst_cap(load(spark, sf_dir, "observations"), "stream_id", "ts_s", "frame_no", ["x0", "y0"], "conf", 3600, 86400, 3)
+    return out.select("stream_id", F.col("period").alias("day"), "round", "frame_no")
 
 
 @query("SELECT stream_id, frame_no, (row_number() OVER (PARTITION BY stream_id ORDER BY conf DESC, frame_no) - 1) // 50 AS batch FROM observations", "observations")
@@ -112,7 +110,8 @@ def batch_slices(spark, sf_dir):
 
 @query("SELECT file_id, CASE WHEN end_s <= 788918400 THEN 'build' WHEN start_s >= 788918400 AND end_s <= 851990400 THEN 'calibration' WHEN start_s >= 851990400 THEN 'blind' ELSE 'crossing' END AS part FROM recordings", "recordings")
 def time_parts(spark, sf_dir):
-    part = F.when(F.col("end_s") <= 788918400, "build").when((F.col("start_s") >= 788918400) & (F.col("end_s") <= 851990400), "calibration").when(F.col("start_s") >= 851990400, "blind").otherwise("crossing")
+    inf = float("inf")
+    part = samples.time_part("start_s", "end_s", [("build", -inf, 788918400), ("calibration", 788918400, 851990400), ("blind", 851990400, inf)], "crossing")
     return load(spark, sf_dir, "recordings").select("file_id", part.alias("part"))
 
 
