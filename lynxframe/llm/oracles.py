@@ -27,4 +27,9 @@ i AS (SELECT lang, phrase, max(a) AS around FROM (SELECT lang, unnest([ws[1] ||
 n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.around IS NULL OR 100 * i.around < 50 * b.a)
 SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, n.n, o.score FROM o JOIN n ON n.lang = o.lang WHERE o.rank <= 2000""",
+    "op3_substring_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS oid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, oid, unnest(range(1, len(ws) - 11)) AS i, ws FROM d), k AS (SELECT r, oid, i, md5(array_to_string(ws[i:i + 12], ' ')) AS key FROM w),
+f AS (SELECT key, min(oid) AS first FROM k GROUP BY key), hit AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (key) WHERE first < oid),
+p AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d), kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM p ANTI JOIN hit USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
 }
