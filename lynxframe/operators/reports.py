@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +83,51 @@ def phase_report(artifacts: dict[str, tuple[DataFrame, list[list[str]]]]) -> Dat
         one = rows.select(each).groupBy(F.lit(name).alias("artifact"), "s.by", "s.value").agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def _matrix(vectors: list, width: int) -> np.ndarray:
+    """Rows of doubles, with NaN for nulls and beyond a vector's end."""
+    out = np.full((len(vectors), width), np.nan)
+    for row, v in zip(out, vectors, strict=True):
+        if v is not None:
+            row[: min(len(v), width)] = [np.nan if x is None else x for x in v[:width]]
+    return out
+
+
+def nearest_references(rows: DataFrame, references: DataFrame, id_: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """The ``k`` nearest of ``references`` (``id_``, ``vector``) to each row, itself left out: ``id_``, reference, distance (the
+    median absolute difference over the places that both have), place (from 1; ties: the smaller reference).
+
+    References go to the tasks in blocks of about ``block``, as one array, and a task keeps the k best of each of its rows; so
+    nothing is joined, and no more than k rows a block leave a task. Each block is one pass over ``rows``. Rows without a
+    common place with a reference are not near it.
+    """
+    n = references.count()
+    passes = -(-n // block)
+    schema = f"{id_} {rows.schema[id_].dataType.simpleString()}, reference {references.schema[id_].dataType.simpleString()}, distance double"
+    found = rows.sparkSession.createDataFrame([], schema)
+    for number in range(passes):
+        part = references.where(F.pmod(F.xxhash64(id_), F.lit(passes)) == number).select(id_, vector).orderBy(id_).collect()
+        if not part:
+            continue
+        names = [r[0] for r in part]
+        width = max(len(r[1] or []) for r in part)
+        bank = _matrix([r[1] for r in part], width)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, bank=bank, width=width) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, out = batch.column(0).to_pylist(), []
+                vectors = batch.column(1).to_pylist()
+                for at in range(0, len(ids), 64):
+                    gaps = np.abs(_matrix(vectors[at : at + 64], width)[:, None, :] - bank[None])
+                    whole = ~np.isnan(gaps).any()
+                    there = np.ones(gaps.shape[:2], bool) if whole else ~np.isnan(gaps).all(axis=2)
+                    far = np.median(gaps, axis=2) if whole else np.nanmedian(np.where(there[:, :, None], gaps, 0.0), axis=2)
+                    for own, line, ok in zip(ids[at : at + 64], far, there, strict=True):
+                        best = [j for j in np.argsort(line, kind="stable")[: k + 1 + int((~ok).sum())] if ok[j] and names[j] != own][:k]
+                        out += [(own, names[j], float(line[j])) for j in best]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((batch.schema.field(0).type, pa.int64(), pa.float64()))], [id_, "reference", "distance"])
+
+        found = found.unionByName(rows.select(id_, vector).mapInArrow(run, schema))
+    best = found.groupBy(id_).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "reference"))), 1, k).alias("_b"))
+    return best.select(id_, F.posexplode("_b").alias("_p", "_x")).select(id_, "_x.reference", "_x.distance", (F.col("_p") + 1).cast("long").alias("place"))

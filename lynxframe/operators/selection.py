@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lynxframe.shared import Scratch
+
 
 def stable_rank(seed: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]), 256)
@@ -116,3 +118,44 @@ def evenly_spaced(rows: DataFrame, key: str, at: str, id_: str, n: int) -> DataF
     listed = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_slot").alias("slot"), F.col("_r").alias("r"), F.col(id_).alias("id")))).alias("_all"))
     taken = F.aggregate("_all", F.slice("_all", 1, 0), lambda m, e: F.when(F.exists(m, lambda k: (k.slot == e.slot) | (k.id == e.id)), m).otherwise(F.concat(m, F.array(e))))
     return listed.select(key, F.explode(taken).alias("_t")).select(key, F.col("_t.id").alias(id_), F.col("_t.slot").alias("slot")).unionByName(few)
+
+
+def prune(scores: DataFrame, view: str, tick: str, item: str, holds: str, most_loss: float, most_pause: int) -> DataFrame:
+    """Items that others make up for, removed one a round: round, item, loss, pause (how many ticks longer the longest
+    stretch without any item gets), in that order.
+
+    scores: ``view``, ``tick`` (counts the ticks of a view without a gap), ``item`` and ``holds``, whether the item fits then.
+    A tick is covered if any item that is left holds. In each round the item goes whose loss, the share of all ticks that it
+    alone covers, is smallest (then: the least longer pause, the smaller item), of those within ``most_loss`` and
+    ``most_pause``; all is judged anew on what is left, so that two items that make up for each other do not both go. The
+    last item stays.
+
+    A round is one pass over the ticks that none or one item covers, for all candidates at once; there are at most as many
+    rounds as items, of which a bank has tens. The uncovered ticks of a view and candidate are ordered in one task. Null
+    ``holds`` count as false.
+    """
+    spark = scores.sparkSession
+    scratch = Scratch(spark, "prune", tidy=False)
+    fit = F.array_sort(F.collect_set(F.when(F.col(holds), F.col(item))))
+    ticks = scratch.save(scores.groupBy(view, tick).agg(fit.alias("fit")))
+    left = [r[0] for r in scores.select(item).where(F.col(item).isNotNull()).distinct().orderBy(item).collect()]
+    n = ticks.count()
+    kind = scores.schema[item].dataType
+    removed: list[tuple] = []
+    while len(left) > 1:
+        bank = F.array(*[F.lit(x).cast(kind) for x in left])
+        now = ticks.withColumn("fit", F.array_intersect("fit", bank)).where(F.size("fit") <= 1)
+        # A tick that none covers is uncovered for every candidate, and as it is now (null); one that an item alone covers, for that one.
+        who = F.when(F.size("fit") == 0, F.concat(bank, F.array(F.lit(None).cast(kind)))).otherwise(F.col("fit"))
+        open_ = now.select(view, tick, F.explode(who).alias("item"), (F.size("fit") == 1).alias("alone"))
+        island = F.col(tick) - F.row_number().over(Window.partitionBy(view, "item").orderBy(tick))
+        runs = open_.withColumn("_i", island).groupBy(view, "item", "_i").agg(F.count("*").alias("run"), F.count_if("alone").alias("alone"))
+        found = {r["item"]: (r["alone"], r["run"]) for r in runs.groupBy("item").agg(F.sum("alone").alias("alone"), F.max("run").alias("run")).collect()}
+        before = found.get(None, (0, 0))[1]
+        costs = [(found.get(x, (0, 0))[0] / n, found.get(x, (0, before))[1] - before, x) for x in left]
+        best = min((c for c in costs if c[0] <= most_loss and c[1] <= most_pause), default=None)
+        if best is None:
+            break
+        removed.append((len(removed) + 1, best[2], best[0], best[1]))
+        left.remove(best[2])
+    return spark.createDataFrame(removed, f"round int, item {kind.simpleString()}, loss double, pause bigint")

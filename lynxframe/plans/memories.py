@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lynxframe.operators import memory, selector, targets
+from lynxframe.operators import memory, selection, selector, targets
 from lynxframe.plans.catalogue import query
 from lynxframe.sources.fixtures import load
 from lynxframe.streaming import claims, health
@@ -257,3 +258,24 @@ def late_rows(spark, sf_dir):
     folder = replay_batches(rows, "comes", lambda root: health.in_time(root, "stream_id", "frame_no"), _ARRIVALS)
     late = spark.read.schema("stream_id string, frame_no bigint, late_by double, reason string").parquet(f"{folder}/late")
     return late.select("stream_id", "frame_no", "reason", F.round("late_by", 3).alias("late_by"))
+
+
+_HOLDERS = "SELECT stream_id, profile, hold, dense_rank() OVER (PARTITION BY stream_id ORDER BY ts_s, frame_no) AS k FROM profile_scores"
+
+
+def _prune_sql(items: int, most_loss: float, most_pause: int) -> str:
+    """As many rounds as there can be, one CTE after the other: what is left, who covers alone, stretches, the pick."""
+    out = [f"AS_ t AS MATERIALIZED (SELECT stream_id, k, list(profile) FILTER (WHERE hold) AS fit FROM ({_HOLDERS}) GROUP BY stream_id, k), r0 AS (SELECT list(DISTINCT profile ORDER BY profile) AS kept, 0 AS round, CAST(NULL AS BIGINT) AS item, CAST(NULL AS DOUBLE) AS loss, CAST(NULL AS BIGINT) AS pause FROM profile_scores)"]
+    for i in range(1, items):
+        out.append(f"""o{i} AS MATERIALIZED (SELECT stream_id, k, unnest(CASE WHEN len(f) = 0 THEN list_append(kept, -1) ELSE f END) AS item, len(f) = 1 AS alone FROM (SELECT t.stream_id, t.k, r.kept, list_filter(coalesce(t.fit, []), lambda p: list_contains(r.kept, p)) AS f FROM t CROSS JOIN r{i - 1} r WHERE r.kept IS NOT NULL) WHERE len(f) <= 1),
+s{i} AS (SELECT item, sum(alone) AS alone, max(run) AS run FROM (SELECT stream_id, item, count(*) AS run, count(*) FILTER (WHERE alone) AS alone FROM (SELECT *, k - row_number() OVER (PARTITION BY stream_id, item ORDER BY k) AS i FROM o{i}) GROUP BY stream_id, item, i) GROUP BY item),
+c{i} AS (SELECT p.item, coalesce(s.alone, 0)::DOUBLE / (SELECT count(*) FROM t) AS loss, coalesce(s.run, b.run) - b.run AS pause FROM (SELECT unnest(kept) AS item FROM r{i - 1}) p LEFT JOIN s{i} s ON s.item = p.item CROSS JOIN (SELECT coalesce(max(run), 0) AS run FROM s{i} WHERE item = -1) b),
+r{i} AS MATERIALIZED (SELECT CASE WHEN x.item IS NOT NULL THEN list_filter(r.kept, lambda p: p <> x.item) END AS kept, {i} AS round, x.item, x.loss, x.pause FROM r{i - 1} r LEFT JOIN (SELECT * FROM c{i} WHERE loss <= {most_loss} AND pause <= {most_pause} ORDER BY loss, pause, item LIMIT 1) x ON true)""")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT round, item, round(loss, 6) AS loss, CAST(pause AS BIGINT) AS pause FROM r{i} WHERE item IS NOT NULL" for i in range(1, items))
+
+
+@query(_prune_sql(8, 0.06, 40), "profile_scores")
+def pruned_profiles(spark, sf_dir):
+    w = Window.partitionBy("stream_id").orderBy("ts_s", "frame_no")
+    rows = load(spark, sf_dir, "profile_scores").select("stream_id", "profile", "hold", F.dense_rank().over(w).alias("k"))
+    return selection.prune(rows, "stream_id", "k", "profile", "hold", 0.06, 40).withColumn("loss", F.round("loss", 6))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lynxframe.functions import geometry as G
@@ -77,24 +76,20 @@ def scene_change(spark, sf_dir):
 _REF = "AS_ d AS (SELECT a.vec_id AS frame_id, b.vec_id AS reference, median(abs(a.gray::DOUBLE - b.gray::DOUBLE)) AS distance FROM (SELECT vec_id, unnest(embedding) AS gray, generate_subscripts(embedding, 1) AS i FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding) AS gray, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 100 = 0) b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY distance, reference) AS k FROM d)"
 
 
-def _distances(spark, sf_dir):
-    """Every frame against the few references (every hundredth vector), by the median of the cells' residuals."""
+def _nearest(spark, sf_dir, k):
+    """Every frame against the references (every hundredth vector), by the median of the cells' residuals."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), "embedding")
-    refs = rows.where("frame_id % 100 = 0").select(F.col("frame_id").alias("reference"), F.col("embedding").alias("own"))
-    pairs = rows.join(refs, F.col("frame_id") != F.col("reference"))
-    return pairs.select("frame_id", "reference", R.median_residual(F.col("embedding"), F.col("own")).alias("distance"))
+    return reports.nearest_references(rows, rows.where("frame_id % 100 = 0"), "frame_id", "embedding", k)
 
 
 @query(f"{_REF} SELECT frame_id, reference, round(distance, 5) AS distance, k AS place FROM r WHERE k <= 3", "cells")
 def reference_ranks(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("distance", "reference"))
-    return _distances(spark, sf_dir).withColumn("place", place.cast("long")).where("place <= 3").withColumn("distance", F.round("distance", 5))
+    return _nearest(spark, sf_dir, 3).withColumn("distance", F.round("distance", 5))
 
 
 @query(f"{_REF} SELECT reference, count(*) AS frames, count(*) FILTER (WHERE distance <= 0.11) AS covered FROM r WHERE k = 1 GROUP BY 1", "cells")
 def reference_coverage(spark, sf_dir):
-    best = _distances(spark, sf_dir).groupBy("frame_id").agg(F.min(F.struct("distance", "reference")).alias("b"))
-    return best.groupBy(F.col("b.reference").alias("reference")).agg(F.count("*").alias("frames"), F.count_if(F.col("b.distance") <= 0.11).alias("covered"))
+    return _nearest(spark, sf_dir, 1).groupBy("reference").agg(F.count("*").alias("frames"), F.count_if(F.col("distance") <= 0.11).alias("covered"))
 
 
 _TOL = "m AS (SELECT camera, cell, median(gray) AS mid FROM cells GROUP BY 1, 2), t AS (SELECT c.camera, c.cell, any_value(mid) AS mid, median(abs(gray - mid)) AS mad FROM cells c JOIN m ON c.camera = m.camera AND c.cell = m.cell GROUP BY 1, 2), b AS (SELECT camera, cell, least(greatest(0.1, abs(mid) + greatest(3 * mad, 0.01)), 0.27) AS tolerance, abs(mid) + greatest(3 * mad, 0.01) > 0.27 AS biased FROM t)"

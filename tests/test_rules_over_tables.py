@@ -1,0 +1,134 @@
+"""Piles, tracks, ledgers, references, pruning and rules over records, by hand-made cases and plain computations."""
+
+from __future__ import annotations
+
+import random
+from statistics import median
+
+import pytest
+from pyspark.sql import functions as F
+
+from lynxframe.operators import events, frames, records, reports, samples, scenes, selection, states, tracking
+
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+
+
+def box(x, y=0.0, size=10.0):
+    return (float(x), float(y), x + size, y + size)
+
+
+def test_piles_do_not_depend_on_order(spark):
+    r = random.Random(2)
+    made = [(f, 100 * f + k, r.random(), *box(r.uniform(0, 90), r.uniform(0, 90), r.choice([1.0, 8.0]))) for f in range(12) for k in range(9)]
+
+    def gap(a, b):
+        return (max(a[0] - b[2], b[0] - a[2], 0) ** 2 + max(a[1] - b[3], b[1] - a[3], 0) ** 2) ** 0.5
+
+    expected = set()
+    for f in range(12):
+        piles = [([m[1]], m[2], m[3:]) for m in made if m[0] == f]
+        while pair := next(((a, b) for a in piles for b in piles if a is not b and gap(a[2], b[2]) <= 6), None):
+            a, b = pair
+            piles = [p for p in piles if p is not a and p is not b] + [(a[0] + b[0], max(a[1], b[1]), (*map(min, a[2][:2], b[2][:2]), *map(max, a[2][2:], b[2][2:])))]
+        expected |= {(f, min(ids), len(ids), conf, max(b[0] - 1, 0), max(b[1] - 1, 0), min(b[2] + 1, 95), min(b[3] + 1, 95)) for ids, conf, b in piles if len(ids) >= 2}
+    r.shuffle(made)
+    table = spark.createDataFrame([*made, (0, 99, 0.5, None, 0.0, 1.0, 1.0)], "frame_id long, det_id long, conf double, x0 double, y0 double, x1 double, y1 double")
+    assert {tuple(x) for x in frames.piles(table, "frame_id", 6.0, 2, 1.0, 95.0, 95.0).collect()} == expected
+    assert frames.piles(table.limit(0), "frame_id", 6.0, 2).count() == 0
+
+
+def test_tracks_wait_behind_occluders(spark):
+    schema = f"cam string, ts_s double, det_id long, x0 double, y0 double, x1 double, y1 double, occluders array<{BOX}>"
+    rows = [("c", 0.0, 1, *box(0), None), ("c", 1.0, 2, *box(3), None), ("c", 1.0, 3, *box(100), None), ("c", 2.0, 8, *box(300), [box(0, size=40.0)]), ("c", 4.0, 9, *box(300), [box(0, size=40.0)]), ("c", 6.0, 4, *box(5), [box(0, size=40.0)]), ("c", 6.0, 5, *box(102), None), ("c", None, 6, *box(0), None), ("c", 7.0, 7, None, 0.0, 1.0, 1.0, None)]
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    got = {x.det_id: (x.track, x.hits, x.hidden) for x in tracking.cheapest_tracks(table, "cam", 1.0).collect()}
+    assert got[2] == (1, 2, 0) and got[4] == (1, 3, 3) and got[5] == (5, 1, 0) and got[9][0] == 8 and set(got) == {1, 2, 3, 4, 5, 8, 9}
+    assert tracking.cheapest_tracks(table.limit(0), "cam", 1.0).count() == 0
+
+
+def test_actors_hold_changes_back_and_are_named(spark):
+    kinds = states.change_of(0.1, uncertain=1.0)
+    schema = "roi string, tick long, area double, cx double, cy double, visual double, actors array<bigint>"
+    rows = [("r", 0, 0.1, 0.5, 0.5, 0.0, None), ("r", 3, 0.1, 0.5, 0.5, 0.0, [7]), ("r", 4, 0.5, 0.5, 0.5, 0.5, [7, 3]), ("r", 5, 0.5, 0.5, 0.5, 0.5, None), ("r", 6, 0.5, 0.5, 0.5, 0.5, []), ("r", 8, 0.5, 0.5, 0.5, 0.5, None), ("r", 9, 0.5, 0.5, 0.5, 0.5, None)]
+    table = spark.createDataFrame(rows, schema).repartition(2)
+    got = [(x.tick, x.kind, x.emitted, x.actors) for x in states.attended_changes(table, "roi", "tick", kinds, hold=2, warm_up=2, grace=2, memory=10).orderBy("tick").collect()]
+    assert [x[1] for x in got] == ["baseline", "observing", "observing", "observing", "added", "added", "unchanged"]
+    assert got[5][2:] == (True, [3, 7]) and not any(x[2] for x in got[:5])
+    plain = states.persistent_changes(table.drop("actors"), "roi", "tick", kinds, hold=2, warm_up=2).orderBy("tick").collect()
+    alone = states.attended_changes(table.withColumn("actors", F.lit(None).cast("array<bigint>")), "roi", "tick", kinds, hold=2, warm_up=2, grace=2, memory=10).orderBy("tick").collect()
+    assert [tuple(x) for x in plain] == [tuple(x)[:5] for x in alone]
+
+
+def test_items_are_one_to_one_and_only_clean_ground_clears_them(spark):
+    schema = f"view string, ts_s double, n long, observable boolean, seen array<{BOX}>, clean array<{BOX}>"
+    rows = [("v", 0.0, 0, True, [box(0), box(3)], None), ("v", 1.0, 1, True, None, None), ("v", 2.0, 2, True, [box(4)], [box(0)]), ("v", 3.0, 3, False, [box(50)], [box(0)]), ("v", 4.0, 4, True, None, [box(0)]), ("v", 6.0, 5, True, None, [box(0)]), ("v", 6.0, 6, True, [box(0)], None)]
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    got = {(x.ts_s, x.item): x.state for x in states.item_ledger(table, ["view"], "n", clear_after=2.0, most_gap=3.0).collect()}
+    assert got[0.0, 1] == got[0.0, 2] == "present" and got[1.0, 1] == "unobserved"
+    assert got[2.0, 2] == "present" and got[2.0, 1] == "verifying" and got[3.0, 1] == "unobserved"
+    assert got[4.0, 1] == "verifying" and got[6.0, 1] == "cleared" and got[6.0, 2] == "cleared" and not any(k[1] > 2 for k in got)
+    assert states.item_ledger(table.limit(0), ["view"], "n", 2.0, 3.0).count() == 0
+
+
+def test_consensus_takes_what_samples_share(spark):
+    rows = [("k", s, 10 * s + n, 0, 0.9 - n / 10, *box(100.0 * n + s)) for s in range(3) for n in range(2)] + [("k", 0, 7, 0, 0.3, *box(500)), ("k", 1, 18, 0, 0.2, *box(2))]
+    table = spark.createDataFrame(rows, "key string, sample long, det_id long, class_id long, conf double, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    got = {x["first"]: (x.support, round(x.conf, 6), x.x0) for x in scenes.consensus(table, "key", "sample", 2, 0.3, 0.6).collect()}
+    assert got == {0: (3, 0.9, 1.0), 1: (3, 0.8, 101.0)}
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_nearest_references_are_the_plain_ones(spark, block):
+    r = random.Random(3)
+    vectors = {k: [round(r.random(), 3) for _ in range(r.choice([5, 6]))] for k in range(40)}
+    vectors |= {40: None, 41: [], 42: [None] * 6, 43: [0.5, None, 0.1], 44: vectors[4]}
+    table = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
+    bank = [k for k in vectors if k % 4 == 0]
+
+    def far(a, b):
+        gaps = [abs(x - y) for x, y in zip(a or [], b or [], strict=False) if x is not None and y is not None]
+        return median(gaps) if gaps else None
+
+    expected = set()
+    for k, v in vectors.items():
+        best = sorted((d, b) for b in bank if b != k and (d := far(v, vectors[b])) is not None)[:3]
+        expected |= {(k, b, round(d, 9), n) for n, (d, b) in enumerate(best, 1)}
+    got = reports.nearest_references(table, table.where("id % 4 = 0"), "id", "v", 3, block).collect()
+    assert {(x.id, x.reference, round(x.distance, 9), x.place) for x in got} == expected
+    assert reports.nearest_references(table, table.limit(0), "id", "v", 3).count() == 0
+
+
+def test_two_items_that_make_up_for_each_other_do_not_both_go(spark):
+    rows = [("v", k, p, p in ("a", "b") if k < 8 else p == "c") for k in range(10) for p in "abc"]
+    table = spark.createDataFrame(rows, "view string, tick long, item string, holds boolean").repartition(3)
+    assert [tuple(x) for x in selection.prune(table, "view", "tick", "item", "holds", 0.1, 5).collect()] == [(1, "a", 0.0, 0)]
+    assert [x.item for x in selection.prune(table, "view", "tick", "item", "holds", 0.3, 5).orderBy("round").collect()] == ["a", "c"]
+    assert selection.prune(table.limit(0), "view", "tick", "item", "holds", 0.1, 5).count() == 0
+
+
+def test_reviewed_events_go_to_the_earliest_online_one(spark):
+    schema = "run string, {} long, x0 double, y0 double, x1 double, y1 double"
+    online = spark.createDataFrame([("r", 5, *box(0)), ("r", 6, *box(2)), ("r", 7, *box(200)), ("s", 8, *box(0))], schema.format("det_id"))
+    reviewed = spark.createDataFrame([("r", 5, *box(3)), ("r", 6, *box(9)), ("t", 9, *box(0))], schema.format("gt_id"))
+    got = {(x.run, x.det_id): (x.gt_id, x.distance) for x in events.nearest_reviewed(online, reviewed, "run").collect()}
+    assert got == {("r", 5): (5, 3.0), ("r", 6): (6, 7.0), ("r", 7): (None, None), ("s", 8): (None, None)}
+
+
+def test_rules_over_records(spark):
+    rows = spark.createDataFrame([(1, "a", 10.0, 1), (2, "a", None, 0), (2, "b", 5.0, None), (None, "b", 1.0, 1)], "id long, source string, score double, label int")
+    known = spark.createDataFrame([(1, 1), (9, 0), (9, 0), (None, 1)], "id long, said int")
+    assert {(x.id, x.side) for x in records.sides(rows, known, "id", ("rows", "known")).collect()} == {(1, "both"), (2, "rows only"), (9, "known only")}
+    assert sorted(x.id or 0 for x in records.unseen(rows, known, "id").collect()) == [0, 2, 2]
+    share, unknown = records.coverage(rows, known, "id", "source")
+    assert [x.id for x in unknown.collect()] == [9] and {x.source: (x.documents, x.reviewed) for x in share.collect()} == {None: (4, 1), "a": (2, 1), "b": (2, 0)}
+    assert {x.source: (x.reviewed, x.positive) for x in records.yields(rows, ["source"], "label").collect()} == {"a": (2, 1), "b": (1, 1)}
+    assert [x.id for x in records.latest(rows.where("id is not null"), ["id"], 0).collect()] == [2]
+    assert [x.id for x in records.page_after(rows, "id", 1, 99).collect()] == [2, 2]
+    both = records.union_of({"rows": rows, "known": known})
+    assert both.where("origin = 'known'").select("score").distinct().collect() == [(None,)] and both.count() == 8
+    nested = {x.id: [p.score for p in x.parts] for x in records.with_nested(known.select("id").distinct(), rows, "id", ["score"], "score").collect()}
+    assert nested == {1: [10.0], 9: [], None: []}
+    grid = samples.interval_grid(spark.createDataFrame([(0.0, 10.0), (5.0, 5.0), (None, 1.0)], "s double, e double"), "s", "e", 4, most=2)
+    assert [x.at_s for x in grid.collect()] == [0, 4]
+    text = spark.createDataFrame([("2024-03-01 08:00:00",), ("x",), (None,)], "t string")
+    assert [None if x.at is None else x.at.hour for x in text.select(samples.parsed_time(F.col("t"), ["yyyy-MM-dd HH:mm:ss"], "Asia/Shanghai").alias("at")).collect()] == [0, None, None]
