@@ -279,3 +279,63 @@ def pruned_profiles(spark, sf_dir):
     w = Window.partitionBy("stream_id").orderBy("ts_s", "frame_no")
     rows = load(spark, sf_dir, "profile_scores").select("stream_id", "profile", "hold", F.dense_rank().over(w).alias("k"))
     return selection.prune(rows, "stream_id", "k", "profile", "hold", 0.06, 40).withColumn("loss", F.round("loss", 6))
+
+
+PLACES = memory.Places(period=0.3 * _DAY, confirm=0.6 * _DAY, clear_after=0.6 * _DAY, pending=1.5 * _DAY, gap_factor=4.0, residue=60.0, outside=700.0)
+_PLACE = {
+    "id": "BIGINT", "boxes": "DOUBLE[][]", "x0": "DOUBLE", "y0": "DOUBLE", "x1": "DOUBLE", "y1": "DOUBLE", "times": "DOUBLE[]", "clean": "DOUBLE", "clean_at": "DOUBLE", "lost": "DOUBLE", "confirmed": "DOUBLE", "state": "VARCHAR", "reason": "VARCHAR", "told": "VARCHAR",
+    "here": "BOOLEAN", "ate": "BIGINT[]",
+}
+
+
+def _place(old: str = "e", **new: str) -> str:
+    return "{" + ", ".join(f"'{f}': CAST({new[f] if f in new else f'{old}.{f}'} AS {kind})" for f, kind in _PLACE.items()) + "}"
+
+
+def _places_sql(r: memory.Places) -> str:
+    far = lambda a, b: f"sqrt((({a}x0 + {a}x1 - {b}x0 - {b}x1) / 2) * (({a}x0 + {a}x1 - {b}x0 - {b}x1) / 2) + (({a}y0 + {a}y1 - {b}y0 - {b}y1) / 2) * (({a}y0 + {a}y1 - {b}y0 - {b}y1) / 2))"
+    size = lambda a: f"greatest(({a}x1 - {a}x0) * ({a}y1 - {a}y0), 1)"
+    one = lambda a, b, ratio: f"({far(a, b)} <= {r.near} AND greatest({size(a)}, {size(b)}) <= {ratio} * least({size(a)}, {size(b)}))"
+    common = lambda a, b, by=0.0: f"(greatest(least({a}x1 + {by}, {b}x1) - greatest({a}x0 - {by}, {b}x0), 0) * greatest(least({a}y1 + {by}, {b}y1) - greatest({a}y0 - {by}, {b}y0), 0))"
+    spills = lambda a: f"(t.has_residue AND {common(a, 't.r', r.touch)} > 0 AND (t.rx1 - t.rx0) * (t.ry1 - t.ry0) - {common(a, 't.r', r.guard)} >= {r.outside})"
+    hidden = lambda a: f"(t.has_actor AND {common(a, 't.a')} / (({a}x1 - {a}x0) * ({a}y1 - {a}y0)) > {r.hidden})"
+    middle = lambda boxes, i: f"list_aggregate(list_transform({boxes}, lambda b: b[{i}]), 'median')"
+    anchor = {"x0": middle("e.boxes", 1), "y0": middle("e.boxes", 2), "x1": middle("e.boxes", 3), "y1": middle("e.boxes", 4)}
+    box = "[t.sx0, t.sy0, t.sx1, t.sy1]"
+    seen = {"lost": "0", "clean": "0", "clean_at": "NULL", "state": "'VISIBLE_ANOMALY'", "reason": "'candidate_visible'", "here": "true"}
+    sure = lambda times: f"CASE WHEN e.confirmed IS NULL AND len({times}) * {r.period!r}::DOUBLE >= {r.confirm!r}::DOUBLE THEN t.ts_s ELSE e.confirmed END"
+    taken = _place(boxes=f"list_append(e.boxes, {box})[-{r.most_boxes}:]", times="list_append(e.times, t.ts_s)", confirmed=sure("list_append(e.times, t.ts_s)"), **seen)
+    fresh = _place(id="m.nxt", boxes=f"[{box}]", x0="t.sx0", y0="t.sy0", x1="t.sx1", y1="t.sy1", times="[t.ts_s]", confirmed=f"CASE WHEN {r.period!r} >= {r.confirm!r} THEN t.ts_s END", told="NULL", ate="[]", **seen)
+    valid = f"CASE WHEN t.has_blind THEN 1 - least(1.0, {common('e.', 't.a')} / ((e.x1 - e.x0) * (e.y1 - e.y0))) ELSE 1.0 END"
+    rest = f"CASE WHEN t.has_residue THEN {common('e.', 't.r', r.pad)} ELSE 0 END"
+    lost = f"e.lost + CASE WHEN e.confirmed IS NULL THEN {r.period!r}::DOUBLE ELSE 0 END"
+    clean = f"CASE WHEN e.clean_at IS NOT NULL AND t.ts_s - e.clean_at <= {r.gap_factor * r.period!r}::DOUBLE THEN e.clean + {r.period!r}::DOUBLE ELSE {r.period!r}::DOUBLE END"
+    says = f"""CASE WHEN NOT a.usable THEN 'ENVIRONMENT_CHANGE frame_unavailable' WHEN e.here THEN e.state || ' ' || e.reason WHEN {spills('e.')} THEN 'OCCLUDED context_occluded' WHEN {hidden('e.')} THEN 'OCCLUDED actor_occluded' WHEN {valid} < {r.valid} THEN 'GROUND_UNAVAILABLE insufficient_valid_ground'
+WHEN e.confirmed IS NULL AND {lost} >= {r.pending!r}::DOUBLE THEN 'EXPIRED_PENDING pending_timeout' WHEN {rest} <= {max(1.0, r.residue)} THEN CASE WHEN {clean} >= {r.clear_after!r}::DOUBLE THEN 'CLEARED clean_confirmed' ELSE 'CLEAN_PENDING clean_reference_match' END ELSE 'ANOMALY_PENDING residual_without_candidate' END"""
+    judged = _place(state=f"split_part({says}, ' ', 1)", reason=f"split_part({says}, ' ', 2)", lost=f"CASE WHEN split_part({says}, ' ', 1) IN ('EXPIRED_PENDING', 'CLEARED', 'CLEAN_PENDING', 'ANOMALY_PENDING') THEN {lost} ELSE e.lost END", clean=f"CASE WHEN split_part({says}, ' ', 1) IN ('CLEARED', 'CLEAN_PENDING') THEN {clean} ELSE 0 END", clean_at=f"CASE WHEN split_part({says}, ' ', 1) IN ('CLEARED', 'CLEAN_PENDING') THEN t.ts_s END")
+    all_boxes = f"list_concat(e.boxes, x[1].boxes)[-{r.most_merged}:]"
+    both = "list_distinct(list_concat(e.times, x[1].times))"
+    eaten = f"list_transform([{_place(boxes=all_boxes, times=both, confirmed='list_min([e.confirmed, x[1].confirmed])', clean='0', clean_at='NULL', ate='list_append(e.ate, x[1].id)')}], lambda e: {_place(confirmed=sure('e.times'), **anchor)})[1]"
+    joins_ = one("e.", "x[1].", r.merge_ratio)
+    struct = "STRUCT(" + ", ".join(f"{f} {kind}" for f, kind in _PLACE.items()) + ")[]"
+    return f"""AS_ t AS MATERIALIZED (SELECT *, frame_no % 10 <> 7 AS usable, row_number() OVER (PARTITION BY stream_id, view ORDER BY ts_s, frame_no) AS k FROM view_ticks),
+m AS (SELECT stream_id, view, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS last, CAST(1 AS BIGINT) AS nxt, CAST([] AS {struct}) AS events, CAST([] AS {struct}) AS told FROM (SELECT DISTINCT stream_id, view FROM t)
+UNION ALL SELECT m.stream_id, m.view, t.k, t.ts_s, m.nxt + CASE WHEN a.shows AND b.id IS NULL THEN 1 ELSE 0 END, list_transform(list_filter(z.kept, lambda e: e.state NOT IN ('CLEARED', 'EXPIRED_PENDING')), lambda e: {_place(told="e.state", here="false", ate="[]")}),
+list_concat(list_transform(list_filter(y.there, lambda e: len(list_filter(z.kept, lambda f: list_contains(f.ate, e.id))) > 0), lambda e: {_place(state="'MERGED'", reason="'merged_into:' || list_filter(z.kept, lambda f: list_contains(f.ate, e.id))[1].id")}), list_filter(z.kept, lambda e: e.state IS DISTINCT FROM e.told))
+FROM m JOIN t ON t.stream_id = m.stream_id AND t.view = m.view AND t.k = m.k + 1,
+LATERAL (SELECT t.usable AS usable, t.usable AND t.by_scan AND NOT {spills('t.s')} AND NOT {hidden('t.s')} AS shows) a,
+LATERAL (SELECT list_sort(list_transform(list_filter(m.events, lambda e: a.shows AND {one('e.', 't.s', r.most_ratio)}), lambda e: {{'d': {far('e.', 't.s')}, 'id': e.id}}))[1].id AS id) b,
+LATERAL (SELECT list_transform(list_transform(m.events, lambda e: CASE WHEN e.id = b.id THEN {taken} ELSE e END), lambda e: CASE WHEN e.id = b.id THEN {_place(**anchor)} ELSE e END) AS there) v,
+LATERAL (SELECT list_transform(CASE WHEN a.shows AND b.id IS NULL THEN list_append(v.there, {fresh}) ELSE v.there END, lambda e: {judged}) AS there) y,
+LATERAL (SELECT list_filter(y.there, lambda e: e.state NOT IN ('CLEARED', 'EXPIRED_PENDING')) AS open_) w,
+LATERAL (SELECT list_concat(CASE WHEN a.usable AND len(w.open_) > 0 THEN list_reduce(list_transform(w.open_, lambda e: [e]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda e: {joins_})) > 0 THEN list_transform(acc, lambda e: CASE WHEN e.id = list_filter(acc, lambda e: {joins_})[1].id THEN {eaten} ELSE e END) ELSE list_concat(acc, x) END) ELSE w.open_ END, list_filter(y.there, lambda e: e.state IN ('CLEARED', 'EXPIRED_PENDING'))) AS kept) z),
+o AS (SELECT m.stream_id, m.view, t.ts_s, unnest(told) AS e FROM m JOIN t USING (stream_id, view, k)) SELECT stream_id, view, round(ts_s, 3) AS ts_s, e.id AS event, e.state, e.reason, round(e.confirmed, 3) AS confirmed_s, e.x0, e.y0, e.x1, e.y1 FROM o"""
+
+
+@query(_places_sql(PLACES), "view_ticks")
+def place_memory(spark, sf_dir):
+    """The memory of one channel: what a scan sees."""
+    t = load(spark, sf_dir, "view_ticks")
+    box = lambda p: F.array(F.struct(*[F.col(f"{p}{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    rows = t.select("stream_id", "view", "ts_s", "frame_no", (F.col("frame_no") % 10 != 7).alias("usable"), F.when(F.col("by_scan"), box("s")).alias("seen"), F.when(F.col("has_actor"), box("a")).alias("actors"), F.when(F.col("has_blind"), box("a")).alias("blind"), F.when(F.col("has_residue"), box("r")).alias("residue"))
+    return _shown(memory.place_memory(rows, ["stream_id", "view"], "frame_no", PLACES))
