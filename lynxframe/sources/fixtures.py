@@ -19,7 +19,7 @@ _SELECT = {
     "cells": "SELECT vec_id AS frame_id, vec_id % 8 AS camera, CAST(p.pos AS INT) AS cell, CAST(p.gray AS DOUBLE) AS gray FROM {cells}",
     "sourced": "SELECT event_id AS obs_id, user_id % 8 AS camera, event_id % 3 AS scene, event_type AS kind, {micros} / 1000000 AS ts_s, CAST((event_id * 37) % 1800 AS DOUBLE) AS x0, CAST((event_id * 53) % 1000 AS DOUBLE) AS y0, CAST((event_id * 37) % 1800 + 8 + event_id % 90 AS DOUBLE) AS x1, CAST((event_id * 53) % 1000 + 8 + event_id % 70 AS DOUBLE) AS y1, CASE WHEN event_id % 3 <> 1 THEN CAST((event_id * 29) % 100 AS DOUBLE) / 100 END AS first_conf, CASE WHEN event_id % 3 <> 0 THEN CAST((event_id * 43) % 100 AS DOUBLE) / 100 END AS second_conf, event_id % 5 = 0 AS seen_place, event_id % 7 < 3 AS seen_look, CAST((event_id * 11) % 256 AS DOUBLE) AS r, CAST((event_id * 17) % 256 AS DOUBLE) AS g, CAST((event_id * 23) % 256 AS DOUBLE) AS b FROM events",
     "snapshots": "SELECT 'cam_' || CAST(user_id % 8 AS STRING) AS stream_id, CAST(floor({micros} / 3600000000) AS BIGINT) AS tick, CAST(least(10000, sum((4 + event_id % 9) * (4 + event_id % 7))) AS DOUBLE) / 10000 AS area, CAST(sum(2 * ((event_id * 37) % 80) + 4 + event_id % 9) AS DOUBLE) / (200 * count(*)) AS cx, CAST(sum(2 * ((event_id * 53) % 80) + 4 + event_id % 7) AS DOUBLE) / (200 * count(*)) AS cy, CAST(min(event_id) % 12 AS DOUBLE) / 4000 AS visual FROM events GROUP BY 1, 2",
-    "view_ticks": "SELECT 'cam_' || CAST(user_id % 8 AS STRING) AS stream_id, event_id % 2 AS view, {micros} / 1000000 AS ts_s, event_id AS frame_no, event_id % 4 <> 1 AS scanned, event_id % 9 <> 2 AND event_id % 200 < 170 AS judged, event_id % 4 <> 1 AND event_id % 7 < 4 AS by_scan, event_id % 9 <> 2 AND event_id % 200 < 170 AND event_id % 5 < 2 AS by_prior, CAST(40 * ((event_id * 37) % 5) + 12 * (event_id % 3) AS DOUBLE) AS sx0, CAST(30 + event_id % 4 AS DOUBLE) AS sy0, CAST(40 * ((event_id * 37) % 5) + 12 * (event_id % 3) + 20 + event_id % 5 AS DOUBLE) AS sx1, CAST(54 + event_id % 7 AS DOUBLE) AS sy1, event_id % 11 = 0 AS has_actor, event_id % 13 = 0 AS has_blind, CAST(40 * ((event_id * 53) % 5) AS DOUBLE) AS ax0, CAST(10 AS DOUBLE) AS ay0, CAST(40 * ((event_id * 53) % 5) + 35 AS DOUBLE) AS ax1, CAST(90 AS DOUBLE) AS ay1, event_id % 6 = 0 AS has_residue, CAST(40 * ((event_id * 59) % 5) AS DOUBLE) AS rx0, CAST(30 AS DOUBLE) AS ry0, CAST(40 * ((event_id * 59) % 5) + 30 AS DOUBLE) AS rx1, CAST(50 AS DOUBLE) AS ry1 FROM events",
+    "view_ticks": "SELECT 'cam_' || CAST(user_id % 8 AS STRING) AS stream_id, CAST(floor(event_id / 10) AS BIGINT) % 4 AS view, {micros} / 1000000 AS ts_s, event_id AS frame_no, event_id % 4 <> 1 AS scanned, event_id % 9 <> 2 AND event_id % 200 < 170 AS judged, event_id % 4 <> 1 AND event_id % 7 < 4 AS by_scan, event_id % 9 <> 2 AND event_id % 200 < 170 AND event_id % 5 < 2 AS by_prior, CAST(40 * ((event_id * 37) % 5) + 12 * (event_id % 3) AS DOUBLE) AS sx0, CAST(30 + event_id % 4 AS DOUBLE) AS sy0, CAST(40 * ((event_id * 37) % 5) + 12 * (event_id % 3) + 20 + event_id % 5 AS DOUBLE) AS sx1, CAST(54 + event_id % 7 AS DOUBLE) AS sy1, event_id % 11 = 0 AS has_actor, event_id % 13 = 0 AS has_blind, CAST(40 * ((event_id * 53) % 5) AS DOUBLE) AS ax0, CAST(10 AS DOUBLE) AS ay0, CAST(40 * ((event_id * 53) % 5) + 35 AS DOUBLE) AS ax1, CAST(90 AS DOUBLE) AS ay1, event_id % 6 = 0 AS has_residue, CAST(40 * ((event_id * 59) % 5) AS DOUBLE) AS rx0, CAST(30 AS DOUBLE) AS ry0, CAST(40 * ((event_id * 59) % 5) + 30 AS DOUBLE) AS rx1, CAST(50 AS DOUBLE) AS ry1 FROM events",
     "profile_scores": "SELECT 'cam_' || CAST(user_id % 8 AS STRING) AS stream_id, {micros} / 1000000 AS ts_s, event_id AS frame_no, CAST(p.id AS BIGINT) AS profile, CAST((CAST(floor({micros} / 259200000000) AS BIGINT) * 37 + p.id * 29 + user_id % 8 * 11) % 100 + event_id % 5 AS DOUBLE) / 100 AS score, (CAST(floor({micros} / 259200000000) AS BIGINT) * 37 + p.id * 29 + user_id % 8 * 11) % 100 < 50 AND event_id % 9 <> 0 AS enter, (CAST(floor({micros} / 259200000000) AS BIGINT) * 37 + p.id * 29 + user_id % 8 * 11) % 100 < 62 AND event_id % 19 <> 0 AS hold, (event_id + p.id) % 3 <> 0 AS sound, CAST((event_id * 7 + p.id * 31) % 50 AS DOUBLE) AS rough FROM events CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS p(id)",
     "decisions": "SELECT event_id AS decision_id, user_id * 10 + event_id % 10 AS card_id, {micros} / 1000000 AS decided_s, CASE event_type WHEN 'purchase' THEN 'confirmed' WHEN 'error' THEN 'rejected' WHEN 'click' THEN 'uncertain' ELSE 'pending' END AS decision FROM events",
 }
