@@ -93,7 +93,8 @@ def test_versions(spark, tmp_path):
     assert sorted(versions.resolve(spark, root, verify=True).collect()) == sorted(b.collect())
     assert sorted(x.id for x in versions.resolve(spark, root, 1, verify=True).collect()) == [1, 2]
     assert versions.fingerprint(a) == versions.fingerprint(a.select("name", "id").repartition(3)) != versions.fingerprint(b)
-    b.write.mode("overwrite").parquet(f"{root}/data/1")
+    folder = versions.versions(spark, root).where("version = 1").first().folder
+    b.write.mode("overwrite").parquet(f"{root}/{folder}")
     with pytest.raises(ValueError):
         versions.resolve(spark, root, 1, verify=True)
 
