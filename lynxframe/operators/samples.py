@@ -99,8 +99,12 @@ def near_required(rows: DataFrame, known: DataFrame, key: str, id_: str, side: f
 
 def seen_places(rows: DataFrame, known: DataFrame, key: str, id_: str, known_id: str, reach: float) -> DataFrame:
     """``id_`` and ``seen_before``: whether a known place (key, ``known_id``, box) other than the row itself lies within ``reach``."""
-    near = joins.near_boxes(rows, known, [key], reach, lambda a, b: G.distance(a, b) <= reach).where(F.col(id_) != F.col(known_id))
-    return rows.select(id_).join(near.select(id_).distinct().withColumn("_hit", F.lit(True)), id_, "left").select(id_, F.coalesce("_hit", F.lit(False)).alias("seen_before"))
+    # Equal boxes are one place. Of the ids near a row the smallest or the largest is not its own if there is any other.
+    places = known.groupBy(key, "box").agg(F.min(known_id).alias("_low"), F.max(known_id).alias("_high"))
+    near = joins.near_boxes(rows.select(key, "box").distinct(), places, [key], reach, lambda a, b: G.distance(a, b) <= reach)
+    near = near.groupBy(key, "box").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    hits = rows.join(near, [key, "box"]).where((F.col(id_) != F.col("_low")) | (F.col(id_) != F.col("_high"))).select(id_).distinct()
+    return rows.select(id_).join(hits.withColumn("_hit", F.lit(True)), id_, "left").select(id_, F.coalesce("_hit", F.lit(False)).alias("seen_before"))
 
 
 def blind_choice(rows: DataFrame, key: str, cells: list[str], id_: str, at_random: int) -> DataFrame:
