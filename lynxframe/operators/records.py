@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,10 +192,33 @@ def latest_visitor(places: DataFrame, trail: DataFrame, key: str, id_: str, visi
 
     places: ``key``, ``id_``, at (the instant), x0, y0, x1, y1; trail: ``key``, ``visitor``, ``tie``, ts_s, x, y in the same
     units. A point counts within ``margin`` of the box. Places are listed under the two slots of time that their window
-    touches, so both meet by key and slot."""
+    touches, so both meet by key and slot, which a task has as arrays. Points at one spot are sorted by time once: what a
+    spot adds to a place is found by two searches, so no pair of a place and a point is listed.
+    """
     slot = lambda c: F.floor(F.col(c) / window)
-    listed = places.withColumn("_slot", F.explode(F.array(slot("at"), slot("at") - 1)))
-    met = listed.join(trail.withColumn("_slot", slot("ts_s")), [key, "_slot"])
-    there = F.col("x").between(F.col("x0") - margin, F.col("x1") + margin) & F.col("y").between(F.col("y0") - margin, F.col("y1") + margin)
-    inside = met.where((F.col("ts_s") < F.col("at")) & (F.col("ts_s") >= F.col("at") - window) & there)
-    return inside.groupBy(id_).agg(F.max_by(visitor, F.struct("ts_s", tie)).alias("actor"), F.count("*").alias("steps"))
+    low, high = (lambda c: F.col(c) - margin), (lambda c: F.col(c) + margin)
+    listed = places.select(key, F.explode(F.array(slot("at"), slot("at") - 1)).alias("_slot"), id_, "at", low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1")).dropna()
+    points = trail.select(key, slot("ts_s").alias("_slot"), visitor, tie, "ts_s", "x", "y").dropna(subset=[key, "ts_s", "x", "y"])
+    kind = {f.name: f.dataType.simpleString() for f in [*places.schema, *trail.schema]}
+
+    def met(places: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["x", "y", "ts_s", tie], kind="stable")
+        x, y, t, rank = (points[c].to_numpy() for c in ("x", "y", "ts_s", tie))
+        starts = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)])
+        places = places.sort_values("x0", kind="stable")
+        x0, y0, x1, y1, at = (places[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "at"))
+        steps, last = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x)][: len(starts)], strict=True):
+            some = np.flatnonzero((x1[: (n := np.searchsorted(x0, x[i], "right"))] >= x[i]) & (y0[:n] <= y[i]) & (y1[:n] >= y[i]))
+            first, end = np.searchsorted(t[i:j], at[some] - window), np.searchsorted(t[i:j], at[some])
+            steps[some] += np.maximum(end - first, 0)
+            some, end = some[end > first], end[end > first] + i - 1
+            old = last[some]
+            later = (old < 0) | (t[end] > t[old]) | ((t[end] == t[old]) & (rank[end] > rank[old]))
+            last[some[later]] = end[later]
+        hit = last >= 0
+        at_ = last[hit]
+        return pd.DataFrame({id_: places[id_].to_numpy()[hit], "ts_s": t[at_], "tie": rank[at_], "actor": points[visitor].to_numpy()[at_], "steps": steps[hit]})
+
+    found = listed.groupBy(key, "_slot").cogroup(points.groupBy(key, "_slot")).applyInPandas(met, f"{id_} {kind[id_]}, ts_s double, tie {kind[tie]}, actor {kind[visitor]}, steps long")
+    return found.groupBy(id_).agg(F.max_by("actor", F.struct("ts_s", "tie")).alias("actor"), F.sum("steps").alias("steps"))
