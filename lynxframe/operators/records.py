@@ -150,13 +150,48 @@ def usable_windows(files: DataFrame, tasks: DataFrame, key: str, period: float,
     return met.select(*files.columns, "block", F.greatest(length, F.lit(0.0)).alias("usable_s"), state.alias("state"))
 
 
-def novelty(rows: DataFrame, known: DataFrame, group: str, id_: str, vector: str) -> DataFrame:
-    """``best``, the highest cosine of each row with another row of ``known`` in its group; null if there is none.
-
-    ``known`` is the labelled part of each group; every row is compared with all of its group's, so keep that part small."""
-    other = known.select(group, F.col(id_).alias("_id"), F.col(vector).alias("_vector"))
-    best = rows.join(other, group).where(F.col(id_) != F.col("_id")).groupBy(id_).agg(F.max(R.cosine(F.col(vector), F.col("_vector"))).alias("best"))
-    return rows.select(id_).join(best, id_, "left")
+def novelty(rows: DataFrame, known: DataFrame, group: str, id_: str, vector: str, tile: tuple[int, int] = (20_000, 5_000)) -> DataFrame:
+    """``best``, the highest cosine of each row with another row of ``known`` in its group; null if there is none. A vector
+    that is null, has nulls or another length counts as one without length: its cosine is 0.
+
+    Every row is compared with all of its group's ``known``. Both are dealt over blocks, so that a task has a ``tile`` of
+    about so many rows and known rows at most as two matrices, however large a group is."""
+    parts = [max(1, -(-x.count() // n)) for x, n in zip((rows, known), tile, strict=True)]
+    kind = rows.schema[id_].dataType.simpleString()
+    keys = [group, "_r", "_k"]
+
+    def dealt(table: DataFrame, own: str, other: str, n: int, m: int) -> DataFrame:
+        whole = F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector).cast("array<double>")).alias("_v")
+        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+        return table.dropna(subset=[group, id_]).select(group, id_, whole, F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias(own), every)
+
+    def unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.stack(vectors).astype(float)
+        return own, np.sqrt((own * own).sum(axis=1))
+
+    def best(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        ids, others = ours[id_].to_numpy(), theirs[id_].to_numpy()
+        width, wide = (np.array([-1 if v is None else len(v) for v in t["_v"]], np.int64) for t in (ours, theirs))
+        top = np.full(len(ids), -np.inf)
+        for w in np.unique(width) if len(others) else ():
+            mine, same = np.flatnonzero(width == w), np.flatnonzero((wide == w) & (w > 0))
+            bank, far = unit(theirs["_v"].to_numpy()[same]) if len(same) else (None, None)
+            for k in range(0, len(mine), 1000):
+                at = mine[k : k + 1000]
+                cosines = np.zeros((len(at), len(others)))
+                if bank is not None:
+                    own, near = unit(ours["_v"].to_numpy()[at])
+                    length = near[:, None] * far[None]
+                    cosines[:, same] = np.divide(own @ bank.T, length, out=np.zeros_like(length), where=(length > 0) | np.isnan(length))
+                cosines[ids[at][:, None] == others[None]] = -np.inf
+                top[at] = cosines.max(axis=1)
+        met = top > -np.inf
+        met |= np.isnan(top)
+        return pd.DataFrame({id_: ids[met], "best": top[met]})
+
+    pairs = dealt(rows, "_r", "_k", *parts).groupBy(*keys).cogroup(dealt(known, "_k", "_r", *parts[::-1]).groupBy(*keys))
+    found = pairs.applyInPandas(best, f"{id_} {kind}, best double").groupBy(id_).agg(F.max("best").alias("best"))
+    return rows.select(id_).join(found, id_, "left")
 
 
 def with_nested(jobs: DataFrame, parts: DataFrame, key: str, columns: list[str], done: str) -> DataFrame:
