@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,6 +20,9 @@ from lynxframe.operators.graph import connected
 #: Fixed values of the perfect binary Golay code: word length, check bits, covering radius, generator polynomial.
 BITS, CHECKS, RADIUS, GENERATOR = 23, 11, 3, 0b101011100011
 
+#: Longs of a sketch.
+SKETCH = 16
+
 #: ASCII capitals only, as bytes of UTF-8.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -102,6 +106,31 @@ def near_anchors(values: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(ats), np.concatenate(anchors)
 
 
+def anchor_places(anchors: np.ndarray) -> np.ndarray:
+    """Numbers of anchors below 2 ** 24, each its own: the upper 12 bits of a code word give the others."""
+    return (anchors >> CHECKS & (1 << BITS - CHECKS) - 1) | (anchors >> BITS + CHECKS & (1 << BITS - CHECKS) - 1) << BITS - CHECKS
+
+
+def held_anchors(held: DataFrame, first: int, n: int) -> bytes:
+    """``anchor`` (with the number of its view) -> a bitmap of the places of its anchors, for each of ``n`` views in turn.
+
+    Spark makes it in pieces of 4 KB; a view has 2 MB at most, however many rows there are. Compressed for its way to the tasks.
+    """
+    width = BITS - CHECKS
+    free = (1 << width) - 1
+    at = F.expr(f"((anchor >> {CHECKS}) & {free}) + (((anchor >> {BITS + CHECKS}) & {free}) << {width}) + (((anchor >> {2 * BITS}) - {first}) << {2 * width}) + 1")
+    pieces = held.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    found = np.zeros((n << 2 * width - 15, 1 << 12), np.uint8)
+    for piece, bits in pieces.collect():
+        found[piece - 1] = np.frombuffer(bits, np.uint8)
+    return zlib.compress(found.tobytes(), 1)
+
+
+def unpacked(packed: bytes, n: int) -> np.ndarray:
+    """The bitmaps of ``held_anchors``, a line for each of ``n`` views."""
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(n, -1)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (the 64 bits as a long) of every row."""
 
@@ -179,6 +208,33 @@ def bag_prints(words: np.ndarray, views: int) -> np.ndarray:
     return out
 
 
+def shingles(words: np.ndarray, shingle: int) -> np.ndarray:
+    """The distinct ``shingle``-word shingles of a text's words as numbers (fewer words: the whole sequence)."""
+    return np.unique(W.windows(words, min(shingle, len(words)))) if len(words) else words[:0]
+
+
+def sketch(numbers: np.ndarray) -> np.ndarray:
+    """Which of ``64 * SKETCH`` bins hold a shingle of the set, as ``SKETCH`` longs."""
+    bins = np.zeros(64 * SKETCH, np.uint8)
+    with np.errstate(over="ignore"):
+        bins[(W.mixed(numbers * W.BASES[1]) % np.uint64(64 * SKETCH)).astype(np.int64)] = 1
+    return np.packbits(bins, bitorder="little").view(np.int64)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a``, ``b`` of which ``sketches`` (id, n: the set's size, bins) do not rule out a similarity of ``least``.
+
+    A bin that one set has and the other has not holds a shingle that is not in both, so no pair is lost.
+    """
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    left = sketches.select(F.col("id").alias("a"), "n", F.col("bins").alias("x"))
+    right = sketches.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bins").alias("y"))
+    both = salted_join(pairs.join(right.hint("merge"), "b"), left, ["a"], hot, ["b"])
+    alone = lambda x, y: F.expr(" + ".join(f"bit_count({x}[{k}] & ~{y}[{k}])" for k in range(SKETCH)))
+    most, all_ = F.least(F.col("n") - alone("x", "y"), F.col("m") - alone("y", "x")), F.col("n") + F.col("m")
+    return both.where((all_ == 0) | (most / F.greatest(all_ - most, F.lit(1)) >= least)).select("a", "b")
+
+
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """``id``, ``text`` -> ``id``, ``sid`` (a number of the row), ``sh``: the distinct ``shingle``-word shingles as numbers
     (fewer words: the whole sequence)."""
@@ -187,7 +243,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             flat, bounds = W.split(batch.column("text"))
             found = W.hashes(flat, make=lowered)
-            runs = [np.unique(W.windows(found[a:b], min(shingle, b - a))) if b > a else found[:0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            runs = [shingles(found[a:b], shingle) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sid"), pa.array([x.view(np.int64) for x in runs], pa.list_(pa.int64()))], ["id", "sid", "sh"])
 
     return texts.select("id", F.xxhash64("id", "text").alias("sid"), "text").mapInArrow(lean(compute), "id long, sid long, sh array<long>")
@@ -256,8 +312,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: in
     all anchors near its prints and compared with each text of another group whose own anchor is there, folded ones too.
     So all pairs are found whose prints differ in ``distance`` bits or fewer in any view, and most of those that differ in
     more. At most ``most_bits`` bits may differ in that view, and the exact similarity decides. Anchors are taken
-    ``together`` views at a time, to keep what is shuffled at once small. Copies of a text are its first document's. No
-    pair below ``least`` is linked.
+    ``together`` views at a time; a bitmap of those that any text holds goes to the tasks, so that only these are
+    shuffled. Copies of a text are its first document's. No pair below ``least`` is linked.
 
     Returns doc_id, component_id (the smallest doc_id reachable by links, itself included) of the documents that have a
     link. Rows of one doc_id are one document; rows without a doc_id have no links; null, empty and blank texts are like
@@ -270,13 +326,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: in
         for batch in batches:
             flat, bounds = W.split(batch.column("text"))
             found = W.hashes(flat, make=lowered)
-            fps = [bag_prints(found[a:b], views).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dig"), pa.array(fps, pa.list_(pa.int64()))], ["id", "dig", "prints"])
+            runs = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            fps, sets = [bag_prints(x, views).view(np.int64) for x in runs], [shingles(x, shingle) for x in runs]
+            made = [pa.array(fps, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dig"), *made], ["id", "dig", "prints", "n", "bins"])
 
-    def at_anchors(table: DataFrame, near: bool, first: int, n: int) -> DataFrame:
-        """anchor (with the number of its view), id, root, fp: own anchors or, if ``near``, all near ones, in ``n`` views from ``first``."""
+    def at_anchors(table: DataFrame, near: bool, first: int, n: int, taken: bytes | None = None) -> DataFrame:
+        """anchor (with the number of its view), id, root, fp: own anchors or, if ``near``, all near ones that are ``taken``, in ``n`` views from ``first``."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = unpacked(taken, n) if taken is not None else None
             for batch in batches:
                 prints = batch.column("prints").flatten().to_numpy().reshape(-1, views)[:, first : first + n]
                 ids, roots = batch.column("id").to_numpy(), batch.column("root").to_numpy()
@@ -287,13 +346,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: in
                         keys, anchors = near_anchors(values.view(np.uint64), distance)
                     else:
                         anchors = own_anchor(values.view(np.uint64))
+                    if held is not None:
+                        at = anchor_places(anchors)
+                        on = np.flatnonzero(held[keys % n, at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                        keys, anchors = keys[on], anchors[on]
                     view, row = (keys % n + first) << 2 * BITS, keys // n + k
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchors | view, ids[row], roots[row], values[keys])], ["anchor", "id", "root", "fp"])
 
         return table.select("id", "root", "prints").mapInArrow(lean(run), "anchor long, id long, root long, fp long")
 
-    printed = scratch.save(texts.withColumn("dig", digest(F.col("text"))).mapInArrow(lean(compute), "id long, dig binary, prints array<long>"))
-    firsts = scratch.save(printed.groupBy("dig").agg(F.min("id").alias("id"), F.first("prints").alias("prints")))
+    printed = scratch.save(texts.withColumn("dig", digest(F.col("text"))).mapInArrow(lean(compute), "id long, dig binary, prints array<long>, n long, bins array<long>"))
+    firsts = scratch.save(printed.groupBy("dig").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("prints", "n", "bins")]))
     hot = hot_keys(printed.groupBy("dig").agg(F.count("*").alias("n")))
     copies = scratch.save(hot_join(printed.select("dig", "id"), firsts.select("dig", F.col("id").alias("first")), ["dig"], hot).where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")))
     scratch.drop(printed)
@@ -305,6 +368,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: in
     scratch.drop(owners, heads)
 
     def checked(pairs: DataFrame) -> DataFrame:
+        # Short sketches go with all pairs, whole sets only with those that these leave.
+        pairs = scratch.save(possible(pairs, firsts.select("id", "n", "bins"), least))
         asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         return similar(pairs, scratch.save(shingle_sets(texts.join(asked.hint("merge"), "id", "left_semi"), shingle)), least)
 
@@ -317,7 +382,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, views: in
         held = at_anchors(rooted, False, first, n)
         # Where a group meets itself nothing is listed: first the other groups of an anchor are named, then their texts.
         groups = held.select("anchor", F.col("root").alias("other")).distinct()
-        asks = at_anchors(rooted, True, first, n).join(groups.hint("shuffle_hash"), "anchor").where("root <> other").select("anchor", "other", "id", "fp")
+        asks = at_anchors(rooted, True, first, n, held_anchors(held, first, n)).join(groups.hint("shuffle_hash"), "anchor").where("root <> other").select("anchor", "other", "id", "fp")
         texts_there = held.select("anchor", F.col("root").alias("other"), F.col("id").alias("o_id"), F.col("fp").alias("o_fp"))
         met = asks.join(texts_there.hint("merge"), ["anchor", "other"]).where(f"bit_count(fp ^ o_fp) <= {most_bits}")
         found.append(scratch.save(met.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()))

@@ -304,6 +304,37 @@ def test_near_copies_hang_together_through_folded_texts(spark):
     assert found == groups
 
 
+def test_only_held_anchors_are_shuffled(spark):
+    """The bitmap has the anchors that are held in each view and no other: of all near ones few pass, and the own one does."""
+    r = np.random.default_rng(4)
+    values = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    at, near = simhash.near_anchors(values, 2)
+    assert len(np.unique(simhash.anchor_places(near))) == len(np.unique(near)) and simhash.anchor_places(near).max() < 1 << 24
+    own, half = simhash.own_anchor(values), np.arange(400) // 200
+    held = spark.createDataFrame([(int(a) | (int(v) + 3) << 46,) for a, v in zip(own, half, strict=True)], "anchor long")
+    bits = simhash.unpacked(simhash.held_anchors(held, 3, 2), 2)
+    assert bits.shape == (2, 1 << 21)
+    for view in (0, 1):
+        there = np.flatnonzero(np.unpackbits(bits[view], bitorder="little"))
+        assert set(there.tolist()) == set(simhash.anchor_places(own[half == view]).tolist())
+
+
+def test_sketches_rule_out_unlike_pairs_only(spark):
+    """Whole sets are compared for pairs alike; of 300 unlike ones most end at the sketches."""
+    r = random.Random(12)
+    sets = []
+    for k in range(300):
+        base = [r.getrandbits(64) for _ in range(300)]
+        sets += [base, base[: 300 - k % 60] + [r.getrandbits(64) for _ in range(k % 7)]]
+    sets += [[], [], [5]]
+    rows = [(k, len(x), simhash.sketch(np.array(x, np.uint64)).tolist()) for k, x in enumerate(sets)]
+    pairs = [(k, k + d) for k in range(len(sets) - 1) for d in (1,)]
+    found = simhash.possible(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "id long, n long, bins array<long>"), 0.8)
+    found = {(x.a, x.b) for x in found.collect()}
+    alike = {(a, b) for a, b in pairs if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert alike <= found and len(found) <= len(alike) + 5 and (600, 601) in found and (601, 602) not in found
+
+
 def test_families_below_the_limit_give_no_pairs(spark):
     """Texts of one frame, each pair just below 0.8: twice the family, not even one pair to verify."""
     r = random.Random(6)
