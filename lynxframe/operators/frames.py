@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from lynxframe.functions import geometry as G
 
 
-def suppress(boxes: DataFrame, frame: str, least_iou: float, same_class: bool = False, conflict=None, last: Column | None = None, limit: int | None = None) -> DataFrame:
+def suppress(boxes: DataFrame, frame: str, least_iou: float, same_class: bool = False, conflict=None, last: Column | None = None, limit: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Greedy non-maximum suppression per frame: boxes by falling confidence, then det_id; one is kept unless a kept one
     (of its class, if ``same_class``) overlaps it by ``least_iou`` or more. ``conflict`` replaces that test. Boxes for
-    which ``last`` holds rank after all others; ``limit`` keeps so many of a frame. A frame's boxes meet in one array.
+    which ``last`` holds rank after all others; ``limit`` keeps so many of a frame; columns ``more`` come along. A frame's boxes meet in one array.
     """
     test = conflict or (lambda k, b: G.iou(k.box, b.box) >= least_iou)
 
@@ -22,12 +22,12 @@ def suppress(boxes: DataFrame, frame: str, least_iou: float, same_class: bool =
         return test(k, b) & (k.class_id == b.class_id) if same_class else test(k, b)
 
     late = F.lit(False) if last is None else last
-    order = F.struct(late.alias("late"), (-F.col("conf")).alias("rank"), "det_id", "class_id", "conf", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    order = F.struct(late.alias("late"), (-F.col("conf")).alias("rank"), "det_id", "class_id", "conf", F.struct("x0", "y0", "x1", "y1").alias("box"), *more)
     rows = boxes.groupBy(frame).agg(F.array_sort(F.collect_list(order)).alias("all"))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: clash(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
     if limit:
         kept = F.slice(kept, 1, limit)
-    return rows.select(frame, F.explode(kept).alias("k")).select(frame, "k.det_id", "k.class_id", "k.conf", "k.box.*")
+    return rows.select(frame, F.explode(kept).alias("k")).select(frame, "k.det_id", "k.class_id", "k.conf", "k.box.*", *[f"k.{c}" for c in more])
 
 
 def associate(left: DataFrame, right: DataFrame, frame: str, least_iou: float = 0.3, edge=None) -> DataFrame:
