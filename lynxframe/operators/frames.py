@@ -1,12 +1,17 @@
-"""Operators within one frame: greedy suppression and one-to-one matching as folds over an array, without Python.
+"""Operators within one frame: greedy suppression as a fold over an array, without Python, and one-to-one matching.
 
-A frame's boxes fit in one array, so a frame is one row of one aggregation; frames run in parallel.
+A frame's boxes fit in one array there, so a frame is one row of one aggregation; frames run in parallel. Matching joins a
+frame's boxes to pairs and takes them in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lynxframe.functions import geometry as G
 
@@ -30,32 +35,74 @@ def suppress(boxes: DataFrame, frame: str, least_iou: float, same_class: bool =
     return rows.select(frame, F.explode(kept).alias("k")).select(frame, "k.det_id", "k.class_id", "k.conf", "k.box.*", *[f"k.{c}" for c in more])
 
 
+def edges(left: DataFrame, right: DataFrame, frame: str, least_iou: float = 0.3, edge=None, how: str = "inner", more: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())) -> DataFrame:
+    """A row per pair of a frame that may match: frame, k0, k1, ... (what pairs are taken by), det_id, gt_id, iou and the
+    columns ``more`` of either side. ``how``: ``full`` adds the rows of either side that no other may match, with nulls."""
+    rule = edge or (lambda x, y: (G.iou(x.box, y.box) >= least_iou, [-G.iou(x.box, y.box), -x.conf]))
+    sides = ("x0", "y0", "x1", "y1")
+    flat = lambda rows, to, own: rows.select(*[F.col(c).alias(f"{to}{c}") for c in (frame, *own, *sides)])
+    whole = lambda to, own: F.struct(*[F.col(f"{to}{c}").alias(c) for c in own], F.struct(*[F.col(f"{to}{s}").alias(s) for s in sides]).alias("box"))
+    x, y = whole("_l_", ("det_id", "conf")), whole("_r_", ("gt_id",))
+    test, ranks = rule(x, y)
+    both = flat(left, "_l_", dict.fromkeys(("det_id", "conf", *more[0]))).join(flat(right, "_r_", dict.fromkeys(("gt_id", *more[1]))), (F.col(f"_l_{frame}") == F.col(f"_r_{frame}")) & test, how)
+    of = lambda to, names: [F.col(f"{to}{c}").alias(c) for c in names]
+    met = F.col("_l_det_id").isNotNull() & F.col("_r_gt_id").isNotNull()
+    return both.select(F.coalesce(f"_l_{frame}", f"_r_{frame}").alias(frame), *[k.alias(f"k{i}") for i, k in enumerate(ranks)], *of("_l_", ("det_id",)), *of("_r_", ("gt_id",)), F.when(met, G.iou(x.box, y.box)).alias("iou"), *of("_l_", more[0]), *of("_r_", more[1]))
+
+
+def best_first(pairs: DataFrame, keys: list[str], rest: bool = False) -> DataFrame:
+    """Of the rows of ``edges``, those that are taken one to one within ``keys``, best first, with ``side`` both; if ``rest``, also
+    a row for each id that found no partner (left, right). Rows of a key come in order, and a task holds the ids of one key."""
+    ranks = [c for c in pairs.columns if c[0] == "k" and c[1:].isdigit()]
+    kept = [c for c in pairs.columns if c not in ranks]
+    ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, *ranks, "det_id", "gt_id").select(*kept)
+    schema = T.StructType([*ordered.schema.fields, T.StructField("side", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, dets, gts = None, {}, {}
+
+        def alone() -> list[tuple]:
+            return [(*key, d, None, "left") for d, done in dets.items() if not done] + [(*key, None, g, "right") for g, done in gts.items() if not done]
+
+        def made(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+            columns = dict(zip([*keys, "det_id", "gt_id", "side"], zip(*rows, strict=True), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * len(rows)), f.type) for f in types], schema=types)
+
+        types = None
+        for batch in batches:
+            types = pa.schema([*[pa.field(f.name, f.type) for f in batch.schema], pa.field("side", pa.string())])
+            taken, left = [], []
+            owners = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            for n, (own, d, g) in enumerate(zip(owners, batch.column("det_id").to_pylist(), batch.column("gt_id").to_pylist(), strict=True)):
+                if own != key:
+                    left += alone() if rest and key is not None else []
+                    key, dets, gts = own, {}, {}
+                free = d is not None and g is not None and not dets.get(d) and not gts.get(g)
+                if free:
+                    taken.append(n)
+                if d is not None:
+                    dets[d] = free or dets.get(d, False)
+                if g is not None:
+                    gts[g] = free or gts.get(g, False)
+            found = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(["both"] * len(taken), pa.string())], schema=types)
+            if left:
+                yield made(left, types)
+        if rest and key is not None and (left := alone()):
+            yield made(left, types)
+
+    return ordered.mapInArrow(run, schema)
+
+
 def associate(left: DataFrame, right: DataFrame, frame: str, least_iou: float = 0.3, edge=None) -> DataFrame:
     """One-to-one pairs per frame, best first, with the rows of either side that found no partner.
 
-    left: frame, det_id, conf and a box; right: frame, gt_id and a box. Pairs are taken by IoU, then confidence, then ids.
-    ``edge(x, y)`` of two structs with ``box`` may replace that by (condition, columns to sort by). Each side is grouped
-    into one array a frame and shuffled once; what may pair, and the fold over it, stay in the row, so a frame should hold
-    hundreds of boxes, not millions. Returns frame, det_id, gt_id, iou, side (both, left, right).
+    left: frame, det_id, conf and a box; right: frame, gt_id and a box; ids are unique in a frame. Pairs are taken by IoU,
+    then confidence, then ids. ``edge(x, y)`` of two structs with ``box`` may replace that by (condition, columns to sort
+    by). What may pair is an equi-join on the frame, so no row holds a frame. Returns frame, det_id, gt_id, iou, side (both,
+    left, right).
     """
-    rule = edge or (lambda x, y: (G.iou(x.box, y.box) >= least_iou, [-G.iou(x.box, y.box), -x.conf]))
-    box = F.struct("x0", "y0", "x1", "y1").alias("box")
-    ls = left.groupBy(frame).agg(F.collect_list(F.struct("det_id", "conf", box)).alias("ls"))
-    rs = right.groupBy(frame).agg(F.collect_list(F.struct("gt_id", box)).alias("rs"))
-    rows = ls.join(rs, frame, "full").withColumn("ls", F.coalesce("ls", F.array())).withColumn("rs", F.coalesce("rs", F.array()))
-
-    def made(x: Column, y: Column) -> Column:
-        return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rule(x, y)[1])], x.det_id.alias("det_id"), y.gt_id.alias("gt_id"), G.iou(x.box, y.box).alias("iou"))
-
-    edges = F.array_sort(F.flatten(F.transform("ls", lambda x: F.transform(F.filter("rs", lambda y: rule(x, y)[0]), lambda y: made(x, y)))))
-    rows = rows.withColumn("edges", edges)
-    taken = F.aggregate("edges", F.slice("edges", 1, 0), lambda m, e: F.when(F.exists(m, lambda k: (k.det_id == e.det_id) | (k.gt_id == e.gt_id)), m).otherwise(F.concat(m, F.array(e))))
-    rows = rows.withColumn("m", taken)
-    found = F.transform("m", lambda k: F.struct(k.det_id.alias("det_id"), k.gt_id.alias("gt_id"), k.iou.alias("iou"), F.lit("both").alias("side")))
-    none = F.lit(None)
-    alone_l = F.transform(F.filter("ls", lambda x: ~F.exists("m", lambda k: k.det_id == x.det_id)), lambda x: F.struct(x.det_id.alias("det_id"), none.cast("long").alias("gt_id"), none.cast("double").alias("iou"), F.lit("left").alias("side")))
-    alone_r = F.transform(F.filter("rs", lambda y: ~F.exists("m", lambda k: k.gt_id == y.gt_id)), lambda y: F.struct(none.cast("long").alias("det_id"), y.gt_id.alias("gt_id"), none.cast("double").alias("iou"), F.lit("right").alias("side")))
-    return rows.select(frame, F.explode(F.concat(found, alone_l, alone_r)).alias("o")).select(frame, "o.*")
+    return best_first(edges(left, right, frame, least_iou, edge, "full"), [frame], rest=True)
 
 
 def match(left: DataFrame, right: DataFrame, frame: str, least_iou: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,23 +10,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynxframe.operators import blocks
-from lynxframe.operators.frames import associate
+from lynxframe.operators import blocks, frames
 
 
 def quality_by_threshold(boxes: DataFrame, truth: DataFrame, frame: str, thresholds: list[float], size: Column) -> DataFrame:
     """Matches, misses and false boxes at every threshold and size band of the truth (false boxes: of their own).
 
-    ``size`` names the band of a row with columns x0, y0, x1, y1. A box counts at all thresholds up to its confidence.
+    ``size`` names the band of a row with columns x0, y0, x1, y1. A box counts at all thresholds up to its confidence; ids
+    are unique in a frame, so false boxes are all boxes less those that are taken.
     """
     steps = F.array(*[F.lit(t) for t in thresholds])
-    each = boxes.select("*", F.explode(steps).alias("threshold")).where("conf >= threshold").withColumn("_f", F.struct(frame, "threshold"))
-    wanted = truth.select("*", F.explode(steps).alias("threshold")).withColumn("_f", F.struct(frame, "threshold"))
-    found = associate(each, wanted, "_f")
-    bands = truth.select("gt_id", size.alias("_tb")).join(found.where("gt_id is not null"), "gt_id", "right")
-    hits = bands.groupBy("_f.threshold", F.col("_tb").alias("size")).agg(F.count("*").alias("required"), F.count_if(F.col("side") == "both").alias("hit"))
-    false_ = found.where("side = 'left'").join(boxes.select("det_id", size.alias("size")), "det_id").groupBy("_f.threshold", "size").agg(F.count("*").alias("fp"))
-    return hits.join(false_, ["threshold", "size"], "full").na.fill(0, ["required", "hit", "fp"])
+    sized, wanted = boxes.withColumn("_band", size), truth.withColumn("_wanted", size)
+    # What may pair is the same at all thresholds, so it is joined once; pairs are taken at each.
+    pairs = frames.edges(sized, wanted, frame, more=(("conf", "_band"), ("_wanted",)))
+    found = frames.best_first(pairs.select("*", F.explode(steps).alias("threshold")).where("conf >= threshold").drop("conf"), [frame, "threshold"])
+    found = found.groupBy("threshold", "_band", "_wanted").agg(F.count("*").alias("n"))
+    each = sized.groupBy(F.col("_band").alias("size"), *[(F.col("conf") >= t).alias(f"_at{i}") for i, t in enumerate(thresholds)]).agg(F.count("*").alias("n"))
+    at = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"_at{i}").alias("passes")) for i, t in enumerate(thresholds)])).alias("t")
+    each = each.select("size", "n", at).where("t.passes").select("t.threshold", "size", "n")
+    required = wanted.groupBy(F.col("_wanted").alias("size")).agg(F.count("*").alias("n")).select(F.explode(steps).alias("threshold"), "size", F.col("n").alias("required"))
+    zero = F.lit(0).cast("long")
+    counts = [
+        required.select("threshold", "size", "required", zero.alias("hit"), zero.alias("fp")),
+        found.select("threshold", F.col("_wanted").alias("size"), zero.alias("required"), F.col("n").alias("hit"), zero.alias("fp")),
+        found.select("threshold", F.col("_band").alias("size"), zero.alias("required"), zero.alias("hit"), (-F.col("n")).alias("fp")),
+        each.select("threshold", "size", zero.alias("required"), zero.alias("hit"), F.col("n").alias("fp")),
+    ]
+    out = functools.reduce(DataFrame.unionByName, counts).groupBy("threshold", "size").agg(*[F.sum(c).alias(c) for c in ("required", "hit", "fp")])
+    return out.where("required > 0 or fp > 0")
 
 
 def percentiles_within(rows: DataFrame, key: str, value: str, share: float, limits: DataFrame, least: int) -> DataFrame:
