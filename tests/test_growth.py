@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lynxframe.operators import frames, reports
+from lynxframe.operators import frames, reports, states, tracking
 
 
 def plan(df) -> str:
@@ -54,3 +55,103 @@ def test_association_holds_no_frame_in_a_row(spark):
             expect.add((t, size, sum(s == size for s in wide.values()), sum(wide[g] == size for _, g in pairs), false))
     assert {tuple(r) for r in quality.collect()} == expect
     assert "collect_list" not in plan(out) and "collect_list" not in plan(quality)
+
+
+class Walked(Exception):
+    """Holds the start and the step that an operator hands to ``walk``."""
+
+
+def step_of(monkeypatch, module, operator):
+    """The start and step of a walk, without Spark."""
+
+    def walk(rows, keys, order, columns, start, step, schema):
+        raise Walked(start, step)
+
+    with monkeypatch.context() as m:
+        m.setattr(module, "walk", walk)
+        with pytest.raises(Walked) as caught:
+            operator()
+    return caught.value.args
+
+
+class Side(float):
+    """A side of a box that counts how often it is subtracted."""
+
+    count = 0
+
+    def __sub__(self, other):
+        Side.count += 1
+        return float(self) - other
+
+
+def test_inventory_looks_at_near_items_only(spark, monkeypatch):
+    table = spark.createDataFrame([], "s string, ts_s double, n long, x0 double, y0 double, x1 double, y1 double, clean boolean")
+    start, step = step_of(monkeypatch, states, lambda: states.inventory(table, "s", ["ts_s", "n"], clear_after=3.0, most_gap=2.0))
+
+    def run(boxes):
+        state, out = start(), []
+        for n, (*box, clean) in enumerate(boxes):
+            state, made = step(state, (float(n), n, *box, clean))
+            out.append(made[2:])
+        return out
+
+    def work(n):
+        Side.count = 0
+        run([*[(Side(9 * k), Side(0), Side(9 * k + 4), Side(4), False) for k in range(n)]] * 2)
+        return Side.count
+
+    assert work(400) < 2.2 * work(200)
+
+    def plainly(boxes):
+        items, out = [], []
+        for at, (a, b, c, d, clean) in enumerate(boxes):
+            near = []
+            for n, (name, (e, f, g, h), *_) in enumerate(items):
+                w, y, u, v = c - a, d - b, g - e, h - f
+                dx, dy = (a + c - e - g) / 2, (b + d - f - h) / 2
+                if min(w, y, u, v) > 0 and max(w / u, u / w, y / v, v / y) <= 3 and (dx / min(w, u)) ** 2 + (dy / min(y, v)) ** 2 <= 0.25:
+                    near.append((dx * dx + dy * dy, n))
+            if not near:
+                out.append((None, "no item") if clean else (at, "created"))
+                if not clean:
+                    items.append([at, (a, b, c, d), None, None])
+                continue
+            item = items[min(near)[1]]
+            if not clean:
+                item[2:] = None, None
+                out.append((item[0], "present"))
+                continue
+            if item[3] is None or at - item[3] > 2.0:
+                item[2] = at
+            item[3] = at
+            gone = at - item[2] >= 3.0
+            out.append((item[0], "cleared" if gone else "verifying"))
+            items = [i for i in items if not (gone and i is item)]
+        return out
+
+    rng = random.Random(2)
+    size = lambda: rng.choice([0.0, 0.3, 1.0, 1.9, 2.0, 4.0, 7.5, 8.0])
+    boxes = [((x := rng.randrange(-3, 3) / 2), (y := rng.randrange(-3, 3) / 2), x + size(), y + size(), rng.random() < 0.9) for _ in range(4000)]
+    got = run(boxes)
+    assert got == plainly(boxes) and {o for _, o in got} == {"created", "present", "verifying", "cleared", "no item"}
+
+
+def test_tracks_are_scored_near_a_detection_only(spark, monkeypatch):
+    table = spark.createDataFrame([], "stream_id string, ts_s double, frame_no long, x0 double, y0 double, x1 double, y1 double")
+    start, step = step_of(monkeypatch, tracking, lambda: tracking.sparse_tracks(table, 100.0))
+    calls = []
+    score = tracking._score
+    monkeypatch.setattr(tracking, "_score", lambda *a: calls.append(a) or score(*a))
+    state = start()
+    for n in range(300):
+        x = 10.0 * (n % 150)
+        state, made = step(state, (n, n / 10, x, 0.0, x + 4, 4.0, True))
+        assert made[2] == [{"frame_no": n, "id": n % 150 + 1, "hits": n // 150 + 1}]
+    assert len(calls) == 150
+    # Boxes without extent, and limits that hold for any pair.
+    dot, box = (5.0, 5.0, 5.0, 5.0), (5.0, 5.0, 6.0, 6.0)
+    for least, most in ((0.3, 0.5), (0.0, 0.5), (0.3, 100.0)):
+        tracks = [dot, box, (50.0, 50.0, 51.0, 51.0)]
+        for seen in tracks:
+            near = set(tracking._may_match(tracking.np.array(tracks), seen, least, most).tolist())
+            assert {k for k, t in enumerate(tracks) if score(t, seen, least, most) is not None} <= near
