@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
-from lynxframe.operators import frames, reports, states, tracking
+from lynxframe.operators import frames, reports, scenes, states, tracking
 
 
 def plan(df) -> str:
@@ -155,3 +156,24 @@ def test_tracks_are_scored_near_a_detection_only(spark, monkeypatch):
         for seen in tracks:
             near = set(tracking._may_match(tracking.np.array(tracks), seen, least, most).tolist())
             assert {k for k, t in enumerate(tracks) if score(t, seen, least, most) is not None} <= near
+
+
+def test_medians_hold_different_numbers_only(spark, monkeypatch):
+    rng = random.Random(9)
+    for distinct in (1, 2, 7, 400):
+        xs = [float(rng.randrange(distinct)) for _ in range(400)]
+        middle = None
+        for n, x in enumerate(xs):
+            if middle is None:
+                middle = scenes.Middle(x)
+            else:
+                middle.add(x)
+            assert middle.value() == median(xs[: n + 1])
+        assert middle.values == sorted(set(xs))
+    rows = spark.createDataFrame([("a", float(n), n, True, 10.0 * (n % 2), 0.0, 20.0, 10.0) for n in range(4)], "s string, ts_s double, n long, dense boolean, x0 double, y0 double, x1 double, y1 double")
+    start, step = step_of(monkeypatch, scenes, lambda: scenes.running_episodes(rows, "s", "n"))
+    state = start()
+    for n in range(1000):
+        state, _ = step(state, (float(n), n, True, float(n % 3), 0.0, 20.0, 10.0))
+    (episode,) = state
+    assert [len(m.values) for m in episode["sides"]] == [3, 1, 1, 1] and episode["own"] == [1.0, 0.0, 20.0, 10.0]
